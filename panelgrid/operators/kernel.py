@@ -1,0 +1,188 @@
+"""The numeric body of one kernel task: one chunk of one series, one seed.
+
+All windows of the chunk are solved together. Features are produced in slabs that fit
+in cache; each slab is scaled by its window's volatility and adds its share to a
+(T+1) x (T+1) Gram matrix per window, whose last row belongs to the decision row. When
+the slab reaches a complexity of the grid, every shrinkage level is solved from one
+decomposition of that Gram, so the whole grid costs one pass over the largest model
+and coefficients are never formed.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+SCALE_FLOOR = 1e-12  # fixed value: a flatter feature is left unscaled
+SLAB = 512  # features per slab (even)
+ROWS = 256  # windows per slab
+ILL_CONDITIONED = 1e-9  # Gram eigenvalue ratio below which singular values are used
+
+
+def draw_weights(n_pairs: int, n_predictors: int, seed: int) -> np.ndarray:
+    """(n_pairs, n_predictors) Gaussian weights; a smaller draw is a prefix of a larger."""
+    if n_pairs < 1 or n_predictors < 1:
+        raise ValueError("a weight draw needs at least one pair and one predictor")
+    return np.random.default_rng(seed).standard_normal((n_pairs, n_predictors))
+
+
+def fourier_features(x: np.ndarray, weights: np.ndarray, gamma: float) -> np.ndarray:
+    """Interleaved sin/cos features of the rows of ``x`` for the given weight vectors."""
+    if x.ndim != 2 or weights.ndim != 2 or weights.shape[1] != x.shape[1]:
+        raise ValueError(f"weights {weights.shape} do not fit predictors {x.shape}")
+    angle = (gamma * x) @ weights.T
+    out = np.empty((x.shape[0], 2 * weights.shape[0]))
+    out[:, 0::2] = np.sin(angle)
+    out[:, 1::2] = np.cos(angle)
+    return out
+
+
+def window_scales(features: np.ndarray, window: int, n_windows: int, uncentered: bool) -> np.ndarray:
+    """Reciprocal training-window volatility of every feature, (n_windows, P).
+
+    Window i covers feature rows i .. i+window-1.
+    """
+    shifted = [features[k : k + n_windows] for k in range(window)]
+    if uncentered:
+        spread = sum(f * f for f in shifted) / window
+    else:
+        mean = sum(shifted[1:], shifted[0].copy()) / window
+        spread = np.zeros_like(mean)
+        for f in shifted:
+            gap = f - mean
+            gap *= gap
+            spread += gap
+        spread /= window - 1
+    scale = np.sqrt(spread)
+    usable = np.isfinite(scale) & (scale > SCALE_FLOOR)
+    return np.divide(1.0, scale, out=np.ones_like(scale), where=usable)
+
+
+def scaled_windows(features: np.ndarray, window: int, n_windows: int, uncentered: bool) -> np.ndarray:
+    """(n_windows, window+1, P): training rows and the decision row on one scale."""
+    inverse = window_scales(features, window, n_windows, uncentered)
+    view = np.lib.stride_tricks.sliding_window_view(features, window + 1, axis=0)[:n_windows]
+    return view.transpose(0, 2, 1) * inverse[:, None, :]
+
+
+def _solve_by_values(x, y, z_labels, window, p):
+    """Solve every shrinkage level from singular values of the design itself.
+
+    ``x`` holds ``p`` features, or fewer coordinates with the same inner products.
+    Returns forecasts and coefficient norms, each (levels, windows, targets).
+    """
+    train, new = x[:, :window], x[:, window]
+    u, s, vt = np.linalg.svd(train, full_matrices=False)
+    projected = np.matmul(u.transpose(0, 2, 1), y)
+    seen = np.matmul(vt, new[:, :, None])
+    cutoff = np.finfo(float).eps * max(window, p) * s.max(axis=1, keepdims=True)
+    f, norm = [], []
+    for z in z_labels:
+        if z > 0.0:
+            gain = s / (s * s + z * window)
+        else:
+            gain = np.divide(1.0, s, out=np.zeros_like(s), where=s > cutoff)
+        beta = gain[:, :, None] * projected  # coefficients along the right singular vectors
+        f.append((seen * beta).sum(axis=1))
+        norm.append(np.sqrt((beta * beta).sum(axis=1)))
+    return np.array(f), np.array(norm)
+
+
+def _triangle(x, before=None):
+    """Coordinates of the rows of ``x`` in an orthonormal basis of at most T+1 vectors.
+
+    ``before`` holds the coordinates of earlier features of the same rows. Inner
+    products are kept and nothing is squared, so a flat window keeps its digits.
+    """
+    stacked = x.transpose(0, 2, 1)
+    if before is not None:
+        stacked = np.concatenate([before.transpose(0, 2, 1), stacked], axis=1)
+    return np.linalg.qr(stacked, mode="r").transpose(0, 2, 1)
+
+
+def _corner(rows, weights, gamma, uncentered):
+    """``_triangle`` of one window from its rows, over all the given weights."""
+    out = None
+    for a in range(0, len(weights), SLAB // 2):
+        slab = fourier_features(rows, weights[a : a + SLAB // 2], gamma)
+        out = _triangle(scaled_windows(slab, len(rows) - 1, 1, uncentered), out)
+    return out
+
+
+def _solve_by_gram(gram, y, z_labels, window):
+    """Solve every shrinkage level from one eigendecomposition of the window Gram.
+
+    The third result flags windows whose weakest level is too ill-conditioned for it.
+    """
+    values, vectors = np.linalg.eigh(gram[:, :window, :window])
+    values = np.maximum(values, 0.0)
+    projected = np.matmul(vectors.transpose(0, 2, 1), y)
+    seen = np.matmul(gram[:, None, window, :window], vectors)[:, 0, :, None]
+    top = values[:, -1:]
+    flagged = values[:, 0] + min(z_labels) * window <= ILL_CONDITIONED * top[:, 0]
+    f, norm = [], []
+    for z in z_labels:
+        if z > 0.0:
+            gain = 1.0 / (z * window + values)
+        else:
+            gain = np.divide(1.0, values, out=np.zeros_like(values), where=values > ILL_CONDITIONED * top)
+        weighted = gain[:, :, None] * projected
+        f.append((seen * weighted).sum(axis=1))
+        norm.append(np.sqrt((values[:, :, None] * weighted * weighted).sum(axis=1)))
+    return np.array(f), np.array(norm), flagged
+
+
+def solve_windows(x, y, *, seed, window, p_grid, z_labels, gamma, uncentered):
+    """Forecasts and coefficient norms of every decision row of one chunk.
+
+    ``x`` (n, d) and ``y`` (n, m) are consecutive rows. Decision row ``window + i``
+    trains on feature rows i .. i+window-1 against the next row's targets and
+    forecasts row ``window + i + 1``. Both results have shape
+    (len(p_grid), len(z_labels), n - window - 1, m).
+    """
+    n, m = y.shape
+    n_windows = n - window - 1
+    shape = (len(p_grid), len(z_labels), max(n_windows, 0), m)
+    forecasts, norms = np.empty(shape), np.empty(shape)
+    if n_windows < 1:
+        return forecasts, norms
+    weights = draw_weights(p_grid[-1] // 2, x.shape[1], seed)
+    # targets of window i: rows i+1 .. i+window
+    targets = np.lib.stride_tricks.sliding_window_view(y, window, axis=0)[1 : n_windows + 1].transpose(0, 2, 1)
+    direct = 4 * window  # up to here the design is small enough to decompose itself
+    for lo in range(0, n_windows, ROWS):
+        hi = min(lo + ROWS, n_windows)
+        count, rows = hi - lo, x[lo : hi + window]
+        gram = np.zeros((count, window + 1, window + 1))
+        small, start = [], 0
+        # windows with flat or repeated rows, and the coordinates of their rows so far
+        weak, corner = np.empty(0, dtype=int), None
+        for i, p in enumerate(p_grid):
+            while start < p:
+                stop = min(start + SLAB, p)
+                slab = fourier_features(rows, weights[start // 2 : stop // 2], gamma)
+                scaled = scaled_windows(slab, window, count, uncentered)
+                if start < direct:
+                    small.append(scaled)
+                if p_grid[-1] > direct:
+                    gram += np.matmul(scaled, scaled.transpose(0, 2, 1))
+                if weak.size:
+                    corner = _triangle(scaled[weak], corner)
+                start = stop
+            if p <= direct:
+                design = np.concatenate(small, axis=2)[:, :, :p]
+                forecasts[i, :, lo:hi], norms[i, :, lo:hi] = _solve_by_values(
+                    design, targets[lo:hi], z_labels, window, p
+                )
+                continue
+            f, b, flagged = _solve_by_gram(gram, targets[lo:hi], z_labels, window)
+            new = np.setdiff1d(np.flatnonzero(flagged), weak)
+            if new.size:
+                found = [_corner(rows[w : w + window + 1], weights[: p // 2], gamma, uncentered) for w in new]
+                weak = np.concatenate([weak, new])
+                corner = np.concatenate(([corner] if corner is not None else []) + found)
+            if weak.size:
+                f[:, weak], b[:, weak] = _solve_by_values(
+                    corner[:, :, :window], targets[lo + weak], z_labels, window, p
+                )
+            forecasts[i, :, lo:hi], norms[i, :, lo:hi] = f, b
+    return forecasts, norms
