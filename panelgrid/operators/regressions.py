@@ -95,7 +95,7 @@ def forecast_anatomy(
     lags = [f"_x{k}" for k in range(window)]
     trailing = over_time(
         panel.select(*axis.keys, axis.t, target), axis, {x: lagged(target, k) for k, x in enumerate(lags)}, window
-    ).select(*axis.keys, axis.t, *lags)
+    ).select(*axis.keys, axis.t, *lags).where(F.col(lags[-1]).isNotNull())
     rows = forecasts.select(*keys, axis.t, "forecast").join(trailing, [*axis.keys, axis.t])
     names = [*lags, "forecast"]
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]

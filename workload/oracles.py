@@ -95,8 +95,8 @@ cell as (
     sum(l_quantity) as qty, sum(case when l_returnflag='R' then l_quantity else 0 end) as rqty,
     sum(l_extendedprice*(1-l_discount)) as rev, sum(l_extendedprice*l_tax) as tax
   from lineitem group by 1, 2),
-span as (select series_id, min({ORDINAL.format('date')}) as lo, max({ORDINAL.format('date')}) as hi from cell group by 1),
-axis as (select series_id, unnest(generate_series(lo, hi)) as t from span),
+sup_span as (select series_id, min({ORDINAL.format('date')}) as lo, max({ORDINAL.format('date')}) as hi from cell group by 1),
+axis as (select series_id, unnest(generate_series(lo, hi)) as t from sup_span),
 sup as (
   select a.series_id, a.t, last_day(make_date(cast((a.t-1)//12 as int), cast((a.t-1)%12+1 as int), 1)) as date,
     coalesce(n, 0)::double as n, coalesce(qty, 0) as qty, coalesce(rqty, 0) as rqty, coalesce(rev, 0) as rev,
@@ -222,32 +222,32 @@ def features_sql(panel: str, predictors, seeds, target: str, name: str = "feat",
 
 
 def engine_sql(panel: str, predictors, seeds, zs, target: str, keys: str = "series_id", window: int = 12,
-               uncentered: bool = False, name: str = "fc") -> str:
+               uncentered: bool = False, tag: str = "") -> str:
     """Every rolling two-feature ridge forecast from windowed sums and a 2x2 inverse."""
     scale = "sqrt(avg({0}*{0}) over w)" if uncentered else "stddev_samp({0}) over w"
     levels = ", ".join(f"({z!r})" for z in zs)
-    return f"""{features_sql(panel, predictors, seeds, target, keys=keys)},
-lead_feat as (
-  select *, lead(y) over s as rn, lead(date) over s as obs from feat window s as (partition by {keys}, seed order by t)),
-win as (
+    return f"""{features_sql(panel, predictors, seeds, target, f"feat{tag}", keys)},
+lead_feat{tag} as (
+  select *, lead(y) over s as rn, lead(date) over s as obs from feat{tag} window s as (partition by {keys}, seed order by t)),
+win{tag} as (
   select *, count(*) over w as nw, {scale.format('s1')} as r1, {scale.format('s2')} as r2,
     sum(s1*s1) over w as q11, sum(s2*s2) over w as q22, sum(s1*s2) over w as q12,
     sum(s1*rn) over w as d1, sum(s2*rn) over w as d2
-  from lead_feat
+  from lead_feat{tag}
   window w as (partition by {keys}, seed order by t rows between {window} preceding and 1 preceding)),
-unit as (
+unit{tag} as (
   select *, case when r1 > 1e-12 then r1 else 1 end as c1, case when r2 > 1e-12 then r2 else 1 end as c2
-  from win where nw = {window} and rn is not null),
-sys as (
+  from win{tag} where nw = {window} and rn is not null),
+sys{tag} as (
   select {keys}, seed, z.z as z, t, obs, rn, s1/c1 as u1, s2/c2 as u2, q11/(c1*c1) + z.z*{window} as a11,
     q22/(c2*c2) + z.z*{window} as a22, q12/(c1*c2) as a12, d1/c1 as b1, d2/c2 as b2
-  from unit, (values {levels}) z(z)),
-sol as (
-  select *, (a22*b1 - a12*b2)/(a11*a22 - a12*a12) as g1, (a11*b2 - a12*b1)/(a11*a22 - a12*a12) as g2 from sys),
-{name} as (
+  from unit{tag}, (values {levels}) z(z)),
+sol{tag} as (
+  select *, (a22*b1 - a12*b2)/(a11*a22 - a12*a12) as g1, (a11*b2 - a12*b1)/(a11*a22 - a12*a12) as g2 from sys{tag}),
+fc{tag} as (
   select {keys}, seed::bigint as seed, 2 as "P", z::double as z, t, obs, u1*g1 + u2*g2 as forecast, rn as realized,
     sqrt(g1*g1 + g2*g2) as beta_norm, (u1*g1 + u2*g2)*rn as strategy
-  from sol)"""
+  from sol{tag})"""
 
 
 SUPPLIER_ENGINE = f"{SUPPLIER_STD},{engine_sql('std', SUPPLIER_PREDICTORS, (0, 1), (0.1, 10.0), 'y')}"
@@ -273,21 +273,11 @@ def importance_sql() -> str:
     parts, ctes = [], [SUPPLIER_STD]
     for i, excluded in enumerate(("none", *SUPPLIER_PREDICTORS)):
         kept = [c for c in SUPPLIER_PREDICTORS if c != excluded]
-        body = engine_sql("std", kept, (0, 1), (10.0,), "y", name=f"fc_{i}")
-        # every configuration has its own chain of intermediate names
-        for step in ("feat", "lead_feat", "win", "unit", "sys", "sol"):
-            body = _rename(body, step, f"{step}_{i}")
-        ctes.append(body)
+        ctes.append(engine_sql("std", kept, (0, 1), (10.0,), "y", tag=f"_{i}"))
         parts.append(f"select '{excluded}' as excluded, * from fc_{i}")
     return ",".join(ctes) + f",\nvi_fc as ({' union all '.join(parts)})"
 
 
-def _rename(sql: str, old: str, new: str) -> str:
-    import re
-
-    return re.sub(rf"\b(from |, |^|\n){old}\b(?= as \(| window|\n| ?,|\)|  )", rf"\1{new}", sql)
-
-
 def spanning_sql(rows: str, keys: str, strategy: str = "strategy", name: str = "span") -> str:
     """Two-regressor least squares by partialling the market out of both sides."""
     k = keys.replace(" ", "").split(",")
@@ -627,11 +617,11 @@ hpan as (select series_id, t, total as y, n, mean from hour),
         f"{SUPPLIER},{timed_sql('panel', 'y', SUPPLIER_PREDICTORS)}",
         out("timed", "series_id t oos_index", "forecast realized strategy predictor_variance"),
     )
-    reverse = "+ {0} - 0.2*{1} - 0.2*{2}".format(*[f"sin(12.9898*(t - lo + {k}))" for k in (2, 1, 0)])
+    reverse = "+ {0} - 0.2*{1} - 0.2*{2}".format(*[f"sin(12.9898*(t - lo + {k}))" for k in (0, -1, -2)])
     q["moving_average_reversal"] = _with(
         SUPPLIER,
         f"""select series_id, t, {rnd('y')} as y, {rnd('y ' + reverse)} as y_reversed
-from (select *, min(t) over (partition by series_id) - 2 + 2 as lo0, min(t) over (partition by series_id) as lo from panel)""",
+from (select *, min(t) over (partition by series_id) as lo from panel)""",
     )
     q["reversal_inputs"] = _with(
         f"""{SUPPLIER},
@@ -700,10 +690,10 @@ join (values {totals}) w(seed, total) on cast(s.series_id as bigint) % 3 = w.see
     q["forecast_export"] = _with(
         MARKET_ENGINE, out("fc", 'series_id seed "P" z obs', "forecast realized strategy", 5)
     )
-    tz = f'series_id, target, "P", z'
+    tz = 'series_id, target, "P", z'
     target_engine = (
         f"{targets_sql()},{engine_sql('tgt', ('own_lag', *SHARED_PREDICTORS), (0, 1), (0.1, 10.0), 'y', 'series_id, target')},"
-        + scored("fc", f'series_id, target, seed, "P", z')
+        + scored("fc", 'series_id, target, seed, "P", z')
     )
     q["target_grid"] = _with(
         f"{target_engine},{averages('scored', tz, STATS_NORM)}",
