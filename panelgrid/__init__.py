@@ -5,6 +5,10 @@ random-feature ridge forecasts, their statistics and the counterfactual studies
 built on them come out as DataFrames.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from panelgrid.config import CounterfactualConfig, StudyConfig
 from panelgrid.operators.blocks import TimeAxis
 from panelgrid.operators.engine import rolling_forecasts
@@ -24,3 +28,6 @@ __all__ = [
     "standardize_panel",
     "trailing_uncentered_vol",
 ]
+
+# Task functions travel with their helpers: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelgrid.operators.blocks import TimeAxis, over_time
+
 SHOWN = 5  # offenders quoted in an error message
 
 
@@ -129,21 +131,19 @@ def split_healthy(
     return panel.join(bad.select(*keys), list(keys), "left_anti"), bad
 
 
-def gap_rows(panel: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
+def gap_rows(panel: DataFrame, keys: Sequence[str], t: str, block: int | None = 4096) -> DataFrame:
     """Rows that resume a series after missing time steps.
 
-    A row resumes after a gap when the step before it is absent and it is not the
-    first of its series. Both tests are equi-joins on (series, step), so one long
-    series does not end up in one task.
+    A row without the step before it starts a stretch; every stretch but the first of
+    its series resumes after a gap. The test needs one neighbour, so it runs in time
+    blocks, and only the few stretch heads are compared with their series' first.
     """
-    first = panel.groupBy(*keys).agg(F.min(t).alias("_first"))
-    earlier = panel.select(*keys, (F.col(t) + 1).alias(t))
-    return (
-        panel.join(earlier, [*keys, t], "left_anti")
-        .join(first, list(keys))
-        .where(F.col(t) > F.col("_first"))
-        .drop("_first")
-    )
+    axis = TimeAxis(tuple(keys), t, block)
+    heads = over_time(panel, axis, {"_before": lambda w: F.lag(t).over(w)}, lookback=1).where(
+        F.col("_before").isNull() | (F.col("_before") < F.col(t) - 1)
+    ).drop("_before")
+    first = heads.groupBy(*keys).agg(F.min(t).alias("_first"))
+    return heads.join(first, list(keys)).where(F.col(t) > F.col("_first")).drop("_first")
 
 
 def require_contiguous(panel: DataFrame, keys: Sequence[str], t: str, label: str | None = None) -> DataFrame:

@@ -99,10 +99,25 @@ def _weights(window: int, weights: Sequence[float] | None) -> list[float]:
     return [float(v) for v in weights]
 
 
-def _with_index(df: DataFrame, panel: DataFrame, axis: TimeAxis) -> DataFrame:
-    """Position of the decision row inside its series, counted from zero."""
-    start = panel.groupBy(*axis.keys).agg(F.min(axis.t).alias("_t0"))
-    return df.join(start, list(axis.keys)).withColumn("oos_index", F.col(axis.t) - F.col("_t0")).drop("_t0")
+def _decisions(panel: DataFrame, axis: TimeAxis, window: int, target: str, columns: dict) -> DataFrame:
+    """Rows with ``window`` earlier rows and a next one, with their window columns.
+
+    Adds ``realized`` (the next row's target) and ``oos_index``, the position of the
+    decision row inside its series counted from zero.
+    """
+    wanted = {**columns, "realized": led(target), "_first": lagged(target, window)}
+    if axis.block is None:
+        # the series is one window partition: its first step is in the same frame
+        wanted["_t0"] = lambda w: F.first(axis.t).over(
+            w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+    scored = over_time(panel, axis, wanted, lookback=window, lookahead=1).where(
+        F.col("_first").isNotNull() & F.col("realized").isNotNull()
+    )
+    if axis.block is not None:
+        start = panel.groupBy(*axis.keys).agg(F.min(axis.t).alias("_t0"))
+        scored = scored.join(start, list(axis.keys))
+    return scored.withColumn("oos_index", F.col(axis.t) - F.col("_t0"))
 
 
 def momentum(
@@ -117,18 +132,7 @@ def momentum(
     A decision row has ``window`` earlier rows and a next one.
     """
     weights = _weights(window, weights)
-    scored = over_time(
-        panel,
-        axis,
-        {
-            "forecast": fir(target, weights),
-            "realized": led(target),
-            "_first": lagged(target, window),
-        },
-        lookback=window,
-        lookahead=1,
-    ).where(F.col("_first").isNotNull() & F.col("realized").isNotNull())
-    scored = _with_index(scored, panel, axis)
+    scored = _decisions(panel, axis, window, target, {"forecast": fir(target, weights)})
     return scored.select(
         *axis.keys,
         axis.t,
@@ -166,19 +170,8 @@ def volatility_timed_momentum(
         total = reduce(lambda a, b: a + b, [F.var_samp(c).over(frame) for c in predictors])
         return F.greatest(total / F.lit(float(len(predictors))), F.lit(variance_floor))
 
-    scored = over_time(
-        panel,
-        axis,
-        {
-            "_momentum": fir(target, weights),
-            "predictor_variance": mean_variance,
-            "realized": led(target),
-            "_first": lagged(target, window),
-        },
-        lookback=window,
-        lookahead=1,
-    ).where(F.col("_first").isNotNull() & F.col("realized").isNotNull())
-    scored = _with_index(scored, panel, axis).withColumn(
+    columns = {"_momentum": fir(target, weights), "predictor_variance": mean_variance}
+    scored = _decisions(panel, axis, window, target, columns).withColumn(
         "forecast", F.lit(position_scale) * F.col("_momentum") / F.col("predictor_variance")
     )
     return scored.select(

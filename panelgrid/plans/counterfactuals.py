@@ -111,7 +111,11 @@ class Counterfactuals:
 
 
 def direct_rows(
-    prepared: Prepared, config: CounterfactualConfig, predictors: Sequence[str], axis: TimeAxis
+    prepared: Prepared,
+    config: CounterfactualConfig,
+    predictors: Sequence[str],
+    axis: TimeAxis,
+    bootstrap: bool = True,
 ) -> DataFrame:
     """Forecast and benchmark rows of the historical, reversal and bootstrap designs.
 
@@ -127,6 +131,8 @@ def direct_rows(
         to_arrays(fixed, "y", predictors, [*keyed.keys, t]), study, keyed
     ).join(_benchmark(fixed, predictors, keyed, config.window), [*keyed.keys, t])
 
+    if not bootstrap:
+        return fixed_rows
     boot = wild_bootstrap(
         prepared.original, predictors, study.seeds, axis, base_seed=config.bootstrap_seed, tasks=config.tasks
     )

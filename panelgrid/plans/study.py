@@ -30,11 +30,13 @@ class Study:
     keys: tuple
     rejected: DataFrame | None = None
     strict: bool = True
+    undated: DataFrame | None = None  # the same forecasts without dates, for scoring
 
     @cached_property
     def per_seed(self) -> DataFrame:
         by = [*self.keys, "seed", "P", "z"]
-        scored = score(self.forecasts, by, beta_norm="beta_norm", strict=self.strict)
+        rows = self.forecasts if self.undated is None else self.undated
+        scored = score(rows, by, beta_norm="beta_norm", strict=self.strict)
         return scored.withColumn("c", complexity(F.col("P"), self.config.window))
 
     @cached_property
@@ -110,8 +112,14 @@ def run_study(
         raise ValueError(f"on_bad_series must be raise, skip or trust; got {on_bad_series!r}")
     carry = [*keys, axis.t] + ([date] if date else [])
     arrays = to_arrays(panel, target, names, carry)
+    return _study(arrays, config, axis, date, rejected, on_bad_series != "trust")
+
+
+def _study(arrays: DataFrame, config: StudyConfig, axis: TimeAxis, date, rejected, strict: bool) -> Study:
+    # what a task returns cannot be pruned by the optimizer, so scoring asks for less
     forecasts = rolling_forecasts(arrays, config, axis, date)
-    return Study(forecasts, config, tuple(keys), rejected, strict=on_bad_series != "trust")
+    undated = forecasts if date is None else rolling_forecasts(arrays, config, axis)
+    return Study(forecasts, config, tuple(axis.keys), rejected, strict, undated)
 
 
 def anchor_study(
@@ -160,5 +168,4 @@ def leave_one_out(
         "y",
         F.filter("x", lambda v, i: i != F.col("_choice.i")).alias("x"),
     )
-    keyed = axis.with_keys("excluded")
-    return Study(rolling_forecasts(designs, config, keyed, date), config, tuple(keyed.keys), strict=strict)
+    return _study(designs, config, axis.with_keys("excluded"), date, None, strict)
