@@ -227,13 +227,15 @@ def run_counterfactuals(
     reversal_shocks: DataFrame | None = None,
     twin_shocks: DataFrame | None = None,
     inputs: Sequence[str] = ("dp", "ltr", "dfr"),
+    bootstrap: bool = True,
     check: bool = False,
     **standardizing,
 ) -> Counterfactuals:
     """All designs of a panel: per-seed statistics first, then their means.
 
     ``tidy`` is the raw panel with a ``date``; every predictor but ``own_lag`` is
-    shared between twin worlds. The result frames are lazy and independent of each
+    shared between twin worlds. Shock tables default to seeded ones; without
+    ``bootstrap`` the wild-bootstrap design is left out. The result frames are lazy and independent of each
     other. With ``check`` data contracts are verified eagerly; without it the kernel
     tasks still refuse gaps and non-finite cells.
     """
@@ -245,7 +247,7 @@ def run_counterfactuals(
     shared = [c for c in predictors if c != own_lag]
 
     by = [*keys, "experiment", "seed"]
-    direct = _booked(direct_rows(prepared, config, predictors, axis)).withColumn("realized", _same_market())
+    direct = _booked(direct_rows(prepared, config, predictors, axis, bootstrap)).withColumn("realized", _same_market())
     model = score(direct, by, strict=check).withColumn("strategy", F.lit(MODEL))
     bench = score(direct.withColumn("forecast", F.col("bench_forecast")), by, strict=check).withColumn(
         "strategy", F.lit(BENCHMARK)

@@ -190,7 +190,8 @@ def momentum_sql(panel: str, target: str, weights, name: str = "mom") -> str:
   from {name}_all where edge is not null and nxt is not null)"""
 
 
-def timed_sql(panel: str, target: str, predictors, window: int = 12, name: str = "timed") -> str:
+def timed_sql(panel: str, target: str, predictors, window: int = 12, name: str = "timed",
+              keys: str = "series_id") -> str:
     weights = [(window - k) / (window * (window + 1) / 2.0) for k in range(window)]
     variance = " + ".join(f"var_samp({c}) over prior" for c in predictors)
     terms = " + ".join(f"{w!r}*{target if k == 0 else f'lag({target}, {k}) over w'}" for k, w in enumerate(weights))
@@ -198,12 +199,12 @@ def timed_sql(panel: str, target: str, predictors, window: int = 12, name: str =
 {name}_all as (
   select *, {terms} as fir, greatest(({variance})/{len(predictors)}, 1e-12) as predictor_variance,
     lead({target}) over w as nxt, lag({target}, {window}) over w as edge,
-    t - min(t) over (partition by series_id) as oos_index
+    t - min(t) over (partition by {keys}) as oos_index
   from {panel}
-  window w as (partition by series_id order by t),
-    prior as (partition by series_id order by t rows between {window} preceding and 1 preceding)),
+  window w as (partition by {keys} order by t),
+    prior as (partition by {keys} order by t rows between {window} preceding and 1 preceding)),
 {name} as (
-  select series_id, t, oos_index, 0.05*fir/predictor_variance as forecast, nxt as realized,
+  select {keys}, t, oos_index, 0.05*fir/predictor_variance as forecast, nxt as realized,
     0.05*fir/predictor_variance*nxt as strategy, predictor_variance
   from {name}_all where edge is not null and nxt is not null)"""
 
@@ -399,6 +400,63 @@ resid as (
   from long l join ar1 a on l.series_id = a.series_id where l.l is not null)"""
 
 
+SHARED = tuple(c for c in SUPPLIER_PREDICTORS if c != "own_lag")
+REVERSED = "y + {0} - 0.2*{1} - 0.2*{2}".format(*[f"sin(12.9898*(t - lo + {k}))" for k in (0, -1, -2)])
+REVERSED_PANEL = f"""
+rev_panel as (
+  select * exclude (y, own_lag, lo), {REVERSED} as y, {REVERSED} as own_lag
+  from (select *, min(t) over (partition by series_id) as lo from panel))"""
+
+
+def with_benchmark(panel: str, predictors, keys: str, tag: str = "") -> str:
+    """Minimum-norm forecasts of a two-feature model next to timed momentum."""
+    on = " and ".join(f"f.{k} = b.{k}" for k in [*keys.replace(" ", "").split(","), "t"])
+    return f"""{engine_sql(panel, predictors, (0, 1), (0.0,), 'y', keys, tag=tag)},{timed_sql(panel, 'y', predictors, name=f'timed{tag}', keys=keys)},
+pairs{tag} as (
+  select f.*, b.strategy as benchmark, b.forecast as benchmark_forecast, b.oos_index
+  from fc{tag} f join timed{tag} b on {on})"""
+
+
+def designs_sql() -> str:
+    predictors = ", ".join(f"s.{c}" for c in SUPPLIER_PREDICTORS)
+    return f"""{SUPPLIER_STD},{REVERSED_PANEL},{standardized('rev_panel', 'rev_std', 'y', SUPPLIER_PREDICTORS, 'own_lag', f'date <= {END}')},
+design as (
+  select s.series_id, 'historical' as experiment, s.t, s.date, p.y, {predictors}
+  from std s join panel p on s.series_id = p.series_id and s.t = p.t
+  union all
+  select s.series_id, 'ma2_reversal', s.t, s.date, p.y, {predictors}
+  from rev_std s join rev_panel p on s.series_id = p.series_id and s.t = p.t),
+{with_benchmark('design', SUPPLIER_PREDICTORS, 'series_id, experiment')}"""
+
+
+def twin_designs_sql() -> str:
+    world = "series_id, strength, market"
+    tagged = ", ".join(f"p.{c}" for c in ("series_id", "strength", "market", "seed", "t", "obs", "forecast", "realized", "benchmark", "oos_index"))
+    return f"""{SUPPLIER_STD},{calibrated()},
+start as (select series_id, min(t) as lo from panel group by 1),
+worlds as (
+  select s.*, w.strength, w.market, w.r2 as signal_r2, sqrt(w.r2/(1-w.r2))*s.g as truth,
+    sin(12.9898*(s.t - lo)) + w.sign*sqrt(w.r2/(1-w.r2))
+      * coalesce(lag(s.g) over (partition by s.series_id, w.strength, w.market order by s.t), 0.0) as world_return
+  from (select * exclude (y) from sig) s join start on s.series_id = start.series_id,
+    (values ('easy', 0.2, 'plus', 1.0), ('easy', 0.2, 'minus', -1.0), ('realistic', 0.02, 'plus', 1.0),
+      ('realistic', 0.02, 'minus', -1.0)) w(strength, r2, market, sign)),
+world_y as (select *, world_return as y from worlds),
+{with_benchmark('world_y', SHARED, world, '_s')},{with_benchmark('world_y', (*SHARED, 'world_return'), world, '_o')},
+twin_rows as (
+  select 'x14_shared' as predictor_set, {tagged}, p.strategy, w.truth, w.signal_r2 from pairs_s p
+  join worlds w on p.series_id = w.series_id and p.strength = w.strength and p.market = w.market and p.t = w.t
+  union all
+  select 'x15_world_lag', {tagged}, p.strategy, w.truth, w.signal_r2 from pairs_o p
+  join worlds w on p.series_id = w.series_id and p.strength = w.strength and p.market = w.market and p.t = w.t),
+halves as (
+  select p.series_id, p.predictor_set, p.strength, p.signal_r2, p.seed, p.oos_index, p.obs, p.truth,
+    0.5*(p.forecast - m.forecast) as recovered
+  from twin_rows p join twin_rows m on p.series_id = m.series_id and p.predictor_set = m.predictor_set
+    and p.strength = m.strength and p.seed = m.seed and p.t = m.t
+  where p.market = 'plus' and m.market = 'minus')"""
+
+
 def _with(body: str, final: str) -> str:
     return f"with {body}\n{final}"
 
@@ -617,17 +675,13 @@ hpan as (select series_id, t, total as y, n, mean from hour),
         f"{SUPPLIER},{timed_sql('panel', 'y', SUPPLIER_PREDICTORS)}",
         out("timed", "series_id t oos_index", "forecast realized strategy predictor_variance"),
     )
-    reverse = "+ {0} - 0.2*{1} - 0.2*{2}".format(*[f"sin(12.9898*(t - lo + {k}))" for k in (0, -1, -2)])
     q["moving_average_reversal"] = _with(
         SUPPLIER,
-        f"""select series_id, t, {rnd('y')} as y, {rnd('y ' + reverse)} as y_reversed
+        f"""select series_id, t, {rnd('y')} as y, {rnd(REVERSED)} as y_reversed
 from (select *, min(t) over (partition by series_id) as lo from panel)""",
     )
     q["reversal_inputs"] = _with(
-        f"""{SUPPLIER},
-rev_panel as (
-  select * exclude (y, own_lag, lo), y {reverse} as y, y {reverse} as own_lag
-  from (select *, min(t) over (partition by series_id) as lo from panel)),
+        f"""{SUPPLIER},{REVERSED_PANEL},
 {standardized('rev_panel', 'std', 'y', SUPPLIER_PREDICTORS, 'own_lag')}""",
         f"""select s.series_id, s.t, {rnd('p.y')} as raw_y, {', '.join(f'{rnd("s." + c)} as {c}' for c in SUPPLIER_PREDICTORS)}
 from std s join rev_panel p on s.series_id = p.series_id and s.t = p.t where s.date <= {END}""",
@@ -744,6 +798,64 @@ order by f.r2 - m.r2 desc, m.excluded limit 3""",
 union all select 'orders', date, {rnd('vwretd')} from idx where vwretd is not null""",
     )
     q["bootstrap_innovation_sizes"] = _with(boot_seed_sizes(), out("resid", "series_id t", "size"))
+    mean_of = lambda stats, digits=4: ", ".join(f"{rnd(f'avg({c})', digits)} as {c}" for c in stats.split())
+    designs = designs_sql()
+    timed_rows = "timed_rows as (select * exclude (forecast), benchmark_forecast as forecast from pairs)"
+    q["reversal_designs"] = _with(
+        f"{designs},\n{timed_rows},{scored('pairs', 'series_id, experiment, seed', 'model')},"
+        f"{scored('timed_rows', 'series_id, experiment, seed', 'bench')}",
+        " union all ".join(
+            f"""select series_id, experiment, '{label}' as strategy, {mean_of(STATS)}, count(distinct seed) as n_seeds
+from {rows} group by 1, 2"""
+            for rows, label in (("model", "RFF"), ("bench", "Volatility-timed momentum"))
+        ),
+    )
+    q["reversal_design_spanning"] = _with(
+        f"{designs},{spanning_sql('pairs', 'series_id, experiment, seed')}",
+        f"select series_id, experiment, {mean_of(SPAN)}, count(distinct seed) as n_seeds from span group by 1, 2",
+    )
+    twins = twin_designs_sql()
+    q["twin_design_recovery"] = _with(
+        f"""{twins},
+rec as (
+  select series_id, predictor_set, strength, seed, corr(recovered, truth) as correlation,
+    regr_intercept(recovered, truth) as intercept, regr_slope(recovered, truth) as slope,
+    sqrt(avg(pow(recovered-truth, 2))) as rmse, sqrt(avg(pow(recovered-truth, 2)))/stddev_pop(truth) as nrmse,
+    avg(recovered-truth) as bias from halves group by 1, 2, 3, 4)""",
+        f"""select series_id, predictor_set, strength, {mean_of('correlation intercept slope rmse nrmse bias')},
+  count(distinct seed) as n_seeds from rec group by 1, 2, 3""",
+    )
+    world = "series_id, predictor_set, strength, market, seed"
+    market = ", ".join(
+        f"{rnd(f'avg(m.{c})', 4)} as {n}"
+        for c, n in (("sharpe", "sharpe"), ("alpha", "market_alpha"), ("alpha_tstat", "market_alpha_tstat"),
+                     ("information_ratio", "market_information_ratio"))
+    )
+    spanned = ", ".join(f"{rnd(f'avg(s.{c})', 4)} as {c}" for c in SPAN.split())
+    matched = " and ".join(f"m.{k} = s.{k}" for k in world.split(", "))
+    q["twin_design_spanning"] = _with(
+        f"{twins},{scored('twin_rows', world, 'model', norm=False)},{spanning_sql('twin_rows', world)}",
+        f"""select m.series_id, m.predictor_set, m.strength, m.market, {market}, {spanned}, count(distinct m.seed) as n_seeds
+from model m join span s on {matched} group by 1, 2, 3, 4""",
+    )
+    q["twin_design_paths"] = _with(
+        twins,
+        f"""select series_id, predictor_set, strength, signal_r2::double as signal_r2, oos_index, obs, {mean_of('truth recovered')},
+  count(distinct seed) as n_seeds from halves group by 1, 2, 3, 4, 5, 6""",
+    )
+    anchored = f"{SUPPLIER_STD},{with_benchmark('std', SUPPLIER_PREDICTORS, 'series_id')}"
+    q["study_diagnostics"] = _with(
+        f"{anchored},{scored('pairs', 'series_id, seed', 'model')},{scored('timed', 'series_id', 'bench', norm=False)}",
+        f"""select series_id, {mean_of(STATS)}, count(distinct seed) as n_seeds, 'VoC (ridgeless, c=1000)' as strategy,
+  'KMZ standardized' as target_scale from model group by 1
+union all select series_id, {', '.join(f'{rnd(c, 4)} as {c}' for c in STATS.split())}, 1, 'Volatility-timed momentum',
+  'KMZ standardized' from bench""",
+    )
+    q["study_spanning"] = _with(
+        f"{anchored},{spanning_sql('pairs', 'series_id, seed')}",
+        f"""select series_id, {mean_of(SPAN)}, count(distinct seed) as n_seeds, 'mean of per-seed statistics' as aggregation,
+  'KMZ standardized' as target_scale from span group by 1""",
+    )
     text = lambda e, d: f"format('{{:,.{d}f}}', {e})"
     rows = [
         ("MktSharpe", "(select sharpe from means where z = 0 and \"P\" = 12)", 2),

@@ -33,6 +33,8 @@ from workload.inputs import HOURS, SAMPLE_END, SUPPLIER_PREDICTORS, table
 QUERIES: dict = {}
 KEYS = ["series_id"]
 CELL = ["series_id", "seed", "P", "z"]
+STATS = ("r2", "mean_return", "volatility", "sharpe", "alpha", "information_ratio", "alpha_tstat")
+SPAN = ("alpha", "beta_benchmark", "beta_market", "alpha_tstat", "information_ratio", "resid_std")
 
 
 def query(fn):
@@ -719,9 +721,53 @@ def _counterfactual_inputs(spark, folder):
     )
 
 
+def _two_feature_study(spark, folder):
+    """The fixed designs at two features on formula shocks, where SQL has the answer."""
+    from panelgrid.config import CounterfactualConfig
+
+    arguments = _counterfactual_inputs(spark, folder)
+    shocks = inputs.shocks_for(arguments["tidy"])
+    arguments["config"] = CounterfactualConfig(anchor_p=2, n_seeds=2, calibration=24)
+    return run_counterfactuals(**arguments, reversal_shocks=shocks, twin_shocks=shocks, bootstrap=False)
+
+
+@query
+def reversal_designs(spark, folder):
+    rows = _two_feature_study(spark, folder).counterfactuals
+    return rounded(rows.select("series_id", "experiment", "strategy", *STATS, "n_seeds"), 4)
+
+
+@query
+def reversal_design_spanning(spark, folder):
+    rows = _two_feature_study(spark, folder).counterfactual_spanning
+    return rounded(rows.select("series_id", "experiment", *SPAN, "n_seeds"), 4)
+
+
+@query
+def twin_design_recovery(spark, folder):
+    rows = _two_feature_study(spark, folder).twin_recovery
+    names = ("correlation", "intercept", "slope", "rmse", "nrmse", "bias")
+    return rounded(rows.select("series_id", "predictor_set", "strength", *names, "n_seeds"), 4)
+
+
+@query
+def twin_design_spanning(spark, folder):
+    rows = _two_feature_study(spark, folder).twin_spanning
+    market = ("sharpe", "market_alpha", "market_alpha_tstat", "market_information_ratio")
+    return rounded(rows.select("series_id", "predictor_set", "strength", "market", *market, *SPAN, "n_seeds"), 4)
+
+
+@query
+def twin_design_paths(spark, folder):
+    rows = _two_feature_study(spark, folder).twin_paths
+    return rounded(
+        rows.select("series_id", "predictor_set", "strength", "signal_r2", "oos_index", "obs", "truth", "recovered", "n_seeds"), 4
+    )
+
+
 @query
 def study_diagnostics(spark, folder):
-    return rounded(_diagnostics(spark, folder).metrics, 5)
+    return rounded(_diagnostics(spark, folder).metrics, 4)
 
 
 @query
@@ -732,7 +778,7 @@ def study_anatomy(spark, folder):
 @query
 def study_spanning(spark, folder):
     """Without the twelve-lag projection, which ``study_anatomy`` holds."""
-    return rounded(_diagnostics(spark, folder).spanning.drop("anatomy_r2", "anatomy_intercept"), 5)
+    return rounded(_diagnostics(spark, folder).spanning.drop("anatomy_r2", "anatomy_intercept"), 4)
 
 
 def _diagnostics(spark, folder):
