@@ -30,7 +30,8 @@ def month_ordinal(c: Column) -> Column:
 
 
 def hour_ordinal(c: Column) -> Column:
-    return F.floor(F.unix_timestamp(c) / 3600).cast("long")
+    """Hours since 1970 on the wall clock of the column, whatever the session's zone."""
+    return (F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")) * 24 + F.hour(c)).cast("long")
 
 
 def log_ratio(a: Column, b: Column) -> Column:

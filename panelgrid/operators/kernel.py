@@ -31,8 +31,8 @@ def fourier_features(x: np.ndarray, weights: np.ndarray, gamma: float) -> np.nda
         raise ValueError(f"weights {weights.shape} do not fit predictors {x.shape}")
     angle = (gamma * x) @ weights.T
     out = np.empty((x.shape[0], 2 * weights.shape[0]))
-    out[:, 0::2] = np.sin(angle)
-    out[:, 1::2] = np.cos(angle)
+    np.sin(angle, out=out[:, 0::2])
+    np.cos(angle, out=out[:, 1::2])
     return out
 
 

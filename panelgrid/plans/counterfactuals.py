@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelgrid.config import CounterfactualConfig, StudyConfig
+from panelgrid.config import CounterfactualConfig
 from panelgrid.guards import require_same_axis
 from panelgrid.operators.blocks import TimeAxis, over_time
 from panelgrid.operators.counterfactual import (
@@ -95,21 +96,6 @@ def _same_market(c: str = "realized") -> Column:
     )
 
 
-@dataclass
-class Counterfactuals:
-    counterfactuals: DataFrame
-    counterfactual_spanning: DataFrame
-    twin_recovery: DataFrame
-    twin_spanning: DataFrame
-    twin_paths: DataFrame
-
-    def write(self, base: str, sample_end: str) -> "Counterfactuals":
-        """One parquet table per result, keyed by the period."""
-        return Counterfactuals(
-            *[write_artifact(getattr(self, f.name), base, f"nagel_{f.name}", sample_end) for f in fields(self)]
-        )
-
-
 def direct_rows(
     prepared: Prepared,
     config: CounterfactualConfig,
@@ -216,6 +202,133 @@ def twin_rows(
     return forecasts, bench
 
 
+RESULTS = ("counterfactuals", "counterfactual_spanning", "twin_recovery", "twin_spanning", "twin_paths")
+
+
+@dataclass
+class Counterfactuals:
+    """All designs of a panel. Each result is built when first asked for.
+
+    Forecast rows of the direct and of the twin designs are solved once, stored in the
+    shared folder and read back by every result that needs them: solving a row costs
+    far more than storing it. Per-seed statistics come first, then their means.
+    """
+
+    tidy: DataFrame
+    config: CounterfactualConfig
+    target: str
+    predictors: Sequence[str]
+    own_lag: str
+    sample_end: str
+    axis: TimeAxis
+    reversal_shocks: DataFrame | None
+    twin_shocks: DataFrame | None
+    inputs: Sequence[str]
+    bootstrap: bool
+    check: bool
+    standardizing: dict
+
+    @cached_property
+    def prepared(self) -> Prepared:
+        found = prepare_inputs(
+            self.tidy, self.config, self.target, self.predictors, self.own_lag, self.sample_end, self.axis,
+            self.reversal_shocks, check=self.check, **self.standardizing,
+        )
+        return Prepared(materialize(found.original), materialize(found.reversal))
+
+    @cached_property
+    def direct(self) -> DataFrame:
+        rows = direct_rows(self.prepared, self.config, self.predictors, self.axis, self.bootstrap)
+        return materialize(_booked(rows).withColumn("realized", _same_market()))
+
+    @cached_property
+    def twins(self) -> DataFrame:
+        shared = [c for c in self.predictors if c != self.own_lag]
+        forecasts, bench = twin_rows(self.prepared, self.config, shared, self.axis, self.twin_shocks, self.inputs)
+        on = [*self.axis.keys, "strength", "market", "predictor_set", self.axis.t]
+        return materialize(_booked(forecasts.join(bench, on)).withColumn("realized", _same_market()))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        t = self.axis.t
+        return pair_worlds(self.twins, [*self._design, "signal_r2", "seed", t, "obs"])
+
+    @property
+    def _design(self) -> list[str]:
+        return [*self.axis.keys, "predictor_set", "strength"]
+
+    def _described(self, df: DataFrame, direct: bool) -> DataFrame:
+        c = self.config
+        values = {"T": c.window, "P": c.anchor_p, "z": 0.0, "gamma": c.gamma, "sample_end": self.sample_end}
+        if direct:
+            values |= {
+                "target_scale": "raw decimal return",
+                "simulation_seed": c.simulation_seed,
+                "bootstrap_seed": c.bootstrap_seed,
+                "innovation_variance": c.innovation_variance,
+            }
+        else:
+            values["shock_seed"] = c.shock_seed
+        return with_metadata(df, values)
+
+    @cached_property
+    def counterfactuals(self) -> DataFrame:
+        # model and benchmark are scored in one aggregation over one pass of the rows
+        both = F.array(
+            F.struct(F.lit(MODEL).alias("strategy"), F.col("forecast").alias("f")),
+            F.struct(F.lit(BENCHMARK).alias("strategy"), F.col("bench_forecast").alias("f")),
+        )
+        by = [*self.axis.keys, "experiment", "seed"]
+        rows = self.direct.select(*by, "realized", F.explode(both).alias("_s")).select(
+            *by, "_s.strategy", F.col("_s.f").alias("forecast"), "realized"
+        )
+        per_seed = score(rows, [*by, "strategy"], strict=self.check)
+        return self._described(
+            average_with_seed_count(per_seed, [*self.axis.keys, "experiment", "strategy"]), True
+        )
+
+    @cached_property
+    def counterfactual_spanning(self) -> DataFrame:
+        keys = [*self.axis.keys, "experiment"]
+        per_seed = spanning(self.direct, [*keys, "seed"], "strategy_return")
+        return self._described(average_with_seed_count(per_seed, keys), True)
+
+    @cached_property
+    def twin_recovery(self) -> DataFrame:
+        per_seed = recovery(self.pairs, [*self._design, "signal_r2", "seed"], strict=self.check)
+        return self._described(average_with_seed_count(per_seed, self._design), False)
+
+    @cached_property
+    def twin_spanning(self) -> DataFrame:
+        world = [*self._design, "market", "signal_r2", "seed"]
+        market = score(self.twins, world, strict=self.check).select(
+            *world,
+            "sharpe",
+            F.col("alpha").alias("market_alpha"),
+            F.col("alpha_tstat").alias("market_alpha_tstat"),
+            F.col("information_ratio").alias("market_information_ratio"),
+        )
+        per_seed = market.join(spanning(self.twins, world, "strategy_return"), world)
+        return self._described(average_with_seed_count(per_seed, [*self._design, "market"]), False)
+
+    @cached_property
+    def twin_paths(self) -> DataFrame:
+        keys, t = list(self.axis.keys), self.axis.t
+        paths = self.pairs.groupBy(*self._design, "signal_r2", t, "obs").agg(
+            F.avg("truth").alias("truth"), F.avg("recovered").alias("recovered"), F.count("seed").alias("n_seeds")
+        )
+        start = self.prepared.original.groupBy(*keys).agg(F.min(t).alias("_t0"))
+        placed = paths.join(start, keys).select(
+            *self._design, "signal_r2", (F.col(t) - F.col("_t0")).alias("oos_index"), "obs", "truth", "recovered", "n_seeds"
+        )
+        return self._described(placed, False)
+
+    def write(self, base: str, sample_end: str | None = None) -> dict[str, DataFrame]:
+        """One parquet table per result, keyed by the period; the stored frames."""
+        end = sample_end or self.sample_end
+        return {name: write_artifact(getattr(self, name), base, f"nagel_{name}", end) for name in RESULTS}
+
+
 def run_counterfactuals(
     tidy: DataFrame,
     config: CounterfactualConfig,
@@ -231,76 +344,16 @@ def run_counterfactuals(
     check: bool = False,
     **standardizing,
 ) -> Counterfactuals:
-    """All designs of a panel: per-seed statistics first, then their means.
+    """Set up all designs of a raw panel with a ``date`` (see ``Counterfactuals``).
 
-    ``tidy`` is the raw panel with a ``date``; every predictor but ``own_lag`` is
-    shared between twin worlds. Shock tables default to seeded ones; without
-    ``bootstrap`` the wild-bootstrap design is left out. The result frames are lazy and independent of each
-    other. With ``check`` data contracts are verified eagerly; without it the kernel
-    tasks still refuse gaps and non-finite cells.
+    Every predictor but ``own_lag`` is shared between twin worlds. Shock tables default
+    to seeded ones; without ``bootstrap`` the wild-bootstrap design is left out. With
+    ``check`` data contracts are verified eagerly; without it the kernel tasks still
+    refuse gaps and non-finite cells.
     """
-    keys, t = list(axis.keys), axis.t
-    prepared = prepare_inputs(
-        tidy, config, target, predictors, own_lag, sample_end, axis, reversal_shocks, check=check, **standardizing
-    )
-    prepared = Prepared(materialize(prepared.original), materialize(prepared.reversal))
-    shared = [c for c in predictors if c != own_lag]
-
-    by = [*keys, "experiment", "seed"]
-    direct = _booked(direct_rows(prepared, config, predictors, axis, bootstrap)).withColumn("realized", _same_market())
-    model = score(direct, by, strict=check).withColumn("strategy", F.lit(MODEL))
-    bench = score(direct.withColumn("forecast", F.col("bench_forecast")), by, strict=check).withColumn(
-        "strategy", F.lit(BENCHMARK)
-    )
-    counterfactuals = average_with_seed_count(model.unionByName(bench), [*keys, "experiment", "strategy"])
-    direct_span = average_with_seed_count(
-        spanning(direct, by, "strategy_return"), [*keys, "experiment"]
-    )
-
-    forecasts, twin_bench = twin_rows(prepared, config, shared, axis, twin_shocks, inputs)
-    design = [*keys, "predictor_set", "strength"]
-    pairs = pair_worlds(forecasts, [*design, "signal_r2", "seed", t, "obs"])
-    recovered = average_with_seed_count(
-        recovery(pairs, [*design, "signal_r2", "seed"], strict=check), design
-    )
-    paths = pairs.groupBy(*design, "signal_r2", t, "obs").agg(
-        F.avg("truth").alias("truth"), F.avg("recovered").alias("recovered"), F.count("seed").alias("n_seeds")
-    )
-    start = prepared.original.groupBy(*keys).agg(F.min(t).alias("_t0"))
-    paths = paths.join(start, keys).select(
-        *design, "signal_r2", (F.col(t) - F.col("_t0")).alias("oos_index"), "obs", "truth", "recovered", "n_seeds"
-    )
-
-    world = [*design, "market", "signal_r2", "seed"]
-    joined = _booked(
-        forecasts.join(twin_bench, [*keys, "strength", "market", "predictor_set", t])
-    ).withColumn("realized", _same_market())
-    market_stats = score(joined, world, strict=check).select(
-        *world,
-        "sharpe",
-        F.col("alpha").alias("market_alpha"),
-        F.col("alpha_tstat").alias("market_alpha_tstat"),
-        F.col("information_ratio").alias("market_information_ratio"),
-    )
-    twin_span = average_with_seed_count(
-        market_stats.join(spanning(joined, world, "strategy_return"), world), [*design, "market"]
-    )
-
-    settings = {"T": config.window, "P": config.anchor_p, "z": 0.0, "gamma": config.gamma, "sample_end": sample_end}
-    direct_settings = {
-        **settings,
-        "target_scale": "raw decimal return",
-        "simulation_seed": config.simulation_seed,
-        "bootstrap_seed": config.bootstrap_seed,
-        "innovation_variance": config.innovation_variance,
-    }
-    twin_settings = {**settings, "shock_seed": config.shock_seed}
     return Counterfactuals(
-        with_metadata(counterfactuals, direct_settings),
-        with_metadata(direct_span, direct_settings),
-        with_metadata(recovered, twin_settings),
-        with_metadata(twin_span, twin_settings),
-        with_metadata(paths, twin_settings),
+        tidy, config, target, tuple(predictors), own_lag, sample_end, axis, reversal_shocks, twin_shocks,
+        tuple(inputs), bootstrap, check, standardizing,
     )
 
 

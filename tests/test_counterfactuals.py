@@ -212,7 +212,7 @@ def test_counterfactual_study_matches_loops(spark, tmp_path):
             np.testing.assert_allclose(got[c], frame[c], rtol=1e-5, atol=1e-7, err_msg=f"{name}.{c}")
     stored = result.write(str(tmp_path), "2024-12")
     assert (tmp_path / "nagel_twin_paths_2024-12.parquet").exists()
-    assert stored.twin_paths.count() == len(want["twin_paths"])
+    assert stored["twin_paths"].count() == len(want["twin_paths"])
 
 
 def test_diagnostics_of_an_export(spark):

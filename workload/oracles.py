@@ -744,6 +744,10 @@ join (values {totals}) w(seed, total) on cast(s.series_id as bigint) % 3 = w.see
     q["forecast_export"] = _with(
         MARKET_ENGINE, out("fc", 'series_id seed "P" z obs', "forecast realized strategy", 5)
     )
+    q["anchor_export"] = _with(
+        f"{SUPPLIER_STD},{engine_sql('std', SUPPLIER_PREDICTORS, (0, 1), (1000.0, 0.0), 'y')}",
+        out("fc", 'series_id seed "P" z obs', "forecast realized strategy", 4),
+    )
     tz = 'series_id, target, "P", z'
     target_engine = (
         f"{targets_sql()},{engine_sql('tgt', ('own_lag', *SHARED_PREDICTORS), (0, 1), (0.1, 10.0), 'y', 'series_id, target')},"
@@ -850,6 +854,19 @@ from model m join span s on {matched} group by 1, 2, 3, 4""",
   'KMZ standardized' as target_scale from model group by 1
 union all select series_id, {', '.join(f'{rnd(c, 4)} as {c}' for c in STATS.split())}, 1, 'Volatility-timed momentum',
   'KMZ standardized' from bench""",
+    )
+    q["metrics_display"] = _with(
+        f"{anchored},{scored('pairs', 'series_id, seed', 'model')},{scored('timed', 'series_id', 'bench', norm=False)}",
+        " union all ".join(
+            f"select '{label}' as strategy, {mean_of('sharpe alpha information_ratio alpha_tstat r2')} from {rows}"
+            for rows, label in (("model", "VoC (ridgeless, c=1000)"), ("bench", "Volatility-timed momentum"))
+        ),
+    )
+    q["twin_spanning_display"] = _with(
+        f"{twins},{spanning_sql('twin_rows', world)}",
+        f"""select case predictor_set when 'x14_shared' then '14 shared' else '15 world' end as inputs, strength as signal,
+  case market when 'plus' then '+' else '-' end as twin, {mean_of('alpha_tstat information_ratio beta_benchmark')}
+from span group by 1, 2, 3""",
     )
     q["study_spanning"] = _with(
         f"{anchored},{spanning_sql('pairs', 'series_id, seed')}",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelgrid import guards
 from panelgrid.config import StudyConfig
 from panelgrid.functions import metrics
-from panelgrid.functions.columns import complexity, decimals, label
+from panelgrid.functions.columns import complexity, label
 from panelgrid.operators import scoring, windows
 from panelgrid.operators.blocks import MONTHS, TimeAxis, dense_ordinal, over_time
 from panelgrid.operators.counterfactual import calibrated_signal, plant_signal, wild_bootstrap
@@ -20,10 +20,11 @@ from panelgrid.operators.standardize import (
     standardize_columns, standardize_panel, trim_to_sample, with_valid,
 )
 from panelgrid.operators.tidy import (
-    PREDICTORS, SHARED_PREDICTORS, TARGET, excess_returns, join_one_to_one, lookup,
+    PREDICTORS, TARGET, excess_returns, join_one_to_one, lookup,
 )
 from panelgrid.plans import reports
 from panelgrid.plans.counterfactuals import diagnostics, run_counterfactuals
+from panelgrid.plans.study import anchor_study
 from panelgrid.sources.sinks import materialize
 from panelgrid.sources.tables import bounded, percent_factors, with_month_end
 from workload import frames, inputs
@@ -580,6 +581,16 @@ def forecast_export(spark, folder):
     return rounded(frames.market_study(spark, folder).export(), 5)
 
 
+@query
+def anchor_export(spark, folder):
+    """Only the largest model of the grid, heavily shrunk and minimum norm."""
+    panel = frames.supplier_standardized(spark, folder)
+    study = anchor_study(
+        panel, SMALL_GRID, "y", SUPPLIER_PREDICTORS, date="date", p=2, z=1000.0, on_bad_series="trust"
+    )
+    return rounded(study.export(), 4)
+
+
 @query
 def target_grid(spark, folder):
     return rounded(frames.target_study(spark, folder).averaged, 5)
@@ -831,6 +842,22 @@ def recovery_display(spark, folder):
     return rounded(reports.recovery_panel(means))
 
 
+@query
+def twin_spanning_display(spark, folder):
+    spanned = _two_feature_study(spark, folder).twin_spanning
+    means = scoring.average_statistics(
+        spanned.select("predictor_set", "strength", "market", *SPAN), ["predictor_set", "strength", "market"], drop=()
+    )
+    return rounded(reports.twin_spanning_panel(means), 4)
+
+
+@query
+def metrics_display(spark, folder):
+    metrics = _diagnostics(spark, folder).metrics
+    means = scoring.average_statistics(metrics, ["strategy"], drop=("n_seeds",))
+    return rounded(reports.metrics_panel(means), 4)
+
+
 def _experiment_frames(spark, folder):
     """Per-experiment statistics by formula: three cells stand for the designs."""
     names = {0: "historical", 1: "ma2_reversal", 2: "wild_bootstrap"}
