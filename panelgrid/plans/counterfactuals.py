@@ -326,7 +326,7 @@ class Counterfactuals:
     def write(self, base: str, sample_end: str | None = None) -> dict[str, DataFrame]:
         """One parquet table per result, keyed by the period; the stored frames."""
         end = sample_end or self.sample_end
-        return {name: write_artifact(getattr(self, name), base, f"nagel_{name}", end) for name in RESULTS}
+        return {name: write_artifact(getattr(self, name), base, name, end) for name in RESULTS}
 
 
 def run_counterfactuals(
@@ -372,8 +372,8 @@ def diagnostics(
     axis: TimeAxis = TimeAxis(),
     window: int = 12,
     date: str = "date",
-    model_name: str = "VoC (ridgeless, c=1000)",
-    scale_name: str = "KMZ standardized",
+    model_name: str = "RFF (ridgeless)",
+    scale_name: str = "standardized",
     check: bool = True,
 ) -> Diagnostics:
     """Score exported anchor forecasts of a standardized panel.
@@ -408,11 +408,11 @@ def diagnostics(
     mean_path = ensemble(rows, [*keys, t])
     fit = forecast_anatomy(mean_path, dated, "y", axis, window)
     reference = F.array(*[F.lit(w) for w in declining_weights(window)])
-    anatomy = fit.select(*keys, F.posexplode("lag_weights").alias("_i", "voc_projection_weight")).select(
+    anatomy = fit.select(*keys, F.posexplode("lag_weights").alias("_i", "projection_weight")).select(
         *keys,
         (F.col("_i") + 1).alias("lag"),
-        "voc_projection_weight",
-        F.col("voc_projection_weight").alias("voc_lag_weight"),
+        "projection_weight",
+        F.col("projection_weight").alias("lag_weight"),
         F.element_at(reference, F.col("_i") + 1).alias("benchmark_weight"),
     )
     span = average_with_seed_count(spanning(rows, by, "strategy_return"), keys)

@@ -127,7 +127,7 @@ def report_rows(
     recovered, twin_span = twins
     tag = label(F.col("experiment"), {"historical": "Hist", "ma2_reversal": "MA", "wild_bootstrap": "Wild"})
     twin = F.concat(
-        F.lit("NagelTwin"),
+        F.lit("Twin"),
         label(F.col("strength"), {"easy": "Easy", "realistic": "Real"}),
         label(F.col("predictor_set"), {"x14_shared": "Clean", "x15_world_lag": "Lag"}),
     )
@@ -141,17 +141,17 @@ def report_rows(
         ),
         named(
             metrics,
-            F.when(F.col("strategy") == BENCHMARK, "NagelBench").otherwise("NagelVoC"),
+            F.when(F.col("strategy") == BENCHMARK, "Bench").otherwise("Model"),
             {"sharpe": "Sharpe"},
         ),
-        named(spanning, F.lit("Nagel"), {"alpha_tstat": "SpanAlphaT", "anatomy_r2": "AnatomyRTwo"}),
+        named(spanning, F.lit("Standardized"), {"alpha_tstat": "SpanAlphaT", "anatomy_r2": "AnatomyRTwo"}),
         named(
             stats.where(F.col("strategy") == MODEL),
-            F.concat(F.lit("NagelRaw"), tag),
+            F.concat(F.lit("Raw"), tag),
             {"information_ratio": "IR", "alpha_tstat": "AlphaT"},
         ),
-        named(span, F.concat(F.lit("NagelRaw"), tag), {"information_ratio": "SpanIR", "alpha_tstat": "SpanAlphaT"}),
-        named(stats.agg(F.max("n_seeds").alias("n")), F.lit("NagelExperiment"), {"n": "Seeds"}, 0),
+        named(span, F.concat(F.lit("Raw"), tag), {"information_ratio": "SpanIR", "alpha_tstat": "SpanAlphaT"}),
+        named(stats.agg(F.max("n_seeds").alias("n")), F.lit("Experiment"), {"n": "Seeds"}, 0),
         named(recovered, twin, {"correlation": "Corr", "slope": "Slope", "nrmse": "NRMSE"}),
         named(
             twin_span,

@@ -25,17 +25,26 @@ class Study:
     back) when both are wanted, or the kernel runs twice.
     """
 
-    forecasts: DataFrame
+    arrays: DataFrame
     config: StudyConfig
-    keys: tuple
+    axis: TimeAxis
+    date: str | None = None
     rejected: DataFrame | None = None
     strict: bool = True
-    undated: DataFrame | None = None  # the same forecasts without dates, for scoring
+
+    @property
+    def keys(self) -> tuple:
+        return tuple(self.axis.keys)
+
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        return rolling_forecasts(self.arrays, self.config, self.axis, self.date)
 
     @cached_property
     def per_seed(self) -> DataFrame:
         by = [*self.keys, "seed", "P", "z"]
-        rows = self.forecasts if self.undated is None else self.undated
+        # what a task returns cannot be pruned by the optimizer, so dates are not asked for
+        rows = rolling_forecasts(self.arrays, self.config, self.axis)
         scored = score(rows, by, beta_norm="beta_norm", strict=self.strict)
         return scored.withColumn("c", complexity(F.col("P"), self.config.window))
 
@@ -112,14 +121,7 @@ def run_study(
         raise ValueError(f"on_bad_series must be raise, skip or trust; got {on_bad_series!r}")
     carry = [*keys, axis.t] + ([date] if date else [])
     arrays = to_arrays(panel, target, names, carry)
-    return _study(arrays, config, axis, date, rejected, on_bad_series != "trust")
-
-
-def _study(arrays: DataFrame, config: StudyConfig, axis: TimeAxis, date, rejected, strict: bool) -> Study:
-    # what a task returns cannot be pruned by the optimizer, so scoring asks for less
-    forecasts = rolling_forecasts(arrays, config, axis, date)
-    undated = forecasts if date is None else rolling_forecasts(arrays, config, axis)
-    return Study(forecasts, config, tuple(axis.keys), rejected, strict, undated)
+    return Study(arrays, config, axis, date, rejected, on_bad_series != "trust")
 
 
 def anchor_study(
@@ -168,4 +170,4 @@ def leave_one_out(
         "y",
         F.filter("x", lambda v, i: i != F.col("_choice.i")).alias("x"),
     )
-    return _study(designs, config, axis.with_keys("excluded"), date, None, strict)
+    return Study(designs, config, axis.with_keys("excluded"), date, strict=strict)

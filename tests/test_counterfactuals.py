@@ -211,7 +211,7 @@ def test_counterfactual_study_matches_loops(spark, tmp_path):
         for c in frame.columns:
             np.testing.assert_allclose(got[c], frame[c], rtol=1e-5, atol=1e-7, err_msg=f"{name}.{c}")
     stored = result.write(str(tmp_path), "2024-12")
-    assert (tmp_path / "nagel_twin_paths_2024-12.parquet").exists()
+    assert (tmp_path / "twin_paths_2024-12.parquet").exists()
     assert stored["twin_paths"].count() == len(want["twin_paths"])
 
 
@@ -227,7 +227,7 @@ def test_diagnostics_of_an_export(spark):
     metrics = got.metrics.toPandas().set_index("strategy")
     model = pd.DataFrame([brute_scores(f, realized) for f in paths]).mean()
     for c, v in model.items():
-        assert math.isclose(metrics.loc["VoC (ridgeless, c=1000)", c], v, rel_tol=1e-6), c
+        assert math.isclose(metrics.loc["RFF (ridgeless)", c], v, rel_tol=1e-6), c
     for c, v in brute_scores(bench, realized).items():
         assert math.isclose(metrics.loc["Volatility-timed momentum", c], v, rel_tol=1e-6), c
     assert list(metrics["n_seeds"].sort_values()) == [1, 2]
@@ -239,7 +239,7 @@ def test_diagnostics_of_an_export(spark):
     design = np.column_stack([np.ones(37), y[steps[:, None] - np.arange(12)]])
     coef = np.linalg.lstsq(design, mean, rcond=None)[0]
     anatomy = got.anatomy.orderBy("lag").toPandas()
-    np.testing.assert_allclose(anatomy["voc_projection_weight"], coef[1:], rtol=1e-6, atol=1e-9)
+    np.testing.assert_allclose(anatomy["projection_weight"], coef[1:], rtol=1e-6, atol=1e-9)
     np.testing.assert_allclose(anatomy["benchmark_weight"], declining_weights(12))
     assert list(anatomy["lag"]) == list(range(1, 13))
     assert math.isclose(span["anatomy_r2"], 1 - (mean - design @ coef).var() / mean.var(), rel_tol=1e-6)

@@ -183,12 +183,12 @@ def test_report_frames(spark):
     grid = make([(2, 0.0, 0.1, 0.2, 0.3), (4, 0.0, 0.4, 0.5, 0.6), (4, 1.0, 0.7, 0.8, 0.9)],
                 "P int, z double, sharpe double, information_ratio double, alpha_tstat double")
     vi = make([("u", 0.021), ("v", 0.01)], "variable string, vi_r2 double")
-    metrics = make([("VoC (ridgeless, c=1000)", 0.43), (reports.BENCHMARK, 0.37)], "strategy string, sharpe double")
+    metrics = make([("RFF (ridgeless)", 0.43), (reports.BENCHMARK, 0.37)], "strategy string, sharpe double")
     spanning = make([(2.1, 0.16)], "alpha_tstat double, anatomy_r2 double")
     rows = reports.report_rows({"Mkt": grid, "Intl": grid}, vi, (metrics, spanning), (stats, span), (recovery, twin)).collect()
     values = {r["name"]: r["text"] for r in rows}
     assert len(values) == len(rows)
     assert values["MktSharpe"] == "0.40" and values["VILeaderRTwoPct"] == "2.1"
-    assert values["NagelVoCSharpe"] == "0.43" and values["NagelRawMASpanIR"] == "0.50"
-    assert values["NagelTwinEasyCleanCorr"] == "0.90" and values["NagelTwinRealLagMinusAlphaT"] == "1.50"
-    assert values["NagelExperimentSeeds"] == "25"
+    assert values["ModelSharpe"] == "0.43" and values["RawMASpanIR"] == "0.50"
+    assert values["TwinEasyCleanCorr"] == "0.90" and values["TwinRealLagMinusAlphaT"] == "1.50"
+    assert values["ExperimentSeeds"] == "25"

@@ -850,16 +850,16 @@ from model m join span s on {matched} group by 1, 2, 3, 4""",
     anchored = f"{SUPPLIER_STD},{with_benchmark('std', SUPPLIER_PREDICTORS, 'series_id')}"
     q["study_diagnostics"] = _with(
         f"{anchored},{scored('pairs', 'series_id, seed', 'model')},{scored('timed', 'series_id', 'bench', norm=False)}",
-        f"""select series_id, {mean_of(STATS)}, count(distinct seed) as n_seeds, 'VoC (ridgeless, c=1000)' as strategy,
-  'KMZ standardized' as target_scale from model group by 1
+        f"""select series_id, {mean_of(STATS)}, count(distinct seed) as n_seeds, 'RFF (ridgeless)' as strategy,
+  'standardized' as target_scale from model group by 1
 union all select series_id, {', '.join(f'{rnd(c, 4)} as {c}' for c in STATS.split())}, 1, 'Volatility-timed momentum',
-  'KMZ standardized' from bench""",
+  'standardized' from bench""",
     )
     q["metrics_display"] = _with(
         f"{anchored},{scored('pairs', 'series_id, seed', 'model')},{scored('timed', 'series_id', 'bench', norm=False)}",
         " union all ".join(
             f"select '{label}' as strategy, {mean_of('sharpe alpha information_ratio alpha_tstat r2')} from {rows}"
-            for rows, label in (("model", "VoC (ridgeless, c=1000)"), ("bench", "Volatility-timed momentum"))
+            for rows, label in (("model", "RFF (ridgeless)"), ("bench", "Volatility-timed momentum"))
         ),
     )
     q["twin_spanning_display"] = _with(
@@ -871,7 +871,7 @@ from span group by 1, 2, 3""",
     q["study_spanning"] = _with(
         f"{anchored},{spanning_sql('pairs', 'series_id, seed')}",
         f"""select series_id, {mean_of(SPAN)}, count(distinct seed) as n_seeds, 'mean of per-seed statistics' as aggregation,
-  'KMZ standardized' as target_scale from span group by 1""",
+  'standardized' as target_scale from span group by 1""",
     )
     text = lambda e, d: f"format('{{:,.{d}f}}', {e})"
     rows = [
