@@ -467,7 +467,7 @@ SOURCE_DOUBLES = 'price d12 e12 bm "AAA" "BAA" lty tbl svar ret ltr corpr "Rfree
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["month_end_scan"] = """
-select year(l_shipdate)*100 + month(l_shipdate) as yyyymm, last_day(cast(l_shipdate as date)) as date,
+select cast(year(l_shipdate)*100 + month(l_shipdate) as integer) as yyyymm, last_day(cast(l_shipdate as date)) as date,
   count(*) as n, sum(l_quantity) as qty from lineitem group by 1, 2"""
     q["bounded_scan"] = """
 select o_orderkey, cast(o_orderdate as date) as o_orderdate, o_totalprice from orders
@@ -702,7 +702,7 @@ from std s join rev_panel p on s.series_id = p.series_id and s.t = p.t where s.d
     totals = ", ".join(f"({s}, {float(draw_weights(4, len(SUPPLIER_PREDICTORS), s).sum())!r})" for s in range(3))
     q["rff_weight_table"] = _with(
         SUPPLIER,
-        f"""select series_id, n_rows, w.seed::bigint as seed, {rnd('w.total')} as total,
+        f"""select series_id, n_rows, w.seed::bigint as seed, {rnd('w.total::double')} as total,
   {4 * len(SUPPLIER_PREDICTORS)}::bigint as n_weights
 from (select series_id, count(*) as n_rows from panel group by 1) s
 join (values {totals}) w(seed, total) on cast(s.series_id as bigint) % 3 = w.seed""",
