@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+GRID_SEEDS = 16
 
 HEADLINE = (
     "monthly_source",
@@ -49,7 +50,7 @@ def default_grid(spark: SparkSession, folder: str) -> DataFrame:
 
     panel = inputs.hourly_panel(spark, folder).select("series_id", "t", F.col("total").alias("y"), "n", "mean")
     std = standardize_panel(panel, "y", ("n", "mean"), inputs.HOURS, check=False)
-    config = StudyConfig(seeds=tuple(range(4)), seeds_per_task=1)
+    config = StudyConfig(seeds=tuple(range(GRID_SEEDS)), chunk=128)
     return run_study(std, config, "y", ("n", "mean"), inputs.HOURS, on_bad_series="trust").averaged
 
 
@@ -88,9 +89,12 @@ def main() -> None:
         "sf": Path(FOLDER).name.removeprefix("sf"),
     }
     if "default_grid_hourly" in seconds:
-        # 5 series x 671 decisions x 4 seeds, every cell of the default grid
-        panel_windows = 5 * (720 - 36 - 13)
-        result["series_seed_windows_per_sec"] = round(panel_windows * 4 / seconds["default_grid_hourly"], 1)
+        # a window is one decision row of one series and seed, with every cell of the grid
+        from workload.inputs import hourly_panel
+
+        rows = [r["count"] for r in hourly_panel(spark, FOLDER).groupBy("series_id").count().collect()]
+        windows = sum(n - 36 - 13 for n in rows) * GRID_SEEDS
+        result["series_seed_windows_per_sec"] = round(windows / seconds["default_grid_hourly"], 1)
     print(json.dumps(result))
     spark.stop()
 
