@@ -50,7 +50,7 @@ def default_grid(spark: SparkSession, folder: str) -> DataFrame:
 
     panel = inputs.hourly_panel(spark, folder).select("series_id", "t", F.col("total").alias("y"), "n", "mean")
     std = standardize_panel(panel, "y", ("n", "mean"), inputs.HOURS, check=False)
-    config = StudyConfig(seeds=tuple(range(GRID_SEEDS)), chunk=128)
+    config = StudyConfig(seeds=tuple(range(GRID_SEEDS)))
     return run_study(std, config, "y", ("n", "mean"), inputs.HOURS, on_bad_series="trust").averaged
 
 
