@@ -50,6 +50,30 @@ def op3_kd_shards(spark, folder):
     )
 
 
+@query
+def op4_subword_toxicity(spark, folder):
+    from panelgrid.llm.toxicity import fit, fold, with_score
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, folder, "labels"))
+    return with_score(docs, model).select(
+        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op5_winnowed_contamination(spark, folder):
+    from panelgrid.llm.decontaminate import contamination
+
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query
 def op6_pii_spans(spark, folder):
     from panelgrid.llm.pii import BASE, joined, with_spans
@@ -63,6 +87,13 @@ def op6_pii_spans(spark, folder):
     )
 
 
+@query
+def op8_minhash_components(spark, folder):
+    from panelgrid.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), percent=85)
+
+
 @query
 def op9_va_file_top_k(spark, folder):
     from panelgrid.llm.vafile import integer_vectors, top_k
@@ -87,3 +118,34 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+SQL["op8_minhash_components"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(g) AS n FROM s GROUP BY doc_id
+), sets AS (
+  SELECT min(doc_id) AS id, n, k FROM (
+    SELECT doc_id, count(*) AS n, sum(CAST(hash(g) AS HUGEINT)) AS k FROM s GROUP BY doc_id) GROUP BY n, k
+), member AS (
+  SELECT d.doc_id, t.id FROM (SELECT doc_id, count(*) AS n, sum(CAST(hash(g) AS HUGEINT)) AS k FROM s GROUP BY doc_id) d
+  JOIN sets t ON d.n = t.n AND d.k = t.k
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE a.doc_id IN (SELECT id FROM sets) AND b.doc_id IN (SELECT id FROM sets) GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), pair AS (SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach AS (
+  SELECT id AS x, id AS y FROM sets UNION SELECT r.x, e.b FROM reach r JOIN pair e ON r.y = e.a
+), comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id,
+       d.doc_id = coalesce(comp.c, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN member m ON m.doc_id = d.doc_id
+LEFT JOIN comp ON comp.x = m.id
+"""
