@@ -100,7 +100,7 @@ def passes(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def document_runs(docs: DataFrame, lengths: list[int], filter_: np.ndarray) -> DataFrame:
-    """row_id, doc_id, n_words, runs (texts of the disjoint word runs that may hold benchmark windows)."""
+    """row_id, doc_id, text_key, n_words, runs (texts of the disjoint word runs that may hold benchmark windows)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyspark import TaskContext
@@ -126,18 +126,30 @@ def document_runs(docs: DataFrame, lengths: list[int], filter_: np.ndarray) -> D
                 runs[r].append(words_of(data, words, a, b))
             yield {
                 "row_id": row_id + np.arange(slab.num_rows), "doc_id": column(slab, "doc_id"),
+                "text_key": column(slab, "text_key"),
                 "n_words": np.diff(words.bounds), "runs": pa.array(runs, pa.list_(pa.string())),
             }
             row_id += slab.num_rows
 
     return map_batches(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), read,
-        "row_id long, doc_id long, n_words long, runs array<string>",
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")), read,
+        "row_id long, doc_id long, text_key long, n_words long, runs array<string>",
     )
 
 
+def window_at(length: int):
+    """The window of ``length`` words of the array ``w`` from a place on."""
+
+    def build(i):
+        words = F.array_join(F.slice("w", i + 1, length), " ")
+        return F.struct(i.alias("at"), F.lit(length).alias("length"), words.alias("window"))
+
+    return build
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside an occurrence of a benchmark window), items (ids as sorted strings).
+    """doc_id, text_key (xxhash64 of the text), n_words, n_hit (words inside an occurrence of a benchmark window),
+    items (ids as sorted strings).
 
     A window is ten consecutive words of an item, or a shorter item as a whole. Null, empty and wordless texts
     have no words and no hits; wordless items have no window; an empty benchmark hits nothing. Repeated rows are
@@ -160,16 +172,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     read = stored(document_runs(docs, lengths, filter_))
     held = read.where(F.size("runs") > 0).select("row_id", F.explode("runs").alias("run"))
     distinct = held.select("run").distinct()
-    starts = lambda n: F.sequence(F.lit(0), F.size("w") - n)
+    none = F.array().cast("array<struct<at:int,length:int,window:string>>")
     at = [
-        F.when(F.size("w") >= n, F.transform(starts(n), lambda i, n=n: F.struct(
-            i.alias("at"), F.lit(n).alias("length"), F.array_join(F.slice("w", i + 1, n), " ").alias("window")
-        ))).otherwise(F.array().cast("array<struct<at:int,length:int,window:string>>"))
+        F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), window_at(n))).otherwise(none)
         for n in lengths
     ]
     met = (
         distinct.withColumn("w", F.split("run", " "))
-        .select("run", F.explode(F.concat(*at) if at else F.array().cast("array<struct<at:int,length:int,window:string>>")).alias("x"))
+        .select("run", F.explode(F.concat(*at) if at else none).alias("x"))
         .select("run", "x.*")
         .join(windows.select("item_id", "window", "length"), ["window", "length"])
         .groupBy("run")
@@ -187,6 +197,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .agg(F.sum("hit").alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found"))
     )
     return read.join(hits, "row_id", "left").select(
-        "doc_id", "n_words", F.coalesce("hit", F.lit(0)).alias("n_hit"),
+        "doc_id", "text_key", "n_words", F.coalesce("hit", F.lit(0)).alias("n_hit"),
         F.coalesce("found", F.array().cast("array<string>")).alias("items"),
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has no hit, with all their columns. Rows are told by id and text."""
+    found = contamination(docs, benchmark).where("n_hit > 0")
+    hit = found.select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_text")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs["text"]) == F.col("_hit_text"))
+    return docs.join(hit, same, "left_anti")

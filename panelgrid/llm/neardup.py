@@ -201,3 +201,23 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int,
         return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
     return texts.groupBy("component", "i", "j").applyInArrow(link, "u long, v long")
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row of each class, that of the smallest id, with all its columns; rows without an id all stay.
+
+    Of rows that share an id, one stays: the smallest by its columns in order.
+    """
+    found = near_duplicates(docs, percent)
+    key = docs["doc_id"].cast("long")
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(dropped, key == F.col("_gone"), "left_anti")
+    repeated = (
+        docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_again"))
+        .agg(F.count("*").alias("_n")).where("_n > 1").select("_again")
+    )
+    single = left.join(repeated, left["doc_id"] == F.col("_again"), "left_anti")
+    several = left.join(repeated, left["doc_id"] == F.col("_again"), "left_semi")
+    # min merges before the shuffle, so an id with very many rows does not meet in one task
+    one = several.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return single.unionByName(one)
