@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelgrid.sources.sinks import shared_folder
@@ -50,8 +52,6 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def binary_slices(data: bytes | memoryview, offsets) -> pa.Array:
     """A binary column whose rows are ``data[offsets[i]:offsets[i + 1]]``, without copying each."""
-    import numpy as np
-
     return pa.Array.from_buffers(
         pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int64)), pa.py_buffer(data)]
     ).cast(pa.binary())
@@ -60,3 +60,20 @@ def binary_slices(data: bytes | memoryview, offsets) -> pa.Array:
 def crc32(col) -> "F.Column":
     """Unsigned CRC-32 of a string or binary column; a null counts as empty."""
     return F.crc32(F.coalesce(col.cast("binary"), F.lit("").cast("binary")))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed block."""
+    head = np.array([len(arrays), *[x for a in arrays for x in (ord(a.dtype.char), len(a))]], dtype=np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+
+
+def unpack(block: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(block)
+    n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
+    head = np.frombuffer(raw, dtype=np.int64, count=2 * n, offset=8)
+    out, at = [], 8 * (2 * n + 1)
+    for kind, size in zip(head[::2].tolist(), head[1::2].tolist()):
+        out.append(np.frombuffer(raw, dtype=np.dtype(chr(kind)), count=size, offset=at))
+        at += out[-1].nbytes
+    return out

@@ -102,6 +102,18 @@ def op9_va_file_top_k(spark, folder):
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+@query
+def op10_bwt_repeats(spark, folder):
+    from panelgrid.llm.substrings import remove_repeats
+
+    found = remove_repeats(table(spark, folder, "documents"))
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 SQL["op9_va_file_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
