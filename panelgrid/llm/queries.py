@@ -87,6 +87,13 @@ def op6_pii_spans(spark, folder):
     )
 
 
+@query
+def op7_gru_scores(spark, folder):
+    from panelgrid.llm.gru_lm import score_documents
+
+    return score_documents(table(spark, folder, "documents"))
+
+
 @query
 def op8_minhash_components(spark, folder):
     from panelgrid.llm.neardup import near_duplicates
