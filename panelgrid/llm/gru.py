@@ -17,6 +17,7 @@ LANES = 512
 WINDOW = 16
 RATE = 0.01
 CLIP = 1.0
+UPDATE_TOKENS = 4096
 
 
 def make_classes(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
@@ -80,6 +81,7 @@ class Gru:
         self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.steps = 0
+        self.waiting, self.seen = None, 0
 
     def run(self, ids: np.ndarray, offsets: np.ndarray, end: int, learn: bool) -> np.ndarray:
         """Natural log-probability of every symbol of the documents ``ids[offsets[i]:offsets[i + 1]]``; with
@@ -122,12 +124,14 @@ class Gru:
                 saved.append((h, z, r, hc, c))
             h = c + z * (h - c)
             states[t] = h
-        flat, target = states[valid], y[valid]
+        full = bool(valid.all())
+        flat, target = (states.reshape(-1, k), y.reshape(-1)) if full else (states[valid], y[valid])
         found, d_flat, grads = self._softmax(flat, target, learn)
         scores[valid] = found
         if learn and len(target):
-            d_states = np.zeros_like(states)
-            d_states[valid] = d_flat
+            d_states = d_flat.reshape(states.shape) if full else np.zeros_like(states)
+            if not full:
+                d_states[valid] = d_flat
             d_x = np.empty((t_all, n, 3 * k), dtype=np.float32)
             d_u = np.zeros_like(p["u"])
             dh = np.zeros_like(h)
@@ -147,7 +151,7 @@ class Gru:
             grads["x"] = np.zeros_like(p["x"])
             grads["x"][met] = np.add.reduceat(d_x[valid][order], first)
             grads["u"] = d_u
-            self._update(grads, len(target))
+            self._gather(grads, len(target))
         return h
 
     def _softmax(self, h, y, learn):
@@ -164,26 +168,45 @@ class Gru:
             d[rows, of] -= 1
             grads = {"wc": h.T @ d, "bc": d.sum(axis=0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
             d_h = d @ p["wc"].T
+        # by class, so that each class is a slice
         order = np.argsort(of, kind="stable")
         bounds = np.searchsorted(of[order], np.arange(len(self.edges)))
+        sorted_h, sorted_y = h[order], y[order]
+        within = np.zeros(len(y), dtype=np.float32)
+        d_within = np.zeros_like(h) if learn else None
         for i, (a, b) in enumerate(zip(self.edges[:-1].tolist(), self.edges[1:].tolist())):
-            own = order[bounds[i] : bounds[i + 1]]
-            if b - a == 1 or not len(own):
+            first, stop = bounds[i], bounds[i + 1]
+            if b - a == 1 or first == stop:
                 continue
-            mine = h[own]
-            logits = mine @ p["wo"][:, a:b] + p["bo"][a:b]
+            mine = sorted_h[first:stop]
+            logits = mine @ p["wo"][:, a:b]
+            logits += p["bo"][a:b]
             logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
+            rows, at = np.arange(stop - first), sorted_y[first:stop] - a
+            right = logits[rows, at]
+            e = np.exp(logits, out=logits)
             s = e.sum(axis=1, keepdims=True)
-            rows, at = np.arange(len(own)), y[own] - a
-            out[own] += logits[rows, at] - np.log(s[:, 0])
+            within[first:stop] = right - np.log(s[:, 0])
             if learn:
-                d = e / s
-                d[rows, at] -= 1
-                grads["wo"][:, a:b], grads["bo"][a:b] = mine.T @ d, d.sum(axis=0)
-                d_h[own] += d @ p["wo"][:, a:b].T
+                e /= s
+                e[rows, at] -= 1
+                grads["wo"][:, a:b], grads["bo"][a:b] = mine.T @ e, e.sum(axis=0)
+                d_within[first:stop] = e @ p["wo"][:, a:b].T
+        out[order] += within
+        if learn:
+            d_h[order] += d_within
         return out, d_h, grads
 
+    def _gather(self, grads, n):
+        """Windows that few lanes reach wait for others: an update averages ``UPDATE_TOKENS`` tokens at least."""
+        if self.waiting:
+            for name, g in self.waiting.items():
+                grads[name] += g
+        self.waiting, self.seen = grads, self.seen + n
+        if self.seen >= UPDATE_TOKENS:
+            self._update(grads, self.seen)
+            self.waiting, self.seen = None, 0
+
     def _update(self, grads, n):
         self.steps += 1
         norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values())) / n
