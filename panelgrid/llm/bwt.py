@@ -5,33 +5,40 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of the strings in ``text``; each suffix stops at its string's terminator.
+def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Order of all suffixes of the strings in ``text`` by their first ``depth`` symbols, then by place.
 
-    ``text`` holds symbols from 1 and a terminator 0 after each string; ``ends[i]`` is the place of the
-    terminator of the string at ``i``. Terminators rank by their place, so equal suffixes rank by string.
-    Prefix doubling on the first eight symbols.
+    ``text`` holds symbols 1 to 255 and a terminator 0 after each string; ``ends[i]`` is the place of the
+    terminator of the string at ``i``, where its suffixes stop. Ranks by the first eight symbols become ranks by
+    several times as many, and so on.
     """
     n = len(text)
-    wide = np.zeros(n + 8, dtype=np.uint64)
-    wide[:n] = text
-    key = np.zeros(n, dtype=np.uint64)
+    bits = (n + 1).bit_length()
+    ranks = 63 // bits  # as many as fit one key: at least two for any array that numpy can hold
     place = np.arange(n)
-    for i in range(7):  # seven symbols of nine bits
-        key = key << np.uint64(9) | np.where(place + i <= ends, wide[i : i + n], np.uint64(0))
-    span, rank = 7, None
+    key = np.zeros(n, dtype=np.uint64)
+    padded = np.zeros(n + 8, dtype=np.uint64)
+    padded[:n] = text
+    left = np.minimum(ends - place + 1, 8).astype(np.uint64)  # symbols up to the terminator
+    for i in range(8):
+        key = key << np.uint64(8) | padded[i : i + n]
+    key &= ~np.uint64(0) << ((np.uint64(8) - left) * np.uint64(8) & np.uint64(63))
+    span = 8
     while True:
         order = np.argsort(key, kind="stable")
         held = key[order]
-        new = np.concatenate([[True], held[1:] != held[:-1]]) if n else np.empty(0, dtype=bool)
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(new)
-        longest = int((ends - place).max()) + 1 if n else 0
-        if new.all() or span >= longest:
+        new = np.ones(n, dtype=bool)
+        new[1:] = held[1:] != held[:-1]
+        if span >= depth or new.all():
             return order
-        after = np.where(place + span <= ends, rank[np.minimum(place + span, n - 1)], 0)
-        key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
-        span *= 2
+        rank = np.zeros(n + 1, dtype=np.uint64)
+        rank[order] = np.cumsum(new)
+        key = rank[:n]
+        for i in range(1, ranks):
+            at = place + i * span
+            at[at > ends] = n
+            key = key << np.uint64(bits) | rank[at]
+        span *= ranks
 
 
 def repeats(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,17 +48,19 @@ def repeats(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     first l symbols. Prepending a symbol maps each suffix of an interval through the last-to-first
     mapping; those of one interval and one symbol form the next interval, so the intervals of common
     prefix l + 1 follow from those of l. An interval of one suffix or of a terminator is dropped,
-    and the expansion stops at ``length``, whatever longer repeats there are.
+    and the expansion stops at ``length``, whatever longer repeats there are. Suffixes need not be ordered beyond
+    ``length``: an interval is used as a set.
     """
-    order = suffix_order(text, ends)
+    order = suffix_order(text, ends, length)
     n = len(text)
-    before = text[order - 1]  # the transform; text[-1] is a terminator
-    step = np.empty(n, dtype=np.int64)
-    step[np.argsort(before, kind="stable")] = np.arange(n)
-    first = text[order]
-    inside = np.arange(n)
-    group = np.zeros(n, dtype=np.int64)
-    at = np.empty(n, dtype=np.int64)
+    before = text[order - 1].astype(np.uint8)  # the transform; text[-1] is a terminator
+    step = np.empty(n, dtype=np.int32)
+    step[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
+    first = text[order].astype(np.uint8)
+    inside = np.arange(n, dtype=np.int32)
+    group = np.zeros(n, dtype=np.int32)
+    at = np.empty(n, dtype=np.int32)
+    reached = np.zeros(n, dtype=bool)
     for _ in range(length):
         moved = before[inside] != 0
         inside, group = inside[moved], group[moved]
@@ -59,11 +68,14 @@ def repeats(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
             break
         to = step[inside]
         at[to] = group
-        inside = np.sort(to)
+        reached[to] = True
+        inside = np.flatnonzero(reached).astype(np.int32)
+        reached[inside] = False
         group = at[inside]
         symbol = first[inside]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (symbol[1:] != symbol[:-1])])
-        number = np.cumsum(new) - 1
-        several = np.bincount(number)[number] > 1
-        inside, group = inside[several], number[several]
-    return order[inside], group
+        new = np.ones(len(inside) + 1, dtype=bool)
+        new[1:-1] = (group[1:] != group[:-1]) | (symbol[1:] != symbol[:-1])
+        several = ~(new[:-1] & new[1:])
+        inside = inside[several]
+        group = np.cumsum(new[:-1][several], dtype=np.int32)
+    return order[inside], group.astype(np.int64)

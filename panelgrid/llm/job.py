@@ -21,6 +21,8 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # the shuffle files of the finished job go when the driver collects its garbage; a small driver heap may not do so for long
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

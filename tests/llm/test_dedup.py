@@ -109,7 +109,7 @@ def test_interval_expansion_equals_brute_force(seed, symbols, length):
     text = np.concatenate([np.append(s, 0) for s in strings]).astype(np.int16)
     wide = np.array([len(s) + 1 for s in strings])
     ends = np.repeat(np.cumsum(wide) - 1, wide)
-    order = bwt.suffix_order(text, ends)
+    order = bwt.suffix_order(text, ends, 40)
     suffixes = [tuple(text[i : ends[i]].tolist()) for i in order]
     assert suffixes == sorted(suffixes)
     places, classes = bwt.repeats(text, ends, length)

@@ -128,7 +128,7 @@ def test_toxicity_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     model = toxicity.fit(docs, labels)
-    rows = toxicity.with_score(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").where(toxicity.fold(docs["doc_id"]) == 0).collect()
+    rows = toxicity.with_score(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").where("crc32(cast(doc_id as string)) % 5 = 0").collect()
     right = np.mean([(r["score"] >= 0.5) == (r["toxic"] == 1) for r in rows])
     assert right >= 0.85
     toxic, clean = [[r["score"] for r in rows if r["toxic"] == y] for y in (1, 0)]
