@@ -51,18 +51,16 @@ def require_unique(df: DataFrame, keys: Sequence[str], what: str = "frame") -> D
     return df
 
 
+def axis_differences(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that the frames do not hold equally often, with ``surplus`` rows on the left (negative: on the right)."""
+    counted = lambda df, sign: df.select(*keys).withColumn("_n", F.lit(sign))
+    both = counted(left, 1).unionByName(counted(right, -1))
+    return both.groupBy(*keys).agg(F.sum("_n").cast("long").alias("surplus")).where("surplus <> 0")
+
+
 def require_same_axis(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> None:
     """Both frames must hold exactly the same keys, each key equally often."""
-    counted = lambda df, sign: df.select(*keys).withColumn("_n", F.lit(sign))
-    bad = (
-        counted(left, 1)
-        .unionByName(counted(right, -1))
-        .groupBy(*keys)
-        .agg(F.sum("_n").alias("_n"))
-        .where("_n <> 0")
-        .limit(SHOWN)
-        .collect()
-    )
+    bad = axis_differences(left, right, keys).limit(SHOWN).collect()
     if bad:
         raise ContractError(f"axes differ at {[tuple(r) for r in bad]}")
 

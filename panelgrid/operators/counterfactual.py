@@ -70,7 +70,7 @@ def calibrated_signal(
     """
     require_columns(panel, inputs)
     if int(calibration) < 2:
-        raise ValueError("calibration must leave at least two rows")
+        raise ValueError(f"no variance can be measured over {calibration} calibration rows")
     keys = list(axis.keys)
     raw = panel.withColumn("_raw", curved_signal(*[F.col(c) for c in inputs]))
     start = panel.groupBy(*keys).agg(F.min(axis.t).alias("_t0"))
@@ -92,7 +92,7 @@ def calibrated_signal(
 def amplitude(share: float) -> float:
     """Signal size that explains ``share`` of the variance next to unit shocks."""
     if not math.isfinite(share) or not 0 < share < 1:
-        raise ValueError("the signal share must lie strictly between zero and one")
+        raise ValueError(f"a signal cannot carry a share of {share} of the variance")
     return math.sqrt(share / (1.0 - share))
 
 

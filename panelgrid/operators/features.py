@@ -12,8 +12,6 @@ from panelgrid.operators.blocks import TimeAxis, over_time
 from panelgrid.operators.kernel import SCALE_FLOOR, draw_weights
 from panelgrid.operators.windows import strictly_prior
 
-NATIVE_PAIRS = 8  # weight literals per expression; more pairs go through Arrow batches
-
 
 def rff_weights(spark: SparkSession, seeds: Sequence[int], n_pairs: int, n_predictors: int) -> DataFrame:
     """The weight table ``(seed, pair, predictor, weight)``, drawn where it is needed.
@@ -48,11 +46,9 @@ def projection(columns: Sequence[str], weights: Sequence[float], gamma: float =
 
 
 def feature_columns(columns: Sequence[str], seed: int, p: int, gamma: float = GAMMA, prefix: str = "s") -> dict:
-    """Native expressions ``s1..sP`` (sin, cos, sin, cos, ...) for a small complexity."""
+    """Native expressions ``s1..sP`` (sin, cos, sin, cos, ...): a few columns; ``rff_features`` gives any number as an array."""
     if p < 2 or p % 2:
-        raise ValueError("p must be a positive even integer")
-    if p // 2 > NATIVE_PAIRS:
-        raise ValueError(f"native features stop at {2 * NATIVE_PAIRS}; use rff_features")
+        raise ValueError(f"features come in pairs; {p} of them cannot be made")
     out = {}
     for i, w in enumerate(draw_weights(p // 2, len(columns), seed)):
         angle = projection(columns, w, gamma)
@@ -68,7 +64,7 @@ def rff_features(panel: DataFrame, x: str, seed: int, p: int, gamma: float = GAM
     from panelgrid.operators.kernel import fourier_features
 
     if p < 2 or p % 2:
-        raise ValueError("p must be a positive even integer")
+        raise ValueError(f"features come in pairs; {p} of them cannot be made")
 
     @F.pandas_udf("array<double>")
     def expand(values: pd.Series) -> pd.Series:
@@ -94,7 +90,7 @@ def scale_by_training_window(
     The divisor is kept under ``prefix``.
     """
     if window < 2 and not uncentered:
-        raise ValueError("centered scaling needs at least 2 training rows")
+        raise ValueError("one training row has no spread to scale by")
 
     def scale(c: str):
         def column(w):

@@ -145,7 +145,7 @@ def fit_ar1(
     mean of the series. See ``ar1_table`` for one row per column.
     """
     if bound is not None and not 0 < bound <= 1:
-        raise ValueError("bound must lie in (0, 1] or be None")
+        raise ValueError(f"{bound} does not bound a persistence")
     prior = over_time(
         panel.select(*axis.keys, axis.t, *columns), axis, {f"_l_{c}": lagged(c) for c in columns}, lookback=1
     )

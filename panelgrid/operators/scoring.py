@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from panelgrid.functions.metrics import score_columns, score_moments
 from panelgrid.guards import ContractError, require_rows, require_unique
@@ -60,6 +60,30 @@ def score_by_residuals(forecasts: DataFrame, keys: Sequence[str], periods: int =
     )
 
 
+NEAR_SPANNED = 1e-8
+
+
+def score_exactly(forecasts: DataFrame, keys: Sequence[str], periods: int = 12, **options) -> DataFrame:
+    """``score`` with the alpha statistics of nearly spanned groups taken from explicit residuals.
+
+    Where the market explains all but ``NEAR_SPANNED`` of a strategy's variance the one-pass residual variance has lost
+    its digits. Only such groups are read a second time; where there is none, the semi join keeps no row.
+    """
+    strategy = F.col("forecast") * F.col("realized")
+    total = F.regr_syy(strategy, F.col("realized"))
+    left = F.lit(1.0) - F.regr_r2(strategy, F.col("realized"))
+    spanned = (
+        forecasts.groupBy(*keys).agg(total.alias("_syy"), left.alias("_left"))
+        .where((F.col("_syy") > 0) & (F.col("_left") < NEAR_SPANNED)).select(*keys)
+    )
+    fields = ("alpha", "information_ratio", "alpha_tstat")
+    again = score_by_residuals(forecasts.join(spanned, list(keys), "left_semi"), keys, periods)
+    again = again.select(*keys, F.lit(True).alias("_again"), *[F.col(c).alias(f"_{c}") for c in fields])
+    first = score(forecasts, keys, periods, **options)
+    pick = {c: F.when(F.col("_again"), F.col(f"_{c}")).otherwise(F.col(c)) for c in fields}
+    return first.join(again, list(keys), "left").withColumns(pick).select(*first.columns)
+
+
 def statistic_columns(df: DataFrame, keys: Sequence[str], drop: Sequence[str] = ("seed",)) -> list[str]:
     """Every numeric column that is neither a key nor dropped."""
     skip = {*keys, *drop}
@@ -100,7 +124,7 @@ def anchor_by_seed(
     forecasts: DataFrame, keys: Sequence[str] = ("series_id",), obs: str = "obs", check: bool = True
 ) -> DataFrame:
     """The minimum-norm forecasts of the largest model, one path per series and seed."""
-    anchor = anchor_rows(forecasts)
+    anchor = anchor_rows(forecasts, by=keys)
     if check:
         require_rows(anchor, "ridgeless (z=0) forecasts")
         require_unique(anchor, [*keys, "seed", obs], "anchor forecasts")
@@ -127,16 +151,17 @@ def ensemble(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def importance(per_seed: DataFrame, keys: Sequence[str] = ("series_id",), full: str = "none") -> DataFrame:
-    """Loss of performance without each predictor: full-model mean less its own mean."""
-    means = per_seed.groupBy(*keys, "excluded").agg(
-        F.avg("r2").alias("r2"), F.avg("sharpe").alias("sharpe"), F.count_distinct("seed").alias("n_seeds")
-    )
-    base = means.where(F.col("excluded") == full).select(
-        *keys, F.col("r2").alias("_r2"), F.col("sharpe").alias("_sharpe")
-    )
+    """Loss of performance without each predictor: full-model mean less its own mean.
+
+    ``per_seed`` is read once: means by two levels (seed first, so seeds are counted without a
+    distinct), then the full model's mean is picked over the few rows of a series.
+    """
+    means = average_with_seed_count(per_seed.select(*keys, "excluded", "seed", "r2", "sharpe"), [*keys, "excluded"])
+    series = Window.partitionBy(*keys)
+    base = lambda c: F.max(F.when(F.col("excluded") == full, F.col(c))).over(series)
     return (
-        means.where(F.col("excluded") != full)
-        .join(base, list(keys))
+        means.withColumns({"_r2": base("r2"), "_sharpe": base("sharpe")})
+        .where((F.col("excluded") != full) & F.col("_r2").isNotNull())
         .select(
             *keys,
             F.col("excluded").alias("variable"),

@@ -157,12 +157,13 @@ def volatility_timed_momentum(
 
     The momentum leg includes the decision row, the variance leg does not.
     """
-    if window != int(window) or int(window) < 2:
-        raise ValueError("window must be an integer of at least two")
-    if not math.isfinite(position_scale):
-        raise ValueError("position_scale must be finite")
-    if not math.isfinite(variance_floor) or variance_floor <= 0:
-        raise ValueError("variance_floor must be finite and positive")
+    refused = {
+        "window": window if window < 2 or window % 1 else None,
+        "position_scale": None if math.isfinite(position_scale) else position_scale,
+        "variance_floor": None if 0 < variance_floor < math.inf else variance_floor,
+    }
+    if any(v is not None for v in refused.values()):
+        raise ValueError(f"momentum cannot be timed with {({k: v for k, v in refused.items() if v is not None})}")
     weights = _weights(window, weights)
 
     def mean_variance(w: WindowSpec) -> Column:
@@ -198,8 +199,8 @@ def add_reversal(
     ``shocks`` holds ``(*keys, t, xi)`` and starts two steps before each series. The
     filter runs along the shock table, which is then joined to the panel.
     """
-    if len(theta) != 2 or not all(math.isfinite(v) for v in theta):
-        raise ValueError("theta must hold two finite coefficients")
+    if [math.isfinite(v) for v in theta] != [True, True]:
+        raise ValueError(f"a reversal takes two finite lag weights, not {theta!r}")
     component = over_time(
         shocks.select(*axis.keys, axis.t, "xi"),
         axis,

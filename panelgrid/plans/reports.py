@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from panelgrid.functions.columns import decimals, label
-from panelgrid.operators.blocks import MONTHS, TimeAxis, over_time
+from panelgrid.operators.blocks import MONTHS, TimeAxis, dense_ordinal, over_time
 from panelgrid.operators.windows import lagged
 
 # Names shown in reports.
@@ -40,6 +40,8 @@ def summary_panel(
     keys = list(axis.keys)
     long = panel.unpivot([*keys, axis.t], list(columns), "variable", "x").where(F.col("x").isNotNull())
     keyed = axis.with_keys("variable")
+    if axis.block is not None:  # neighbours are those left after the drop, whatever block they are in
+        long = dense_ordinal(long, keyed, axis.t, axis.block)
     paired = over_time(long, keyed, {"_before": lagged("x")}, lookback=1)
     # the autocorrelation uses complete pairs only
     pair_x = F.when(F.col("_before").isNotNull(), F.col("x"))
@@ -103,19 +105,19 @@ def report_rows(
     counterfactuals: tuple[DataFrame, DataFrame],
     twins: tuple[DataFrame, DataFrame],
 ) -> DataFrame:
-    """Every number quoted in prose, as ``(name, value, text)`` rows.
+    """Every number quoted in prose, as ``(name, value, text)`` rows; a name is its path, joined by dots.
 
-    ``grids`` maps a name prefix to an averaged grid. The numbers come from one pass
+    ``grids`` maps a name to an averaged grid. The numbers come from one pass
     over each small result table: rows are turned into names by expression and the
     wanted columns are unpivoted.
     """
     from panelgrid.operators.scoring import anchor_rows, leaders
 
-    def named(df: DataFrame, name, columns: Mapping[str, str], places: int = 2) -> DataFrame:
+    def named(df: DataFrame, name, columns: Sequence[str], places: int = 2) -> DataFrame:
         pairs = F.array(
             *[
-                F.struct(F.concat(name, F.lit(suffix)).alias("name"), F.col(c).cast("double").alias("value"))
-                for c, suffix in columns.items()
+                F.struct(F.concat_ws(".", name, F.lit(c)).alias("name"), F.col(c).cast("double").alias("value"))
+                for c in columns
             ]
         )
         return df.select(F.explode(pairs).alias("_p")).select(
@@ -125,39 +127,22 @@ def report_rows(
     metrics, spanning = diagnostics
     stats, span = counterfactuals
     recovered, twin_span = twins
-    tag = label(F.col("experiment"), {"historical": "Hist", "ma2_reversal": "MA", "wild_bootstrap": "Wild"})
-    twin = F.concat(
-        F.lit("Twin"),
-        label(F.col("strength"), {"easy": "Easy", "realistic": "Real"}),
-        label(F.col("predictor_set"), {"x14_shared": "Clean", "x15_world_lag": "Lag"}),
-    )
+    part = lambda *columns: F.concat_ws(".", *columns)
+    design = part(F.lit("design"), F.col("experiment"))
+    twin = part(F.lit("twin"), F.col("strength"), F.col("predictor_set"))
     rows = [
-        named(anchor_rows(grid), F.lit(prefix), {"sharpe": "Sharpe", "information_ratio": "IR", "alpha_tstat": "AlphaT"})
+        named(anchor_rows(grid), part(F.lit("grid"), F.lit(prefix)), ("sharpe", "information_ratio", "alpha_tstat"))
         for prefix, grid in grids.items()
     ]
     rows += [
-        named(
-            leaders(importance, 1).withColumn("pct", 100 * F.col("vi_r2")), F.lit("VILeader"), {"pct": "RTwoPct"}, 1
-        ),
-        named(
-            metrics,
-            F.when(F.col("strategy") == BENCHMARK, "Bench").otherwise("Model"),
-            {"sharpe": "Sharpe"},
-        ),
-        named(spanning, F.lit("Standardized"), {"alpha_tstat": "SpanAlphaT", "anatomy_r2": "AnatomyRTwo"}),
-        named(
-            stats.where(F.col("strategy") == MODEL),
-            F.concat(F.lit("Raw"), tag),
-            {"information_ratio": "IR", "alpha_tstat": "AlphaT"},
-        ),
-        named(span, F.concat(F.lit("Raw"), tag), {"information_ratio": "SpanIR", "alpha_tstat": "SpanAlphaT"}),
-        named(stats.agg(F.max("n_seeds").alias("n")), F.lit("Experiment"), {"n": "Seeds"}, 0),
-        named(recovered, twin, {"correlation": "Corr", "slope": "Slope", "nrmse": "NRMSE"}),
-        named(
-            twin_span,
-            F.concat(twin, label(F.col("market"), {"plus": "Plus", "minus": "Minus"})),
-            {"alpha_tstat": "AlphaT"},
-        ),
+        named(leaders(importance, 1).withColumn("vi_percent", 100 * F.col("vi_r2")), F.lit("importance.first"), ("vi_percent",), 1),
+        named(metrics, part(F.lit("strategy"), F.col("strategy")), ("sharpe",)),
+        named(spanning, F.lit("diagnostics"), ("alpha_tstat", "anatomy_r2")),
+        named(stats.where(F.col("strategy") == MODEL), design, ("information_ratio", "alpha_tstat")),
+        named(span, part(design, F.lit("spanned")), ("information_ratio", "alpha_tstat")),
+        named(stats.agg(F.max("n_seeds").alias("n_seeds")), F.lit("design"), ("n_seeds",), 0),
+        named(recovered, twin, ("correlation", "slope", "nrmse")),
+        named(twin_span, part(twin, F.col("market")), ("alpha_tstat",)),
     ]
     return key_values(rows)
 

@@ -11,10 +11,13 @@ from panelgrid.operators.tidy import PREDICTORS, SHARED_PREDICTORS, TARGET, targ
 from panelgrid.operators.windows import lagged
 from panelgrid.plans.study import Study, leave_one_out, run_study
 from workload import inputs
-from workload.inputs import SAMPLE_END, SUPPLIER_PREDICTORS
+from workload.inputs import SUPPLIER_PREDICTORS, sample_end
 
 # The grid with a closed form: two features, so SQL can solve every window exactly.
 SMALL_GRID = StudyConfig(p_grid=(2,), z_grid=(0.1, 10.0), seeds=(0, 1), ridgeless=False, seeds_per_task=2)
+# Window 2: the dual system of any number of features is 2 x 2, so SQL can solve models far beyond the window. Eight
+# features are decomposed as they are, more of them by their Gram matrix.
+WIDE_GRID = StudyConfig(window=2, p_grid=(8, 24, 96), z_grid=(0.1, 10.0), seeds=(0, 1), seeds_per_task=2)
 # Cells of the formula-based forecast table.
 NAIVE_CELLS = tuple((s, p, z) for s in (0, 1, 2) for p in (2, 12) for z in (0.0, 10.0))
 
@@ -36,14 +39,14 @@ def market_tidy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def market_standardized(spark: SparkSession, folder: str) -> DataFrame:
-    tidy = trim_to_sample(market_tidy(spark, folder), SAMPLE_END)
+    tidy = trim_to_sample(market_tidy(spark, folder), sample_end(spark, folder))
     return standardize_panel(
         tidy, TARGET, PREDICTORS, MONTHS, own_lag="lag_mkt_excess", date="date", check=False
     )
 
 
 def supplier_standardized(spark: SparkSession, folder: str) -> DataFrame:
-    panel = trim_to_sample(inputs.supplier_panel(spark, folder), SAMPLE_END)
+    panel = trim_to_sample(inputs.supplier_panel(spark, folder), sample_end(spark, folder))
     return standardize_panel(panel, "y", SUPPLIER_PREDICTORS, MONTHS, own_lag="own_lag", check=False)
 
 
@@ -64,7 +67,7 @@ def target_study_frame(spark: SparkSession, folder: str) -> DataFrame:
         source, {"ltr_excess": "ltr", "corpr_excess": "corpr"}, "Rfree", ("series_id", "t", "date")
     )
     frame = target_frame(bonds, market_standardized(spark, folder), ("ltr_excess", "corpr_excess"))
-    return trim_to_sample(frame, SAMPLE_END)
+    return trim_to_sample(frame, sample_end(spark, folder))
 
 
 def target_study(spark: SparkSession, folder: str, config: StudyConfig = SMALL_GRID) -> Study:

@@ -13,7 +13,6 @@ from panelgrid.operators.blocks import MONTHS, TimeAxis, over_time
 from panelgrid.operators.windows import lagged
 from panelgrid.sources.tables import read_table
 
-SAMPLE_END = "2001-10"  # the last month lineitem covers in full
 HOURS = TimeAxis(("series_id",), "t", 4096)
 
 
@@ -21,6 +20,13 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return read_table(spark, f"{folder}/{name}.parquet", columns=columns or None)
 
 
+def sample_end(spark: SparkSession, folder: str) -> str:
+    """``yyyy-MM`` of the last month that lineitem covers to its last day."""
+    next_day = F.date_add(F.max(F.col("l_shipdate").cast("date")), 1)
+    month = F.date_format(F.add_months(next_day, -1), "yyyy-MM")
+    return table(spark, folder, "lineitem", "l_shipdate").agg(month).first()[0]
+
+
 def _source_measures() -> list:
     price, discount, tax, quantity = (
         F.col(c) for c in ("l_extendedprice", "l_discount", "l_tax", "l_quantity")

@@ -9,9 +9,9 @@ from __future__ import annotations
 from panelgrid.operators.kernel import draw_weights
 from panelgrid.operators.tidy import PREDICTORS, SHARED_PREDICTORS
 from workload.frames import NAIVE_CELLS
-from workload.inputs import SAMPLE_END, SUPPLIER_PREDICTORS
+from workload.inputs import SUPPLIER_PREDICTORS
 
-END = f"last_day(date '{SAMPLE_END}-01')"
+END = "(select last_day(max(cast(l_shipdate as date)) + interval 1 day - interval 1 month) from lineitem)"
 ORDINAL = "cast(year({0})*12 + month({0}) as bigint)"
 
 
@@ -255,6 +255,52 @@ SUPPLIER_ENGINE = f"{SUPPLIER_STD},{engine_sql('std', SUPPLIER_PREDICTORS, (0, 1
 MARKET_ENGINE = f"{MARKET},{engine_sql('std', PREDICTORS, (0, 1), (0.1, 10.0), 'mkt_excess')}"
 
 
+def dual_sql(panel: str, predictors, seeds, zs, ps, target: str, keys: str = "series_id", tag: str = "") -> str:
+    """Every rolling forecast of a two-row window with any number of features, from the 2 x 2 dual system.
+
+    The rows are rotated to their mean and their difference: a feature scaled by the spread of two rows has a
+    difference of one in that basis, so nothing is lost by subtraction however flat the feature is.
+    """
+    rows = []
+    for seed in seeds:
+        for i, w in enumerate(draw_weights(max(ps) // 2, len(predictors), seed)):
+            rows.append(f"({seed}, {i}, {', '.join(repr(float(v)) for v in w)})")
+    names = ", ".join(f"w{j}" for j in range(len(predictors)))
+    total = " + ".join(f"w{j}*{c}" for j, c in enumerate(predictors))
+    on_keys = f"partition by {keys}"
+    return f"""
+rows{tag} as (
+  select {keys}, t, date, {target} as y, {', '.join(predictors)} from {panel}),
+ahead{tag} as (
+  select *, lead(y) over s as rn, lead(date) over s as obs from rows{tag} window s as ({on_keys} order by t)),
+wave{tag} as (
+  select {keys}, t, w.seed as seed, w.pair as pair, f.f as f, case f.f when 0 then sin(2.0*({total})) else cos(2.0*({total})) end as s
+  from rows{tag}, (values {', '.join(rows)}) w(seed, pair, {names}), (values (0), (1)) f(f)),
+lagged{tag} as (
+  select *, lag(s, 2) over g as a, lag(s, 1) over g as b, row_number() over g as k
+  from wave{tag} window g as (partition by {keys}, seed, pair, f order by t)),
+unit{tag} as (
+  select *, case when abs(a - b)/sqrt(2) > 1e-12 then abs(a - b)/sqrt(2) else 1 end as c from lagged{tag} where k > 2),
+basis{tag} as (
+  select {keys}, t, seed, pair, (a + b)/sqrt(2)/c as p, (a - b)/sqrt(2)/c as m, s/c as u from unit{tag}),
+gram{tag} as (
+  select {keys}, t, seed, n.n as "P", sum(p*p) as pp, sum(p*m) as pm, sum(m*m) as mm, sum(u*p) as up, sum(u*m) as um
+  from basis{tag} join (values {', '.join(f'({n})' for n in ps)}) n(n) on pair < n.n/2 group by {keys}, t, seed, n.n),
+tied{tag} as (
+  select {keys}, t, obs, rn, (lag(rn, 2) over s + lag(rn, 1) over s)/sqrt(2) as rp,
+    (lag(rn, 2) over s - lag(rn, 1) over s)/sqrt(2) as rm from ahead{tag} window s as ({on_keys} order by t)),
+sys{tag} as (
+  select g.*, z.z as z, r.obs, r.rn, r.rp, r.rm, g.pp + 2*z.z as ap, g.mm + 2*z.z as am
+  from gram{tag} g join tied{tag} r using ({keys}, t), (values {', '.join(f'({z!r})' for z in zs)}) z(z) where r.rn is not null),
+sol{tag} as (
+  select *, case when am = 0 then rp/ap else (am*rp - pm*rm)/(ap*am - pm*pm) end as gp,
+    case when am = 0 then 0 else (ap*rm - pm*rp)/(ap*am - pm*pm) end as gm from sys{tag}),
+fc{tag} as (
+  select {keys}, seed::bigint as seed, "P"::integer as "P", z::double as z, t, obs, up*gp + um*gm as forecast, rn as realized,
+    sqrt(greatest(pp*gp*gp + 2*pm*gp*gm + mm*gm*gm, 0)) as beta_norm
+  from sol{tag})"""
+
+
 def targets_sql() -> str:
     shared = ", ".join(f"s.{c}" for c in SHARED_PREDICTORS)
     return f"""{MARKET},
@@ -486,7 +532,11 @@ from src where ltr-"Rfree" is not null and corpr-"Rfree" is not null""",
     )
     q["sample_trim"] = _with(
         SUPPLIER,
-        out("panel", "series_id date", "y", where="where date >= date '1996-01-31' and date <= date '1999-12-31'"),
+        out("panel", "series_id date", "y", where="where date <= date '1999-12-31'"),
+    )
+    q["analysis_start"] = _with(
+        SUPPLIER_STD,
+        out("std", "series_id t date", "y " + " ".join(SUPPLIER_PREDICTORS), where="where date >= date '1999-06-30'"),
     )
     complete = " and ".join(f"{c} is not null" for c in SOURCE_DOUBLES.split())
     q["complete_rows"] = _with(source(), out("src", "series_id t date", SOURCE_DOUBLES, 5, f"where {complete}"))
@@ -500,7 +550,7 @@ select case l_returnflag when 'A' then 'Accepted' when 'R' then 'Returned' else
   case l_linestatus when 'O' then 'Open' end as status, sum(l_quantity) as qty from lineitem group by 1, 2"""
     q["study_metadata"] = _with(
         f"{NAIVE},{scored('fc', CELL)},{averages('scored', chr(34) + 'P' + chr(34) + ', z')}",
-        f"""select "P", z, {rnd('"P"/12.0')} as c, 12 as "T", 2.0::double as gamma, '{SAMPLE_END}' as sample_end,
+        f"""select "P", z, {rnd('"P"/12.0')} as c, 12 as "T", 2.0::double as gamma, strftime({END}, '%Y-%m') as sample_end,
   {rnd('sharpe')} as sharpe from means""",
     )
     q["one_to_one_left_join"] = _with(
@@ -542,6 +592,14 @@ from src full join ord on src.date = ord.date where src.date is null or ord.date
     q["alpha_statistics"] = _with(full, out("scored", CELL_OUT, "alpha information_ratio alpha_tstat"))
     q["alpha_by_residuals"] = q["alpha_statistics"]
     q["model_scores"] = _with(full, out("scored", CELL_OUT, STATS_NORM))
+    near = NAIVE + """,
+near as (select series_id, seed, "P", z, t, realized, 0.5 + 1e-6*sin(t*(seed + 1)) as forecast, 0.0 as beta_norm
+  from fc where "P" = 2 and z = 0)"""
+    q["near_spanned_scores"] = _with(
+        f"{near},{scored('near', CELL, 'sn')}",
+        f"select {CELL}, {rnd('alpha*1e6', 4)} as alpha, {rnd('information_ratio', 4)} as information_ratio, "
+        f"{rnd('alpha_tstat', 4)} as alpha_tstat from sn",
+    )
     q["benchmark_scores"] = _with(
         f"{SUPPLIER},{timed_sql('panel', 'y', SUPPLIER_PREDICTORS)},{scored('timed', 'series_id', norm=False)}",
         out("scored", "series_id", STATS),
@@ -570,6 +628,11 @@ from src full join ord on src.date = ord.date where src.date is null or ord.date
         f"{SUPPLIER},{summary_sql('panel', ('y', 'dp', 'ltr', 'dfr', 'svar'), {'y': 'target', 'dp': 'd/p'})}",
         out("summ", "series_id variable count", "mean sd min max ac1"),
     )
+    q["hourly_summary"] = _with(
+        f"{HOURLY_CELLS},\nholed as (select series_id, t, n, case when t % 7 <> 0 then total end as total, mean from hcell),"
+        f"{summary_sql('holed', ('n', 'total', 'mean'))}",
+        out("summ", "series_id variable count", "mean sd min max ac1"),
+    )
     names = {"mkt_excess": "mkt excess", "bm": "b/m", "lag_mkt_excess": "lag mkt"}
     columns = ("mkt_excess", *PREDICTORS)
     q["market_summary"] = _with(
@@ -719,7 +782,15 @@ join (values {totals}) w(seed, total) on cast(s.series_id as bigint) % 3 = w.see
         )
         + " from std",
     )
-    q["fourier_features_wide"] = q["fourier_features_native"]
+    many = draw_weights(32, len(SUPPLIER_PREDICTORS), 1)
+    pairs = ", ".join(f"({i}, {', '.join(repr(float(v)) for v in w)})" for i, w in enumerate(many))
+    names = ", ".join(f"w{j}" for j in range(len(SUPPLIER_PREDICTORS)))
+    total = " + ".join(f"w{j}*{c}" for j, c in enumerate(SUPPLIER_PREDICTORS))
+    q["fourier_features_wide"] = _with(
+        f"{SUPPLIER_STD},\nangles as (select series_id, t, pair, 2.0*({total}) as a from std, (values {pairs}) w(pair, {names}))",
+        f"""select series_id, t, (2*pair)::integer as k, {rnd('sin(a)')} as feature from angles
+union all select series_id, t, (2*pair + 1)::integer as k, {rnd('cos(a)')} as feature from angles""",
+    )
     fc_plain = 'series_id seed "P" z t obs'
     q["ridge_forecasts"] = _with(SUPPLIER_ENGINE, out("fc", fc_plain, "forecast realized beta_norm", 5))
     q["uncentered_ridge_forecasts"] = _with(
@@ -730,6 +801,14 @@ join (values {totals}) w(seed, total) on cast(s.series_id as bigint) % 3 = w.see
         f"{MARKET},{engine_sql('std', PREDICTORS, (0, 1), (0.0,), 'mkt_excess')}",
         out("fc", fc_plain, "forecast realized beta_norm", 4),
     )
+    q["wide_forecasts"] = _with(
+        f"{SUPPLIER_STD},{dual_sql('std', SUPPLIER_PREDICTORS, (0, 1), (0.1, 10.0, 0.0), (8, 24, 96), 'y')}",
+        out("fc", fc_plain, "forecast realized beta_norm", 4),
+    )
+    q["ridgeless_wide"] = _with(
+        f"{MARKET},{dual_sql('std', PREDICTORS, (3,), (0.0,), (48, 600), 'mkt_excess')}",
+        out("fc", fc_plain, "forecast realized beta_norm", 4),
+    )
     pz = 'series_id, "P", z'
     for name, engine in (("market", MARKET_ENGINE), ("supplier", SUPPLIER_ENGINE)):
         body = f"{engine},{scored('fc', CELL)}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelgrid import guards
-from panelgrid.config import StudyConfig
+from panelgrid.config import CounterfactualConfig, StudyConfig
 from panelgrid.functions import metrics
 from panelgrid.functions.columns import complexity, label
 from panelgrid.operators import scoring, windows
@@ -23,13 +23,13 @@ from panelgrid.operators.tidy import (
     PREDICTORS, TARGET, excess_returns, join_one_to_one, lookup,
 )
 from panelgrid.plans import reports
-from panelgrid.plans.counterfactuals import diagnostics, run_counterfactuals
+from panelgrid.plans.counterfactuals import diagnostics, prepare_inputs, run_counterfactuals
 from panelgrid.plans.study import anchor_study
 from panelgrid.sources.sinks import materialize
 from panelgrid.sources.tables import bounded, percent_factors, with_month_end
 from workload import frames, inputs
-from workload.frames import SMALL_GRID, rounded
-from workload.inputs import HOURS, SAMPLE_END, SUPPLIER_PREDICTORS, table
+from workload.frames import SMALL_GRID, WIDE_GRID, rounded
+from workload.inputs import HOURS, SUPPLIER_PREDICTORS, sample_end, table
 
 QUERIES: dict = {}
 KEYS = ["series_id"]
@@ -103,8 +103,18 @@ def bond_excess_returns(spark, folder):
 
 @query
 def sample_trim(spark, folder):
-    rows = trim_to_sample(inputs.supplier_panel(spark, folder), "1999-12")
-    return rounded(rows.where(F.col("date") >= F.lit("1996-01-31").cast("date")).select("series_id", "date", "y"))
+    rows = trim_to_sample(inputs.supplier_panel(spark, folder), "1999-12", check=True)
+    return rounded(rows.select("series_id", "date", "y"))
+
+
+@query
+def analysis_start(spark, folder):
+    """The standardized panel floored at a date: the burn-in is taken from the rows before it."""
+    panel = trim_to_sample(inputs.supplier_panel(spark, folder), sample_end(spark, folder))
+    std = standardize_panel(
+        panel, "y", SUPPLIER_PREDICTORS, MONTHS, own_lag="own_lag", date="date", start="1999-06-30"
+    )
+    return rounded(std.select("series_id", "t", "date", "y", *SUPPLIER_PREDICTORS))
 
 
 @query
@@ -141,7 +151,7 @@ def study_metadata(spark, folder):
     per_seed = scoring.score(frames.naive_forecasts(spark, folder), CELL, strict=False)
     means = scoring.average_statistics(per_seed, ["P", "z"])
     return rounded(
-        reports.with_metadata(means, {"T": 12, "gamma": 2.0, "sample_end": SAMPLE_END})
+        reports.with_metadata(means, {"T": 12, "gamma": 2.0, "sample_end": sample_end(spark, folder)})
         .withColumn("c", complexity(F.col("P"), 12))
         .select("P", "z", "c", "T", "gamma", "sample_end", "sharpe")
     )
@@ -191,11 +201,8 @@ def seed_config_product(spark, folder):
 @query
 def axis_difference(spark, folder):
     """Months present in one source only, by side."""
-    a = inputs.monthly_source(spark, folder).select("date", F.lit(1).alias("side"))
-    b = inputs.monthly_orders(spark, folder).select("date", F.lit(-1).alias("side"))
-    return (
-        a.unionByName(b).groupBy("date").agg(F.sum("side").cast("long").alias("side")).where("side <> 0")
-    )
+    both = inputs.monthly_source(spark, folder), inputs.monthly_orders(spark, folder)
+    return guards.axis_differences(*both, ["date"]).withColumnRenamed("surplus", "side")
 
 
 # --- aggregations ------------------------------------------------------------------
@@ -224,6 +231,16 @@ def alpha_by_residuals(spark, folder):
     return rounded(scoring.score_by_residuals(frames.naive_forecasts(spark, folder), CELL))
 
 
+@query
+def near_spanned_scores(spark, folder):
+    """A strategy that is the market times a constant plus very little else."""
+    f = frames.naive_forecasts(spark, folder).where("P = 2 AND z = 0.0")
+    noise = F.lit(1e-6) * F.sin(F.col("t") * (F.col("seed") + 1))
+    near = f.withColumn("forecast", F.lit(0.5) + noise).withColumn("strategy", F.col("forecast") * F.col("realized"))
+    scored = scoring.score_exactly(near, CELL, strict=False)
+    return rounded(scored.select(*CELL, (F.col("alpha") * 1e6).alias("alpha"), "information_ratio", "alpha_tstat"), 4)
+
+
 @query
 def model_scores(spark, folder):
     f = frames.naive_forecasts(spark, folder)
@@ -280,9 +297,16 @@ def summary_panel(spark, folder):
     return rounded(reports.summary_panel(panel, ("y", "dp", "ltr", "dfr", "svar"), MONTHS, {"y": "target", "dp": "d/p"}))
 
 
+@query
+def hourly_summary(spark, folder):
+    """Hours with holes, a cell missing here and there, in short blocks: neighbours may be in other blocks."""
+    cells = inputs.hourly_cells(spark, folder).withColumn("total", F.when(F.col("t") % 7 != 0, F.col("total")))
+    return rounded(reports.summary_panel(cells, ("n", "total", "mean"), TimeAxis(("series_id",), "t", 64)))
+
+
 @query
 def market_summary(spark, folder):
-    raw = trim_to_sample(frames.market_tidy(spark, folder), SAMPLE_END)
+    raw = trim_to_sample(frames.market_tidy(spark, folder), sample_end(spark, folder))
     std = frames.market_standardized(spark, folder)
     return rounded(reports.summary_table(raw, std, (TARGET, *PREDICTORS)))
 
@@ -482,13 +506,10 @@ def reversal_inputs(spark, folder):
     """The reversal enters the raw return of the full series, own lag included, and the
     panel is standardized afterwards; the target stays raw."""
     raw = inputs.supplier_panel(spark, folder)
-    reversed_ = windows.add_reversal(raw, "y", inputs.shocks_for(raw), MONTHS).withColumn("own_lag", F.col("y"))
-    std = trim_to_sample(
-        standardize_panel(reversed_, "y", SUPPLIER_PREDICTORS, MONTHS, own_lag="own_lag", check=False), SAMPLE_END
-    )
-    out = lookup(
-        std.drop("y"), reversed_.select("series_id", "t", F.col("y").alias("raw_y")), ["series_id", "t"], ["raw_y"], False
-    )
+    out = prepare_inputs(
+        raw, CounterfactualConfig(), "y", SUPPLIER_PREDICTORS, "own_lag", sample_end(spark, folder), MONTHS,
+        shocks=inputs.shocks_for(raw), check=False,
+    ).reversal.withColumnRenamed("y", "raw_y")
     return rounded(out.select("series_id", "t", "raw_y", *SUPPLIER_PREDICTORS))
 
 
@@ -535,7 +556,7 @@ def fourier_features_wide(spark, folder):
     panel = frames.supplier_standardized(spark, folder)
     arrays = panel.select("series_id", "t", F.array(*SUPPLIER_PREDICTORS).alias("x"))
     wide = rff_features(arrays, "x", seed=1, p=64)
-    return rounded(wide.select("series_id", "t", *[F.col("features")[i].alias(f"s{i + 1}") for i in range(4)]))
+    return rounded(wide.select("series_id", "t", F.posexplode("features").alias("k", "feature")))
 
 
 @query
@@ -610,6 +631,18 @@ def importance_leaders(spark, folder):
     return rounded(scoring.leaders(vi, 3).select("variable", "vi_r2", "vi_sharpe", "n_seeds"), 5)
 
 
+@query
+def wide_forecasts(spark, folder):
+    """Ridge and minimum-norm models far beyond the training window, on both sides of the kernel's switch."""
+    return rounded(frames.supplier_study(spark, folder, WIDE_GRID).forecasts, 4)
+
+
+@query
+def ridgeless_wide(spark, folder):
+    config = WIDE_GRID.with_(z_grid=(), p_grid=(48, 600), seeds=(3,))
+    return rounded(frames.market_study(spark, folder, config).forecasts, 4)
+
+
 @query
 def full_complexity_grid(spark, folder):
     """A grid far beyond the training window, minimum norm included."""
@@ -727,7 +760,7 @@ def _counterfactual_inputs(spark, folder):
         target="y",
         predictors=SUPPLIER_PREDICTORS,
         own_lag="own_lag",
-        sample_end=SAMPLE_END,
+        sample_end=sample_end(spark, folder),
         axis=MONTHS,
     )
 
@@ -807,7 +840,7 @@ def _diagnostics(spark, folder):
 def report_values(spark, folder):
     per_seed = scoring.score(frames.naive_forecasts(spark, folder), CELL, strict=False)
     means = materialize(scoring.average_statistics(per_seed, ["P", "z"]))
-    last = F.last_day(F.to_date(F.lit(SAMPLE_END), "yyyy-MM"))
+    last = F.last_day(F.to_date(F.lit(sample_end(spark, folder)), "yyyy-MM"))
     months = inputs.supplier_panel(spark, folder).groupBy("t", "date").agg(F.count("*").alias("n"))
     sizes = materialize(
         months.agg(
