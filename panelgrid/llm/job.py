@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from panelgrid.sources.sinks import shared_folder
 
@@ -20,12 +21,18 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    release(spark)
     df.write.option("compression", "zstd").parquet(path)
-    # the shuffle files of the finished job go when the driver collects its garbage; a small driver heap may not do so for long
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs. Spark deletes them when the driver's garbage collector finds
+    their plans unreachable, which a driver with little to do may put off until a disk is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType
 ) -> DataFrame:
@@ -67,7 +74,7 @@ def crc32(col) -> "F.Column":
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block."""
     head = np.array([len(arrays), *[x for a in arrays for x in (ord(a.dtype.char), len(a))]], dtype=np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
 
 
 def unpack(block: bytes) -> list[np.ndarray]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelgrid.llm.bwt import repeats
-from panelgrid.llm.job import binary_slices, column, map_batches, pack, stored, unpack
+from panelgrid.llm.job import binary_slices, column, map_batches, pack, release, stored, unpack
 from panelgrid.llm.text import bytes_of, mix, powers, slabs, sliding_min, take_ranges
 
 LENGTH = 50
@@ -306,6 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BU
     marks = stored(marked_anchors(anchor_messages(table, buckets, length)).withColumnRenamed("marks", "reply"))
     messages = stored(segment_messages(with_replies(table, marks), buckets, length))
     replies = stored(resolved(messages, length))
+    release(docs.sparkSession)
     own = messages.where("bucket = -1").select("chunk", "bucket", F.col("block").alias("reply"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
