@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelgrid.llm.gru import Gru, flatten, initial, make_classes, unflatten
-from panelgrid.llm.job import column, map_batches, pack, stored, unpack
+from panelgrid.llm.job import column, map_batches, pack, release, stored, unpack
 from panelgrid.llm.text import NOT_SPACE, bytes_of, slabs, split_words
 
 SYMBOLS = 1022  # with "other" and the end
@@ -203,8 +203,10 @@ def score_documents(docs: DataFrame, symbols: int = SYMBOLS, rounds: int = ROUND
     total = blocks.agg(F.sum("size")).first()[0] or 0
     buckets = 1 << min(20, int(total // BUCKET_BYTES).bit_length())
     counts = stored(corpus_counts(blocks, buckets, symbols))
+    release(docs.sparkSession)
     model = vocabulary(counts, symbols)
     params, edges = train(blocks, model, rounds)
+    release(docs.sparkSession)
     replies = counts.where("block IS NOT NULL").groupBy("block").agg(
         F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("replies")
     )
