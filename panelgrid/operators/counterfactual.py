@@ -17,7 +17,7 @@ from panelgrid.operators.engine import _matrix, pin_blas
 from panelgrid.operators.regressions import fit_ar1
 from panelgrid.operators.windows import lagged
 
-SHOCK_BLOCK = 65536  # steps per random stream
+SHOCK_ROWS = 65536  # rows that a task hands on at a time
 
 
 def seeded_shocks(
@@ -25,16 +25,12 @@ def seeded_shocks(
 ) -> DataFrame:
     """A Gaussian shock table ``(*keys, t, xi)`` for every series of a panel.
 
-    Every series gets the same path, counted from its own first step (less
-    ``lead_in``), so a path is the same whatever its series' length. The first
-    ``SHOCK_BLOCK`` steps are the stream of ``default_rng(seed)``; each further block
-    is the stream of ``default_rng([seed, block])``, so blocks are drawn in parallel.
+    Every series gets the same path, the stream of ``default_rng(seed)`` counted from its own first step (less
+    ``lead_in``), so a path is the same whatever its series' length. A stream has to be drawn in order: a task walks
+    a series and hands on batches, so its memory does not grow with the series. Where that walk is too long, pass a shock table.
     """
     keys = list(axis.keys)
     span = panel.groupBy(*keys).agg(F.min(axis.t).alias("_lo"), F.max(axis.t).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo") + 1 + lead_in
-    last = F.floor((width - 1) / F.lit(SHOCK_BLOCK)).cast("long")
-    blocks = span.select(*keys, "_lo", width.alias("_width"), F.explode(F.sequence(F.lit(0), last)).alias("_b"))
     schema = T.StructType(
         [panel.schema[k] for k in keys] + [T.StructField(axis.t, T.LongType()), T.StructField("xi", T.DoubleType())]
     )
@@ -42,19 +38,14 @@ def seeded_shocks(
     def draw(batches):
         for batch in batches:
             for row in batch.to_dict("records"):
-                b = int(row["_b"])
-                count = min(SHOCK_BLOCK, int(row["_width"]) - b * SHOCK_BLOCK)
-                rng = np.random.default_rng(seed if b == 0 else [seed, b])
-                first = int(row["_lo"]) - lead_in + b * SHOCK_BLOCK
-                yield pd.DataFrame(
-                    {
-                        **{k: [row[k]] * count for k in keys},
-                        axis.t: np.arange(first, first + count),
-                        "xi": rng.normal(scale=scale, size=count),
-                    }
-                )
+                rng = np.random.default_rng(seed)
+                stop = int(row["_hi"]) + 1
+                for first in range(int(row["_lo"]) - lead_in, stop, SHOCK_ROWS):
+                    steps = np.arange(first, min(first + SHOCK_ROWS, stop))
+                    constant = {k: [row[k]] * len(steps) for k in keys}
+                    yield pd.DataFrame({**constant, axis.t: steps, "xi": rng.normal(scale=scale, size=len(steps))})
 
-    return blocks.mapInPandas(draw, schema)
+    return span.mapInPandas(draw, schema)
 
 
 def calibrated_signal(

@@ -76,7 +76,7 @@ def rolling_forecasts(
     keys, t = list(axis.keys), axis.t
     window, z_labels, p_grid = config.window, config.z_labels, config.p_grid
     seeds = config.seeds if seed_key is None else (0,)
-    blocks = [list(seeds[i : i + config.seeds_per_task]) for i in range(0, len(seeds), config.seeds_per_task)]
+    blocks = [list(seeds[i : i + config.seed_block]) for i in range(0, len(seeds), config.seed_block)]
 
     carried = [*keys, t, "y", "x"] + ([date] if date else [])
     chunked = spread(
@@ -87,7 +87,9 @@ def rolling_forecasts(
     else:
         chunked = chunked.withColumn(SEED_BLOCK, F.lit(0))
     group = [*keys, BLOCK, SEED_BLOCK]
-    tasks = config.tasks or 4 * spark.sparkContext.defaultParallelism
+    tasks = config.tasks or max(
+        4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
     chunked = chunked.repartition(tasks, *group)
 
     fields = [panel.schema[k] for k in keys if k != seed_key]

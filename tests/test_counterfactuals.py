@@ -61,17 +61,15 @@ def test_bootstrap_keeps_innovation_sizes(spark):
     assert path[0] == x[0]
 
 
-def test_shocks_follow_the_seed_in_every_block(spark, monkeypatch):
+def test_shocks_are_one_stream_however_they_are_handed_on(spark, monkeypatch):
     from panelgrid.operators import counterfactual
 
-    panel, _ = make_panel(spark, n=50, series=("a",))
-    path = [r["xi"] for r in seeded_shocks(panel, 12).orderBy("t").collect()]
-    np.testing.assert_array_equal(path, np.random.default_rng(12).standard_normal(50))
-    monkeypatch.setattr(counterfactual, "SHOCK_BLOCK", 20)
-    blocked = [r["xi"] for r in seeded_shocks(panel, 12).orderBy("t").collect()]
-    np.testing.assert_array_equal(blocked[:20], path[:20])
-    np.testing.assert_array_equal(blocked[20:40], np.random.default_rng([12, 1]).standard_normal(20))
-    assert len(blocked) == 50
+    panel, _ = make_panel(spark, n=50, series=("a", "b"))
+    want = np.random.default_rng(12).standard_normal(50)
+    for rows in (counterfactual.SHOCK_ROWS, 20):
+        monkeypatch.setattr(counterfactual, "SHOCK_ROWS", rows)
+        got = seeded_shocks(panel, 12).orderBy("series_id", "t").collect()
+        np.testing.assert_array_equal([r["xi"] for r in got], np.tile(want, 2))
 
 
 def signal_of(x, calibration):

@@ -208,3 +208,10 @@ def test_config_normalises_grids():
     assert (c.p_grid, c.z_grid, c.seeds, c.window) == ((2, 8), (1.0, 0.1), (3, 1), 12)
     assert c.z_labels == (1.0, 0.1, 0.0)
     assert StudyConfig(window=1, uncentered=True).window == 1
+
+
+def test_importance_runs_the_kernel_once(spark):
+    panel, _ = make_panel(spark, n=40)
+    study = leave_one_out(panel, CONFIG.with_(z_grid=(1.0,)), "y", X, strict=False)
+    plan = importance(study.per_seed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1

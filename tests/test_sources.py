@@ -188,7 +188,8 @@ def test_report_frames(spark):
     rows = reports.report_rows({"Mkt": grid, "Intl": grid}, vi, (metrics, spanning), (stats, span), (recovery, twin)).collect()
     values = {r["name"]: r["text"] for r in rows}
     assert len(values) == len(rows)
-    assert values["MktSharpe"] == "0.40" and values["VILeaderRTwoPct"] == "2.1"
-    assert values["ModelSharpe"] == "0.43" and values["RawMASpanIR"] == "0.50"
-    assert values["TwinEasyCleanCorr"] == "0.90" and values["TwinRealLagMinusAlphaT"] == "1.50"
-    assert values["ExperimentSeeds"] == "25"
+    assert values["grid.Mkt.sharpe"] == "0.40" and values["importance.first.vi_percent"] == "2.1"
+    assert values["strategy.RFF (ridgeless).sharpe"] == "0.43" and values["design.ma2_reversal.spanned.information_ratio"] == "0.50"
+    assert values["twin.easy.x14_shared.correlation"] == "0.90"
+    assert values["twin.realistic.x15_world_lag.minus.alpha_tstat"] == "1.50"
+    assert values["design.n_seeds"] == "25"

@@ -184,3 +184,40 @@ def test_summary_matches_pandas(spark):
         for name, s in (("target", pd.Series(arrays["a"][0])), ("x0", pd.Series(arrays["a"][1][5:, 0]))):
             want = [len(s), s.mean(), s.std(), s.min(), s.max(), s.autocorr(1)]
             np.testing.assert_allclose(got.loc[name, ["count", "mean", "sd", "min", "max", "ac1"]].astype(float), want, rtol=1e-9)
+
+
+def test_summary_does_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, t, None if t in (7, 15, 16, 23) else float(rng.standard_normal())) for k in "ab" for t in range(32) if t != 11]
+    panel = spark.createDataFrame(rows, "series_id string, t long, y double")
+    found = [
+        {(r["series_id"], r["variable"]): r["ac1"] for r in summary_panel(panel, ("y",), TimeAxis(block=block)).collect()}
+        for block in (None, 8, 16, 4096)
+    ]
+    for other in found[1:]:
+        assert other == pytest.approx(found[0], rel=1e-12)
+    left = [v for k, t, v in rows if k == "a" and v is not None]
+    assert found[0]["a", "y"] == pytest.approx(np.corrcoef(left[1:], left[:-1])[0, 1])
+
+
+def test_each_series_has_its_own_largest_model(spark):
+    rows = [("a", 0, p, 0.0, t, 0.1, 0.2) for p in (2, 12) for t in range(3)] + [("b", 0, 2, 0.0, t, 0.1, 0.2) for t in range(3)]
+    df = spark.createDataFrame(rows, "series_id string, seed long, P int, z double, obs long, forecast double, realized double")
+    assert {(r["series_id"], r["P"]) for r in scoring.anchor_by_seed(df).collect()} == {("a", 12), ("b", 2)}
+
+
+@pytest.mark.parametrize("noise", [1e-3, 1e-6, 1e-8])
+def test_nearly_spanned_strategies_keep_their_digits(spark, noise):
+    from fractions import Fraction
+
+    t = np.arange(60)
+    realized, forecast = np.sin(t * 1.7) + 0.1, 0.5 + noise * np.sin(t * 0.9)
+    df = spark.createDataFrame([(1, float(f), float(r)) for f, r in zip(forecast, realized)], "k int, forecast double, realized double")
+    got = scoring.score_exactly(df, ["k"], strict=False).first()
+    y = [Fraction(float(f) * float(r)) for f, r in zip(forecast, realized)]
+    x = [Fraction(float(r)) for r in realized]
+    mx, my = sum(x) / 60, sum(y) / 60
+    slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
+    alpha = my - slope * mx
+    variance = sum((b - alpha - slope * a) ** 2 for a, b in zip(x, y)) / 60
+    assert got["information_ratio"] == pytest.approx(math.sqrt(12 * float(alpha * alpha / variance)) * (1 if alpha > 0 else -1), rel=1e-5)

@@ -25,7 +25,7 @@ def canonical(columns, rows):
     def cell(v):
         if isinstance(v, dt.datetime):
             v = v.date()
-        return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return repr(v) if isinstance(v, (int, float)) else str(v)
 
     return sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
@@ -34,7 +34,7 @@ def test_registry():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(set(SQL) - set(entry.LLM_SQL)))
 def test_query_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
     cursor = duck.execute(SQL[name])

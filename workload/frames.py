@@ -14,10 +14,10 @@ from workload import inputs
 from workload.inputs import SUPPLIER_PREDICTORS, sample_end
 
 # The grid with a closed form: two features, so SQL can solve every window exactly.
-SMALL_GRID = StudyConfig(p_grid=(2,), z_grid=(0.1, 10.0), seeds=(0, 1), ridgeless=False, seeds_per_task=2)
+SMALL_GRID = StudyConfig(p_grid=(2,), z_grid=(0.1, 10.0), seeds=(0, 1), ridgeless=False)
 # Window 2: the dual system of any number of features is 2 x 2, so SQL can solve models far beyond the window. Eight
 # features are decomposed as they are, more of them by their Gram matrix.
-WIDE_GRID = StudyConfig(window=2, p_grid=(8, 24, 96), z_grid=(0.1, 10.0), seeds=(0, 1), seeds_per_task=2)
+WIDE_GRID = StudyConfig(window=2, p_grid=(8, 24, 96), z_grid=(0.1, 10.0), seeds=(0, 1))
 # Cells of the formula-based forecast table.
 NAIVE_CELLS = tuple((s, p, z) for s in (0, 1, 2) for p in (2, 12) for z in (0.0, 10.0))
 
