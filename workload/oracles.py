@@ -439,6 +439,39 @@ anatomy as (
   select series_id, mf - w0*m0 - w1*m1 as intercept, w0, w1, (w0*c0 + w1*c1)/vf as r2 from an)"""
 
 
+def projection_sql(made: str, returns: str, window: int = 12, name: str = "proj") -> str:
+    """Forecasts ``made(series_id, t, forecast)`` on the last ``window`` returns ``y``: the normal equations, eliminated
+    column by column. ``name``: series_id, w0.., intercept, r2."""
+    n = window
+    lags = ", ".join(f"lag(y, {k}) over w as x{k}" for k in range(n))
+    cov = ", ".join(
+        [f"covar_pop(x{i}, x{j}) as a{i}_{j}" for i in range(n) for j in range(n)] + [f"covar_pop(x{i}, f) as a{i}_{n}" for i in range(n)]
+    )
+    steps = []
+    for k in range(n):
+        cells = []
+        for i in range(n):
+            for j in range(k + 1, n + 1):
+                unit = f"a{k}_{j}/a{k}_{k}"
+                cells.append(f"{unit} as a{i}_{j}" if i == k else f"a{i}_{j} - a{i}_{k}*({unit}) as a{i}_{j}")
+        source_ = f"{name}_{k - 1}" if k else f"{name}_mo"
+        steps.append(f"{name}_{k} as materialized (select series_id, {', '.join(cells)} from {source_})")
+    fit = " + ".join(f"s.a{k}_{n}*m.b{k}" for k in range(n))
+    return f"""
+{name}_lag as (select series_id, t, {lags} from {returns} window w as (partition by series_id order by t)),
+{name}_row as (
+  select m.series_id, m.forecast as f, {', '.join(f'l.x{k}' for k in range(n))}
+  from {made} m join {name}_lag l on m.series_id = l.series_id and m.t = l.t where l.x{n - 1} is not null),
+{name}_mo as materialized (
+  select series_id, {cov}, {', '.join(f'avg(x{k}) as m{k}, covar_pop(x{k}, f) as b{k}' for k in range(n))},
+    avg(f) as mf, var_pop(f) as vf from {name}_row group by 1),
+{', '.join(steps)},
+{name} as (
+  select s.series_id, {', '.join(f's.a{k}_{n} as w{k}' for k in range(n))},
+    m.mf - ({' + '.join(f's.a{k}_{n}*m.m{k}' for k in range(n))}) as intercept, ({fit})/m.vf as r2
+  from {name}_{n - 1} s join {name}_mo m on s.series_id = m.series_id)"""
+
+
 def boot_seed_sizes() -> str:
     return f"""{SUPPLIER},{ar1_sql('panel', ('dp',))},
 resid as (
@@ -803,7 +836,14 @@ union all select series_id, t, (2*pair + 1)::integer as k, {rnd('cos(a)')} as fe
     )
     q["wide_forecasts"] = _with(
         f"{SUPPLIER_STD},{dual_sql('std', SUPPLIER_PREDICTORS, (0, 1), (0.1, 10.0, 0.0), (8, 24, 96), 'y')}",
-        out("fc", fc_plain, "forecast realized beta_norm", 4),
+        out("fc", fc_plain, "forecast realized beta_norm", 2),
+    )
+    wide = dual_sql('std', SUPPLIER_PREDICTORS, (0, 1), (0.1, 10.0, 0.0), (8, 24, 96), 'y')
+    q["wide_grid"] = _with(
+        f"{SUPPLIER_STD},{wide},{scored('fc', CELL)},{averages('scored', 'series_id, ' + chr(34) + 'P' + chr(34) + ', z', STATS_NORM)}",
+        out("means", 'series_id "P" z', STATS.replace("r2", ""), 3).replace(
+            " from means", f", {rnd('asinh(means.r2)', 3)} as r2_asinh, {rnd('means.' + chr(34) + 'P' + chr(34) + '/2.0', 3)} as c from means"
+        ),
     )
     q["ridgeless_wide"] = _with(
         f"{MARKET},{dual_sql('std', PREDICTORS, (3,), (0.0,), (48, 600), 'mkt_excess')}",
@@ -946,6 +986,21 @@ union all select series_id, {', '.join(f'{rnd(c, 4)} as {c}' for c in STATS.spli
         f"""select case predictor_set when 'x14_shared' then '14 shared' else '15 world' end as inputs, strength as signal,
   case market when 'plus' then '+' else '-' end as twin, {mean_of('alpha_tstat information_ratio beta_benchmark')}
 from span group by 1, 2, 3""",
+    )
+    made = """
+made as (select series_id, t - 1 as t, avg(forecast) as forecast from fc
+  where z = 0 and "P" = (select max("P") from fc where z = 0) group by 1, 2)"""
+    each = lambda digits: ", ".join(f"({k}, {rnd(f'w{k}', digits)})" for k in range(12))
+    q["forecast_anatomy_full"] = _with(
+        f"{NAIVE},{made},{projection_sql('made', 'panel')}",
+        f"""select series_id, l.lag::integer as lag, l.weight as weight, {rnd('intercept')} as intercept, {rnd('r2')} as r2
+from proj, lateral (values {each(6)}) l(lag, weight)""",
+    )
+    q["study_anatomy"] = _with(
+        f"{anchored},\nmean_path as (select series_id, t, avg(forecast) as forecast from pairs group by 1, 2),"
+        f"{projection_sql('mean_path', 'std')}",
+        f"""select series_id, (l.lag + 1)::integer as lag, l.weight as projection_weight, l.weight as lag_weight,
+  {rnd('(12 - l.lag)/78.0::double', 5)} as benchmark_weight from proj, lateral (values {each(5)}) l(lag, weight)""",
     )
     q["study_spanning"] = _with(
         f"{anchored},{spanning_sql('pairs', 'series_id, seed')}",

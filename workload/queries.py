@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelgrid import guards
-from panelgrid.config import CounterfactualConfig, StudyConfig
+from panelgrid.config import (
+    CounterfactualConfig, StudyConfig, anchor_config, importance_config, market_config, target_config,
+)
 from panelgrid.functions import metrics
 from panelgrid.functions.columns import complexity, label
 from panelgrid.operators import scoring, windows
@@ -24,7 +26,7 @@ from panelgrid.operators.tidy import (
 )
 from panelgrid.plans import reports
 from panelgrid.plans.counterfactuals import diagnostics, prepare_inputs, run_counterfactuals
-from panelgrid.plans.study import anchor_study
+from panelgrid.plans.study import anchor_study, leave_one_out
 from panelgrid.sources.sinks import materialize
 from panelgrid.sources.tables import bounded, percent_factors, with_month_end
 from workload import frames, inputs
@@ -634,7 +636,39 @@ def importance_leaders(spark, folder):
 @query
 def wide_forecasts(spark, folder):
     """Ridge and minimum-norm models far beyond the training window, on both sides of the kernel's switch."""
-    return rounded(frames.supplier_study(spark, folder, WIDE_GRID).forecasts, 4)
+    return rounded(frames.supplier_study(spark, folder, WIDE_GRID).forecasts, 2)
+
+
+@query
+def wide_grid(spark, folder):
+    """Two training rows forecast wildly, so the R2 is shown on a compressed scale."""
+    means = frames.supplier_study(spark, folder, WIDE_GRID).averaged
+    return rounded(means.withColumn("r2_asinh", F.asinh("r2")).drop("r2", "beta_norm"), 3)
+
+
+@query
+def default_grid(spark, folder):
+    """The default complexities and shrinkages on the market panel."""
+    return rounded(frames.market_study(spark, folder, market_config(seeds=(0, 1))).averaged, 5)
+
+
+@query
+def default_anchor(spark, folder):
+    """The export of the largest model, heavily shrunk and minimum norm, at its default size."""
+    return rounded(frames.market_study(spark, folder, anchor_config(seeds=(0, 1))).export(), 5)
+
+
+@query
+def default_importance(spark, folder):
+    """Leave-one-out at the default complexity and shrinkage, over all market predictors."""
+    panel = frames.market_standardized(spark, folder)
+    study = leave_one_out(panel, importance_config(seeds=(0,)), TARGET, PREDICTORS, date="date", strict=False)
+    return rounded(scoring.importance(study.per_seed), 5)
+
+
+@query
+def default_targets(spark, folder):
+    return rounded(frames.target_study(spark, folder, target_config(seeds=(0,))).averaged, 5)
 
 
 @query
