@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,6 +31,7 @@ def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished jobs. Spark deletes them when the driver's garbage collector finds
     their plans unreachable, which a driver with little to do may put off until a disk is full."""
     gc.collect()
+    time.sleep(0.5)  # a job's last event holds its plan until the listeners have seen it
     spark.sparkContext._jvm.System.gc()
 
 
