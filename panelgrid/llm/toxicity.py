@@ -3,7 +3,7 @@
 A text is a bag of character n-grams (3 to 5, with word edges marked) and whole words,
 hashed into a table of vectors. Their mean goes through a linear softmax. Vectors and
 weights are learned together by Adagrad on a bounded sample of labelled rows (``SAMPLE``
-of each class, the first by a hash of doc_id), in one task. Scoring reads every whole text;
+rows of the classes, the first by a hash of doc_id), in one task. Scoring reads every whole text;
 as the model is linear after the mean, a bucket's vector acts through one number.
 """
 
@@ -21,11 +21,14 @@ from panelgrid.llm.text import bytes_of, powers, slabs
 
 BUCKET_BITS = 17
 WIDTH = 8
-SAMPLE = 3000  # labelled rows of each class that training may use
-EPOCHS = 16
+SAMPLE = (9000, 3000)  # labelled rows of class 0 and of class 1 that training may use
+EPOCHS = 8
 BATCH = 128
-RATE = 1.0
-SHARPNESS = 200.0  # scale of the mean before the softmax: a few words in hundreds must be able to decide
+UPDATES = 100  # at least: small samples are seen more often
+RATE = 0.5
+SHARPNESS = 100.0  # scale of the mean before the softmax: a few words in hundreds must be able to decide
+START = 0.01  # spread of untrained vectors: what training never met should hardly count
+NEUTRAL = 300  # subwords without effect that every mean includes: a few words alone prove little
 GRAMS = (3, 4, 5)
 EDGE = ord("_")
 
@@ -84,18 +87,19 @@ def bags(column_: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float) -> dict:
-    """Learn vectors, weights and bias. ``prior`` is the share of label 1 among all labelled rows: the sample is
-    balanced, so the bias is moved back to it."""
+    """Learn vectors, weights and bias. ``prior`` is the share of label 1 among all labelled rows: the sample's share
+    may differ, and the bias is moved back."""
     draw = np.random.default_rng(0)
-    vectors = draw.normal(0, 0.1, (1 << BUCKET_BITS, WIDTH)).astype(np.float32)
+    vectors = draw.normal(0, START, (1 << BUCKET_BITS, WIDTH)).astype(np.float32)
     weights = draw.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
     seen_v = np.full(1 << BUCKET_BITS, 1e-3, dtype=np.float32)
     seen_w, seen_b = np.full_like(weights, 1e-3), np.full_like(bias, 1e-3)
     order = np.arange(len(rows))
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-UPDATES * BATCH // max(1, len(rows))))
+    for epoch in range(epochs):
         draw.shuffle(order)
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for a in range(0, len(order), BATCH):
             batch = [rows[i] for i in order[a : a + BATCH] if len(rows[i][0])]
             y = np.array([labels[i] for i in order[a : a + BATCH] if len(rows[i][0])])
@@ -103,7 +107,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
                 continue
             sizes = np.array([len(b) for b, _ in batch])
             buckets = np.concatenate([b for b, _ in batch])
-            share = np.concatenate([c / c.sum() for _, c in batch]).astype(np.float32) * np.float32(SHARPNESS)
+            share = np.concatenate([c / (c.sum() + NEUTRAL) for _, c in batch]).astype(np.float32) * np.float32(SHARPNESS)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             mean = np.add.reduceat(vectors[buckets] * share[:, None], starts)
             z = mean @ weights + bias
@@ -134,7 +138,7 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> dict | None:
     """Train on labelled rows outside fold 0. Without rows of both classes there is no model: None."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -144,8 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     met = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(met) < 2:
         return None
-    first = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = F.broadcast(first(0).union(first(1)))  # at most 2 * sample rows of two numbers
+    first = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y])
+    chosen = F.broadcast(first(0).union(first(1)))  # as many rows of two numbers as ``sample`` says, at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("y", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -196,7 +200,7 @@ def with_score(docs: DataFrame, model: dict | None, text: str = "text", score: s
             for bucket, counts in parts:
                 total += row_sums(np.where(counts, effect[bucket], np.float32(0)), at)
                 number += row_sums(counts, at)
-            logit = total / np.maximum(number, 1) + bias
+            logit = total / (number + NEUTRAL) + bias
             out = {f.name: column(slab, f.name) for f in kept}
             out[score] = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
             yield out
