@@ -37,6 +37,9 @@ HEADLINE = (
     "bootstrap_panel",
     "full_complexity_grid",
     "counterfactual_table",
+    "default_grid",  # 15 predictors, the default 14 x 8 grid
+    "default_importance",
+    "wide_grid",
 )
 
 

@@ -754,6 +754,14 @@ hpan as (select series_id, t, total as y, n, mean from hour),
         NATION,
         f"""select series_id, n_rows, case when n_missing > 0 then 'gap in the time axis'
   when n_rows < 80 then 'fewer than 80 rows' else 'usable' end as reason from ({health})""",
+    )
+    q["non_finite_series"] = _with(
+        SUPPLIER_SOURCE,
+        """select *, case when n_non_finite > 0 then 'non-finite cells' when n_missing > 0 then 'gap in the time axis'
+  when n_rows < 80 then 'fewer than 80 rows' end as reason
+from (select series_id, min(t) as t_min, max(t) as t_max, count(*) as n_rows, max(t) - min(t) + 1 - count(*) as n_missing,
+  sum(case when rev > 0 then 0 else 1 end)::bigint as n_non_finite from sup group by 1)
+where n_non_finite > 0 or n_missing > 0 or n_rows < 80""",
     )
     q["dense_positions"] = _with(
         HOURLY_CELLS,

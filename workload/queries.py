@@ -467,6 +467,15 @@ def series_health(spark, folder):
     return health.withColumn("n_non_finite", F.col("n_non_finite").cast("long"))
 
 
+@query
+def non_finite_series(spark, folder):
+    """Months without lines have no logarithm: their series are told apart from those that are only short."""
+    source = inputs.supplier_source(spark, folder)
+    logs = source.withColumn("log_rev", F.when(F.col("rev") > 0, F.log("rev")).otherwise(F.lit(float("-inf"))))
+    found = guards.rejects(guards.series_health(logs, KEYS, "t", ["log_rev"]), min_rows=80)
+    return found.withColumn("n_non_finite", F.col("n_non_finite").cast("long"))
+
+
 @query
 def rejected_series(spark, folder):
     good, bad = guards.split_healthy(inputs.nation_months(spark, folder), KEYS, "t", ["value"], min_rows=80)
