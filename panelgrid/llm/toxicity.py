@@ -21,8 +21,8 @@ from panelgrid.llm.text import bytes_of, powers, slabs
 
 BUCKET_BITS = 17
 WIDTH = 8
-SAMPLE = (9000, 3000)  # labelled rows of class 0 and of class 1 that training may use
-EPOCHS = 8
+SAMPLE = (6000, 3000)  # labelled rows of class 0 and of class 1 that training may use
+EPOCHS = 12
 BATCH = 128
 UPDATES = 100  # at least: small samples are seen more often
 RATE = 0.5
@@ -150,32 +150,35 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[
         return None
     first = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y])
     chosen = F.broadcast(first(0).union(first(1)))  # as many rows of two numbers as ``sample`` says, at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("y", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select(
+        "y", F.xxhash64("doc_id").alias("place"), "text"
+    )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for slab in slabs(batches, "text"):
             found = bags(column(slab, "text"))
             yield {
-                "y": column(slab, "y"), "buckets": [b.astype(np.int32).tobytes() for b, _ in found],
+                "y": column(slab, "y"), "place": column(slab, "place"), "buckets": [b.astype(np.int32).tobytes() for b, _ in found],
                 "counts": [c.astype(np.int32).tobytes() for _, c in found],
             }
 
     prior = met[1] / (met[0] + met[1])
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, y = [], []
+        rows, y, place = [], [], []
         for frame in frames:
             y += frame["y"].tolist()
+            place += frame["place"].tolist()
             rows += [
                 (np.frombuffer(b, dtype=np.int32), np.frombuffer(c, dtype=np.int32))
                 for b, c in zip(frame["buckets"], frame["counts"])
             ]
         # the order in which rows arrive does not matter
-        order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i][0]), rows[i][0].tobytes(), rows[i][1].tobytes()))
+        order = sorted(range(len(rows)), key=lambda i: (place[i], y[i], len(rows[i][0])))
         model = train([rows[i] for i in order], np.array([y[i] for i in order]), prior)
         yield pd.DataFrame({k: [v.tobytes()] for k, v in model.items()})
 
-    found = map_batches(rows, read, "y int, buckets binary, counts binary").repartition(1).mapInPandas(
+    found = map_batches(rows, read, "y int, place long, buckets binary, counts binary").repartition(1).mapInPandas(
         learn, "vectors binary, weights binary, bias binary"
     ).first()
     get = lambda k, *shape: np.frombuffer(found[k], dtype=np.float32).reshape(shape)
