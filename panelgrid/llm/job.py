@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelgrid.sources.sinks import shared_folder
 
 
+#: the written table takes the place of the job's shuffle files: they go at once, not when the driver collects garbage
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` once as zstd Parquet to the shared folder (or ``path``) and read it back.
 
@@ -22,19 +24,15 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    release(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs. Spark deletes them when the driver's garbage collector finds
-    their plans unreachable, which a driver with little to do may put off until a disk is full."""
-    gc.collect()
-    time.sleep(0.5)  # a job's last event holds its plan until the listeners have seen it
-    spark.sparkContext._jvm.System.gc()
-
-
 def map_batches(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType
 ) -> DataFrame:
