@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[
             found = bags(column(slab, "text"))
             yield {
                 "y": column(slab, "y"), "place": column(slab, "place"), "buckets": [b.astype(np.int32).tobytes() for b, _ in found],
-                "counts": [c.astype(np.int32).tobytes() for _, c in found],
+                "counts": [c.astype(np.uint16 if c.max(initial=0) < 1 << 16 else np.uint32).tobytes() for _, c in found],
             }
 
     prior = met[1] / (met[0] + met[1])
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[
             y += frame["y"].tolist()
             place += frame["place"].tolist()
             rows += [
-                (np.frombuffer(b, dtype=np.int32), np.frombuffer(c, dtype=np.int32))
+                (np.frombuffer(b, dtype=np.int32), np.frombuffer(c, dtype=np.uint16 if 2 * len(c) == len(b) else np.uint32))
                 for b, c in zip(frame["buckets"], frame["counts"])
             ]
         # the order in which rows arrive does not matter
