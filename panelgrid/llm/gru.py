@@ -3,14 +3,20 @@
 Documents are laid one after the other into lanes; all lanes step together. The state of a lane
 is carried from window to window and cleared where a document begins, so the likelihood of a document is
 that of its whole text. Gradients stop at the window's edge.
+
+A symbol may stand for many rare words (``Rare``). Such a word adds rows of its own to its symbol's input vector, and
+below its symbol it is found by a path of binary decisions, each with a bias and the vector of its node.
 """
 
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 
 import numpy as np
 
+from panelgrid.llm.text import take_ranges
+
 HIDDEN = 16
 CLASSES = 32
 LANES = 512
@@ -27,19 +33,36 @@ def make_classes(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return np.unique(np.concatenate([[0], np.minimum(cut, len(counts) - 1), [len(counts)]]))
 
 
-def initial(counts: np.ndarray, edges: np.ndarray, hidden: int = HIDDEN, seed: int = 0) -> dict[str, np.ndarray]:
-    """Parameters that start as the unigram model of ``counts``."""
+@dataclass
+class Rare:
+    """Rare words: ``parts[w]`` are further rows of ``x``; the decisions of ``w`` are ``first[w]:first[w + 1]``, each with its
+    node, the side taken (1 or -1) and the side's log odds where the state says nothing."""
+
+    parts: np.ndarray
+    first: np.ndarray
+    node: np.ndarray
+    side: np.ndarray
+    bias: np.ndarray
+
+
+def initial(
+    counts: np.ndarray, edges: np.ndarray, hidden: int = HIDDEN, seed: int = 0, parts: int = 0, nodes: int = 0
+) -> dict[str, np.ndarray]:
+    """Parameters that start as the unigram model of ``counts``; with ``parts`` rows and ``nodes`` for rare words."""
     draw = np.random.default_rng(seed)
     normal = lambda scale, *shape: draw.normal(0, scale, shape).astype(np.float32)
     p = (counts + 0.5) / (counts + 0.5).sum()
     of_class = np.add.reduceat(p, edges[:-1])
     within = p / np.repeat(of_class, np.diff(edges))
     k = len(counts)
-    return {
-        "x": normal(0.3, k, 3 * hidden), "u": normal(1 / np.sqrt(hidden), hidden, 3 * hidden),
+    out = {
+        "x": normal(0.3, k + parts, 3 * hidden), "u": normal(1 / np.sqrt(hidden), hidden, 3 * hidden),
         "wc": normal(0.05, hidden, len(edges) - 1), "bc": np.log(of_class).astype(np.float32),
         "wo": normal(0.05, hidden, k), "bo": np.log(within).astype(np.float32),
     }
+    if nodes:
+        out["v"] = np.zeros((nodes, hidden), dtype=np.float32)
+    return out
 
 
 def flatten(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -72,6 +95,14 @@ def lay_out(lengths: np.ndarray, lanes: int = LANES) -> tuple[np.ndarray, np.nda
     return new[lane], first, total[order]
 
 
+def _add_rows(total: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
+    """``total[row[i]] += values[i]`` for all ``i``."""
+    if len(row):
+        order = np.argsort(row, kind="stable")
+        met, first = np.unique(row[order], return_index=True)
+        total[met] += np.add.reduceat(values[order], first)
+
+
 class Gru:
     def __init__(self, params: dict[str, np.ndarray], edges: np.ndarray):
         self.p = {k: v.copy() for k, v in params.items()}
@@ -83,9 +114,13 @@ class Gru:
         self.steps = 0
         self.waiting, self.seen = None, 0
 
-    def run(self, ids: np.ndarray, offsets: np.ndarray, end: int, learn: bool) -> np.ndarray:
+    def run(
+        self, ids: np.ndarray, offsets: np.ndarray, end: int, learn: bool,
+        words: np.ndarray | None = None, rare: Rare | None = None,
+    ) -> np.ndarray:
         """Natural log-probability of every symbol of the documents ``ids[offsets[i]:offsets[i + 1]]``; with
-        ``learn`` each window is followed by an update and the returned values are those before it."""
+        ``learn`` each window is followed by an update and the returned values are those before it. ``words`` has
+        each symbol's word among the ``rare`` ones, or -1; the values are then those of the words."""
         lengths = np.diff(offsets)
         lane, first, total = lay_out(lengths)
         lanes, deep = len(total), int(total.max()) if len(total) else 0
@@ -99,6 +134,12 @@ class Gru:
         x[cell[follows]] = ids[np.flatnonzero(follows) - 1]
         keep = np.ones(deep * lanes, dtype=np.float32)
         keep[cell[~follows]] = 0
+        wx = wy = None
+        if rare is not None:
+            wx, wy = (np.full(deep * lanes, -1, dtype=np.int32) for _ in range(2))
+            wy[cell] = words
+            wx[cell[follows]] = words[np.flatnonzero(follows) - 1]
+            wx, wy = wx.reshape(deep, lanes), wy.reshape(deep, lanes)
         x, y, keep = (a.reshape(deep, lanes) for a in (x, y, keep))
         scores = np.zeros((deep, lanes), dtype=np.float32)
         h = np.zeros((lanes, self.hidden), dtype=np.float32)
@@ -106,10 +147,11 @@ class Gru:
             b = min(a + WINDOW, deep)
             n = int(np.searchsorted(-total, -a, side="left"))  # lanes longer than a
             valid = total[:n] > np.arange(a, b)[:, None]
-            h = self._window(x[a:b, :n], y[a:b, :n], keep[a:b, :n], valid, h[:n], scores[a:b, :n], learn)
+            own = None if rare is None else (wx[a:b, :n], wy[a:b, :n], rare)
+            h = self._window(x[a:b, :n], y[a:b, :n], keep[a:b, :n], valid, h[:n], scores[a:b, :n], learn, own)
         return scores.reshape(-1)[cell]
 
-    def _window(self, x, y, keep, valid, h, scores, learn):
+    def _window(self, x, y, keep, valid, h, scores, learn, own=None):
         p, k = self.p, self.hidden
         t_all, n = x.shape
         states = np.empty((t_all, n, k), dtype=np.float32)
@@ -117,6 +159,11 @@ class Gru:
         for t in range(t_all):
             h = h * keep[t][:, None]
             g, hu = p["x"][x[t]], h @ p["u"]
+            if own is not None:
+                at = np.flatnonzero(own[0][t] >= 0)
+                rows = own[2].parts[own[0][t][at]]
+                for j in range(rows.shape[1]):
+                    g[at] += p["x"][rows[:, j]]
             gates = 0.5 * np.tanh(0.5 * (g[:, : 2 * k] + hu[:, : 2 * k])) + 0.5
             z, r, hc = gates[:, :k], gates[:, k:], hu[:, 2 * k :]
             c = np.tanh(g[:, 2 * k :] + r * hc)
@@ -127,6 +174,8 @@ class Gru:
         full = bool(valid.all())
         flat, target = (states.reshape(-1, k), y.reshape(-1)) if full else (states[valid], y[valid])
         found, d_flat, grads = self._softmax(flat, target, learn)
+        if own is not None:
+            self._paths(flat, own[1][valid], own[2], found, d_flat, grads)
         scores[valid] = found
         if learn and len(target):
             d_states = d_flat.reshape(states.shape) if full else np.zeros_like(states)
@@ -145,11 +194,15 @@ class Gru:
                 d_x[t, :, : 2 * k], d_x[t, :, 2 * k :] = d_hu[:, : 2 * k], dc
                 d_u += before.T @ d_hu
                 dh = (dh * z + d_hu @ p["u"].T) * keep[t][:, None]
-            symbols = x[valid]
-            order = np.argsort(symbols, kind="stable")
-            met, first = np.unique(symbols[order], return_index=True)
             grads["x"] = np.zeros_like(p["x"])
-            grads["x"][met] = np.add.reduceat(d_x[valid][order], first)
+            d_x = d_x[valid]
+            _add_rows(grads["x"], x[valid], d_x)
+            if own is not None:
+                words = own[0][valid]
+                at = np.flatnonzero(words >= 0)
+                rows, d_own = own[2].parts[words[at]], d_x[at]
+                for j in range(rows.shape[1]):
+                    _add_rows(grads["x"], rows[:, j], d_own)
             grads["u"] = d_u
             self._gather(grads, len(target))
         return h
@@ -197,6 +250,28 @@ class Gru:
             d_h[order] += d_within
         return out, d_h, grads
 
+    def _paths(self, h, words, rare, out, d_h, grads):
+        """Adds the decisions below the symbols to the log-probabilities ``out`` and, when learning, their gradients."""
+        p = self.p
+        if d_h is not None:
+            grads["v"] = np.zeros_like(p["v"])
+        at = np.flatnonzero(words >= 0)
+        begin = rare.first[words[at]]
+        size = rare.first[words[at] + 1] - begin
+        at, begin, size = at[size > 0], begin[size > 0], size[size > 0]
+        if not len(at):
+            return
+        step, row = take_ranges(begin, size), np.repeat(at, size)
+        node, side, mine = rare.node[step], rare.side[step], h[row]
+        vectors = p["v"][node]
+        odds = np.exp(-rare.bias[step] - side * np.einsum("ij,ij->i", mine, vectors))  # against the side taken
+        first = np.cumsum(size) - size
+        out[at] -= np.add.reduceat(np.log1p(odds), first)
+        if d_h is not None:
+            d = (-side * odds / (1 + odds))[:, None]
+            d_h[at] += np.add.reduceat(d * vectors, first)
+            _add_rows(grads["v"], node, d * mine)
+
     def _gather(self, grads, n):
         """Windows that few lanes reach wait for others: an update averages ``UPDATE_TOKENS`` tokens at least."""
         if self.waiting:

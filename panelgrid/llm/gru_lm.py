@@ -3,9 +3,10 @@
 1. Documents become blocks of word numbers with the block's distinct words (64-bit hashes) and their training counts.
 2. Blocks send their words to buckets of the hash; a bucket adds up the counts of its words and answers each block. A
    frequent word is one entry a block. Counts, their sum and their number cover the whole corpus.
-3. The ``SYMBOLS`` most frequent words are the recurrent model's own; each other word is its
-   class "other" times the word's share by smoothed counts, so the model is a distribution over all known
-   words, one unknown and the end.
+3. The ``SYMBOLS`` most frequent words are the recurrent model's own. Every other word enters as the sum of hashed
+   sub-vectors, as many as tell the corpus's words apart, and leaves as a symbol of its hash class followed by the
+   bits of its hash down to where no other word shares them: each bit is a decision of the recurrent state around the
+   odds of the corpus counts. The model is a distribution over all known words, one unknown of each class and the end.
 4. Every training document takes part in training once: in each of ``ROUNDS`` rounds the tasks train copies on
    their part of that round's blocks, and the mean of the copies, weighted by tokens, goes on.
 """
@@ -19,11 +20,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelgrid.llm.gru import Gru, flatten, initial, make_classes, unflatten
+from panelgrid.llm.gru import Gru, Rare, flatten, initial, make_classes, unflatten
 from panelgrid.llm.job import column, map_batches, pack, stored, unpack
-from panelgrid.llm.text import NOT_SPACE, bytes_of, slabs, split_words
+from panelgrid.llm.text import NOT_SPACE, bytes_of, mix, slabs, split_words, take_ranges
 
-SYMBOLS = 1022  # with "other" and the end
+SYMBOLS = 1022  # words with a symbol of their own
+CLASS_BITS = 10  # of the hash: classes of the other words
+PART = 512  # sub-vectors of each part of the hash
+NODES = 1024  # vectors of the decisions, found by hash
+FLAT = 4096  # parameters in a row when copies are averaged
 ROUNDS = 2
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
@@ -70,9 +75,8 @@ def token_blocks(docs: DataFrame) -> DataFrame:
     return map_batches(chosen, read, "block long, size long, body binary, words binary")
 
 
-def corpus_counts(blocks: DataFrame, buckets: int, symbols: int = SYMBOLS) -> DataFrame:
-    """(block, bucket, reply) with a block's counts in the order of its words; and one row a bucket with block null:
-    tokens, distinct words and the bucket's most frequent ones, which may be among the first ``symbols`` of all."""
+def word_messages(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, message): the words of a block in the bucket, a range of hashes, and their training counts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -85,110 +89,220 @@ def corpus_counts(blocks: DataFrame, buckets: int, symbols: int = SYMBOLS) -> Da
                     "message": [pack(vocab[edges[i] : edges[i + 1]], counts[edges[i] : edges[i + 1]]) for i in full.tolist()],
                 }
 
+    return map_batches(blocks.select("block", "words"), send, "bucket long, block long, message binary")
+
+
+def added(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct words of a bucket, their counts, and the places of each message's words among them."""
+    parts = [unpack(m) for m in frame["message"]]
+    words, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    total = np.zeros(len(words), dtype=np.int64)
+    np.add.at(total, which, np.concatenate([p[1] for p in parts]))
+    return words, total, np.split(which, np.cumsum([len(p[0]) for p in parts])[:-1])
+
+
+def cell_bits(buckets: int) -> int:
+    """Bits of the hash by which words are summed: a cell lies in one bucket and in one class."""
+    return max(CLASS_BITS, buckets.bit_length() - 1)
+
+
+def bucket_sums(messages: DataFrame, buckets: int, symbols: int = SYMBOLS) -> DataFrame:
+    """A row a bucket: tokens and distinct words of each of its cells, the count of the end, and its most frequent
+    words, which may be among the first ``symbols`` of all."""
+    cells = (1 << cell_bits(buckets)) // buckets
+
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(m) for m in frame["message"]]
-        words, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        total = np.zeros(len(words), dtype=np.int64)
-        np.add.at(total, which, np.concatenate([p[1] for p in parts]))
-        sizes = [len(p[0]) for p in parts]
-        mine = np.split(total[which], np.cumsum(sizes)[:-1])
-        best = np.lexsort((words, -total))[: symbols + 1]
+        words, total, _ = added(frame)
+        bucket = int(frame["bucket"].iloc[0])
+        ends = int(total[words == END].sum())
+        total[words == END] = 0
+        cell = (words >> np.uint64(64 - cell_bits(buckets))).astype(np.int64) - bucket * cells
+        best = np.lexsort((words, -total))[:symbols]
         best = best[total[best] > 0]
-        replies = pd.DataFrame({
-            "block": frame["block"], "bucket": frame["bucket"], "reply": [pack(m) for m in mine],
-            "tokens": 0, "distinct": 0, "top": None,
-        })
-        sums = pd.DataFrame({
-            "block": [None], "bucket": [frame["bucket"].iloc[0]], "reply": [None], "tokens": [int(total.sum())],
-            "distinct": [int((total > 0).sum())],
+        return pd.DataFrame({
+            "bucket": [bucket], "ends": [ends],
+            "tokens": [np.bincount(cell, total, cells).astype(np.int64)], "distinct": [np.bincount(cell, total > 0, cells).astype(np.int64)],
             "top": [[{"word": int(w), "n": int(c)} for w, c in zip(words[best].view(np.int64), total[best])]],
         })
-        out = pd.concat([replies, sums], ignore_index=True)
-        out["block"] = out["block"].astype("Int64")
-        return out
 
-    messages = map_batches(blocks.select("block", "words"), send, "bucket long, block long, message binary")
     return messages.groupBy("bucket").applyInPandas(
-        add, "block long, bucket long, reply binary, tokens long, distinct long, top array<struct<word:long,n:long>>"
+        add, "bucket long, ends long, tokens array<long>, distinct array<long>, top array<struct<word:long,n:long>>"
     )
 
 
-def vocabulary(counts: DataFrame, symbols: int = SYMBOLS) -> dict:
-    """Corpus totals and the recurrent model's symbols; at most ``symbols`` rows reach the driver."""
-    sums = counts.where("block IS NULL")
-    total = sums.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
-    end = int(END.astype(np.int64))
-    top = (
-        sums.select(F.explode("top").alias("t")).select("t.word", "t.n").where(F.col("word") != end)
-        .orderBy(F.desc("n"), "word").limit(symbols).collect()
-    )
-    ends = sums.select(F.explode("top").alias("t")).where(F.col("t.word") == end).agg(F.sum("t.n")).first()[0] or 0
-    n, v = int(total["tokens"] or 0), int(total["distinct"] or 0)
-    words = np.array([r["word"] for r in top] + [end], dtype=np.int64).view(np.uint64)
+def vocabulary(sums: DataFrame, buckets: int, symbols: int = SYMBOLS) -> dict:
+    """Corpus totals, the symbols and the weight of the rare words of each cell; at most ``symbols`` words and two
+    numbers a cell (1,024, or one a bucket) reach the driver."""
+    bits = cell_bits(buckets)
+    tokens, distinct = (np.zeros((buckets, (1 << bits) // buckets), dtype=np.int64) for _ in range(2))
+    ends = 0
+    for r in sums.select("bucket", "ends", "tokens", "distinct").collect():
+        tokens[r["bucket"]], distinct[r["bucket"]] = r["tokens"], r["distinct"]
+        ends += r["ends"]
+    top = sums.select(F.explode("top").alias("t")).select("t.word", "t.n").orderBy(F.desc("n"), "word").limit(symbols).collect()
+    n, v = int(tokens.sum()) + ends, int(distinct.sum()) + (ends > 0)
+    words = np.array([r["word"] for r in top] + [END.astype(np.int64)], dtype=np.int64).view(np.uint64)
     own = np.array([r["n"] for r in top] + [ends], dtype=np.int64)
-    other = n - own.sum()
-    weights = np.append(own, other)  # words, end, other
+    tokens, distinct = tokens.reshape(-1), distinct.reshape(-1)
+    cell = (words[:-1] >> np.uint64(64 - bits)).astype(np.int64)
+    np.subtract.at(tokens, cell, own[:-1])
+    np.subtract.at(distinct, cell, 1)
+    mass = tokens + UNKNOWN_WEIGHT * distinct
+    weights = np.concatenate([own, tokens.reshape(1 << CLASS_BITS, -1).sum(axis=1)])  # words, end, classes
     order = np.argsort(-weights, kind="stable")
     symbol = np.empty(len(weights), dtype=np.int16)
     symbol[order] = np.arange(len(weights))
     by_hash = np.argsort(words)
-    known_kinds = len(top) + (1 if ends else 0)
+    parts = 1
+    while PART**parts << CLASS_BITS < 8 * v:  # few words share their class and all parts
+        parts += 1
     return {
-        "n": n, "v": v, "words": words[by_hash], "symbols": symbol[:-1][by_hash], "other": int(symbol[-1]),
-        "end": int(symbol[len(top)]), "counts": weights[order].astype(np.float64),
-        # smoothed mass of what is not a symbol: rarer words and the unknown one
-        "rest": float(other + UNKNOWN_WEIGHT * (v + 1 - known_kinds)),
+        "n": n, "v": v, "words": words[by_hash], "symbols": symbol[: len(words)][by_hash], "classes": symbol[len(words) :],
+        "end": int(symbol[len(top)]), "counts": weights[order].astype(np.float64), "parts": parts,
+        "mass": mass, "class_mass": mass.reshape(1 << CLASS_BITS, -1).sum(axis=1),
     }
 
 
-def symbols_of(vocab: np.ndarray, model: dict) -> np.ndarray:
+def paths(words: np.ndarray, weight: np.ndarray, bucket: int, buckets: int, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Decisions of the ordered rare ``words`` of a bucket below their class, word by word: how many, the bit of each, and the
+    log odds of the side taken by weight. Bits that all words of a node share are no decision."""
+    at, bit, odds = [], [], []
+    depth, bits = buckets.bit_length() - 1, cell_bits(buckets)
+    for b in range(CLASS_BITS, depth):  # above the bucket
+        own = bucket >> (depth - b - 1)
+        taken, other = (mass[c << (bits - b - 1) : (c + 1) << (bits - b - 1)].sum() for c in (own, own ^ 1))
+        if other > 0:
+            at.append(np.arange(len(words)))
+            bit.append(np.full(len(words), b))
+            odds.append(np.full(len(words), np.log(taken / other)))
+    left, b = np.arange(len(words)), max(CLASS_BITS, depth)
+    while len(left):
+        held = words[left] >> np.uint64(64 - b)
+        new = np.append(True, held[1:] != held[:-1])
+        several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+        left, new = left[several], new[several]
+        if not len(left):
+            break
+        node = np.cumsum(new) - 1
+        below = words[left] >> np.uint64(63 - b)
+        child = np.cumsum(np.append(True, below[1:] != below[:-1])) - 1
+        taken = np.bincount(child, weight[left])[child]
+        split = np.bincount(node)[node] > np.bincount(child)[child]
+        other = np.bincount(node, weight[left])[node] - taken
+        at.append(left[split])
+        bit.append(np.full(int(split.sum()), b))
+        odds.append(np.log(taken[split] / other[split]))
+        b += 1
+    if not at:
+        return np.zeros(len(words), dtype=np.uint8), np.empty(0, dtype=np.uint8), np.empty(0, dtype=np.float16)
+    at, bit, odds = np.concatenate(at), np.concatenate(bit), np.concatenate(odds)
+    order = np.argsort(at, kind="stable")
+    return np.bincount(at, minlength=len(words)).astype(np.uint8), bit[order].astype(np.uint8), odds[order].astype(np.float16)
+
+
+def word_replies(messages: DataFrame, model: dict, buckets: int) -> DataFrame:
+    """(block, bucket, reply): counts and decisions of a block's words, in their order."""
+    frequent, mass = model["words"], model["mass"]
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        words, total, places = added(frame)
+        rare = (total > 0) & ~np.isin(words, frequent)
+        sizes = np.zeros(len(words), dtype=np.uint8)
+        sizes[rare], bit, odds = paths(words[rare], total[rare] + UNKNOWN_WEIGHT, int(frame["bucket"].iloc[0]), buckets, mass)
+        first = np.cumsum(sizes, dtype=np.int64) - sizes
+        replies = []
+        for own in places:
+            steps = take_ranges(first[own], sizes[own].astype(np.int64))
+            by_bit = np.argsort(bit[steps], kind="stable")  # neighbours share the odds of their first bits
+            replies.append(pack(total[own], sizes[own], bit[steps], odds[steps][by_bit]))
+        return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "reply": replies})
+
+    return messages.groupBy("bucket").applyInPandas(add, "block long, bucket long, reply binary")
+
+
+def opened(words: bytes, replies: list, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Rare]:
+    """Of a block's distinct words: hash, count, symbol, place among the rare ones or -1; and these."""
+    vocab = unpack(words)[0]
+    parts = [unpack(r["reply"]) for r in sorted(replies, key=lambda r: r["bucket"])]
+    count, sizes, bit = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    bias, done = np.empty(len(bit), dtype=np.float16), 0
+    for p in parts:
+        bias[done + np.argsort(p[2], kind="stable")] = p[3]
+        done += len(p[2])
     at = np.minimum(np.searchsorted(model["words"], vocab), len(model["words"]) - 1)
-    return np.where(model["words"][at] == vocab, model["symbols"][at], model["other"]).astype(np.int16)
+    rare = model["words"][at] != vocab
+    symbol = np.where(rare, model["classes"][(vocab >> np.uint64(64 - CLASS_BITS)).astype(np.int64)], model["symbols"][at])
+    place = np.where(rare, np.cumsum(rare) - 1, -1).astype(np.int32)
+    mixed = mix(vocab[rare])
+    rows = [len(model["counts"]) + PART * j + ((mixed >> np.uint64(9 * j)) & np.uint64(PART - 1)) for j in range(model["parts"])]
+    held, bit = np.repeat(vocab, sizes), bit.astype(np.uint64)
+    prefix = held >> (np.uint64(64) - bit)
+    node = mix(prefix * np.uint64(64) + bit) & np.uint64(NODES - 1)
+    side = ((held >> (np.uint64(63) - bit)) & np.uint64(1)).astype(np.int8) * np.int8(2) - np.int8(1)
+    first = np.append(0, np.cumsum(sizes[rare], dtype=np.int64))
+    return vocab, count, symbol.astype(np.int16), place, Rare(
+        np.stack(rows, axis=1).astype(np.int16), first, node.astype(np.int16), side, bias
+    )
+
+
+def joined(tables: list[Rare], words: list[np.ndarray]) -> tuple[np.ndarray, Rare]:
+    """Rare words of several blocks as one table, and the blocks' words in it."""
+    kinds = np.cumsum([0] + [len(t.parts) for t in tables])
+    steps = np.cumsum([0] + [len(t.node) for t in tables])
+    rare = Rare(
+        np.concatenate([t.parts for t in tables]),
+        np.concatenate([t.first[:-1] + s for t, s in zip(tables, steps)] + [steps[-1:]]),
+        *(np.concatenate([getattr(t, name) for t in tables]) for name in ("node", "side", "bias")),
+    )
+    return np.concatenate([np.where(w >= 0, w + k, -1).astype(np.int32) for w, k in zip(words, kinds.tolist())]), rare
 
 
 def train(blocks: DataFrame, model: dict, rounds: int = ROUNDS) -> tuple[dict, np.ndarray]:
     """Parameters after all training documents were seen once, and the class edges."""
     edges = make_classes(model["counts"])
-    params = initial(model["counts"], edges)
+    params = initial(model["counts"], edges, parts=PART * model["parts"], nodes=NODES)
     for turn in range(rounds):
         flat = flatten(params)
         share = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == turn)
 
         def learn(batches: Iterator[pa.RecordBatch], flat=flat) -> Iterator[dict]:
             gru, seen = Gru(unflatten(flat, params), edges), 0
-            ids, sizes = [], []
+            ids, sizes, words, tables = [], [], [], []
 
             def step():
                 offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-                gru.run(np.concatenate(ids), offsets, model["end"], learn=True)
+                gru.run(np.concatenate(ids), offsets, model["end"], True, *joined(tables, words))
 
             for batch in batches:
-                for body, words in zip(column(batch, "body"), column(batch, "words")):
+                for body, hashes, got in zip(column(batch, "body"), column(batch, "words"), column(batch, "replies").to_pylist()):
                     _, _, held, offsets, numbers = unpack(body.as_py())
-                    own = symbols_of(unpack(words.as_py())[0], model)[numbers]
+                    _, _, symbol, place, rare = opened(hashes.as_py(), got, model)
                     length = np.diff(offsets)
                     keep = held == 0
-                    ids.append(own[np.repeat(keep, length)])
+                    numbers = numbers[np.repeat(keep, length)]
+                    ids.append(symbol[numbers])
+                    words.append(place[numbers])
+                    tables.append(rare)
                     sizes.append(length[keep])
-                    seen += len(ids[-1])
+                    seen += len(numbers)
                     if sum(map(len, ids)) >= RUN_TOKENS:
                         step()
-                        ids, sizes = [], []
+                        ids, sizes, words, tables = [], [], [], []
             if ids and sum(map(len, ids)):
                 step()
             if seen:
-                yield {"seen": [seen], "flat": [flatten(gru.p).tolist()]}
-
-        copies = map_batches(share.select("body", "words"), learn, "seen long, flat array<double>")
-        mean = (
-            copies.select("seen", F.posexplode("flat").alias("at", "value")).groupBy("at")
-            .agg((F.sum(F.col("seen") * F.col("value")) / F.sum("seen")).alias("value"))
-        )
-        found = mean.toPandas()  # as many rows as the model has parameters
+                flat = flatten(gru.p)
+                for a in range(0, len(flat), FLAT):
+                    yield {"at": [a], "seen": [seen], "flat": [flat[a : a + FLAT].tobytes()]}
+
+        def average(frame: pd.DataFrame) -> pd.DataFrame:
+            own = sum(n * np.frombuffer(f, dtype=np.float32).astype(np.float64) for n, f in zip(frame["seen"], frame["flat"]))
+            return pd.DataFrame({"at": frame["at"].iloc[:1], "flat": [(own / frame["seen"].sum()).tobytes()]})
+
+        copies = map_batches(share.select("body", "words", "replies"), learn, "at long, seen long, flat binary")
+        found = stored(copies).groupBy("at").applyInPandas(average, "at long, flat binary").toPandas()  # the model's parameters
         if len(found):
-            flat = np.empty(len(found))
-            flat[found["at"].to_numpy()] = found["value"].to_numpy()
-            params = unflatten(flat, params)
+            params = unflatten(np.frombuffer(b"".join(found.sort_values("at")["flat"]), dtype=np.float64), params)
     return params, edges
 
 
@@ -202,33 +316,33 @@ def score_documents(docs: DataFrame, symbols: int = SYMBOLS, rounds: int = ROUND
     blocks = stored(token_blocks(docs))
     total = blocks.agg(F.sum("size")).first()[0] or 0
     buckets = 1 << min(20, int(total // BUCKET_BYTES).bit_length())
-    counts = stored(corpus_counts(blocks, buckets, symbols))
-    model = vocabulary(counts, symbols)
-    params, edges = train(blocks, model, rounds)
-    replies = counts.where("block IS NOT NULL").groupBy("block").agg(
+    messages = word_messages(blocks, buckets)
+    model = vocabulary(stored(bucket_sums(messages, buckets, symbols)), buckets, symbols)
+    replies = stored(word_replies(messages, model, buckets)).groupBy("block").agg(
         F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("replies")
     )
+    table = blocks.select("block", "body", "words").join(replies, "block")
+    params, edges = train(table, model, rounds)
     n, v = model["n"], model["v"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         gru, held_blocks = Gru(params, edges), []
 
         def answer():
-            sizes, ids, rows = [], [], []
-            for row, own, _, _ in held_blocks:
-                rows.append(row)
-                ids.append(own)
-                sizes.append(np.diff(row[3]))
+            sizes = [np.diff(row[3]) for row, _ in held_blocks]
+            ids = [words[2][row[4]] for row, words in held_blocks]
+            words = joined([words[4] for _, words in held_blocks], [words[3][row[4]] for row, words in held_blocks])
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-            found = gru.run(np.concatenate(ids), offsets, model["end"], learn=False).astype(np.float64) / np.log(10)
+            found = gru.run(np.concatenate(ids), offsets, model["end"], False, *words).astype(np.float64) / np.log(10)
             first = 0
-            for row, own, numbers, c in held_blocks:
-                doc_ids, known, held, bounds, _ = row
-                at = found[first : first + len(own)]
-                first += len(own)
+            for (doc_ids, known, held, bounds, numbers), (vocab, c, _, place, _) in held_blocks:
+                at = found[first : first + len(numbers)]
+                first += len(numbers)
                 logs = np.log10((c + UNKNOWN_WEIGHT) / (n + UNKNOWN_WEIGHT * (v + 1)))
-                inside = np.log10((c + UNKNOWN_WEIGHT) / model["rest"]) if model["rest"] > 0 else logs
-                tokens = at + np.where(own == model["other"], inside[numbers], 0.0)
+                rest = model["class_mass"][(vocab >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]
+                # a class holds its known words and one unknown
+                inside = np.log10(np.where(c > 0, rest, UNKNOWN_WEIGHT) / (rest + UNKNOWN_WEIGHT), where=place >= 0, out=np.zeros(len(c)))
+                tokens = at + inside[numbers]
                 sums = lambda values: np.add.reduceat(values, bounds[:-1])
                 yield {
                     "doc_id": pa.array(doc_ids, mask=known == 0), "held_out": held.astype(bool), "n_tokens": np.diff(bounds),
@@ -238,17 +352,14 @@ def score_documents(docs: DataFrame, symbols: int = SYMBOLS, rounds: int = ROUND
 
         for batch in batches:
             for body, words, got in zip(column(batch, "body"), column(batch, "words"), column(batch, "replies").to_pylist()):
-                row = unpack(body.as_py())
-                c = np.concatenate([unpack(r["reply"])[0] for r in sorted(got, key=lambda r: r["bucket"])])
-                own = symbols_of(unpack(words.as_py())[0], model)[row[4]]
-                held_blocks.append((row, own, row[4], c))
-                if sum(len(b[1]) for b in held_blocks) >= RUN_TOKENS:
+                held_blocks.append((unpack(body.as_py()), opened(words.as_py(), got, model)))
+                if sum(len(row[4]) for row, _ in held_blocks) >= RUN_TOKENS:
                     yield from answer()
                     held_blocks = []
         if held_blocks:
             yield from answer()
 
     return map_batches(
-        blocks.select("block", "body", "words").join(replies, "block").select("body", "words", "replies"), read,
+        table.select("body", "words", "replies"), read,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

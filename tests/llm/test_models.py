@@ -84,6 +84,86 @@ def test_training_beats_the_unigram():
     assert model.run(rank[ids], offsets, int(rank[0]), False).mean() > before + 0.5
 
 
+def rare_model():
+    """Six rare words behind the symbols 8 and 9, with two further rows of x each and a tree below each symbol."""
+    params, edges = small_model(2)
+    draw = np.random.default_rng(3)
+    params["x"] = np.concatenate([params["x"], draw.normal(0, 0.5, (4, 12)).astype(np.float32)])
+    params["v"] = draw.normal(0, 0.5, (4, 4)).astype(np.float32)
+    # each symbol: a decision for the first word against the others, then one between these
+    rare = gru.Rare(
+        np.array([[10, 12], [11, 12], [10, 13]] * 2), np.array([0, 1, 3, 5, 6, 8, 10]), np.array([0, 0, 1, 0, 1, 2, 2, 3, 2, 3]),
+        np.array([1, -1, 1, -1, -1] * 2, dtype=np.float32), np.array([0.7, -0.7, 0.2, -0.7, -0.2] * 2, dtype=np.float32),
+    )
+    return params, edges, rare
+
+
+def test_rare_words_are_told_apart_and_sum_to_one():
+    params, edges, rare = rare_model()
+    model = gru.Gru(params, edges)
+    kinds = [(i, -1) for i in range(8)] + [(8 + w // 3, w) for w in range(6)]
+    last = {}
+    for before in ([], [(8, 0)], [(8, 1)], [(3, -1), (9, 4)]):
+        found = []
+        for kind in kinds:
+            symbols, words = (np.array(x) for x in zip(*before, kind))
+            found.append(model.run(symbols.astype(np.int16), np.array([0, len(symbols)]), 0, False, words, rare)[-1])
+        assert np.exp(found).sum() == pytest.approx(1, abs=1e-5)
+        last[str(before)] = found
+    assert abs(np.subtract(last["[(8, 0)]"], last["[(8, 1)]"])).min() > 1e-4  # one symbol, two words
+
+
+def test_gradients_of_rare_words(monkeypatch):
+    params, edges, rare = rare_model()
+    params = {k: v.astype(np.float64) for k, v in params.items()}
+    monkeypatch.setattr(gru, "UPDATE_TOKENS", 1)
+    seen = {}
+    monkeypatch.setattr(gru.Gru, "_update", lambda self, grads, n: seen.update(grads))
+    ids, words = np.array([8, 4, 9, 8, 0, 3, 9, 8, 0], dtype=np.int16), np.array([0, -1, 5, 1, -1, -1, 4, 2, -1])
+    offsets = np.array([0, 5, 9])
+    gru.Gru(params, edges).run(ids, offsets, 0, True, words, rare)
+    loss = lambda p: -gru.Gru(p, edges).run(ids, offsets, 0, False, words, rare).astype(np.float64).sum()
+    draw = np.random.default_rng(0)
+    for name, grad in seen.items():
+        for i in draw.integers(0, grad.size, 24).tolist():
+            moved = []
+            for step in (1e-2, -1e-2):
+                p = {k: v.copy() for k, v in params.items()}
+                p[name].reshape(-1)[i] += step
+                moved.append(loss(p))
+            assert (moved[0] - moved[1]) / 2e-2 == pytest.approx(float(grad.reshape(-1)[i]), abs=5e-3), name
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 4096])
+def test_paths_give_each_word_its_share(buckets):
+    draw = np.random.default_rng(1)
+    words = np.sort(draw.integers(0, 1 << 55, 500, dtype=np.uint64))  # two classes
+    weight = draw.integers(1, 50, 500) + 0.5
+    bits = gru_lm.cell_bits(buckets)
+    mass = np.bincount((words >> np.uint64(64 - bits)).astype(int), weight, 1 << bits)
+    bucket = ((words >> np.uint64(44)).astype(int) * buckets) >> 20
+    cls = (words >> np.uint64(54)).astype(int)
+    for b in np.unique(bucket).tolist():
+        mine = bucket == b
+        sizes, _, odds = gru_lm.paths(words[mine], weight[mine], b, buckets, mass)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        share = np.exp(-np.bincount(row, np.logaddexp(0, -odds.astype(float)), len(sizes)))
+        assert share == pytest.approx(weight[mine] / np.bincount(cls, weight)[cls[mine]], rel=2e-2)
+
+
+def test_order_of_rare_words_counts(spark):
+    held = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    trained = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    draw = np.random.default_rng(0)
+    text = lambda k, step: " ".join(f"w{(k + step * i) % 60}" for i in range(40))
+    rows = [(i, text(int(draw.integers(60)), 1)) for i in trained[:600]]
+    rows += [(held[2 * k], text(k, 1)) for k in range(20)] + [(held[2 * k + 1], text(k + 39, -1)) for k in range(20)]  # the same words, backwards
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    score = {r["doc_id"]: r["score"] for r in gru_lm.score_documents(df, symbols=4).collect()}
+    ahead, back = (np.array([score[held[2 * k + j]] for k in range(20)]) for j in (0, 1))
+    assert (abs(ahead - back) > 1e-3).all() and ahead.sum() > back.sum()
+
+
 def base_of(rows):
     words = lambda t: re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) + [None]
     fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5
