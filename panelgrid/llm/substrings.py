@@ -6,11 +6,12 @@ copies of such a string must meet, without shuffling a row per byte:
 1. Every 50-byte string has an anchor, the smallest hash of its 16-byte strings; equal strings have
    equal anchors. Consecutive strings with one anchor are a segment (18 strings on average).
 2. Anchors are exchanged by hash; those of two documents or more are marked. What has no marked
-   anchor has no copy.
+   anchor has no copy. Anchors of more than ``HOT_SEGMENTS`` segments are hot.
 3. The bytes of marked segments, distinct within a chunk of documents, are exchanged by anchor. A
    task has all strings with an anchor. Where the segments of an anchor differ, their Burrows-Wheeler
    transform is expanded to the intervals of common prefix 50; an interval's smallest document is that of its string.
-   (Where they are all equal there is one string, and nothing to expand.)
+   (Where they are all equal there is one string, and nothing to expand.) The strings of a hot anchor are sent one by
+   one by their own hash instead, so that no group grows with the number of texts around a frequent phrase.
 4. Each chunk gets the smallest document of each of its strings and cuts its documents.
 
 Documents travel in chunks of a few MB, compressed, and all messages between a chunk and a bucket of anchors are
@@ -33,6 +34,7 @@ from panelgrid.llm.text import bytes_of, mix, powers, slabs, sliding_min, take_r
 LENGTH = 50
 GRAM = 16
 BUCKET_BYTES = 16 << 20  # bytes of text for each bucket of anchors
+HOT_SEGMENTS = 1 << 16  # of one anchor, about 4 MB
 LAST = np.iinfo(np.int64).max  # stands for a null id: after all ids
 BATCH_BYTES = 1 << 17  # of segments in one transform; small ones stay in the processor's cache
 
@@ -105,6 +107,21 @@ class Segments:
         np.minimum.at(least, which, order[chosen])
         return chosen[one], which, least
 
+    def single(self, chosen: np.ndarray, hot: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """From now on the segments are the ``chosen`` ones, each ``hot`` one as its single strings with their hash as anchor; their ``order``."""
+        up, down = powers(len(self.data) + 1)
+        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(3)) * up[: len(self.data)], out=total[1:])
+        whole, cut = chosen[~hot], chosen[hot]
+        start = take_ranges(self.start[cut], self.count[cut])
+        anchor = mix((total[start + self.length] - total[start]) * down[start])
+        row = np.concatenate([whole, np.repeat(cut, self.count[cut])])
+        self.start = np.concatenate([self.start[whole], start])
+        self.count = np.concatenate([self.count[whole], np.ones(len(start), dtype=np.int64)])
+        self.anchor = np.concatenate([self.anchor[whole], anchor])
+        self.row = self.row[row]
+        return order[row]
+
     def bytes_at(self, segment: np.ndarray) -> np.ndarray:
         return self.data[take_ranges(self.start[segment], self.count[segment] + self.length - 1)]
 
@@ -118,7 +135,8 @@ def opened(body: bytes, length: int) -> tuple[Segments, np.ndarray, np.ndarray]:
 
 
 def anchor_messages(table: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(bucket, chunk, keys): the chunk's anchors of the bucket, 5 bytes each, those of several documents first."""
+    """(bucket, chunk, several, keys, more): the chunk's anchors of the bucket, 5 bytes each, those of several documents
+    first; ``more`` packs which of them have several segments, and how many."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -133,16 +151,24 @@ def anchor_messages(table: DataFrame, buckets: int, length: int) -> DataFrame:
                 met, first = np.unique(bucket[by], return_index=True)
                 several = np.add.reduceat(least[by] < most[by], first) if len(first) else first
                 edges = np.append(first, len(by))
+                held = np.bincount(s.which, minlength=len(s.anchors))[by]
+                most_held = np.flatnonzero(held > 1)
+                bounds = np.searchsorted(most_held, edges)
+                more = [
+                    pack((most_held[a:b] - f).astype(np.int32), held[most_held[a:b]].astype(np.int32)) if a < b else None
+                    for a, b, f in zip(bounds[:-1].tolist(), bounds[1:].tolist(), first.tolist())
+                ]
                 yield {
                     "bucket": met, "chunk": np.full(len(met), chunk), "several": several,
-                    "keys": binary_slices(np.ascontiguousarray(small).tobytes(), 5 * edges),
+                    "keys": binary_slices(np.ascontiguousarray(small).tobytes(), 5 * edges), "more": more,
                 }
 
-    return map_batches(table.select("chunk", "body"), read, "bucket long, chunk long, several long, keys binary")
+    return map_batches(table.select("chunk", "body"), read, "bucket long, chunk long, several long, keys binary, more binary")
 
 
-def marked_anchors(messages: DataFrame) -> DataFrame:
-    """(chunk, bucket, marks): a bit for each key of a message, set where two documents or more have it."""
+def marked_anchors(messages: DataFrame, hot: int = HOT_SEGMENTS) -> DataFrame:
+    """(chunk, bucket, marks): a bit for each key of a message, set where two documents or more have it; where keys of the
+    message have more than ``hot`` segments in all chunks, bits for these follow."""
 
     def mark(frame: pd.DataFrame) -> pd.DataFrame:
         sizes = np.array([len(k) // 5 for k in frame["keys"]])
@@ -151,11 +177,20 @@ def marked_anchors(messages: DataFrame) -> DataFrame:
         keys = wide.view(np.uint64).reshape(-1)
         first = np.cumsum(sizes) - sizes
         _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
+        segments = count.copy()
+        for a, more in zip(first.tolist(), frame["more"]):
+            if more is not None:
+                at, n = unpack(more)
+                np.add.at(segments, which[a + at], n.astype(np.int64) - 1)
         count[which[take_ranges(first, frame["several"].to_numpy())]] = 2
-        marks = count[which] > 1
+        marks, many = count[which] > 1, segments[which] > hot
+        bits = lambda flags: np.packbits(flags).tobytes()
         return pd.DataFrame({
             "chunk": frame["chunk"], "bucket": frame["bucket"],
-            "marks": [np.packbits(marks[a : a + n]).tobytes() for a, n in zip(first.tolist(), sizes.tolist())],
+            "marks": [
+                bits(marks[a : a + n]) + (bits(many[a : a + n]) if many[a : a + n].any() else b"")
+                for a, n in zip(first.tolist(), sizes.tolist())
+            ],
         })
 
     return messages.groupBy("bucket").applyInPandas(mark, "chunk long, bucket long, marks binary")
@@ -167,8 +202,8 @@ def with_replies(table: DataFrame, replies: DataFrame) -> DataFrame:
     return table.select("chunk", "body").join(gathered, "chunk", "left")
 
 
-def chosen_segments(s: Segments, order: np.ndarray, marks: dict[int, bytes], buckets: int) -> np.ndarray:
-    """The segments whose anchors are marked, by the order of the keys that were sent."""
+def chosen_segments(s: Segments, order: np.ndarray, marks: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segments whose anchors are marked, by the order of the keys that were sent, and whether these are hot."""
     bucket = (s.anchors & np.uint64(buckets - 1)).astype(np.int64)
     least, most = np.full(len(s.anchors), LAST), np.full(len(s.anchors), np.iinfo(np.int64).min)
     np.minimum.at(least, s.which, order)
@@ -176,12 +211,16 @@ def chosen_segments(s: Segments, order: np.ndarray, marks: dict[int, bytes], buc
     by = np.lexsort((least >= most, bucket))
     met, first = np.unique(bucket[by], return_index=True)
     sizes = np.diff(np.append(first, len(by)))
-    flags = np.zeros(len(by), dtype=bool)
+    flags, many = np.zeros(len(by), dtype=bool), np.zeros(len(by), dtype=bool)
     for b, a, n in zip(met.tolist(), first.tolist(), sizes.tolist()):
-        flags[a : a + n] = np.unpackbits(np.frombuffer(marks[b], dtype=np.uint8), count=n)
-    marked = np.zeros(len(s.anchors), dtype=bool)
-    marked[by] = flags
-    return np.flatnonzero(marked[s.which])
+        got, own = np.frombuffer(marks[b], dtype=np.uint8), (n + 7) // 8
+        flags[a : a + n] = np.unpackbits(got[:own], count=n)
+        if len(got) > own:
+            many[a : a + n] = np.unpackbits(got[own:], count=n)
+    marked, hot = np.zeros(len(s.anchors), dtype=bool), np.zeros(len(s.anchors), dtype=bool)
+    marked[by], hot[by] = flags, many
+    chosen = np.flatnonzero(marked[s.which])
+    return chosen, hot[s.which[chosen]]
 
 
 def replies_of(row) -> dict[int, bytes]:
@@ -196,7 +235,10 @@ def segment_messages(table: DataFrame, buckets: int, length: int) -> DataFrame:
         for batch in batches:
             for chunk, body, replies in zip(column(batch, "chunk").to_pylist(), column(batch, "body"), column(batch, "replies").to_pylist()):
                 s, _, order = opened(body.as_py(), length)
-                chosen = chosen_segments(s, order, replies_of(replies), buckets)
+                chosen, hot = chosen_segments(s, order, replies_of(replies), buckets)
+                if hot.any():
+                    order = s.single(chosen, hot, order)
+                    chosen = np.arange(len(order))
                 one, which, least = s.distinct(chosen, order)
                 bucket = (s.anchor[one] & np.uint64(buckets - 1)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
@@ -293,7 +335,7 @@ def resolved(messages: DataFrame, length: int) -> DataFrame:
     return messages.where("bucket >= 0").groupBy("bucket").applyInPandas(solve, "chunk long, bucket long, reply binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT_SEGMENTS) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs as start, end in bytes), kept (the other bytes in order).
 
     Null and empty texts have no bytes; texts shorter than ``length`` lose nothing. Rows that share an id do not
@@ -303,7 +345,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BU
     table = stored(chunks(docs))
     total = table.agg(F.sum("size")).first()[0] or 0
     buckets = 1 << min(20, max(0, int(total // bucket_bytes).bit_length()))
-    marks = stored(marked_anchors(anchor_messages(table, buckets, length)).withColumnRenamed("marks", "reply"))
+    marks = stored(marked_anchors(anchor_messages(table, buckets, length), hot).withColumnRenamed("marks", "reply"))
     messages = stored(segment_messages(with_replies(table, marks), buckets, length))
     replies = stored(resolved(messages, length))
     own = messages.where("bucket = -1").select("chunk", "bucket", F.col("block").alias("reply"))

@@ -160,5 +160,35 @@ def test_repeated_substrings_equal_brute_force(spark, bucket_bytes):
     assert sorted(got, key=str) == removed(rows, 50)
 
 
+def phrases():
+    """A frequent phrase in texts that all differ around it."""
+    rows = [(900 + i, prose(2000 + i, 6) + " the same frequent phrase of more than fifty bytes, in every text " + prose(4000 + i, 6)) for i in range(60)]
+    return rows + awkward_rows()
+
+
+@pytest.mark.parametrize("hot", [2, 20])
+def test_hot_anchors_equal_brute_force(spark, hot):
+    df = with_clashes(spark.createDataFrame(phrases(), "doc_id long, text string")).repartition(4)
+    got = [
+        (r["doc_id"], r["n_bytes"], tuple((s["start"], s["end"]) for s in r["spans"]), bytes(r["kept"]))
+        for r in substrings.remove_repeats(df, 50, 1 << 11, hot).collect()
+    ]
+    assert sorted(got, key=str) == removed(phrases(), 50)
+
+
+@pytest.mark.parametrize("hot", [20, 1 << 16])
+def test_segments_of_a_group_are_bounded(spark, hot):
+    table = substrings.chunks(spark.createDataFrame(phrases(), "doc_id long, text string").repartition(4)).cache()
+    marks = substrings.marked_anchors(substrings.anchor_messages(table, 8, 50), hot).withColumnRenamed("marks", "reply")
+    groups = {}
+    for r in substrings.segment_messages(substrings.with_replies(table, marks), 8, 50).where("bucket >= 0").collect():
+        anchor, _, count, data = substrings.unpack(bytes(r["block"]))
+        at = 0
+        for a, n in zip(anchor.tolist(), count.tolist()):
+            groups.setdefault(a, set()).add(data[at : at + n + 49].tobytes())
+            at += n + 49
+    assert (max(map(len, groups.values())) <= 20) == (hot == 20)  # without splitting the phrase's edges are one group
+
+
 def test_no_documents(spark, empty):
     assert substrings.remove_repeats(empty).count() == 0
