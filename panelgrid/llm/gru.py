@@ -282,7 +282,13 @@ class Gru:
             self._update(grads, self.seen)
             self.waiting, self.seen = None, 0
 
-    def _update(self, grads, n):
+    def finish(self):
+        """Applies what waits when no more tokens come, weighted by its tokens."""
+        if self.waiting:
+            self._update(self.waiting, self.seen, self.seen / UPDATE_TOKENS)
+            self.waiting, self.seen = None, 0
+
+    def _update(self, grads, n, weight=1.0):
         self.steps += 1
         norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values())) / n
         scale = np.float32(min(1.0, CLIP / max(norm, 1e-12)) / n)
@@ -294,4 +300,4 @@ class Gru:
             v *= 0.99
             v += 0.01 * g * g
             step = m / (1 - 0.9**self.steps) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-8)
-            self.p[name] -= np.float32(RATE) * step.astype(np.float32)
+            self.p[name] -= np.float32(RATE * weight) * step.astype(np.float32)

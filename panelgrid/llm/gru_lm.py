@@ -291,6 +291,7 @@ def train(blocks: DataFrame, model: dict, rounds: int = ROUNDS) -> tuple[dict, n
             if ids and sum(map(len, ids)):
                 step()
             if seen:
+                gru.finish()
                 flat = flatten(gru.p)
                 for a in range(0, len(flat), FLAT):
                     yield {"at": [a], "seen": [seen], "flat": [flat[a : a + FLAT].tobytes()]}

@@ -164,6 +164,18 @@ def test_order_of_rare_words_counts(spark):
     assert (abs(ahead - back) > 1e-3).all() and ahead.sum() > back.sum()
 
 
+def test_few_tokens_train_and_the_end_is_counted(spark):
+    rows = [(i, prose(i, 300)) for i in range(8)]
+    blocks = gru_lm.token_blocks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).cache()
+    messages = gru_lm.word_messages(blocks, 1)
+    model = gru_lm.vocabulary(gru_lm.bucket_sums(messages, 1, 3), 1, 3)  # the end is not among the three
+    assert model["counts"][model["end"]] == sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(8))
+    replies = gru_lm.word_replies(messages, model, 1).selectExpr("block", "array(struct(bucket, reply)) AS replies")
+    params, edges = gru_lm.train(blocks.join(replies, "block"), model)
+    start = gru.initial(model["counts"], edges, parts=gru_lm.PART * model["parts"], nodes=gru_lm.NODES)
+    assert model["n"] < gru.UPDATE_TOKENS and abs(params["u"] - start["u"]).max() > 0
+
+
 def base_of(rows):
     words = lambda t: re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) + [None]
     fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5
