@@ -168,3 +168,55 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(comp.c
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN member m ON m.doc_id = d.doc_id
 LEFT JOIN comp ON comp.x = m.id
 """
+
+
+@query
+def op12_pivot_part_codes(spark, folder):
+    from panelgrid.llm.partcodes import compress
+
+    return compress(table(spark, folder, "embeddings"))
+
+
+def _part_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Rounds of assignment and update over all (part, entry) pairs."""
+    steps = [f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT r, part, v[part * w + 1 : part * w + w] AS x
+  FROM (SELECT r, v, len(v) // {parts} AS w, unnest(range({parts})) AS part FROM v)
+), b0 AS (SELECT part, r - 1 AS entry, x AS e FROM p WHERE r <= {entries})"""]
+    near = """
+, a{i} AS MATERIALIZED (
+  SELECT r, part, arg_min(entry, [d, entry]) AS entry, min(d) AS d FROM (
+    SELECT p.r, p.part, b.entry, CAST(list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    FROM p JOIN b{i} b ON p.part = b.part) GROUP BY r, part
+)"""
+    for i in range(rounds):
+        steps.append(near.format(i=i))
+        steps.append(f"""
+, m{i} AS (
+  SELECT part, entry, list(m ORDER BY k) AS e FROM (
+    SELECT part, entry, k, CAST(floor(CAST(sum(c) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (
+      SELECT a.part, a.entry, unnest(range(len(p.x))) AS k, unnest(p.x) AS c FROM a{i} a JOIN p ON a.r = p.r AND a.part = p.part)
+    GROUP BY part, entry, k) GROUP BY part, entry
+), b{i + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.e, b.e) AS e FROM b{i} b LEFT JOIN m{i} m ON b.part = m.part AND b.entry = m.entry
+)""")
+    steps.append(near.format(i=rounds))
+    steps.append(f"""
+, h AS (
+  SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}
+), c AS (
+  SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY r
+)
+SELECT v.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, codebooks_sha256
+FROM c JOIN v ON c.r = v.r, h""")
+    return "".join(steps)
+
+
+SQL["op12_pivot_part_codes"] = _part_codes_sql()
