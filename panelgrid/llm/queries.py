@@ -220,3 +220,74 @@ FROM c JOIN v ON c.r = v.r, h""")
 
 
 SQL["op12_pivot_part_codes"] = _part_codes_sql()
+
+
+@query
+def op11_hybrid_ranked_search(spark, folder):
+    from panelgrid.llm.ranked import ranked_search
+
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SQL["op11_hybrid_ranked_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT row_number() OVER () AS q, item_id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), s AS (
+  SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0
+), p AS (
+  SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM i) GROUP BY r, term
+), t AS (
+  SELECT term, CAST(floor(1000 * ln((2 * s.n + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s GROUP BY term, s.n
+), v AS (
+  SELECT p.r, p.term, t.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * len(d.w) * s.n) // s.l))) AS x
+  FROM p JOIN t ON p.term = t.term JOIN d ON p.r = d.r, s
+), scored AS (
+  SELECT i.q, i.item_id, v.r, CAST(sum(v.x) AS BIGINT) AS score FROM i JOIN v ON i.term = v.term GROUP BY i.q, i.item_id, v.r
+), ranked AS (
+  SELECT q, item_id, d.doc_id, score,
+         CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, d.doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM scored JOIN d ON scored.r = d.r WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op13_debruijn_repeats(spark, folder):
+    from panelgrid.llm.debruijn import remove_repeated_windows
+
+    found = remove_repeated_windows(table(spark, folder, "documents"))
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", size.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op13_debruijn_repeats"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS MATERIALIZED (
+  SELECT r, doc_id, i, hash(array_to_string(w[i:i + 49], ' ')) AS h, md5(array_to_string(w[i:i + 49], ' ')) AS m
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), least AS (
+  SELECT h, m, min(doc_id) AS first_id FROM windows GROUP BY h, m
+), hit AS (
+  SELECT r, i FROM windows JOIN least ON windows.h = least.h AND windows.m = least.m
+  WHERE first_id < doc_id OR (doc_id IS NULL AND first_id IS NOT NULL)
+), word AS (
+  SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM d
+), marked AS (
+  SELECT word.r, word.i, word.word,
+         max(CASE WHEN hit.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY word.r ORDER BY word.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM word LEFT JOIN hit ON word.r = hit.r AND word.i = hit.i
+), kept AS (
+  SELECT r, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM marked GROUP BY r
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.r = kept.r
+"""
