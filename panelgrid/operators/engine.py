@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from panelgrid.config import StudyConfig
 from panelgrid.operators.blocks import BLOCK, TimeAxis, spread
 from panelgrid.operators.kernel import solve_windows
+from panelgrid.operators.triangles import reduced, summary_columns, summary_fields
 
 SEED_BLOCK = "_seeds"
 
@@ -48,49 +50,75 @@ def _matrix(column: pa.ChunkedArray, n: int, order: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(n, -1)[order])
 
 
-def rolling_forecasts(
-    panel: DataFrame,
-    config: StudyConfig,
-    axis: TimeAxis = TimeAxis(),
-    date: str | None = None,
-    targets: Sequence[str] | None = None,
-    seed_key: str | None = None,
-) -> DataFrame:
-    """Forecast every decision row of every series for every seed, complexity and z.
+def seed_blocks(config: StudyConfig) -> list[list[int]]:
+    return [list(config.seeds[i : i + config.seed_block]) for i in range(0, len(config.seeds), config.seed_block)]
 
-    ``panel`` holds ``(*keys, t, y ARRAY<DOUBLE>, x ARRAY<DOUBLE>)`` with gapless,
-    finite rows (see ``to_arrays``). Output rows are ``(*keys, seed, P, z, t, forecast,
-    realized, beta_norm)``; with ``date`` also ``obs``, the date of the forecast row
-    t+1; with ``targets`` a ``target`` column naming the entries of ``y``, which share
-    one set of features. ``seed_key`` names a key that holds the seed of a series, for
-    panels whose rows were themselves drawn per seed; ``config.seeds`` is then unused.
 
-    Decision rows are cut into chunks of ``config.chunk`` with a halo of ``window``
-    rows before and one after, and seeds into blocks, so neither a long series nor a
-    long seed list ends up in one task. Weights are drawn from the seed inside the
-    task and never shuffled. The partition count is given explicitly: the stage is
+def chunked_panel(panel: DataFrame, config: StudyConfig, axis: TimeAxis, n_blocks: int) -> tuple[DataFrame, list[str]]:
+    """Rows of every (series, chunk, block of seeds), dealt to the partitions of the kernel stage; and the group's columns.
+
+    A chunk has a halo of ``window`` rows before and one after. The partition count is given explicitly: the stage is
     bound by arithmetic, and partitions coalesced by their byte size would serialise it.
     """
     spark = panel.sparkSession
     pin_blas(spark)
-    keys, t = list(axis.keys), axis.t
-    window, z_labels, p_grid = config.window, config.z_labels, config.p_grid
-    seeds = config.seeds if seed_key is None else (0,)
-    blocks = [list(seeds[i : i + config.seed_block]) for i in range(0, len(seeds), config.seed_block)]
-
-    carried = [*keys, t, "y", "x"] + ([date] if date else [])
-    chunked = spread(
-        panel.select(*carried), TimeAxis(axis.keys, t, config.chunk), lookback=window, lookahead=1
-    ).drop("_own")
-    if len(blocks) > 1:
-        chunked = chunked.withColumn(SEED_BLOCK, F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1))))
+    chunked = spread(panel, TimeAxis(axis.keys, axis.t, config.chunk), lookback=config.window, lookahead=1).drop("_own")
+    if n_blocks > 1:
+        chunked = chunked.withColumn(SEED_BLOCK, F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     else:
         chunked = chunked.withColumn(SEED_BLOCK, F.lit(0))
-    group = [*keys, BLOCK, SEED_BLOCK]
+    group = [*axis.keys, BLOCK, SEED_BLOCK]
     tasks = config.tasks or max(
         4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
-    chunked = chunked.repartition(tasks, *group)
+    return chunked.repartition(tasks, *group), group
+
+
+@dataclass
+class Chunk:
+    """Rows of one group in time order. ``own`` are the decisions, counted from the first, that belong to the chunk."""
+
+    where: dict
+    order: np.ndarray
+    steps: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    own: np.ndarray
+    window: int
+
+    @property
+    def decisions(self) -> np.ndarray:
+        """Places of the own decision rows."""
+        return self.own + self.window
+
+
+def open_chunk(table: pa.Table, keys: Sequence[str], t: str, window: int, chunk: int) -> Chunk:
+    """The rows of a group, refused where they have gaps or cells that are missing or not finite."""
+    n = table.num_rows
+    steps = table[t].to_numpy()
+    order = np.argsort(steps)
+    steps = steps[order]
+    where = {k: table[k][0].as_py() for k in keys}
+    if n > 1 and (np.diff(steps) != 1).any():
+        raise ValueError(f"time steps of {where} are not consecutive")
+    x, y = _matrix(table["x"], n, order), _matrix(table["y"], n, order)
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        raise ValueError(f"non-finite cells in {where}")
+    home = table[BLOCK][0].as_py()
+    decisions = steps[window : n - 1]
+    own = np.flatnonzero((decisions >= home * chunk) & (decisions < (home + 1) * chunk))
+    return Chunk(where, order, steps, x, y, own, window)
+
+
+def _rolling(
+    panel: DataFrame, config: StudyConfig, axis: TimeAxis, date: str | None, targets: Sequence[str] | None,
+    seed_key: str | None, reduce: bool,
+) -> DataFrame:
+    keys, t = list(axis.keys), axis.t
+    window, z_labels, p_grid, chunk = config.window, config.z_labels, config.p_grid, config.chunk
+    blocks = seed_blocks(config) if seed_key is None else [[0]]
+    carried = [*keys, t, "y", "x"] + ([date] if date else [])
+    chunked, group = chunked_panel(panel.select(*carried), config, axis, len(blocks))
 
     fields = [panel.schema[k] for k in keys if k != seed_key]
     if targets is not None:
@@ -99,14 +127,15 @@ def rolling_forecasts(
         T.StructField("seed", T.LongType()),
         T.StructField("P", T.IntegerType()),
         T.StructField("z", T.DoubleType()),
-        T.StructField(t, T.LongType()),
     ]
-    if date:
-        fields.append(T.StructField("obs", panel.schema[date].dataType))
-    fields += [T.StructField(c, T.DoubleType()) for c in ("forecast", "realized", "beta_norm")]
-    out_schema = T.StructType(fields)
+    if reduce:
+        fields += summary_fields()
+    else:
+        fields.append(T.StructField(t, T.LongType()))
+        if date:
+            fields.append(T.StructField("obs", panel.schema[date].dataType))
+        fields += [T.StructField(c, T.DoubleType()) for c in ("forecast", "realized", "beta_norm")]
     names = None if targets is None else list(targets)
-    chunk = config.chunk
     solve = dict(
         window=window, p_grid=p_grid, z_labels=z_labels, gamma=config.gamma, uncentered=config.uncentered
     )
@@ -114,51 +143,85 @@ def rolling_forecasts(
     cells_z = np.tile(np.array(z_labels), len(p_grid))
 
     def kernel(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        steps = table[t].to_numpy()
-        order = np.argsort(steps)
-        steps = steps[order]
-        where = {k: table[k][0].as_py() for k in keys}
-        if n > 1 and (np.diff(steps) != 1).any():
-            raise ValueError(f"time steps of {where} are not consecutive")
-        x, y = _matrix(table["x"], n, order), _matrix(table["y"], n, order)
-        if not (np.isfinite(x).all() and np.isfinite(y).all()):
-            raise ValueError(f"non-finite cells in {where}")
-        home = table[BLOCK][0].as_py()
-        decisions = steps[window : n - 1]
-        own = (decisions >= home * chunk) & (decisions < (home + 1) * chunk)
-        n_own, m = int(own.sum()), y.shape[1]
+        c = open_chunk(table, keys, t, window, chunk)
+        n_own, m = len(c.own), c.y.shape[1]
         if names is not None and m != len(names):
             raise ValueError(f"{m} targets for {len(names)} names")
         if names is None and m != 1:
             raise ValueError("name the targets of a panel with more than one")
-        per_seed = len(cells_p) * n_own * m
-        ids = blocks[table[SEED_BLOCK][0].as_py()] if seed_key is None else [where[seed_key]]
-        found = [solve_windows(x, y, seed=s, **solve) for s in ids] if n_own else []
-        total = per_seed * len(found)
-        # layout: seed, P, z, decision, target
-        flat = lambda part: (
-            np.concatenate([f[part][:, :, own].reshape(-1) for f in found]) if found else np.empty(0)
-        )
-        reps = len(found)
-        index = np.flatnonzero(own) + window
-        per_cell = lambda values: np.tile(values, reps * len(cells_p))
-        data = {k: pa.repeat(table[k][0], total) for k in keys if k != seed_key}
+        ids = blocks[table[SEED_BLOCK][0].as_py()] if seed_key is None else [c.where[seed_key]]
+        found = [solve_windows(c.x, c.y, seed=s, **solve) for s in ids] if n_own else []
+        reps, index, cells = len(found), c.decisions, len(cells_p)
+        if reduce:  # one row for each seed, cell and target
+            per_seed, rows = cells * m, reps * cells * m
+        else:  # layout: seed, P, z, decision, target
+            per_seed, rows = cells * n_own * m, reps * cells * n_own * m
+        inner = per_seed // cells
+        data = {k: pa.repeat(table[k][0], rows) for k in keys if k != seed_key}
         if names is not None:
-            data["target"] = pa.array(names, pa.string()).take(
-                pa.array(np.tile(np.arange(m), total // m if m else 0))
-            )
+            data["target"] = pa.array(names, pa.string()).take(pa.array(np.tile(np.arange(m), rows // m if m else 0)))
         data["seed"] = np.repeat(np.array(ids[:reps], dtype=np.int64), per_seed)
-        data["P"] = np.tile(np.repeat(cells_p, n_own * m), reps)
-        data["z"] = np.tile(np.repeat(cells_z, n_own * m), reps)
-        data[t] = per_cell(np.repeat(steps[index], m)).astype(np.int64)
+        data["P"] = np.tile(np.repeat(cells_p, inner), reps)
+        data["z"] = np.tile(np.repeat(cells_z, inner), reps)
+        if reduce:
+            part = lambda i: (
+                np.concatenate([f[i][:, :, c.own].transpose(0, 1, 3, 2).reshape(-1, n_own) for f in found])
+                if found else np.empty((0, 0))
+            )
+            forecast, norm = part(0), part(1)
+            realized = np.tile(c.y[index + 1].T, (rows // m if m else 0, 1))
+            values = np.stack([realized, forecast * realized, forecast], axis=-1).reshape(-1, 3) if rows else np.empty((0, 3))
+            if rows:
+                summary = reduced(values, np.arange(rows) * n_own)
+            else:
+                summary = np.empty(0, dtype=np.int64), np.empty((0, 3)), np.empty((0, 3, 3))
+            sums = np.stack([norm.sum(axis=1), np.full(rows, float(n_own))], axis=1)
+            return pa.table(data | summary_columns(*summary, sums))
+        flat = lambda part: (
+            np.concatenate([f[part][:, :, c.own].reshape(-1) for f in found]) if found else np.empty(0)
+        )
+        per_cell = lambda values: np.tile(values, reps * cells)
+        data[t] = per_cell(np.repeat(c.steps[index], m)).astype(np.int64)
         if date:
-            labels = table[date].combine_chunks().take(pa.array(order[index + 1]))
+            labels = table[date].combine_chunks().take(pa.array(c.order[index + 1]))
             data["obs"] = labels.take(pa.array(per_cell(np.repeat(np.arange(n_own), m))))
         data["forecast"] = flat(0)
-        data["realized"] = per_cell(y[index + 1].reshape(-1)) if total else np.empty(0)
+        data["realized"] = per_cell(c.y[index + 1].reshape(-1)) if rows else np.empty(0)
         data["beta_norm"] = flat(1)
         return pa.table(data)
 
     # the group columns are dropped from the output by its schema
-    return chunked.groupBy(*group).applyInArrow(kernel, schema=out_schema)
+    return chunked.groupBy(*group).applyInArrow(kernel, schema=T.StructType(fields))
+
+
+def rolling_forecasts(
+    panel: DataFrame,
+    config: StudyConfig,
+    axis: TimeAxis = TimeAxis(),
+    date: str | None = None,
+    targets: Sequence[str] | None = None,
+    seed_key: str | None = None,
+) -> DataFrame:
+    """Forecast every decision row of every series for every seed, complexity and z.
+
+    ``panel`` holds ``(*keys, t, y ARRAY<DOUBLE>, x ARRAY<DOUBLE>)`` with gapless,
+    finite rows (see ``to_arrays``). Output rows are ``(*keys, seed, P, z, t, forecast,
+    realized, beta_norm)``; with ``date`` also ``obs``, the date of the forecast row
+    t+1; with ``targets`` a ``target`` column naming the entries of ``y``, which share
+    one set of features. ``seed_key`` names a key that holds the seed of a series, for
+    panels whose rows were themselves drawn per seed; ``config.seeds`` is then unused.
+
+    Decision rows are cut into chunks of ``config.chunk`` and seeds into blocks, so neither a long series nor a
+    long seed list ends up in one task. Weights are drawn from the seed inside the task and never shuffled.
+    """
+    return _rolling(panel, config, axis, date, targets, seed_key, reduce=False)
+
+
+def rolling_summaries(
+    panel: DataFrame, config: StudyConfig, axis: TimeAxis = TimeAxis(), targets: Sequence[str] | None = None
+) -> DataFrame:
+    """What ``score_summaries`` needs of ``rolling_forecasts``: one row for each chunk, seed, P and z (and target).
+
+    Forecasts are reduced to their triangular factors inside the kernel task and never leave it.
+    """
+    return _rolling(panel, config, axis, None, targets, None, reduce=True)

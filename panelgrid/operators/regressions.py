@@ -1,17 +1,17 @@
-"""Least-squares diagnostics from mergeable moments, one hash aggregation per fit."""
+"""Least-squares diagnostics from mergeable moments and triangular factors, one pass per fit."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelgrid.operators.blocks import TimeAxis, over_time
+from panelgrid.operators.triangles import combined, least_squares, summaries
 from panelgrid.operators.windows import lagged
 
-SINGULAR = 1e-13  # share of the determinant's terms below which a design is singular
 FLAT = 1e-12  # fixed value: a truth path this flat cannot be recovered
 
 
@@ -31,51 +31,32 @@ def spanning(
 ) -> DataFrame:
     """Regress a payoff on an intercept, a benchmark payoff and the market.
 
-    The centred 2x2 system is solved from covariances. A singular design (benchmark
-    and market collinear or constant) gives NULL statistics.
+    One pass by triangular factors. Where benchmark and market are collinear or constant the coefficients are those of
+    least length and the standard error comes from the pseudo-inverse. A payoff that is spanned exactly has no
+    t-statistic and no information ratio.
     """
-    y, b, m = F.col(strategy), F.col(benchmark), F.col(market)
-    mo = rows.groupBy(*keys).agg(
-        F.count(y).alias("_n"),
-        F.avg(y).alias("_my"),
-        F.avg(b).alias("_mb"),
-        F.avg(m).alias("_mm"),
-        F.var_pop(y).alias("_vy"),
-        F.var_pop(b).alias("_vb"),
-        F.var_pop(m).alias("_vm"),
-        F.covar_pop(b, m).alias("_bm"),
-        F.covar_pop(y, b).alias("_yb"),
-        F.covar_pop(y, m).alias("_ym"),
-    )
-    c = {k: F.col(f"_{k}") for k in ("n", "my", "mb", "mm", "vy", "vb", "vm", "bm", "yb", "ym")}
-    terms = c["vb"] * c["vm"]
-    det = F.when(terms - c["bm"] * c["bm"] > F.lit(SINGULAR) * terms, terms - c["bm"] * c["bm"])
-    out = mo.withColumns(
-        {
-            "beta_benchmark": (c["yb"] * c["vm"] - c["ym"] * c["bm"]) / det,
-            "beta_market": (c["ym"] * c["vb"] - c["yb"] * c["bm"]) / det,
-            "_lever": (c["mb"] ** 2 * c["vm"] - 2 * c["mb"] * c["mm"] * c["bm"] + c["mm"] ** 2 * c["vb"]) / det,
-        }
-    ).withColumns(
-        {
-            "alpha": c["my"] - F.col("beta_benchmark") * c["mb"] - F.col("beta_market") * c["mm"],
-            "_res": F.greatest(
-                c["vy"] - F.col("beta_benchmark") * c["yb"] - F.col("beta_market") * c["ym"], F.lit(0.0)
-            ),
-        }
-    )
-    # an undefined slope must not turn the floor of the residual variance into a zero
-    residual = F.when(F.col("beta_benchmark").isNotNull(), F.col("_res"))
-    se = F.sqrt(F.try_divide(residual, c["n"] - 3) * (1 + F.col("_lever")))
-    return out.select(
-        *keys,
-        "alpha",
-        "beta_benchmark",
-        "beta_market",
-        F.try_divide("alpha", se).alias("alpha_tstat"),
-        F.try_divide(F.sqrt(F.lit(float(periods))) * F.col("alpha"), F.sqrt(residual)).alias("information_ratio"),
-        F.sqrt(residual).alias("resid_std"),
-    )
+    named = {"_b": benchmark, "_m": market, "_y": strategy}
+    parts = summaries(rows.select(*keys, *[F.col(c).alias(k) for k, c in named.items()]), keys, list(named))
+    return spanning_summaries(parts, keys, periods)
+
+
+def spanning_summaries(
+    parts: DataFrame, keys: Sequence[str], periods: int = 12, pick: Sequence[int] | None = None
+) -> DataFrame:
+    """``spanning`` from summaries that tasks have made; ``pick`` says where (benchmark, market, payoff) are in them."""
+    names = ("alpha", "beta_benchmark", "beta_market", "alpha_tstat", "information_ratio", "resid_std")
+    root = float(np.sqrt(periods))
+
+    def finish(n: np.ndarray, mean: np.ndarray, factor: np.ndarray) -> dict:
+        level, slopes, corner, left = least_squares(n, mean, factor)
+        empty = n == 0
+        over = lambda a, b: np.divide(a, b, out=np.full(len(a), np.nan), where=b > 0)
+        spread = np.sqrt(over(left, n.astype(float)))
+        se = np.sqrt(over(left, np.maximum(n - 3, 0).astype(float)) * corner)
+        values = (level, slopes[:, 0], slopes[:, 1], over(level, se), over(root * level, spread), spread)
+        return {k: np.where(empty, np.nan, v) for k, v in zip(names, values)}
+
+    return combined(parts, keys, finish, [T.StructField(c, T.DoubleType()) for c in names], pick)
 
 
 def forecast_anatomy(
@@ -88,8 +69,8 @@ def forecast_anatomy(
 ) -> DataFrame:
     """Project forecasts on an intercept and the last ``window`` returns.
 
-    One row per group: ``intercept``, ``lag_weights`` (newest first), ``r2``. Spark
-    reduces each group to its moments; only that single row reaches the solver.
+    One row per group: ``intercept``, ``lag_weights`` (newest first), ``r2``. Tasks reduce a group to its triangular
+    factor; lags that repeat each other get the weights of least length. A forecast that does not vary has no ``r2``.
     """
     keys = [*axis.keys, *by]
     lags = [f"_x{k}" for k in range(window)]
@@ -97,37 +78,19 @@ def forecast_anatomy(
         panel.select(*axis.keys, axis.t, target), axis, {x: lagged(target, k) for k, x in enumerate(lags)}, window
     ).select(*axis.keys, axis.t, *lags).where(F.col(lags[-1]).isNotNull())
     rows = forecasts.select(*keys, axis.t, "forecast").join(trailing, [*axis.keys, axis.t])
-    names = [*lags, "forecast"]
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    moments = rows.groupBy(*keys).agg(
-        F.array(*[F.avg(c) for c in names]).alias("_mean"),
-        F.array(*[F.covar_pop(names[i], names[j]) for i, j in pairs]).alias("_cov"),
-    )
-    k = len(names)
-
-    def solve(batches):
-        for batch in batches:
-            out = []
-            for mean, packed in zip(batch["_mean"], batch["_cov"]):
-                cov = np.empty((k, k))
-                for (i, j), v in zip(pairs, packed):
-                    cov[i, j] = cov[j, i] = v
-                slope = np.linalg.lstsq(cov[:-1, :-1], cov[:-1, -1], rcond=None)[0]
-                level = mean[-1] - slope @ np.asarray(mean)[:-1]
-                left = cov[-1, -1] - 2 * slope @ cov[:-1, -1] + slope @ cov[:-1, :-1] @ slope
-                out.append((level, slope, 1.0 - left / cov[-1, -1] if cov[-1, -1] > 0 else None))
-            solved = pd.DataFrame(out, columns=["intercept", "lag_weights", "r2"])
-            yield pd.concat([batch[keys].reset_index(drop=True), solved], axis=1)
-
-    schema = T.StructType(
-        [rows.schema[c] for c in keys]
-        + [
-            T.StructField("intercept", T.DoubleType()),
-            T.StructField("lag_weights", T.ArrayType(T.DoubleType())),
-            T.StructField("r2", T.DoubleType()),
-        ]
-    )
-    return moments.mapInPandas(solve, schema)
+
+    def finish(n: np.ndarray, mean: np.ndarray, factor: np.ndarray) -> dict:
+        level, slopes, _, left = least_squares(n, mean, factor)
+        total = (factor[:, :, -1] ** 2).sum(axis=1)
+        fit = 1.0 - np.divide(left, total, out=np.full(len(n), np.nan), where=total > 0)
+        return {"intercept": level, "lag_weights": pa.array(list(slopes), pa.list_(pa.float64())), "r2": fit}
+
+    fields = [
+        T.StructField("intercept", T.DoubleType()),
+        T.StructField("lag_weights", T.ArrayType(T.DoubleType())),
+        T.StructField("r2", T.DoubleType()),
+    ]
+    return combined(summaries(rows, keys, [*lags, "forecast"]), keys, finish, fields)
 
 
 def fit_ar1(

@@ -6,8 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from panelgrid.functions.metrics import score_columns, score_moments
+from panelgrid.functions.metrics import score_columns
 from panelgrid.guards import ContractError, require_rows, require_unique
+from panelgrid.operators.triangles import combined, summaries
+
+
+SCORED = ("realized", "strategy", "forecast")  # the columns of a score's triangular factor
 
 
 def score(
@@ -17,26 +21,28 @@ def score(
     beta_norm: str | None = None,
     strict: bool = True,
 ) -> DataFrame:
-    """One row of statistics per group: one hash aggregation, partial before the shuffle.
+    """One row of statistics per group, from one pass over its rows.
 
-    ``strict`` raises for a group of fewer than three rows or with a constant market;
+    Tasks reduce their rows to triangular factors before anything is shuffled (see ``triangles``), so a
+    strategy that the market nearly spans keeps the digits of its residual. Rows without a forecast or a realized
+    return count for nothing. ``strict`` raises for a group of fewer than three rows or with a constant market;
     otherwise its regression statistics are NULL.
     """
-    moments = forecasts.groupBy(*keys).agg(
-        *score_moments(
-            F.col("forecast"), F.col("realized"), F.col(beta_norm) if beta_norm else None
-        )
-    )
-    return moments.select(*keys, *score_columns(periods, beta_norm is not None, strict))
+    rows = forecasts.withColumn("strategy", F.col("forecast") * F.col("realized"))
+    parts = summaries(rows, keys, SCORED, [beta_norm] if beta_norm else [])
+    return score_summaries(parts, keys, periods, beta_norm is not None, strict)
 
 
-def score_by_residuals(forecasts: DataFrame, keys: Sequence[str], periods: int = 12) -> DataFrame:
-    """Alpha statistics from explicit residuals, for strategies the market nearly spans.
+def score_summaries(
+    parts: DataFrame, keys: Sequence[str], periods: int = 12, with_norm: bool = True, strict: bool = True,
+    pick: Sequence[int] | None = None,
+) -> DataFrame:
+    """``score`` from summaries that tasks have made; ``pick`` says where (realized, strategy, forecast) are in them."""
+    return combined(parts, keys, pick=pick).select(*keys, *score_columns(periods, with_norm, strict))
 
-    The one-pass residual variance is a difference of moments and loses digits when
-    the market explains almost all of the strategy. Here the fitted line is joined
-    back and residuals are squared row by row.
-    """
+
+def score_by_residuals(forecasts: DataFrame, keys: Sequence[str], periods: int = 12) -> DataFrame:
+    """Alpha statistics from explicit residuals: the fitted line is joined back and residuals are squared row by row."""
     strategy = F.col("forecast") * F.col("realized")
     line = forecasts.groupBy(*keys).agg(
         F.regr_slope(strategy, F.col("realized")).alias("_slope"),
@@ -60,30 +66,6 @@ def score_by_residuals(forecasts: DataFrame, keys: Sequence[str], periods: int =
     )
 
 
-NEAR_SPANNED = 1e-8
-
-
-def score_exactly(forecasts: DataFrame, keys: Sequence[str], periods: int = 12, **options) -> DataFrame:
-    """``score`` with the alpha statistics of nearly spanned groups taken from explicit residuals.
-
-    Where the market explains all but ``NEAR_SPANNED`` of a strategy's variance the one-pass residual variance has lost
-    its digits. Only such groups are read a second time; where there is none, the semi join keeps no row.
-    """
-    strategy = F.col("forecast") * F.col("realized")
-    total = F.regr_syy(strategy, F.col("realized"))
-    left = F.lit(1.0) - F.regr_r2(strategy, F.col("realized"))
-    spanned = (
-        forecasts.groupBy(*keys).agg(total.alias("_syy"), left.alias("_left"))
-        .where((F.col("_syy") > 0) & (F.col("_left") < NEAR_SPANNED)).select(*keys)
-    )
-    fields = ("alpha", "information_ratio", "alpha_tstat")
-    again = score_by_residuals(forecasts.join(spanned, list(keys), "left_semi"), keys, periods)
-    again = again.select(*keys, F.lit(True).alias("_again"), *[F.col(c).alias(f"_{c}") for c in fields])
-    first = score(forecasts, keys, periods, **options)
-    pick = {c: F.when(F.col("_again"), F.col(f"_{c}")).otherwise(F.col(c)) for c in fields}
-    return first.join(again, list(keys), "left").withColumns(pick).select(*first.columns)
-
-
 def statistic_columns(df: DataFrame, keys: Sequence[str], drop: Sequence[str] = ("seed",)) -> list[str]:
     """Every numeric column that is neither a key nor dropped."""
     skip = {*keys, *drop}

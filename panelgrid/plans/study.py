@@ -12,8 +12,8 @@ from panelgrid.config import ANCHOR_P, ANCHOR_Z, StudyConfig
 from panelgrid.functions.columns import complexity
 from panelgrid.guards import require_healthy, split_healthy
 from panelgrid.operators.blocks import TimeAxis
-from panelgrid.operators.engine import default_predictors, rolling_forecasts, to_arrays
-from panelgrid.operators.scoring import average_statistics, score
+from panelgrid.operators.engine import default_predictors, rolling_forecasts, rolling_summaries, to_arrays
+from panelgrid.operators.scoring import average_statistics, score_summaries
 from panelgrid.sources.sinks import materialize, write_artifact
 
 
@@ -43,9 +43,7 @@ class Study:
     @cached_property
     def per_seed(self) -> DataFrame:
         by = [*self.keys, "seed", "P", "z"]
-        # what a task returns cannot be pruned by the optimizer, so dates are not asked for
-        rows = rolling_forecasts(self.arrays, self.config, self.axis)
-        scored = score(rows, by, beta_norm="beta_norm", strict=self.strict)
+        scored = score_summaries(rolling_summaries(self.arrays, self.config, self.axis), by, strict=self.strict)
         return scored.withColumn("c", complexity(F.col("P"), self.config.window))
 
     @cached_property
