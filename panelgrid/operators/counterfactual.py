@@ -4,20 +4,29 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from panelgrid.config import StudyConfig
 from panelgrid.functions.columns import curved_signal
 from panelgrid.guards import require_columns
 from panelgrid.operators.blocks import BLOCK, TimeAxis, over_time, spread
-from panelgrid.operators.engine import _matrix, pin_blas
+from panelgrid.operators.engine import SEED_BLOCK, _matrix, chunked_panel, open_chunk, pin_blas, seed_blocks
+from panelgrid.operators.kernel import solve_windows
 from panelgrid.operators.regressions import fit_ar1
-from panelgrid.operators.windows import lagged
+from panelgrid.operators.triangles import reduced, summary_columns, summary_fields
+from panelgrid.operators.windows import declining_weights, lagged
+from panelgrid.sources.sinks import materialize
 
 SHOCK_ROWS = 65536  # rows that a task hands on at a time
+SEEDS_AT_ONCE = 64  # seeds whose paths one task draws together
+ONE_BLOCK = 1 << 40  # steps of the only block of a series that the calendar bounds
 
 
 def seeded_shocks(
@@ -148,6 +157,119 @@ def sign_stream(seed: int, start: int, count: int) -> np.ndarray:
     return 2.0 * drawn[skip:] - 1.0
 
 
+@dataclass(frozen=True)
+class Bootstrap:
+    """What a task needs to draw artificial predictors: rows by (series, block, block of seeds), see ``bootstrap_plan``."""
+
+    plan: DataFrame
+    base_seed: int
+
+
+def signs_of(seeds: Sequence[int], base_seed: int, n: int, first: int, count: int, width: int) -> np.ndarray:
+    """``(seeds, count, width)``: the signs of the moves ``first`` to ``first + count - 1`` of a series of ``n`` rows."""
+    drawn = [[sign_stream(base_seed + s, j * (n - 1) + first, count) for j in range(width)] for s in seeds]
+    return np.array(drawn).transpose(0, 2, 1)
+
+
+def drawn_paths(x: np.ndarray, steps: np.ndarray, row: dict, seeds: Sequence[int], base_seed: int) -> np.ndarray:
+    """``(seeds, rows, predictors)``: the artificial rows of consecutive ``steps`` whose fitted rows are ``x``, run from the
+    state at the first of them (``row`` is one of a ``Bootstrap``'s plan), or from the series' own first row."""
+    n, width = x.shape
+    phi, level = np.array(row["phi"]), np.array(row["intercept"])
+    out = np.empty((len(seeds), n, width))
+    if steps[0] == row["t_min"]:
+        out[:, 0] = x[0]
+    elif row["start"] is None:
+        raise ValueError("a block of artificial rows has no state to start from")
+    else:
+        out[:, 0] = np.array(row["start"]).reshape(len(seeds), width)
+    if n > 1:
+        moves = (x[1:] - level - phi * x[:-1]) * signs_of(seeds, base_seed, row["n"], int(steps[0] - row["t_min"]), n - 1, width)
+        for i in range(n - 1):
+            out[:, i + 1] = level + moves[:, i] + phi * out[:, i]
+    return out
+
+
+def bootstrap_plan(
+    panel: DataFrame, predictors: Sequence[str], blocks: Sequence[Sequence[int]], axis: TimeAxis, block: int, lookback: int,
+    base_seed: int = 0, bias_adjust: bool = True, bound: float | None = None,
+) -> Bootstrap:
+    """The fitted AR(1)s of every series and, for each block and block of seeds, the paths' state where the block's halo begins.
+
+    Every row moves the state by an affine map, so the rows between two halos make one map: a product of slopes, equal
+    for all seeds, and an offset for each seed. Tasks reduce their rows to such maps, one small row for each block of
+    rows and of seeds; these are chained from the first row on. Panel rows are never copied per seed. ``start`` is NULL where a halo
+    begins with, or before, the series' first row.
+    """
+    pin_blas(panel.sparkSession)
+    keys, t, names = list(axis.keys), axis.t, list(predictors)
+    width = len(names)
+    fits = fit_ar1(panel, names, axis, bias_adjust, bound).select(*keys, "t_min", "n", "phi", "intercept")
+    vectors = panel.select(*keys, t, F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
+    first = vectors.groupBy(*keys).agg(F.min_by("x", t).alias("x0"))
+    series = materialize(fits.join(first, keys))
+    at = lambda c: F.floor(c / F.lit(block)).cast("long")
+    t_max = F.col("t_min") + F.col("n") - 1
+    # the rows after the start of a block's halo, up to that of the next, with the row before them
+    piece = lambda c: at(c + F.lit(lookback - 1))
+    moved = vectors.withColumn(BLOCK, F.explode(F.sequence(piece(F.col(t)), piece(F.col(t) + 1))))
+    known = series.withColumn(BLOCK, F.explode(F.sequence(piece(F.col("t_min") + 1), piece(t_max))))
+    key_fields = [panel.schema[k] for k in keys]
+    doubles = T.ArrayType(T.DoubleType())
+    number = [T.StructField(BLOCK, T.LongType()), T.StructField(SEED_BLOCK, T.IntegerType())]
+    map_schema = T.StructType(key_fields + number + [T.StructField("rows", T.LongType()), T.StructField("offset", doubles)])
+    groups = [list(map(int, b)) for b in blocks]
+
+    def reduce(left: pa.Table, right: pa.Table) -> pa.Table:
+        offsets, count, row = [], 0, right.slice(0, 1).to_pylist()[0] if right.num_rows else None
+        if left.num_rows and row is not None:
+            steps = left[t].to_numpy()
+            order = np.argsort(steps)
+            steps = steps[order]
+            if len(steps) > 1 and (np.diff(steps) != 1).any():
+                raise ValueError("time steps are not consecutive")
+            x = _matrix(left["x"], len(steps), order)
+            own = np.flatnonzero(((steps + lookback - 1) // block == row[BLOCK]) & (steps > row["t_min"]))
+            count = len(own)
+            phi, level = np.array(row["phi"]), np.array(row["intercept"])
+            residual = x[own] - level - phi * x[own - 1]
+            for seeds in groups:
+                state = np.zeros((len(seeds), width))
+                if count:
+                    moves = residual * signs_of(seeds, base_seed, row["n"], int(steps[own[0]] - row["t_min"] - 1), count, width)
+                    for i in range(count):
+                        state = level + moves[:, i] + phi * state
+                offsets.append(state.reshape(-1).tolist())
+        where = {k: [row[k]] * len(offsets) if row else [] for k in keys}
+        return pa.table(where | {
+            BLOCK: pa.array([row[BLOCK]] * len(offsets) if row else [], pa.int64()),
+            SEED_BLOCK: pa.array(range(len(offsets)), pa.int32()), "rows": pa.array([count] * len(offsets), pa.int64()),
+            "offset": pa.array(offsets, pa.list_(pa.float64())),
+        }, schema=to_arrow_schema(map_schema))
+
+    maps = moved.groupBy(*keys, BLOCK).cogroup(known.groupBy(*keys, BLOCK)).applyInArrow(reduce, map_schema)
+    start_schema = T.StructType(key_fields + number + [T.StructField("start", doubles)])
+
+    def chain(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return to_arrow_schema(start_schema).empty_table()
+        row = right.slice(0, 1).to_pylist()[0]
+        left = left.sort_by(BLOCK)
+        phi, state, starts = np.array(row["phi"]), None, []
+        for n, offset in zip(left["rows"].to_pylist(), left["offset"].to_pylist()):
+            offset = np.array(offset).reshape(-1, width)
+            state = np.tile(row["x0"], (len(offset), 1)) if state is None else state
+            starts.append(state.reshape(-1).tolist())
+            state = phi**n * state + offset
+        out = left.select([*keys, BLOCK, SEED_BLOCK]).append_column("start", pa.array(starts, pa.list_(pa.float64())))
+        return out.cast(to_arrow_schema(start_schema))
+
+    per_seeds = series.withColumn(SEED_BLOCK, F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))))
+    starts = maps.groupBy(*keys, SEED_BLOCK).cogroup(per_seeds.groupBy(*keys, SEED_BLOCK)).applyInArrow(chain, start_schema)
+    plan = per_seeds.drop("x0").withColumn(BLOCK, F.explode(F.sequence(at(F.col("t_min")), at(t_max))))
+    return Bootstrap(plan.join(starts, [*keys, BLOCK, SEED_BLOCK], "left"), base_seed)
+
+
 def wild_bootstrap(
     panel: DataFrame,
     predictors: Sequence[str],
@@ -162,108 +284,104 @@ def wild_bootstrap(
 
     Output ``(*keys, seed, t, x ARRAY<DOUBLE>)``; replicate ``seed`` draws from the
     stream ``base_seed + seed``, column after column. Residual sizes are kept, and the
-    first row of a series starts its path.
-
-    A path is a linear recursion, so blocks of a long series are run in parallel from
-    a zero state; the states at block borders follow from one small row per block, and
-    each block then adds what its start contributes.
+    first row of a series starts its path. Rows are copied once for ``SEEDS_AT_ONCE`` seeds, and the seeds' own rows appear only as
+    the result of the task that draws them. Studies draw them inside the kernel instead (``design_summaries``).
     """
-    spark = panel.sparkSession
-    pin_blas(spark)
     keys, t = list(axis.keys), axis.t
-    names = list(predictors)
-    fits = fit_ar1(panel, names, axis, bias_adjust, bound).select(*keys, "t_min", "n", "phi", "intercept")
-    rows = panel.select(*keys, t, F.array(*[F.col(c).cast("double") for c in names]).alias("x")).join(fits, keys)
-    if axis.block is None:
-        rows = rows.withColumn(BLOCK, F.lit(0).cast("long"))
-    else:
-        rows = spread(rows, axis, lookback=1).drop("_own")
-    replicas = rows.withColumn("seed", F.explode(F.array(*[F.lit(int(s)).cast("long") for s in seeds])))
-    group = [*keys, "seed", BLOCK]
-    replicas = replicas.repartition(tasks or 4 * spark.sparkContext.defaultParallelism, *group)
-    block = axis.block
-
-    doubles = T.ArrayType(T.DoubleType())
-    key_fields = [panel.schema[k] for k in keys]
+    names, seeds = list(predictors), [int(s) for s in seeds]
+    groups = [seeds[i : i + SEEDS_AT_ONCE] for i in range(0, len(seeds), SEEDS_AT_ONCE)]
+    block = axis.block or ONE_BLOCK
+    found = bootstrap_plan(panel, names, groups, axis, block, 1, base_seed, bias_adjust, bound)
+    rows = spread(
+        panel.select(*keys, t, F.array(*[F.col(c).cast("double") for c in names]).alias("x")),
+        TimeAxis(axis.keys, t, block), lookback=1,
+    ).drop("_own").withColumn(SEED_BLOCK, F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))))
+    group = [*keys, BLOCK, SEED_BLOCK]
+    rows = rows.repartition(tasks or 4 * panel.sparkSession.sparkContext.defaultParallelism, *group)
     schema = T.StructType(
-        key_fields
-        + [T.StructField("seed", T.LongType()), T.StructField(BLOCK, T.LongType()), T.StructField(t, T.LongType())]
-        + [T.StructField("x", doubles), T.StructField("carry", doubles)]
+        [panel.schema[k] for k in keys]
+        + [T.StructField("seed", T.LongType()), T.StructField(t, T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))]
     )
 
-    def run(table: pa.Table) -> pa.Table:
-        n_rows = table.num_rows
-        steps = table[t].to_numpy()
+    def draw(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return to_arrow_schema(schema).empty_table()
+        row = right.slice(0, 1).to_pylist()[0]
+        steps = left[t].to_numpy()
         order = np.argsort(steps)
         steps = steps[order]
-        if n_rows > 1 and (np.diff(steps) != 1).any():
+        if len(steps) > 1 and (np.diff(steps) != 1).any():
             raise ValueError("time steps are not consecutive")
-        x = _matrix(table["x"], n_rows, order)
-        t_min, n = table["t_min"][0].as_py(), table["n"][0].as_py()
-        phi, level = (np.array(table[c][0].as_py()) for c in ("phi", "intercept"))
-        seed, home = table["seed"][0].as_py(), table[BLOCK][0].as_py()
-        own = steps >= t_min if block is None else (steps >= home * block) & (steps < (home + 1) * block)
-        keep = np.flatnonzero(own)
-        path, carry = np.empty((keep.size, x.shape[1])), np.zeros((keep.size, x.shape[1]))
-        if keep.size:
-            first = keep[0] == 0 and steps[0] == t_min
-            moving = keep[1:] if first else keep
-            if not first and (not moving.size or moving[0] == 0):
-                raise ValueError("a block is missing the row before it")
-            residual = x[moving] - level - phi * x[moving - 1]
-            signs = np.stack(
-                [
-                    sign_stream(base_seed + seed, j * (n - 1) + int(steps[moving[0]] - t_min - 1), moving.size)
-                    for j in range(x.shape[1])
-                ],
-                axis=1,
-            ) if moving.size else residual
-            step = residual * signs + level
-            state = x[0].copy() if first else np.zeros(x.shape[1])
-            factor = np.zeros(x.shape[1]) if first else np.ones(x.shape[1])
-            offset = 1 if first else 0
-            if first:
-                path[0] = state
-            for i in range(moving.size):
-                state = step[i] + phi * state
-                factor = factor * phi
-                path[offset + i], carry[offset + i] = state, factor
-        width = x.shape[1]
-        as_list = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), width).cast(
-            pa.list_(pa.float64())
-        )
-        data = {k: pa.repeat(table[k][0], keep.size) for k in keys}
-        data["seed"] = np.full(keep.size, seed, dtype=np.int64)
-        data[BLOCK] = np.full(keep.size, home, dtype=np.int64)
-        data[t] = steps[keep].astype(np.int64)
-        data["x"], data["carry"] = as_list(path), as_list(carry)
-        return pa.table(data)
-
-    local = replicas.groupBy(*group).applyInArrow(run, schema)
-    if block is None:
-        return local.select(*keys, "seed", t, "x")
-
-    # state at the end of each block, one row per block
-    ends = local.groupBy(*group).agg(F.max_by("x", t).alias("x"), F.max_by("carry", t).alias("carry"))
-    start_schema = T.StructType(
-        key_fields + [T.StructField("seed", T.LongType()), T.StructField(BLOCK, T.LongType()), T.StructField("start", doubles)]
-    )
+        own = groups[row[SEED_BLOCK]]
+        path = drawn_paths(_matrix(left["x"], len(steps), order), steps, row, own, base_seed)
+        home = np.flatnonzero(steps // block == row[BLOCK])
+        path, count = path[:, home], len(own) * len(home)
+        values = pa.array(np.ascontiguousarray(path).reshape(-1))
+        return pa.table({k: pa.repeat(left[k][0], count) for k in keys} | {
+            "seed": np.repeat(np.array(own, dtype=np.int64), len(home)), t: np.tile(steps[home].astype(np.int64), len(own)),
+            "x": pa.FixedSizeListArray.from_arrays(values, len(names)).cast(pa.list_(pa.float64())),
+        })
+
+    return rows.groupBy(*group).cogroup(found.plan.groupBy(*group)).applyInArrow(draw, schema)
+
+
+DESIGN = ("realized", "strategy", "forecast", "benchmark", "bench_forecast")  # the columns of a design's factor
+MODEL_COLUMNS, BENCH_COLUMNS, SPAN_COLUMNS = (0, 1, 2), (0, 3, 4), (3, 0, 1)  # scores, and the payoff on benchmark and market
+
 
-    def chain(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas().sort_values(BLOCK)
-        state, starts = None, []
-        for x, carry in zip(frame["x"], frame["carry"]):
-            starts.append(np.zeros(len(x)) if state is None else state)
-            state = np.asarray(x) + np.asarray(carry) * starts[-1]
-        frame["start"] = [list(map(float, s)) for s in starts]
-        return pa.Table.from_pandas(frame[[*keys, "seed", BLOCK, "start"]], preserve_index=False)
-
-    starts = ends.groupBy(*keys, "seed").applyInArrow(chain, start_schema)
-    return local.join(starts, group).select(
-        *keys,
-        "seed",
-        t,
-        F.transform(
-            F.arrays_zip("x", "carry", "start"), lambda v: v["x"] + v["carry"] * v["start"]
-        ).alias("x"),
+def timed_momentum(x: np.ndarray, y: np.ndarray, window: int, scale: float = 0.05, floor: float = 1e-12) -> np.ndarray:
+    """``volatility_timed_momentum`` of the decision rows ``window`` to n - 2 of one series, from its rows."""
+    n = len(y)
+    weights = np.array(declining_weights(window))
+    view = np.lib.stride_tricks.sliding_window_view(y, window)[1 : n - window]  # rows i-window+1 .. i
+    before = np.lib.stride_tricks.sliding_window_view(x, window, axis=0)[: n - window - 1]  # rows i-window .. i-1
+    variance = before.var(axis=2, ddof=1).mean(axis=1)
+    return scale * (view[:, ::-1] @ weights) / np.maximum(variance, floor)
+
+
+def design_summaries(
+    panel: DataFrame, config: StudyConfig, axis: TimeAxis = TimeAxis(), bootstrap: Bootstrap | None = None
+) -> DataFrame:
+    """``(*keys, seed, summary of DESIGN)``: minimum-norm forecasts and their momentum benchmark, reduced in the kernel task.
+
+    ``panel`` is as for ``rolling_forecasts``, with one target; the grid has one complexity and one shrinkage. The benchmark uses the predictors
+    that the model sees, so it is worked out beside it, and neither rows of forecasts nor of benchmarks are joined. With ``bootstrap`` (planned for
+    ``config.chunk``, ``config.window`` and ``seed_blocks(config)``) each seed sees artificial predictors, drawn inside the task.
+    """
+    keys, t = list(axis.keys), axis.t
+    window, chunk, blocks = config.window, config.chunk, seed_blocks(config)
+    base_seed = bootstrap.base_seed if bootstrap else None
+    if len(config.p_grid) != 1 or len(config.z_labels) != 1:
+        raise ValueError("a design has one complexity and one shrinkage")
+    chunked, group = chunked_panel(panel.select(*keys, t, "y", "x"), config, axis, len(blocks))
+    schema = T.StructType([panel.schema[k] for k in keys] + [T.StructField("seed", T.LongType())] + summary_fields())
+    solve = dict(
+        window=window, p_grid=config.p_grid, z_labels=config.z_labels, gamma=config.gamma, uncentered=config.uncentered
     )
+
+    def solved(table: pa.Table, row: dict | None) -> pa.Table:
+        c = open_chunk(table, keys, t, window, chunk)
+        if c.y.shape[1] != 1:
+            raise ValueError("a design has one target")
+        if not len(c.own):
+            return to_arrow_schema(schema).empty_table()
+        seeds = blocks[table[SEED_BLOCK][0].as_py()]
+        paths = [c.x] * len(seeds) if base_seed is None else drawn_paths(c.x, c.steps, row, seeds, base_seed)
+        realized, y, values, bench = c.y[c.decisions + 1, 0], c.y[:, 0], [], None
+        for s, x in zip(seeds, paths):
+            forecast = solve_windows(x, c.y, seed=s, **solve)[0][0, 0, c.own, 0]
+            bench = timed_momentum(x, y, window)[c.own] if base_seed is not None or bench is None else bench
+            values.append(np.stack([realized, forecast * realized, forecast, bench * realized, bench], axis=1))
+        summary = reduced(np.concatenate(values), np.arange(len(seeds)) * len(c.own))
+        data = {k: pa.repeat(table[k][0], len(seeds)) for k in keys} | {"seed": np.array(seeds, dtype=np.int64)}
+        return pa.table(data | summary_columns(*summary, np.empty((len(seeds), 0))))
+
+    if bootstrap is None:
+        return chunked.groupBy(*group).applyInArrow(lambda table: solved(table, None), schema)
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return to_arrow_schema(schema).empty_table()
+        return solved(left, right.slice(0, 1).to_pylist()[0] if right.num_rows else None)
+
+    return chunked.groupBy(*group).cogroup(bootstrap.plan.groupBy(*group)).applyInArrow(both, schema)

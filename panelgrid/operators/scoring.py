@@ -11,7 +11,7 @@ from panelgrid.guards import ContractError, require_rows, require_unique
 from panelgrid.operators.triangles import combined, summaries
 
 
-SCORED = ("realized", "strategy", "forecast")  # the columns of a score's triangular factor
+SCORED = ("_realized", "_strategy", "_forecast")  # the columns of a score's triangular factor
 
 
 def score(
@@ -28,8 +28,10 @@ def score(
     return count for nothing. ``strict`` raises for a group of fewer than three rows or with a constant market;
     otherwise its regression statistics are NULL.
     """
-    rows = forecasts.withColumn("strategy", F.col("forecast") * F.col("realized"))
-    parts = summaries(rows, keys, SCORED, [beta_norm] if beta_norm else [])
+    f, r = F.col("forecast"), F.col("realized")
+    columns = dict(zip(SCORED, (r, f * r, f))) | ({"_norm": F.col(beta_norm)} if beta_norm else {})
+    rows = forecasts.select(*keys, *[c.alias(name) for name, c in columns.items()])
+    parts = summaries(rows, keys, SCORED, ["_norm"] if beta_norm else [])
     return score_summaries(parts, keys, periods, beta_norm is not None, strict)
 
 

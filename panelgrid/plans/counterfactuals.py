@@ -12,12 +12,12 @@ from panelgrid.config import CounterfactualConfig
 from panelgrid.guards import require_same_axis
 from panelgrid.operators.blocks import TimeAxis, over_time
 from panelgrid.operators.counterfactual import (
-    amplitude, calibrated_signal, plant_signal, seeded_shocks, wild_bootstrap,
+    BENCH_COLUMNS, MODEL_COLUMNS, SPAN_COLUMNS, amplitude, bootstrap_plan, design_summaries, plant_signal, seeded_shocks,
 )
-from panelgrid.operators.engine import rolling_forecasts, to_arrays
-from panelgrid.operators.regressions import forecast_anatomy, pair_worlds, recovery, spanning
+from panelgrid.operators.engine import rolling_forecasts, seed_blocks, to_arrays
+from panelgrid.operators.regressions import forecast_anatomy, pair_worlds, recovery, spanning, spanning_summaries
 from panelgrid.operators.scoring import (
-    anchor_by_seed, average_statistics, average_with_seed_count, ensemble, require_full_paths, score,
+    anchor_by_seed, average_with_seed_count, ensemble, require_full_paths, score, score_summaries,
 )
 from panelgrid.operators.standardize import standardize_panel, trim_to_sample
 from panelgrid.operators.tidy import lookup
@@ -96,42 +96,31 @@ def _same_market(c: str = "realized") -> Column:
     )
 
 
-def direct_rows(
+def direct_summaries(
     prepared: Prepared,
     config: CounterfactualConfig,
     predictors: Sequence[str],
     axis: TimeAxis,
     bootstrap: bool = True,
 ) -> DataFrame:
-    """Forecast and benchmark rows of the historical, reversal and bootstrap designs.
+    """``(*keys, experiment, seed, summary)`` of the historical, reversal and bootstrap designs.
 
-    The design is a group key: all three run in the same kernel stage. Bootstrap
-    panels exist once per seed, so their seed is a key of the panel.
+    The design is a group key: the fixed ones run in the same kernel stage. Bootstrap paths are drawn and used
+    inside the kernel task of their seed. Tasks return one row for each chunk and seed (see ``design_summaries``).
     """
     keys, t = list(axis.keys), axis.t
     study = config.study()
     design = lambda df, name: df.withColumn("experiment", F.lit(name))
     fixed = design(prepared.original, "historical").unionByName(design(prepared.reversal, "ma2_reversal"))
     keyed = axis.with_keys("experiment")
-    fixed_rows = rolling_forecasts(
-        to_arrays(fixed, "y", predictors, [*keyed.keys, t]), study, keyed
-    ).join(_benchmark(fixed, predictors, keyed, config.window), [*keyed.keys, t])
-
+    found = design_summaries(to_arrays(fixed, "y", predictors, [*keyed.keys, t]), study, keyed)
     if not bootstrap:
-        return fixed_rows
-    boot = wild_bootstrap(
-        prepared.original, predictors, study.seeds, axis, base_seed=config.bootstrap_seed, tasks=config.tasks
-    )
-    # drawn once, read by the kernel and by the benchmark
-    boot = materialize(
-        boot.join(prepared.original.select(*keys, t, "y"), [*keys, t])
-        .select(*keys, "seed", t, "y", *[F.col("x")[i].alias(c) for i, c in enumerate(predictors)])
+        return found
+    plan = bootstrap_plan(
+        prepared.original, predictors, seed_blocks(study), axis, study.chunk, study.window, config.bootstrap_seed
     )
-    per_seed = axis.with_keys("seed")
-    boot_rows = rolling_forecasts(
-        to_arrays(boot, "y", predictors, [*per_seed.keys, t]), study, per_seed, seed_key="seed"
-    ).join(_benchmark(boot, predictors, per_seed, config.window), [*per_seed.keys, t])
-    return fixed_rows.unionByName(design(boot_rows, "wild_bootstrap"))
+    drawn = design_summaries(to_arrays(prepared.original, "y", predictors, [*keys, t]), study, axis, plan)
+    return found.unionByName(design(drawn, "wild_bootstrap"))
 
 
 def twin_rows(
@@ -209,9 +198,9 @@ RESULTS = ("counterfactuals", "counterfactual_spanning", "twin_recovery", "twin_
 class Counterfactuals:
     """All designs of a panel. Each result is built when first asked for.
 
-    Forecast rows of the direct and of the twin designs are solved once, stored in the
-    shared folder and read back by every result that needs them: solving a row costs
-    far more than storing it. Per-seed statistics come first, then their means.
+    Direct designs are reduced inside the kernel to one summary for each chunk and seed; forecast rows of the twin designs
+    are kept for their paths. Both are solved once, stored in the shared folder and read back by every result that needs them.
+    Per-seed statistics come first, then their means.
     """
 
     tidy: DataFrame
@@ -238,8 +227,7 @@ class Counterfactuals:
 
     @cached_property
     def direct(self) -> DataFrame:
-        rows = direct_rows(self.prepared, self.config, self.predictors, self.axis, self.bootstrap)
-        return materialize(_booked(rows).withColumn("realized", _same_market()))
+        return materialize(direct_summaries(self.prepared, self.config, self.predictors, self.axis, self.bootstrap))
 
     @cached_property
     def twins(self) -> DataFrame:
@@ -273,24 +261,18 @@ class Counterfactuals:
 
     @cached_property
     def counterfactuals(self) -> DataFrame:
-        # model and benchmark are scored in one aggregation over one pass of the rows
-        both = F.array(
-            F.struct(F.lit(MODEL).alias("strategy"), F.col("forecast").alias("f")),
-            F.struct(F.lit(BENCHMARK).alias("strategy"), F.col("bench_forecast").alias("f")),
-        )
         by = [*self.axis.keys, "experiment", "seed"]
-        rows = self.direct.select(*by, "realized", F.explode(both).alias("_s")).select(
-            *by, "_s.strategy", F.col("_s.f").alias("forecast"), "realized"
-        )
-        per_seed = score(rows, [*by, "strategy"], strict=self.check)
-        return self._described(
-            average_with_seed_count(per_seed, [*self.axis.keys, "experiment", "strategy"]), True
-        )
+        scored = [
+            score_summaries(self.direct, by, with_norm=False, strict=self.check, pick=pick).withColumn("strategy", F.lit(name))
+            for name, pick in ((MODEL, MODEL_COLUMNS), (BENCHMARK, BENCH_COLUMNS))
+        ]
+        means = average_with_seed_count(scored[0].unionByName(scored[1]), [*self.axis.keys, "experiment", "strategy"])
+        return self._described(means, True)
 
     @cached_property
     def counterfactual_spanning(self) -> DataFrame:
         keys = [*self.axis.keys, "experiment"]
-        per_seed = spanning(self.direct, [*keys, "seed"], "strategy_return")
+        per_seed = spanning_summaries(self.direct, [*keys, "seed"], pick=SPAN_COLUMNS)
         return self._described(average_with_seed_count(per_seed, keys), True)
 
     @cached_property

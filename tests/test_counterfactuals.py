@@ -13,7 +13,7 @@ from panelgrid.config import CounterfactualConfig, StudyConfig
 from panelgrid.guards import ContractError
 from panelgrid.operators.blocks import MONTHS, TimeAxis
 from panelgrid.operators.counterfactual import (
-    amplitude, calibrated_signal, plant_signal, seeded_shocks, sign_stream, wild_bootstrap,
+    amplitude, bootstrap_plan, calibrated_signal, plant_signal, seeded_shocks, sign_stream, wild_bootstrap,
 )
 from panelgrid.operators.windows import declining_weights
 from panelgrid.plans.counterfactuals import diagnostics, run_counterfactuals
