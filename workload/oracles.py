@@ -6,6 +6,7 @@ form of a two-feature ridge regression, with the seed's weights as literals.
 
 from __future__ import annotations
 
+from panelgrid.operators.counterfactual import sign_stream
 from panelgrid.operators.kernel import draw_weights
 from panelgrid.operators.tidy import PREDICTORS, SHARED_PREDICTORS
 from workload.frames import NAIVE_CELLS
@@ -487,10 +488,52 @@ rev_panel as (
   from (select *, min(t) over (partition by series_id) as lo from panel))"""
 
 
-def with_benchmark(panel: str, predictors, keys: str, tag: str = "") -> str:
+SIGNS = 500  # signs of a seed's stream written into a statement: five columns of at most a hundred months
+
+
+def bootstrap_sql(panel: str, columns, seeds, base_seed: int) -> str:
+    """Artificial predictors by running each recursion row after row; the seeds' signs are literals."""
+    signs = ", ".join(
+        f"({seed}, {k}, {int(v)})" for seed in seeds for k, v in enumerate(sign_stream(base_seed + seed, 0, SIGNS))
+    )
+    place = " ".join(f"when '{c}' then {j}" for j, c in enumerate(columns))
+    wide = ", ".join(f"max(case when predictor = '{c}' then x end) as {c}" for c in columns)
+    return f"""{ar1_sql(panel, columns)},
+signs(seed, k, s) as (values {signs}),
+fitted as (
+  select l.*, a.phi, a.intercept, a.n, case l.predictor {place} end as j,
+    l.t - min(l.t) over (partition by l.series_id, l.predictor) as step
+  from long l join ar1 a on l.series_id = a.series_id and l.predictor = a.predictor),
+moves as (
+  select series_id, predictor, seed, t, phi, intercept + s*(x - intercept - phi*l) as move
+  from fitted join signs on k = j*(n - 1) + step - 1 where step > 0),
+path as (
+  select series_id, predictor, seed, t, x from fitted, (select distinct seed from signs) where step = 0
+  union all
+  select p.series_id, p.predictor, p.seed, m.t, m.move + m.phi*p.x
+  from path p join moves m on p.series_id = m.series_id and p.predictor = m.predictor and p.seed = m.seed and m.t = p.t + 1),
+boot as (select series_id, seed::bigint as seed, t, {wide} from path group by 1, 2, 3)"""
+
+
+def bootstrap_design_sql() -> str:
+    """Two-feature models of each seed on that seed's artificial predictors, with their benchmark."""
+    predictors = ", ".join(f"b.{c}" for c in SUPPLIER_PREDICTORS)
+    seeds = (0, 1)
+    panels = ",".join(
+        f"""
+seen_{s} as (
+  select b.series_id, b.t, p.date, p.y, {predictors} from boot b join panel p on b.series_id = p.series_id and b.t = p.t
+  where b.seed = {s}),{with_benchmark(f'seen_{s}', SUPPLIER_PREDICTORS, 'series_id', f'_b{s}', (s,))}"""
+        for s in seeds
+    )
+    union = " union all ".join(f"select * from pairs_b{s}" for s in seeds)
+    return f"recursive {SUPPLIER_STD},{bootstrap_sql('std', SUPPLIER_PREDICTORS, seeds, 2909)},{panels},\npairs as ({union})"
+
+
+def with_benchmark(panel: str, predictors, keys: str, tag: str = "", seeds=(0, 1)) -> str:
     """Minimum-norm forecasts of a two-feature model next to timed momentum."""
     on = " and ".join(f"f.{k} = b.{k}" for k in [*keys.replace(" ", "").split(","), "t"])
-    return f"""{engine_sql(panel, predictors, (0, 1), (0.0,), 'y', keys, tag=tag)},{timed_sql(panel, 'y', predictors, name=f'timed{tag}', keys=keys)},
+    return f"""{engine_sql(panel, predictors, seeds, (0.0,), 'y', keys, tag=tag)},{timed_sql(panel, 'y', predictors, name=f'timed{tag}', keys=keys)},
 pairs{tag} as (
   select f.*, b.strategy as benchmark, b.forecast as benchmark_forecast, b.oos_index
   from fc{tag} f join timed{tag} b on {on})"""
@@ -633,6 +676,13 @@ near as (select series_id, seed, "P", z, t, realized, 0.5 + 1e-6*sin(t*(seed + 1
         f"select {CELL}, {rnd('alpha*1e6', 4)} as alpha, {rnd('information_ratio', 4)} as information_ratio, "
         f"{rnd('alpha_tstat', 4)} as alpha_tstat from sn",
     )
+    q["spanning_collinear"] = _with(
+        f"{full}",
+        f"""select {CELL}, {rnd('alpha')} as alpha, {rnd('0.4*slope')} as beta_benchmark, {rnd('0.2*slope')} as beta_market,
+  {rnd('alpha/sqrt(ssr/(n-3)*(1.0/n + mx*mx/sxx))')} as alpha_tstat, {rnd('information_ratio')} as information_ratio,
+  {rnd('sqrt(ssr/n)')} as resid_std
+from (select s.*, l.slope from scored s join scored_line l using ({CELL}))""",
+    )
     q["benchmark_scores"] = _with(
         f"{SUPPLIER},{timed_sql('panel', 'y', SUPPLIER_PREDICTORS)},{scored('timed', 'series_id', norm=False)}",
         out("scored", "series_id", STATS),
@@ -929,6 +979,10 @@ order by f.r2 - m.r2 desc, m.excluded limit 3""",
 union all select 'orders', date, {rnd('vwretd')} from idx where vwretd is not null""",
     )
     q["bootstrap_innovation_sizes"] = _with(boot_seed_sizes(), out("resid", "series_id t", "size"))
+    q["bootstrap_panel"] = _with(
+        f"recursive {SUPPLIER},{bootstrap_sql('panel', ('dp', 'ltr', 'dfr'), (0, 1), 2909)}",
+        out("boot", "series_id seed t", "dp ltr dfr"),
+    )
     mean_of = lambda stats, digits=4: ", ".join(f"{rnd(f'avg({c})', digits)} as {c}" for c in stats.split())
     designs = designs_sql()
     timed_rows = "timed_rows as (select * exclude (forecast), benchmark_forecast as forecast from pairs)"
@@ -945,6 +999,19 @@ from {rows} group by 1, 2"""
         f"{designs},{spanning_sql('pairs', 'series_id, experiment, seed')}",
         f"select series_id, experiment, {mean_of(SPAN)}, count(distinct seed) as n_seeds from span group by 1, 2",
     )
+    drawn = bootstrap_design_sql()
+    q["bootstrap_design"] = _with(
+        f"{drawn},\n{timed_rows},{scored('pairs', 'series_id, seed', 'model')},{scored('timed_rows', 'series_id, seed', 'bench')}",
+        " union all ".join(
+            f"""select series_id, 'wild_bootstrap' as experiment, '{label}' as strategy, {mean_of(STATS)}, count(distinct seed) as n_seeds
+from {rows} group by 1"""
+            for rows, label in (("model", "RFF"), ("bench", "Volatility-timed momentum"))
+        ),
+    )
+    q["bootstrap_design_spanning"] = _with(
+        f"{drawn},{spanning_sql('pairs', 'series_id, seed')}",
+        f"select series_id, 'wild_bootstrap' as experiment, {mean_of(SPAN)}, count(distinct seed) as n_seeds from span group by 1",
+    )
     twins = twin_designs_sql()
     q["twin_design_recovery"] = _with(
         f"""{twins},

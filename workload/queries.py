@@ -326,6 +326,13 @@ def spanning_regression(spark, folder):
     return rounded(spanning(_naive_with_benchmark(spark, folder), CELL))
 
 
+@query
+def spanning_collinear(spark, folder):
+    """A benchmark that is twice the market: the coefficients of least length share the market's slope as 2 to 1."""
+    rows = frames.naive_forecasts(spark, folder).withColumn("benchmark", F.lit(2.0) * F.col("realized"))
+    return rounded(spanning(rows, CELL))
+
+
 def _naive_with_benchmark(spark, folder):
     panel = inputs.supplier_panel(spark, folder)
     bench = windows.momentum(panel, "y", MONTHS).select(
@@ -795,27 +802,26 @@ def twin_recovery_paths(spark, folder):
 
 
 def _counterfactual_inputs(spark, folder):
-    from panelgrid.config import CounterfactualConfig
-
+    panel = inputs.supplier_panel(spark, folder)
+    shocks = inputs.shocks_for(panel)
     return dict(
-        tidy=inputs.supplier_panel(spark, folder),
+        tidy=panel,
         config=CounterfactualConfig(anchor_p=64, n_seeds=2, calibration=24),
         target="y",
         predictors=SUPPLIER_PREDICTORS,
         own_lag="own_lag",
         sample_end=sample_end(spark, folder),
         axis=MONTHS,
+        reversal_shocks=shocks,
+        twin_shocks=shocks,
     )
 
 
 def _two_feature_study(spark, folder):
     """The fixed designs at two features on formula shocks, where SQL has the answer."""
-    from panelgrid.config import CounterfactualConfig
-
     arguments = _counterfactual_inputs(spark, folder)
-    shocks = inputs.shocks_for(arguments["tidy"])
     arguments["config"] = CounterfactualConfig(anchor_p=2, n_seeds=2, calibration=24)
-    return run_counterfactuals(**arguments, reversal_shocks=shocks, twin_shocks=shocks, bootstrap=False)
+    return run_counterfactuals(**arguments, bootstrap=False)
 
 
 @query
@@ -830,6 +836,26 @@ def reversal_design_spanning(spark, folder):
     return rounded(rows.select("series_id", "experiment", *SPAN, "n_seeds"), 4)
 
 
+def _bootstrap_study(spark, folder):
+    rows = run_counterfactuals(**{
+        **_counterfactual_inputs(spark, folder), "config": CounterfactualConfig(anchor_p=2, n_seeds=2, calibration=24),
+    })
+    return rows.counterfactuals, rows.counterfactual_spanning
+
+
+@query
+def bootstrap_design(spark, folder):
+    """Each seed's model on the predictors drawn for it, at two features, where SQL has the answer."""
+    rows = _bootstrap_study(spark, folder)[0].where("experiment = 'wild_bootstrap'")
+    return rounded(rows.select("series_id", "experiment", "strategy", *STATS, "n_seeds"), 4)
+
+
+@query
+def bootstrap_design_spanning(spark, folder):
+    rows = _bootstrap_study(spark, folder)[1].where("experiment = 'wild_bootstrap'")
+    return rounded(rows.select("series_id", "experiment", *SPAN, "n_seeds"), 4)
+
+
 @query
 def twin_design_recovery(spark, folder):
     rows = _two_feature_study(spark, folder).twin_recovery
