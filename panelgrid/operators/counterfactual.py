@@ -96,6 +96,18 @@ def amplitude(share: float) -> float:
     return math.sqrt(share / (1.0 - share))
 
 
+def signal_rows(
+    panel: DataFrame, shocks: DataFrame, axis: TimeAxis = TimeAxis(), calibration: int = 120,
+    inputs: Sequence[str] = ("dp", "ltr", "dfr"),
+) -> DataFrame:
+    """The panel with ``epsilon``, ``g`` and ``planted``, from which every world follows."""
+    signal = calibrated_signal(panel, axis, calibration, inputs)
+    lagged_signal = over_time(signal, axis, {"_before": lagged("g")}, lookback=1)
+    return lagged_signal.join(
+        shocks.select(*axis.keys, axis.t, F.col("xi").alias("epsilon")), [*axis.keys, axis.t]
+    ).withColumn("planted", F.coalesce("_before", F.lit(0.0))).drop("_before")
+
+
 def plant_signal(
     panel: DataFrame,
     shocks: DataFrame,
@@ -110,11 +122,7 @@ def plant_signal(
     row) and, per copy of a row, ``strength``, ``signal_r2``, ``market``, ``truth``
     (amplitude times g) and ``y`` (the world's return).
     """
-    signal = calibrated_signal(panel, axis, calibration, inputs)
-    lagged_signal = over_time(signal, axis, {"_before": lagged("g")}, lookback=1)
-    joined = lagged_signal.join(
-        shocks.select(*axis.keys, axis.t, F.col("xi").alias("epsilon")), [*axis.keys, axis.t]
-    ).withColumn("planted", F.coalesce("_before", F.lit(0.0)))
+    joined = signal_rows(panel, shocks, axis, calibration, inputs)
     worlds = F.array(
         *[
             F.struct(
@@ -385,3 +393,97 @@ def design_summaries(
         return solved(left, right.slice(0, 1).to_pylist()[0] if right.num_rows else None)
 
     return chunked.groupBy(*group).cogroup(bootstrap.plan.groupBy(*group)).applyInArrow(both, schema)
+
+
+SHARED_SET, OWN_SET = "x14_shared", "x15_world_lag"  # fixed values: names of the twin designs
+RECOVERED = ("truth", "recovered")  # the columns of a recovery's factor
+
+
+def twin_summaries(
+    panel: DataFrame, config: StudyConfig, strengths: Mapping[str, float], axis: TimeAxis = TimeAxis(), date: str = "date"
+) -> DataFrame:
+    """Both twin designs of every strength, solved and reduced in the kernel task.
+
+    ``panel`` holds ``(*keys, t, date, y, x)`` with ``y`` = (epsilon, planted, g). Worlds are made inside the task, so no row is copied per world. With shared
+    predictors the minimum-norm forecast is linear in the target: shock and unit signal are solved together, and every
+    strength and sign is a combination of the two. With the world's own return among the predictors each world is solved by itself.
+
+    Rows are ``(*keys, predictor_set, strength, market, seed, t, obs, summary)`` of three kinds: a world's DESIGN for each chunk and seed; with
+    a NULL market its RECOVERED columns; with a NULL seed the mean path over the chunk's seeds at ``t``, whose means are RECOVERED and whose count
+    is that of the seeds.
+    """
+    keys, t = list(axis.keys), axis.t
+    window, chunk, blocks = config.window, config.chunk, seed_blocks(config)
+    if len(config.p_grid) != 1 or len(config.z_labels) != 1:
+        raise ValueError("a design has one complexity and one shrinkage")
+    sizes = {name: amplitude(share) for name, share in strengths.items()}
+    chunked, group = chunked_panel(panel.select(*keys, t, date, "y", "x"), config, axis, len(blocks))
+    text = T.StringType()
+    schema = T.StructType(
+        [panel.schema[k] for k in keys]
+        + [T.StructField(c, text) for c in ("predictor_set", "strength", "market")]
+        + [T.StructField("seed", T.LongType()), T.StructField(t, T.LongType()), T.StructField("obs", panel.schema[date].dataType)]
+        + summary_fields()
+    )
+    solve = dict(
+        window=window, p_grid=config.p_grid, z_labels=config.z_labels, gamma=config.gamma, uncentered=config.uncentered
+    )
+
+    def kernel(table: pa.Table) -> pa.Table:
+        c = open_chunk(table, keys, t, window, chunk)
+        if c.y.shape[1] != 3:
+            raise ValueError("twins are made of a shock, a planted signal and the signal itself")
+        n = len(c.own)
+        if not n:
+            return to_arrow_schema(schema).empty_table()
+        at, arrow = c.decisions, to_arrow_schema(schema)
+        epsilon, planted, g = c.y.T
+        seeds = blocks[table[SEED_BLOCK][0].as_py()]
+        labels = table[date].combine_chunks().take(pa.array(c.order[at + 1]))
+        tables = []
+
+        def add(count: int, summary: tuple, **columns) -> None:
+            data = {k: pa.repeat(table[k][0], count) for k in keys} | columns
+            data |= summary_columns(*summary, np.empty((count, 0)))
+            tables.append(pa.table([
+                v.cast(f.type) if isinstance(v := data.get(f.name, pa.nulls(count, f.type)), pa.Array) else pa.array(v, f.type) for f in arrow
+            ], schema=arrow))
+
+        one = lambda x, y, s: solve_windows(x, y, seed=s, **solve)[0][0, 0, c.own]
+        parts = [one(c.x, c.y[:, :2], s) for s in seeds]
+        starts = np.arange(len(seeds)) * n
+        for strength, size in sizes.items():
+            truth = size * g[at]
+            worlds = {m: epsilon + sign * size * planted for m, sign in (("plus", 1.0), ("minus", -1.0))}
+            for name in (SHARED_SET, OWN_SET):
+                made = {}
+                for market, sign in (("plus", 1.0), ("minus", -1.0)):
+                    y = worlds[market]
+                    if name == SHARED_SET:
+                        x = c.x
+                        made[market] = np.stack([p[:, 0] + sign * size * p[:, 1] for p in parts])
+                    else:
+                        x = np.column_stack([c.x, y])
+                        made[market] = np.stack([one(x, y[:, None], s)[:, 0] for s in seeds])
+                    bench, realized = timed_momentum(x, y, window)[c.own], y[at + 1]
+                    f = made[market]
+                    tile = lambda v: np.tile(v, (len(seeds), 1))
+                    values = np.stack([tile(realized), f * realized, f, tile(bench * realized), tile(bench)], axis=-1)
+                    add(
+                        len(seeds), reduced(values.reshape(-1, 5), starts), predictor_set=[name] * len(seeds),
+                        strength=[strength] * len(seeds), market=[market] * len(seeds), seed=list(seeds),
+                    )
+                found = 0.5 * (made["plus"] - made["minus"])
+                both = np.stack([np.tile(truth, (len(seeds), 1)), found], axis=-1).reshape(-1, 2)
+                add(
+                    len(seeds), reduced(both, starts), predictor_set=[name] * len(seeds), strength=[strength] * len(seeds),
+                    seed=list(seeds),
+                )
+                mean = np.stack([truth, found.mean(axis=0)], axis=1)
+                add(
+                    n, (np.full(n, len(seeds)), mean, np.zeros((n, 2, 2))), predictor_set=[name] * n, strength=[strength] * n,
+                    obs=labels, **{t: c.steps[at].astype(np.int64)},
+                )
+        return pa.concat_tables(tables)
+
+    return chunked.groupBy(*group).applyInArrow(kernel, schema)

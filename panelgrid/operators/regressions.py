@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelgrid.operators.blocks import TimeAxis, over_time
-from panelgrid.operators.triangles import combined, least_squares, summaries
+from panelgrid.operators.triangles import COUNT, MEAN, combined, entry, least_squares, summaries
 from panelgrid.operators.windows import lagged
 
 FLAT = 1e-12  # fixed value: a truth path this flat cannot be recovered
@@ -189,6 +189,30 @@ def recovery(rows: DataFrame, keys: Sequence[str], strict: bool = True) -> DataF
     )
 
 
+def recovery_summaries(parts: DataFrame, keys: Sequence[str], strict: bool = True) -> DataFrame:
+    """``recovery`` from summaries of (truth, recovered) that tasks have made."""
+    r = lambda i, j: entry(i, j, 2)
+    n, mx, mr = F.col(COUNT), F.col(MEAN)[0], F.col(MEAN)[1]
+    ok = (n >= 3) & (r(0, 0) / F.sqrt(n) > FLAT)
+    slope = F.try_divide(r(0, 1), r(0, 0))
+    gap = r(0, 1) - r(0, 0)
+    rmse = F.sqrt((mr - mx) * (mr - mx) + F.try_divide(gap * gap + r(1, 1) * r(1, 1), n))
+    return combined(parts, keys).select(
+        *keys,
+        _required(
+            ok,
+            F.try_divide(r(0, 1), F.sqrt(r(0, 1) * r(0, 1) + r(1, 1) * r(1, 1))),
+            "recovery needs three rows and a truth that varies",
+            strict,
+        ).alias("correlation"),
+        (mr - slope * mx).alias("intercept"),
+        slope.alias("slope"),
+        rmse.alias("rmse"),
+        F.try_divide(rmse * F.sqrt(n), r(0, 0)).alias("nrmse"),
+        (mr - mx).alias("bias"),
+    )
+
+
 def pair_worlds(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Half the difference of the plus and minus forecasts, one row per ``keys``."""
     pick = lambda world: F.max(F.when(F.col("market") == world, F.col("forecast")))

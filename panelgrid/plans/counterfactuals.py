@@ -12,18 +12,17 @@ from panelgrid.config import CounterfactualConfig
 from panelgrid.guards import require_same_axis
 from panelgrid.operators.blocks import TimeAxis, over_time
 from panelgrid.operators.counterfactual import (
-    BENCH_COLUMNS, MODEL_COLUMNS, SPAN_COLUMNS, amplitude, bootstrap_plan, design_summaries, plant_signal, seeded_shocks,
+    BENCH_COLUMNS, MODEL_COLUMNS, SPAN_COLUMNS, bootstrap_plan, design_summaries, seeded_shocks, signal_rows, twin_summaries,
 )
-from panelgrid.operators.engine import rolling_forecasts, seed_blocks, to_arrays
-from panelgrid.operators.regressions import forecast_anatomy, pair_worlds, recovery, spanning, spanning_summaries
+from panelgrid.operators.engine import seed_blocks, to_arrays
+from panelgrid.operators.regressions import forecast_anatomy, recovery_summaries, spanning, spanning_summaries
 from panelgrid.operators.scoring import (
     anchor_by_seed, average_with_seed_count, ensemble, require_full_paths, score, score_summaries,
 )
 from panelgrid.operators.standardize import standardize_panel, trim_to_sample
 from panelgrid.operators.tidy import lookup
-from panelgrid.operators.windows import (
-    add_reversal, declining_weights, lagged, led, volatility_timed_momentum,
-)
+from panelgrid.operators.triangles import COUNT, MEAN
+from panelgrid.operators.windows import add_reversal, declining_weights, led, volatility_timed_momentum
 from panelgrid.plans.reports import BENCHMARK, MODEL, with_metadata
 from panelgrid.sources.sinks import materialize, write_artifact
 
@@ -123,72 +122,22 @@ def direct_summaries(
     return found.unionByName(design(drawn, "wild_bootstrap"))
 
 
-def twin_rows(
+def twin_designs(
     prepared: Prepared,
     config: CounterfactualConfig,
     shared: Sequence[str],
     axis: TimeAxis,
     shocks: DataFrame | None = None,
     inputs: Sequence[str] = ("dp", "ltr", "dfr"),
-) -> tuple[DataFrame, DataFrame]:
-    """Forecasts of both twin designs and their benchmarks.
-
-    With shared predictors the minimum-norm forecast is linear in the target: the shock
-    path and the unit signal are solved as two targets of one kernel call, and every
-    strength and sign is a combination of the two. With the world's own return among
-    the predictors the designs differ, and each world is a series of its own.
-    """
+) -> DataFrame:
+    """Both twin designs and their benchmarks, reduced in the kernel task (see ``twin_summaries``)."""
     keys, t = list(axis.keys), axis.t
-    study = config.study()
     base = prepared.original.select(*keys, t, "date", *shared)
     if shocks is None:
         shocks = seeded_shocks(base, config.shock_seed, axis)
-    worlds = materialize(plant_signal(base, shocks, config.strengths, axis, config.calibration, inputs))
-    world_axis = axis.with_keys("strength", "market")
-    book = over_time(
-        worlds, world_axis, {"realized_next": led("y"), "obs": led("date")}, lookahead=1
-    ).select(*world_axis.keys, t, "obs", "signal_r2", "truth", F.col("realized_next").alias("realized"))
-
-    first = next(iter(config.strengths))
-    unit = worlds.where((F.col("strength") == first) & (F.col("market") == "plus"))
-    parts = rolling_forecasts(
-        to_arrays(unit, ["epsilon", "planted"], shared, [*keys, t]), study, axis, targets=["noise", "signal"]
-    )
-    pick = lambda name: F.max(F.when(F.col("target") == name, F.col("forecast")))
-    parts = parts.groupBy(*keys, "seed", t).agg(pick("noise").alias("_noise"), pick("signal").alias("_signal"))
-    signed = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("strength"),
-                F.lit(market).alias("market"),
-                F.lit(sign * amplitude(share)).alias("size"),
-            )
-            for name, share in config.strengths.items()
-            for market, sign in (("plus", 1.0), ("minus", -1.0))
-        ]
-    )
-    clean = (
-        parts.withColumn("_w", F.explode(signed))
-        .select(
-            *keys, "_w.strength", "_w.market", "seed", t,
-            (F.col("_noise") + F.col("_w.size") * F.col("_signal")).alias("forecast"),
-        )
-        .withColumn("predictor_set", F.lit("x14_shared"))
-    )
-    with_own = worlds.withColumn("own_return", F.col("y"))
-    robust = rolling_forecasts(
-        to_arrays(with_own, "y", [*shared, "own_return"], [*world_axis.keys, t]), study, world_axis
-    ).select(*world_axis.keys, "seed", t, "forecast").withColumn("predictor_set", F.lit("x15_world_lag"))
-
-    forecasts = clean.unionByName(robust).join(book, [*world_axis.keys, t])
-    bench = _benchmark(worlds, shared, world_axis, config.window).withColumn(
-        "predictor_set", F.lit("x14_shared")
-    ).unionByName(
-        _benchmark(with_own, [*shared, "own_return"], world_axis, config.window).withColumn(
-            "predictor_set", F.lit("x15_world_lag")
-        )
-    )
-    return forecasts, bench
+    rows = signal_rows(base, shocks, axis, config.calibration, inputs)
+    arrays = to_arrays(rows, ["epsilon", "planted", "g"], shared, [*keys, t, "date"])
+    return twin_summaries(arrays, config.study(), config.strengths, axis)
 
 
 RESULTS = ("counterfactuals", "counterfactual_spanning", "twin_recovery", "twin_spanning", "twin_paths")
@@ -198,9 +147,8 @@ RESULTS = ("counterfactuals", "counterfactual_spanning", "twin_recovery", "twin_
 class Counterfactuals:
     """All designs of a panel. Each result is built when first asked for.
 
-    Direct designs are reduced inside the kernel to one summary for each chunk and seed; forecast rows of the twin designs
-    are kept for their paths. Both are solved once, stored in the shared folder and read back by every result that needs them.
-    Per-seed statistics come first, then their means.
+    Designs are made, solved and reduced inside the kernel task to one summary for each chunk and seed (and the twins' mean
+    paths), stored in the shared folder and read back by every result. Per-seed statistics come first, then their means.
     """
 
     tidy: DataFrame
@@ -232,14 +180,11 @@ class Counterfactuals:
     @cached_property
     def twins(self) -> DataFrame:
         shared = [c for c in self.predictors if c != self.own_lag]
-        forecasts, bench = twin_rows(self.prepared, self.config, shared, self.axis, self.twin_shocks, self.inputs)
-        on = [*self.axis.keys, "strength", "market", "predictor_set", self.axis.t]
-        return materialize(_booked(forecasts.join(bench, on)).withColumn("realized", _same_market()))
+        return materialize(twin_designs(self.prepared, self.config, shared, self.axis, self.twin_shocks, self.inputs))
 
-    @cached_property
-    def pairs(self) -> DataFrame:
-        t = self.axis.t
-        return pair_worlds(self.twins, [*self._design, "signal_r2", "seed", t, "obs"])
+    def _with_share(self, df: DataFrame) -> DataFrame:
+        shares = [F.lit(v) for name, share in self.config.strengths.items() for v in (name, float(share))]
+        return df.withColumn("signal_r2", F.element_at(F.create_map(*shares), F.col("strength")))
 
     @property
     def _design(self) -> list[str]:
@@ -277,30 +222,33 @@ class Counterfactuals:
 
     @cached_property
     def twin_recovery(self) -> DataFrame:
-        per_seed = recovery(self.pairs, [*self._design, "signal_r2", "seed"], strict=self.check)
+        parts = self.twins.where("market IS NULL AND seed IS NOT NULL")
+        per_seed = self._with_share(recovery_summaries(parts, [*self._design, "seed"], strict=self.check))
         return self._described(average_with_seed_count(per_seed, self._design), False)
 
     @cached_property
     def twin_spanning(self) -> DataFrame:
-        world = [*self._design, "market", "signal_r2", "seed"]
-        market = score(self.twins, world, strict=self.check).select(
+        world = [*self._design, "market", "seed"]
+        parts = self.twins.where("market IS NOT NULL")
+        market = score_summaries(parts, world, with_norm=False, strict=self.check, pick=MODEL_COLUMNS).select(
             *world,
             "sharpe",
             F.col("alpha").alias("market_alpha"),
             F.col("alpha_tstat").alias("market_alpha_tstat"),
             F.col("information_ratio").alias("market_information_ratio"),
         )
-        per_seed = market.join(spanning(self.twins, world, "strategy_return"), world)
+        per_seed = self._with_share(market.join(spanning_summaries(parts, world, pick=SPAN_COLUMNS), world))
         return self._described(average_with_seed_count(per_seed, [*self._design, "market"]), False)
 
     @cached_property
     def twin_paths(self) -> DataFrame:
         keys, t = list(self.axis.keys), self.axis.t
-        paths = self.pairs.groupBy(*self._design, "signal_r2", t, "obs").agg(
-            F.avg("truth").alias("truth"), F.avg("recovered").alias("recovered"), F.count("seed").alias("n_seeds")
+        mean = lambda i: F.try_divide(F.sum(F.col(COUNT) * F.col(MEAN)[i]), F.sum(COUNT))
+        paths = self.twins.where("seed IS NULL").groupBy(*self._design, t, "obs").agg(
+            mean(0).alias("truth"), mean(1).alias("recovered"), F.sum(COUNT).alias("n_seeds")
         )
         start = self.prepared.original.groupBy(*keys).agg(F.min(t).alias("_t0"))
-        placed = paths.join(start, keys).select(
+        placed = self._with_share(paths.join(start, keys)).select(
             *self._design, "signal_r2", (F.col(t) - F.col("_t0")).alias("oos_index"), "obs", "truth", "recovered", "n_seeds"
         )
         return self._described(placed, False)
