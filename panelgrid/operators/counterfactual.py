@@ -214,10 +214,16 @@ def bootstrap_plan(
     width = len(names)
     fits = fit_ar1(panel, names, axis, bias_adjust, bound).select(*keys, "t_min", "n", "phi", "intercept")
     vectors = panel.select(*keys, t, F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
-    first = vectors.groupBy(*keys).agg(F.min_by("x", t).alias("x0"))
-    series = materialize(fits.join(first, keys))
     at = lambda c: F.floor(c / F.lit(block)).cast("long")
     t_max = F.col("t_min") + F.col("n") - 1
+    number_seeds = F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1)))
+    if block == ONE_BLOCK:  # every path begins with its series
+        plan = fits.withColumn(SEED_BLOCK, number_seeds).withColumns(
+            {BLOCK: F.lit(0).cast("long"), "start": F.lit(None).cast("array<double>")}
+        )
+        return Bootstrap(plan, base_seed)
+    first = vectors.groupBy(*keys).agg(F.min_by("x", t).alias("x0"))
+    series = materialize(fits.join(first, keys))
     # the rows after the start of a block's halo, up to that of the next, with the row before them
     piece = lambda c: at(c + F.lit(lookback - 1))
     moved = vectors.withColumn(BLOCK, F.explode(F.sequence(piece(F.col(t)), piece(F.col(t) + 1))))
@@ -272,7 +278,7 @@ def bootstrap_plan(
         out = left.select([*keys, BLOCK, SEED_BLOCK]).append_column("start", pa.array(starts, pa.list_(pa.float64())))
         return out.cast(to_arrow_schema(start_schema))
 
-    per_seeds = series.withColumn(SEED_BLOCK, F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))))
+    per_seeds = series.withColumn(SEED_BLOCK, number_seeds)
     starts = maps.groupBy(*keys, SEED_BLOCK).cogroup(per_seeds.groupBy(*keys, SEED_BLOCK)).applyInArrow(chain, start_schema)
     plan = per_seeds.drop("x0").withColumn(BLOCK, F.explode(F.sequence(at(F.col("t_min")), at(t_max))))
     return Bootstrap(plan.join(starts, [*keys, BLOCK, SEED_BLOCK], "left"), base_seed)
