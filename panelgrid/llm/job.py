@@ -71,6 +71,14 @@ def crc32(col) -> "F.Column":
     return F.crc32(F.coalesce(col.cast("binary"), F.lit("").cast("binary")))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first of its underscored forms that no column of ``df`` has (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block."""
     head = np.array([len(arrays), *[x for a in arrays for x in (ord(a.dtype.char), len(a))]], dtype=np.int64)

@@ -31,6 +31,7 @@ START = 0.01  # spread of untrained vectors: what training never met should hard
 NEUTRAL = 300  # subwords without effect that every mean includes: a few words alone prove little
 GRAMS = (3, 4, 5)
 EDGE = ord("_")
+SLAB = 1 << 19  # bytes of text at a time: a dozen arrays of eight bytes a character come with it
 
 
 def subwords(column_: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for slab in slabs(batches, "text"):
+        for slab in slabs(batches, "text", SLAB):
             found = bags(column(slab, "text"))
             yield {
                 "y": column(slab, "y"), "place": column(slab, "place"), "buckets": [b.astype(np.int32).tobytes() for b, _ in found],
@@ -176,6 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[
         # the order in which rows arrive does not matter
         order = sorted(range(len(rows)), key=lambda i: (place[i], y[i], len(rows[i][0])))
         model = train([rows[i] for i in order], np.array([y[i] for i in order]), prior)
+        rows.clear()
+        given_back()
         yield pd.DataFrame({k: [v.tobytes()] for k, v in model.items()})
 
     found = map_batches(rows, read, "y int, place long, buckets binary, counts binary").repartition(1).mapInPandas(
@@ -190,13 +193,54 @@ def with_score(docs: DataFrame, model: dict | None, text: str = "text", score: s
     model every score is 0. Columns and rows stay; a column already called ``score`` is replaced."""
     if model is None:
         return docs.withColumn(score, F.lit(0.0))
-    effect = (model["vectors"] @ (model["weights"][:, 1] - model["weights"][:, 0]) * SHARPNESS).astype(np.float32)
-    bias = float(model["bias"][1] - model["bias"][0])
     kept = [f for f in docs.schema if f.name != score]
     from pyspark.sql import types as T
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for slab in slabs(batches, text):
+        for slab, p in probabilities(batches, text):
+            yield {f.name: column(slab, f.name) for f in kept} | {score: p}
+
+    probabilities = scorer(model)
+    schema = T.StructType([*kept, T.StructField(score, T.DoubleType())])
+    return map_batches(docs.select(*[f.name for f in kept]), read, schema)
+
+
+def without_toxic(docs: DataFrame, model: dict | None, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows whose probability is below ``threshold``, with all their columns; without a model all rows. Rows that go do
+    not leave their task."""
+    if model is None:
+        return docs
+    probabilities, names = scorer(model), docs.columns
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for slab, p in probabilities(batches, text):
+            left = slab.filter(pa.array(p < threshold))
+            if left.num_rows:
+                yield {name: column(left, name) for name in names}
+
+    return map_batches(docs, read, docs.schema)
+
+
+def given_back() -> None:
+    """Memory of finished work goes back to the machine: a worker lives on, next to those of the following stage."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def scorer(model: dict):
+    """A function from batches to (slab, probability of each of its rows)."""
+    effect = (model["vectors"] @ (model["weights"][:, 1] - model["weights"][:, 0]) * SHARPNESS).astype(np.float32)
+    bias = float(model["bias"][1] - model["bias"][0])
+
+    def probabilities(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        for slab in slabs(batches, text, SLAB):
             parts = list(subwords(column(slab, text)))
             at = parts.pop()[0]
             total, number = np.zeros(slab.num_rows), np.zeros(slab.num_rows)
@@ -204,9 +248,6 @@ def with_score(docs: DataFrame, model: dict | None, text: str = "text", score: s
                 total += row_sums(np.where(counts, effect[bucket], np.float32(0)), at)
                 number += row_sums(counts, at)
             logit = total / (number + NEUTRAL) + bias
-            out = {f.name: column(slab, f.name) for f in kept}
-            out[score] = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-            yield out
+            yield slab, 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
-    schema = T.StructType([*kept, T.StructField(score, T.DoubleType())])
-    return map_batches(docs.select(*[f.name for f in kept]), read, schema)
+    return probabilities
