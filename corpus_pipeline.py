@@ -14,7 +14,7 @@ from panelgrid.llm.job import stored
 from panelgrid.llm.neardup import without_near_duplicates
 from panelgrid.llm.packing import pack_documents
 from panelgrid.llm.pii import masked
-from panelgrid.llm.toxicity import fit, with_score
+from panelgrid.llm.toxicity import fit, without_toxic
 
 SIMILARITY = 80  # percent of equal five-word shingles
 
@@ -22,7 +22,7 @@ SIMILARITY = 80  # percent of equal five-word shingles
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model calls toxic go. It learns from the labelled ones among ``docs``."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_score(docs, model, score="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    return without_toxic(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
