@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelgrid.llm.job import column, map_batches, stored
+from panelgrid.llm.job import column, fresh, map_batches, stored
 from panelgrid.llm.text import ALNUM, LOWER, Words, bytes_of, gram_hash, mix, slabs, sliding_min, split_words, take_ranges
 
 WINDOW = 10
@@ -205,6 +205,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text has no hit, with all their columns. Rows are told by id and text."""
     found = contamination(docs, benchmark).where("n_hit > 0")
-    hit = found.select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_text")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs["text"]) == F.col("_hit_text"))
+    id_, text = fresh(docs, "_hit_id"), fresh(docs, "_hit_text")
+    hit = found.select(F.col("doc_id").alias(id_), F.col("text_key").alias(text)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(text))
     return docs.join(hit, same, "left_anti")

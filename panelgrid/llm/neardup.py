@@ -12,12 +12,13 @@
    links that it confirmed, at most one edge a document.
 5. Components of the confirmed links are the result.
 
-A band is a fixed random subset of the minima. With 256 minima and 64 bands a pair at the threshold
-misses all its bands with a probability of about 1e-5 (``rows_for`` chooses the band's rows).
+A band is a fixed random subset of the minima; bands share minima, which ``miss`` takes into account. A pair at the
+threshold misses all its bands with a probability of at most 3e-6 (``rows_for`` chooses the band's rows), and a pair above it with less.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +26,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelgrid.llm.components import connected_components
-from panelgrid.llm.job import column, map_batches, stored
+from panelgrid.llm.job import column, fresh, map_batches, stored
 from panelgrid.llm.text import BASE, NOT_SPACE, bytes_of, mix, shingle_sets, slabs, split_words
 
 SHINGLE = 5
 MINIMA = 256
-BANDS = 64
-MISS = 2e-6
+BANDS = 80
+MISS = 3e-6
 PART_DOCS = 1024
 PART_SHINGLES = 1_500_000
 
 
+def miss(similarity: float, rows: int) -> float:
+    """Probability that a pair shares no band: over the number of minima that agree, of which a band needs ``rows``."""
+    out = 0.0
+    for agree in range(MINIMA + 1):
+        log_chance = (
+            math.lgamma(MINIMA + 1) - math.lgamma(agree + 1) - math.lgamma(MINIMA - agree + 1)
+            + agree * math.log(similarity) + (MINIMA - agree) * math.log1p(-similarity)
+        )
+        out += math.exp(log_chance) * (1 - math.comb(agree, rows) / math.comb(MINIMA, rows)) ** BANDS
+    return out
+
+
 def rows_for(threshold: float) -> int:
-    """The most rows a band may have so that independent bands would miss a pair at the threshold with at most ``MISS``."""
-    return max(r for r in range(1, 20) if (1 - threshold**r) ** BANDS <= MISS or r == 1)
+    """The most rows a band may have so that a pair at the threshold is missed with at most ``MISS``."""
+    return max(r for r in range(1, 20) if r == 1 or miss(threshold, r) <= MISS)
 
 
 def hash_family() -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +160,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Words are runs without ASCII white space, A-Z folded; sets hold distinct five-word shingles, or the whole
     sequence of a shorter text. Null, empty and wordless texts are linked with nothing. Rows that share an id
-    are one node. Rows without an id are linked with nothing: component_id is null and kept is true.
+    are one node: what is linked with one of their texts is linked with all. Rows without an id are linked with nothing: component_id
+    is null and kept is true.
     An empty table gives no rows; other columns are ignored.
     """
     rows = rows_for(percent / 100)
@@ -164,8 +178,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.min("first_id").alias("u"), F.max("first_id").alias("most")).where("u < most")
     near = keyed.join(shared.select("key", "u"), "key").where("u < first_id").select("u", F.col("first_id").alias("v"))
     groups = stored(connected_components(near.distinct()))
-    links = stored(_links(docs, groups, classes, percent, rows))
-    found = connected_components(links)
+    links = _links(docs, groups, classes, percent, rows)
+    # an id with several texts is in several classes
+    own = known.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "first_id")
+    several = own.groupBy("doc_id").agg(F.min("first_id").alias("u"), F.max("first_id").alias("most")).where("u < most")
+    same_id = own.join(several.select("doc_id", "u"), "doc_id").where("u < first_id").select("u", F.col("first_id").alias("v"))
+    found = connected_components(stored(links.unionByName(same_id.distinct())))
     labels = classes.join(found, F.col("first_id") == F.col("node"), "left").select(
         "d1", "d2", F.col("n_shingles").alias("size"), F.coalesce("component", "first_id").alias("component")
     )
@@ -194,7 +212,12 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int,
             F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
         )
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(dealt, "doc_id")
+    # repeated rows of a document are one text
+    texts = (
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        .withColumn("key", F.xxhash64("text")).dropDuplicates(["doc_id", "key"]).drop("key").join(dealt, "doc_id")
+    )
 
     def link(group: pa.Table) -> pa.Table:
         found = confirmed_links(group, percent, rows)
@@ -204,20 +227,26 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int,
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row of each class, that of the smallest id, with all its columns; rows without an id all stay.
+    """One row of each group of linked texts, that of the smallest id, with all its columns; rows without an id all stay.
 
-    Of rows that share an id, one stays: the smallest by its columns in order.
+    A document is an id with a text: rows that share an id but not a text are different documents, linked only if
+    their texts are. Of repeated rows of the document that stays, the smallest by its columns in order stays.
     """
-    found = near_duplicates(docs, percent)
-    key = docs["doc_id"].cast("long")
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(dropped, key == F.col("_gone"), "left_anti")
+    node = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    known = docs.where(F.col("doc_id").cast("long").isNotNull())
+    found = near_duplicates(known.select(node.alias("doc_id"), "text"), percent).select("doc_id", "component_id").distinct()
+    ids = known.select(node.alias("doc_id"), F.col("doc_id").cast("long").alias("id")).distinct()
+    labelled = stored(found.join(ids, "doc_id"))
+    first = labelled.groupBy("component_id").agg(F.min(F.struct("id", "doc_id"))["doc_id"].alias("doc_id"))
+    name, key, row = (fresh(docs, c) for c in ("_document", "_of", "_row"))
+    gone = labelled.join(first, "doc_id", "left_anti").select(F.col("doc_id").alias(key))
     repeated = (
-        docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_again"))
-        .agg(F.count("*").alias("_n")).where("_n > 1").select("_again")
+        known.select(node.alias(key)).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
     )
-    single = left.join(repeated, left["doc_id"] == F.col("_again"), "left_anti")
-    several = left.join(repeated, left["doc_id"] == F.col("_again"), "left_semi")
-    # min merges before the shuffle, so an id with very many rows does not meet in one task
-    one = several.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    tagged = docs.withColumn(name, F.when(F.col("doc_id").cast("long").isNotNull(), node))
+    left = tagged.join(gone, F.col(name) == F.col(key), "left_anti")
+    single = left.join(repeated, F.col(name) == F.col(key), "left_anti").drop(name)
+    several = left.join(repeated, F.col(name) == F.col(key), "left_semi")
+    # min merges before the shuffle, so a document with very many rows does not meet in one task
+    one = several.groupBy(name).agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias(row)).select(f"{row}.*")
     return single.unionByName(one)

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelgrid.llm.job import fresh
+
 NEAR = 40  # characters of context on either side
 THRESHOLD = 0.6
 
@@ -152,10 +154,11 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Of overlapping spans the first by start, then by kind, is replaced; the rest of a longer one that reaches beyond is cut too.
     """
-    found = with_spans(docs, text, "_pii")
+    own = fresh(docs, "_pii")
+    found = with_spans(docs, text, own)
     piece = lambda a, b: F.substr(F.col(text), a + 1, F.greatest(b - a, F.lit(0)))
     built = F.aggregate(
-        F.col("_pii"),
+        F.col(own),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
@@ -163,4 +166,4 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
         lambda a: F.concat(a["out"], F.substr(F.col(text), a["at"] + 1)),
     )
-    return found.withColumn(text, F.when(F.size("_pii") > 0, built).otherwise(F.col(text))).drop("_pii")
+    return found.withColumn(text, F.when(F.size(own) > 0, built).otherwise(F.col(text))).drop(own)

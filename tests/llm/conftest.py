@@ -27,7 +27,7 @@ def awkward_rows():
 
 def with_clashes(df):
     """Extra columns whose names the operators use inside."""
-    for name in ("score", "piece", "start", "length", "rank", "bucket", "chunk", "node", "component", "size", "u", "v", "run"):
+    for name in ("score", "piece", "start", "length", "rank", "bucket", "chunk", "node", "component", "size", "u", "v", "run", "_gone", "_again", "_hit_id", "_hit_text", "_pii", "_toxicity", "key", "n", "id"):
         df = df.withColumn(name, F.lit("extra"))
     return df.withColumn("_toxicity_note", F.lit(None).cast("string"))
 

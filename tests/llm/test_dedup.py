@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelgrid.llm import bwt, neardup, substrings
 from panelgrid.llm.components import connected_components
@@ -91,7 +92,8 @@ def test_shingle_sizes_and_band_recall():
     data, offsets = bytes_of(pa.array(texts))
     sets = shingle_sets(split_words(data, offsets, NOT_SPACE))
     assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
-    assert (1 - 0.85 ** neardup.rows_for(0.85)) ** neardup.BANDS <= neardup.MISS
+    for t in (0.8, 0.85):
+        assert neardup.miss(t, neardup.rows_for(t)) <= neardup.MISS < neardup.miss(t, neardup.rows_for(t) + 1)
     draw = np.random.default_rng(4)
     missed = 0
     for _ in range(300):  # pairs right at the threshold
@@ -192,3 +194,28 @@ def test_segments_of_a_group_are_bounded(spark, hot):
 
 def test_no_documents(spark, empty):
     assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_miss_counts_the_minima_that_bands_share():
+    draw = np.random.default_rng(6)
+    t, rows, trials = 0.6, 6, 4000
+    band = np.random.default_rng(21)
+    chosen = [band.choice(neardup.MINIMA, rows, replace=False) for _ in range(neardup.BANDS)]
+    agree = draw.random((trials, neardup.MINIMA)) < t
+    found = np.zeros(trials, dtype=bool)
+    for c in chosen:
+        found |= agree[:, c].all(axis=1)
+    assert (~found).mean() == pytest.approx(neardup.miss(t, rows), rel=0.2)
+
+
+def test_rows_that_share_an_id(spark):
+    a, b = prose(61, 60), prose(62, 60)
+    docs = spark.createDataFrame([(1, a, "x"), (9, a, "x"), (9, b, "x"), (12, b + " end", "x"), (7, None, "x"), (7, "", "x"), (30, a, "y"), (9, b, "w")], "doc_id long, text string, _gone string")
+    for name in ("_again", "_document", "_of", "_row", "_n", "component_id", "id"):
+        docs = docs.withColumn(name, F.lit("extra"))
+    found = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs, 80).collect()}
+    assert found == {(1, 1), (9, 1), (12, 1), (7, 7), (30, 1)}
+    kept = neardup.without_near_duplicates(docs, 80)
+    assert kept.columns == docs.columns
+    # b is no copy of a smaller document's text: it stays, once
+    assert sorted((r["doc_id"], str(r["text"]), r["_gone"]) for r in kept.collect()) == sorted([(1, a, "x"), (9, b, "w"), (7, "None", "x"), (7, "", "x")])
