@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -71,6 +73,16 @@ def crc32(col) -> "F.Column":
     return F.crc32(F.coalesce(col.cast("binary"), F.lit("").cast("binary")))
 
 
+def given_back() -> None:
+    """Memory of finished work goes back to the machine: a worker lives on, next to those of the following stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or the first of its underscored forms that no column of ``df`` has (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelgrid.llm.components import connected_components
-from panelgrid.llm.job import column, fresh, map_batches, stored
+from panelgrid.llm.job import column, fresh, given_back, map_batches, stored
 from panelgrid.llm.text import BASE, NOT_SPACE, bytes_of, mix, shingle_sets, slabs, split_words
 
 SHINGLE = 5
@@ -105,6 +105,7 @@ def features(docs: DataFrame, rows: int) -> DataFrame:
                 "doc_id": column(slab, "doc_id"), "n_shingles": sizes, "d1": sums[:, 0].view(np.int64) if len(sums) else [],
                 "d2": np.ascontiguousarray(sums[:, 1]).view(np.int64), "bands": lists,
             }
+        given_back()
 
     return map_batches(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), read,
@@ -221,6 +222,8 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int,
 
     def link(group: pa.Table) -> pa.Table:
         found = confirmed_links(group, percent, rows)
+        if group.num_rows > PART_DOCS // 4:
+            given_back()
         return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
     return texts.groupBy("component", "i", "j").applyInArrow(link, "u long, v long")

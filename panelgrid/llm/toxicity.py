@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelgrid.llm.job import column, map_batches
+from panelgrid.llm.job import column, given_back, map_batches
 from panelgrid.llm.text import bytes_of, powers, slabs
 
 BUCKET_BITS = 17
@@ -221,19 +221,6 @@ def without_toxic(docs: DataFrame, model: dict | None, text: str = "text", thres
     return map_batches(docs, read, docs.schema)
 
 
-def given_back() -> None:
-    """Memory of finished work goes back to the machine: a worker lives on, next to those of the following stage."""
-    import ctypes
-    import gc
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def scorer(model: dict):
     """A function from batches to (slab, probability of each of its rows)."""
     effect = (model["vectors"] @ (model["weights"][:, 1] - model["weights"][:, 0]) * SHARPNESS).astype(np.float32)
@@ -249,5 +236,6 @@ def scorer(model: dict):
                 number += row_sums(counts, at)
             logit = total / (number + NEUTRAL) + bias
             yield slab, 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+        given_back()
 
     return probabilities
