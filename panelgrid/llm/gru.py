@@ -21,6 +21,7 @@ HIDDEN = 16
 CLASSES = 32
 LANES = 512
 WINDOW = 16
+WINDOW_TOKENS = 4096
 RATE = 0.01
 CLIP = 1.0
 UPDATE_TOKENS = 4096
@@ -78,8 +79,11 @@ def unflatten(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.nda
 
 
 def lay_out(lengths: np.ndarray, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lane and first step of each document, longest first into the shortest lane; lane lengths, descending."""
-    lanes = max(1, min(lanes, len(lengths)))
+    """Lane and first step of each document, longest first into the shortest lane; lane lengths, descending.
+
+    No more lanes than tokens fill beside the longest document, so that the lanes' area stays near the tokens.
+    """
+    lanes = max(1, min(lanes, len(lengths), -(-int(lengths.sum()) // max(1, int(lengths.max(initial=0))))))
     lane, first = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
     heap = [(0, i) for i in range(lanes)]
     for d in np.argsort(-lengths, kind="stable").tolist():
@@ -143,9 +147,11 @@ class Gru:
         x, y, keep = (a.reshape(deep, lanes) for a in (x, y, keep))
         scores = np.zeros((deep, lanes), dtype=np.float32)
         h = np.zeros((lanes, self.hidden), dtype=np.float32)
-        for a in range(0, deep, WINDOW):
-            b = min(a + WINDOW, deep)
+        b = 0
+        while b < deep:
+            a = b
             n = int(np.searchsorted(-total, -a, side="left"))  # lanes longer than a
+            b = min(a + max(WINDOW, WINDOW_TOKENS // n), deep)  # where few lanes are left, windows are longer
             valid = total[:n] > np.arange(a, b)[:, None]
             own = None if rare is None else (wx[a:b, :n], wy[a:b, :n], rare)
             h = self._window(x[a:b, :n], y[a:b, :n], keep[a:b, :n], valid, h[:n], scores[a:b, :n], learn, own)

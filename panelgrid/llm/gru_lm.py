@@ -5,8 +5,9 @@
    frequent word is one entry a block. Counts, their sum and their number cover the whole corpus.
 3. The ``SYMBOLS`` most frequent words are the recurrent model's own. Every other word enters as the sum of hashed
    sub-vectors, as many as tell the corpus's words apart, and leaves as a symbol of its hash class followed by the
-   bits of its hash down to where no other word shares them: each bit is a decision of the recurrent state around the
-   odds of the corpus counts. The model is a distribution over all known words, one unknown of each class and the end.
+   bits of its hash: each bit is a decision of the recurrent state around the odds of the corpus counts, down to where
+   fewer than ``LEARN_TOKENS`` training tokens are left; below, the word has its share by counts. So the decisions
+   grow with the corpus. The model is a distribution over all known words, one unknown of each class and the end.
 4. Every training document takes part in training once: in each of ``ROUNDS`` rounds the tasks train copies on
    their part of that round's blocks, and the mean of the copies, weighted by tokens, goes on.
 """
@@ -28,11 +29,12 @@ SYMBOLS = 1022  # words with a symbol of their own
 CLASS_BITS = 10  # of the hash: classes of the other words
 PART = 512  # sub-vectors of each part of the hash
 NODES = 1024  # vectors of the decisions, found by hash
+LEARN_TOKENS = 1024  # training tokens below a decision that the recurrent state takes part in
 FLAT = 4096  # parameters in a row when copies are averaged
 ROUNDS = 2
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
-RUN_TOKENS = 3_000_000  # tokens that a task lays out at a time
+RUN_TOKENS = 2_000_000  # tokens that a task lays out at a time
 END = np.uint64(0x5EED0FE2D)  # the end's number among word hashes
 UNKNOWN_WEIGHT = 0.5
 
@@ -82,7 +84,7 @@ def word_messages(blocks: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for block, words in zip(column(batch, "block").to_pylist(), column(batch, "words")):
                 vocab, counts = unpack(words.as_py())
-                edges = np.searchsorted(vocab >> np.uint64(44), (np.arange(buckets + 1) * (1 << 20)) // buckets)
+                edges = np.searchsorted(vocab >> np.uint64(64 - buckets.bit_length() + 1), np.arange(buckets + 1)) if buckets > 1 else np.array([0, len(vocab)])
                 full = np.flatnonzero(np.diff(edges))
                 yield {
                     "bucket": full, "block": np.full(len(full), block),
@@ -163,24 +165,37 @@ def vocabulary(sums: DataFrame, buckets: int, symbols: int = SYMBOLS) -> dict:
     }
 
 
-def paths(words: np.ndarray, weight: np.ndarray, bucket: int, buckets: int, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def paths(
+    words: np.ndarray, weight: np.ndarray, bucket: int, buckets: int, mass: np.ndarray, least: float = LEARN_TOKENS
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Decisions of the ordered rare ``words`` of a bucket below their class, word by word: how many, the bit of each, and the
-    log odds of the side taken by weight. Bits that all words of a node share are no decision."""
+    log odds of the side taken by weight. Bits that all words of a node share are no decision, nor are nodes of less
+    weight than ``least``: the last array has the log share that each word has of what its decisions lead to."""
     at, bit, odds = [], [], []
     depth, bits = buckets.bit_length() - 1, cell_bits(buckets)
+    inside = np.full(len(words), mass.reshape(1 << CLASS_BITS, -1)[(bucket << CLASS_BITS) >> depth].sum()) if depth > CLASS_BITS else None
     for b in range(CLASS_BITS, depth):  # above the bucket
         own = bucket >> (depth - b - 1)
         taken, other = (mass[c << (bits - b - 1) : (c + 1) << (bits - b - 1)].sum() for c in (own, own ^ 1))
+        if taken + other < least:
+            break
+        inside[:] = taken
         if other > 0:
             at.append(np.arange(len(words)))
             bit.append(np.full(len(words), b))
             odds.append(np.full(len(words), np.log(taken / other)))
     left, b = np.arange(len(words)), max(CLASS_BITS, depth)
+    if inside is None:
+        held = words >> np.uint64(64 - b)
+        node = np.cumsum(np.append(True, held[1:] != held[:-1])[: len(words)]) - 1
+        inside = np.bincount(node, weight)[node] if len(words) else np.empty(0)
     while len(left):
         held = words[left] >> np.uint64(64 - b)
         new = np.append(True, held[1:] != held[:-1])
-        several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
-        left, new = left[several], new[several]
+        node = np.cumsum(new) - 1
+        whole = np.bincount(node, weight[left])[node]
+        several = (np.bincount(node)[node] > 1) & (whole >= least)
+        left, new, whole = left[several], new[several], whole[several]
         if not len(left):
             break
         node = np.cumsum(new) - 1
@@ -188,43 +203,46 @@ def paths(words: np.ndarray, weight: np.ndarray, bucket: int, buckets: int, mass
         child = np.cumsum(np.append(True, below[1:] != below[:-1])) - 1
         taken = np.bincount(child, weight[left])[child]
         split = np.bincount(node)[node] > np.bincount(child)[child]
-        other = np.bincount(node, weight[left])[node] - taken
+        inside[left] = taken
         at.append(left[split])
         bit.append(np.full(int(split.sum()), b))
-        odds.append(np.log(taken[split] / other[split]))
+        odds.append(np.log(taken[split] / (whole - taken)[split]))
         b += 1
+    share = np.log(weight / inside).astype(np.float32)
     if not at:
-        return np.zeros(len(words), dtype=np.uint8), np.empty(0, dtype=np.uint8), np.empty(0, dtype=np.float16)
+        return np.zeros(len(words), dtype=np.uint8), np.empty(0, dtype=np.uint8), np.empty(0, dtype=np.float16), share
     at, bit, odds = np.concatenate(at), np.concatenate(bit), np.concatenate(odds)
     order = np.argsort(at, kind="stable")
-    return np.bincount(at, minlength=len(words)).astype(np.uint8), bit[order].astype(np.uint8), odds[order].astype(np.float16)
+    return np.bincount(at, minlength=len(words)).astype(np.uint8), bit[order].astype(np.uint8), odds[order].astype(np.float16), share
 
 
 def word_replies(messages: DataFrame, model: dict, buckets: int) -> DataFrame:
-    """(block, bucket, reply): counts and decisions of a block's words, in their order."""
+    """(block, bucket, reply): counts, decisions and last shares of a block's words, in their order."""
     frequent, mass = model["words"], model["mass"]
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         words, total, places = added(frame)
         rare = (total > 0) & ~np.isin(words, frequent)
         sizes = np.zeros(len(words), dtype=np.uint8)
-        sizes[rare], bit, odds = paths(words[rare], total[rare] + UNKNOWN_WEIGHT, int(frame["bucket"].iloc[0]), buckets, mass)
+        share = np.zeros(len(words), dtype=np.float32)
+        own = int(frame["bucket"].iloc[0])
+        sizes[rare], bit, odds, share[rare] = paths(words[rare], total[rare] + UNKNOWN_WEIGHT, own, buckets, mass)
         first = np.cumsum(sizes, dtype=np.int64) - sizes
         replies = []
         for own in places:
             steps = take_ranges(first[own], sizes[own].astype(np.int64))
             by_bit = np.argsort(bit[steps], kind="stable")  # neighbours share the odds of their first bits
-            replies.append(pack(total[own], sizes[own], bit[steps], odds[steps][by_bit]))
+            replies.append(pack(total[own], sizes[own], bit[steps], odds[steps][by_bit], share[own]))
         return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "reply": replies})
 
     return messages.groupBy("bucket").applyInPandas(add, "block long, bucket long, reply binary")
 
 
-def opened(words: bytes, replies: list, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Rare]:
-    """Of a block's distinct words: hash, count, symbol, place among the rare ones or -1; and these."""
+def opened(words: bytes, replies: list, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Rare]:
+    """Of a block's distinct words: hash, count, log share below all decisions, symbol, place among the rare ones or -1; and these."""
     vocab = unpack(words)[0]
     parts = [unpack(r["reply"]) for r in sorted(replies, key=lambda r: r["bucket"])]
-    count, sizes, bit = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    count, sizes, bit, share = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 4))
     bias, done = np.empty(len(bit), dtype=np.float16), 0
     for p in parts:
         bias[done + np.argsort(p[2], kind="stable")] = p[3]
@@ -240,7 +258,7 @@ def opened(words: bytes, replies: list, model: dict) -> tuple[np.ndarray, np.nda
     node = mix(prefix * np.uint64(64) + bit) & np.uint64(NODES - 1)
     side = ((held >> (np.uint64(63) - bit)) & np.uint64(1)).astype(np.int8) * np.int8(2) - np.int8(1)
     first = np.append(0, np.cumsum(sizes[rare], dtype=np.int64))
-    return vocab, count, symbol.astype(np.int16), place, Rare(
+    return vocab, count, share, symbol.astype(np.int16), place, Rare(
         np.stack(rows, axis=1).astype(np.int16), first, node.astype(np.int16), side, bias
     )
 
@@ -276,7 +294,7 @@ def train(blocks: DataFrame, model: dict, rounds: int = ROUNDS) -> tuple[dict, n
             for batch in batches:
                 for body, hashes, got in zip(column(batch, "body"), column(batch, "words"), column(batch, "replies").to_pylist()):
                     _, _, held, offsets, numbers = unpack(body.as_py())
-                    _, _, symbol, place, rare = opened(hashes.as_py(), got, model)
+                    *_, symbol, place, rare = opened(hashes.as_py(), got, model)
                     length = np.diff(offsets)
                     keep = held == 0
                     numbers = numbers[np.repeat(keep, length)]
@@ -316,7 +334,7 @@ def score_documents(docs: DataFrame, symbols: int = SYMBOLS, rounds: int = ROUND
     """
     blocks = stored(token_blocks(docs))
     total = blocks.agg(F.sum("size")).first()[0] or 0
-    buckets = 1 << min(20, int(total // BUCKET_BYTES).bit_length())
+    buckets = 1 << int(total // BUCKET_BYTES).bit_length()
     messages = word_messages(blocks, buckets)
     model = vocabulary(stored(bucket_sums(messages, buckets, symbols)), buckets, symbols)
     replies = stored(word_replies(messages, model, buckets)).groupBy("block").agg(
@@ -331,19 +349,19 @@ def score_documents(docs: DataFrame, symbols: int = SYMBOLS, rounds: int = ROUND
 
         def answer():
             sizes = [np.diff(row[3]) for row, _ in held_blocks]
-            ids = [words[2][row[4]] for row, words in held_blocks]
-            words = joined([words[4] for _, words in held_blocks], [words[3][row[4]] for row, words in held_blocks])
+            ids = [words[3][row[4]] for row, words in held_blocks]
+            words = joined([words[5] for _, words in held_blocks], [words[4][row[4]] for row, words in held_blocks])
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             found = gru.run(np.concatenate(ids), offsets, model["end"], False, *words).astype(np.float64) / np.log(10)
             first = 0
-            for (doc_ids, known, held, bounds, numbers), (vocab, c, _, place, _) in held_blocks:
+            for (doc_ids, known, held, bounds, numbers), (vocab, c, share, _, place, _) in held_blocks:
                 at = found[first : first + len(numbers)]
                 first += len(numbers)
                 logs = np.log10((c + UNKNOWN_WEIGHT) / (n + UNKNOWN_WEIGHT * (v + 1)))
                 rest = model["class_mass"][(vocab >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]
                 # a class holds its known words and one unknown
                 inside = np.log10(np.where(c > 0, rest, UNKNOWN_WEIGHT) / (rest + UNKNOWN_WEIGHT), where=place >= 0, out=np.zeros(len(c)))
-                tokens = at + inside[numbers]
+                tokens = at + (inside + share / np.log(10))[numbers]
                 sums = lambda values: np.add.reduceat(values, bounds[:-1])
                 yield {
                     "doc_id": pa.array(doc_ids, mask=known == 0), "held_out": held.astype(bool), "n_tokens": np.diff(bounds),

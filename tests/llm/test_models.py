@@ -134,8 +134,9 @@ def test_gradients_of_rare_words(monkeypatch):
             assert (moved[0] - moved[1]) / 2e-2 == pytest.approx(float(grad.reshape(-1)[i]), abs=5e-3), name
 
 
+@pytest.mark.parametrize("least", [0, 1500, 1e9])
 @pytest.mark.parametrize("buckets", [1, 4, 4096])
-def test_paths_give_each_word_its_share(buckets):
+def test_paths_give_each_word_its_share(buckets, least):
     draw = np.random.default_rng(1)
     words = np.sort(draw.integers(0, 1 << 55, 500, dtype=np.uint64))  # two classes
     weight = draw.integers(1, 50, 500) + 0.5
@@ -145,12 +146,32 @@ def test_paths_give_each_word_its_share(buckets):
     cls = (words >> np.uint64(54)).astype(int)
     for b in np.unique(bucket).tolist():
         mine = bucket == b
-        sizes, _, odds = gru_lm.paths(words[mine], weight[mine], b, buckets, mass)
+        sizes, _, odds, below = gru_lm.paths(words[mine], weight[mine], b, buckets, mass, least)
+        assert (sizes.sum() == 0) == (least == 1e9)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        share = np.exp(-np.bincount(row, np.logaddexp(0, -odds.astype(float)), len(sizes)))
+        share = np.exp(below - np.bincount(row, np.logaddexp(0, -odds.astype(float)), len(sizes)))
         assert share == pytest.approx(weight[mine] / np.bincount(cls, weight)[cls[mine]], rel=2e-2)
 
 
+def test_one_long_document_takes_few_lanes():
+    lengths = np.array([5000] + [10] * 600)
+    lane, first, total = gru.lay_out(lengths)
+    assert len(total) == 3 and total.sum() == lengths.sum() and total.max() == 5000
+    assert gru.lay_out(np.array([7]))[2].tolist() == [7] and gru.lay_out(np.array([3] * 2000))[2].max() == 12
+
+
+def test_windows_of_few_lanes_do_not_change_scores(monkeypatch):
+    counts = np.arange(20, 0, -1).astype(float)
+    edges = gru.make_classes(counts, 4)
+    draw = np.random.default_rng(2)
+    offsets = np.array([0, 700, 705, 740])
+    ids = draw.integers(0, 20, 740).astype(np.int16)
+    model = gru.Gru(gru.initial(counts, edges, 8), edges)
+    long = model.run(ids, offsets, 0, False)
+    monkeypatch.setattr(gru, "WINDOW_TOKENS", 1)
+    assert model.run(ids, offsets, 0, False) == pytest.approx(long, abs=1e-5)
+
+
 def test_order_of_rare_words_counts(spark):
     held = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5 == 1]
     trained = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5 != 1]
