@@ -262,9 +262,11 @@ def test_misspelt_words_share_vectors(spark):
 def test_scores_of_awkward_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(1, 18)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(awkward, labels)
-    out = toxicity.with_score(awkward, model, score="_toxicity")
-    assert out.columns == [*awkward.columns, "_toxicity"] and out.count() == awkward.count()
-    assert all(0 <= r["_toxicity"] <= 1 for r in out.collect())
+    out = toxicity.with_score(awkward, model, score="p_toxic")
+    assert out.columns == [*awkward.columns, "p_toxic"] and out.count() == awkward.count()
+    assert all(0 <= r["p_toxic"] <= 1 and r["_toxicity"] == "extra" for r in out.collect())
+    again = toxicity.with_score(awkward, model, score="_toxicity")  # a column of that name is replaced
+    assert sorted(again.columns) == sorted(awkward.columns) and dict(again.dtypes)["_toxicity"] == "double"
     assert toxicity.with_score(empty, model).count() == 0
     assert toxicity.fit(awkward, labels.where("toxic = 0")) is None
     assert {r["score"] for r in toxicity.with_score(awkward, None).collect()} == {0.0}
