@@ -49,6 +49,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession, name: str = "") -> str:
+    """A path in the shared folder that no other table has."""
+    return f"{shared_folder(spark).rstrip('/')}/panelgrid-{name}{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -57,6 +62,6 @@ def materialize(df: DataFrame) -> DataFrame:
     gives the optimizer real sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/panelgrid-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

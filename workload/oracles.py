@@ -594,6 +594,18 @@ select cast(year(l_shipdate)*100 + month(l_shipdate) as integer) as yyyymm, last
     q["bounded_scan"] = """
 select o_orderkey, cast(o_orderdate as date) as o_orderdate, o_totalprice from orders
 where o_orderdate between timestamp '1996-01-31' and timestamp '1999-06-30'"""
+    q["landed_bounds"] = """
+select o_orderkey, cast(o_orderdate as date) as o_orderdate, o_totalprice from orders
+where o_orderdate between timestamp '1996-01-17' and timestamp '1999-06-30'"""
+    q["landed_revisions"] = f"""
+select o_orderkey, cast(o_orderdate as date) as o_orderdate,
+  {rnd("o_totalprice + case when o_orderdate >= timestamp '1996-01-01' then 0 else 1 end", 2)} as o_totalprice from orders"""
+    q["landed_target_join"] = _with(
+        source("l_returnflag"),
+        f"""select series_id, src.date, {rnd('e12', 5)} as e12, {rnd('tbl', 5)} as tbl, {rnd('turnover', 5)} as turnover
+from src join (select last_day(cast(o_orderdate as date)) as date, sum(o_totalprice) as turnover from orders group by 1) o
+  on src.date = o.date where month(src.date) in (6, 12)""",
+    )
     q["percent_factor_ingest"] = f"""
 select last_day(cast(l_shipdate as date)) as date, {rnd('sum(l_discount)/100.0')} as intl_mkt_excess,
   {rnd('sum(l_tax)/100.0')} as rf from lineitem group by 1"""

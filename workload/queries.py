@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelgrid import guards
@@ -27,7 +29,8 @@ from panelgrid.operators.tidy import (
 from panelgrid.plans import reports
 from panelgrid.plans.counterfactuals import diagnostics, prepare_inputs, run_counterfactuals
 from panelgrid.plans.study import anchor_study, leave_one_out
-from panelgrid.sources.sinks import materialize
+from panelgrid.sources.landing import join_landed, land, landed, landed_between
+from panelgrid.sources.sinks import materialize, new_path
 from panelgrid.sources.tables import bounded, percent_factors, with_month_end
 from workload import frames, inputs
 from workload.frames import SMALL_GRID, WIDE_GRID, rounded
@@ -89,6 +92,32 @@ def stored_source(spark, folder):
     return rounded(materialize(inputs.flag_source(spark, folder)), 5)
 
 
+@query
+def landed_bounds(spark, folder):
+    orders = table(spark, folder, "orders", "o_orderkey", "o_orderdate", "o_custkey", "o_totalprice")
+    stored = landed(spark, land(orders, new_path(spark, "orders-"), "o_orderdate"), orders.schema)
+    rows = landed_between(stored, dt.date(1996, 1, 17), dt.date(1999, 6, 30), "o_orderdate")
+    return rows.select("o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_totalprice")
+
+
+@query
+def landed_revisions(spark, folder):
+    """A first vintage of all orders, then a revision of the months from 1996 on."""
+    orders = table(spark, folder, "orders", "o_orderkey", "o_orderdate", "o_totalprice")
+    path = land(orders.withColumn("o_totalprice", F.col("o_totalprice") + 1), new_path(spark, "orders-"), "o_orderdate")
+    land(orders.where("o_orderdate >= '1996-01-01'"), path, "o_orderdate")
+    rows = landed(spark, path, orders.schema, ["o_orderkey", "o_orderdate", "o_totalprice"])
+    return rounded(rows.select("o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_totalprice"), 2)
+
+
+@query
+def landed_target_join(spark, folder):
+    source = inputs.flag_source(spark, folder)
+    stored = landed(spark, land(source, new_path(spark, "flags-")), source.schema)
+    predictor = inputs.monthly_orders(spark, folder).where(F.month("date") % 6 == 0)
+    return rounded(join_landed(stored.select("series_id", "date", "e12", "tbl", "landed_month"), predictor, ["date"]), 5)
+
+
 @query
 def tidy_market(spark, folder):
     return rounded(frames.market_tidy(spark, folder))
