@@ -4,7 +4,8 @@ Every dimension is computed from the text (bytes, lines, share of multi-byte cha
 so rows of equal texts are one point. A node that owns several shards is cut at the
 weighted median, or the weighted quantile for an odd number, of its widest dimension.
 Points are ordered by (dimension, text hash, row hash): the text hash breaks ties between
-texts, and the row hash splits a group of copies only where a cut needs it. A cut is found digit
+texts, and the row hash splits a group of copies only where a cut needs it. Its upper half is the id's, its lower
+half the row's own, so rows that are equal in id and text can be cut too. A cut is found digit
 by digit from histograms of bytes, so one pass shuffles at most ``nodes * 2**BITS`` sums
 from each task, and the cuts themselves are a handful of numbers.
 """
@@ -28,7 +29,10 @@ def measured(docs: DataFrame) -> DataFrame:
     """One narrow row per document: doc_id, size, text_crc32, dimensions x0.., hashes text_key, row_key."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long")
-    short = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 64 - HASH_BITS)
+    short = lambda *c, bits=HASH_BITS: F.shiftrightunsigned(F.xxhash64(*c), 64 - bits)
+    half = HASH_BITS // 2
+    id_half = F.shiftleft(short(F.col("doc_id"), F.lit(7), bits=HASH_BITS - half), half)
+    row_half = short(F.monotonically_increasing_id(), bits=half)  # fixed when the points are written
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (size + 8).alias("size"),
@@ -37,7 +41,7 @@ def measured(docs: DataFrame) -> DataFrame:
         (F.length(text) - F.length(F.replace(text, F.lit("\n")))).cast("long").alias("x1"),
         F.when(size > 0, F.floor((size - F.length(text)) * 1_000_000 / size)).otherwise(0).cast("long").alias("x2"),
         short(text).alias("text_key"),
-        short(F.col("doc_id"), F.lit(7)).alias("row_key"),
+        id_half.bitwiseOR(row_half).alias("row_key"),
     )
 
 
@@ -145,7 +149,8 @@ def kd_shards(docs: DataFrame, shards: int = 24, slot_rows: int = SLOT_ROWS) ->
     Returns doc_id, size (UTF-8 bytes of the text, none for null, plus 8), text_crc32, shard, and slot, the
     row's place in its shard from 0 without gaps. Slots are numbered in buckets of about ``slot_rows`` rows
     and shifted by the counts of earlier buckets, so no shard meets in one task. Null and empty texts are
-    the same point; repeated rows are rows; an empty table gives no rows; other columns are ignored.
+    the same point; rows equal in id and text are rows of their own and are cut where a leaf would grow too
+    large; an empty table gives no rows; other columns are ignored.
     """
     points = kd_leaves(measured(docs), shards)
     buckets = max(1, -(-points.count() // (shards * slot_rows)))

@@ -106,7 +106,8 @@ def op9_va_file_top_k(spark, folder):
     from panelgrid.llm.vafile import integer_vectors, top_k
 
     vectors = integer_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding")
-    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+    found = top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 @query

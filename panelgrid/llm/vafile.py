@@ -53,7 +53,7 @@ def build_va_file(vectors: DataFrame, blocks: int) -> DataFrame:
             "cells": [cells.tobytes()], "edges": [np.stack([low, width]).tobytes()], "exact": [exact.tobytes()],
         })
 
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
     return dealt.groupBy("dim", "block").applyInPandas(
         build, "dim int, block int, ids binary, cells binary, edges binary, exact binary"
     )
@@ -75,7 +75,7 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search_block(q_ids, q, ids, cells, low, width, exact, k: int) -> tuple[list, list, list]:
-    """The first ``k`` rows of a block for each query, by score, then by smaller id."""
+    """(place of the query, id, score) of the first ``k`` rows of a block for each query, by score, then by smaller id."""
     out: tuple[list, list, list] = ([], [], [])
     under, over = bounds(q, cells.astype(np.int64), low, width)
     for i in range(len(q_ids)):
@@ -94,18 +94,21 @@ def search_block(q_ids, q, ids, cells, low, width, exact, k: int) -> tuple[list,
             rows = others[order[a : a + READ]]
             scores = exact[rows] @ q[i]
             best = sorted([*best, *zip((-scores).tolist(), ids[rows].tolist())])[:k]
-        out[0].extend([int(q_ids[i])] * len(best))
+        out[0].extend([i] * len(best))
         out[1].extend(b for _, b in best)
         out[2].extend(-s for s, _ in best)
     return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's ``k`` best rows other than its own, by exact inner product.
+    """query_id, rank, vec_id, score, query_key: each query's ``k`` best rows other than its own, by exact inner product.
 
     ``vectors`` and ``queries`` are ``(vec_id, v, dim)``; only vectors of a query's dimension are compared.
-    Ties go to the smaller id. Fewer rows than ``k`` are all returned; an empty table gives none.
+    Ties go to the smaller id. Fewer rows than ``k`` are all returned; an empty table gives none. Rows that share an
+    id are candidates of their own, but none of a query's id is its candidate. Queries that share an id and differ in
+    their vector get a list each, told apart by ``query_key``, a hash of the vector; equal queries get one.
     """
+    queries = queries.withColumn("query_key", F.xxhash64("v")).dropDuplicates(["vec_id", "dim", "query_key"])
     vectors = stored(vectors)
     blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
     index = stored(build_va_file(vectors, blocks))
@@ -115,13 +118,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         dim = int(frame["dim"].iloc[0])
         return pd.DataFrame({
             "dim": [dim], "query_block": [int(frame["query_block"].iloc[0])],
-            "q_ids": [frame["vec_id"].to_numpy(dtype=np.int64).tobytes()], "q": [_matrix(frame["v"], dim).tobytes()],
+            "q_ids": [frame["vec_id"].to_numpy(dtype=np.int64).tobytes()],
+            "q_keys": [frame["query_key"].to_numpy(dtype=np.int64).tobytes()], "q": [_matrix(frame["v"], dim).tobytes()],
         })
 
     asked = (
-        queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(query_blocks)).cast("int"))
+        queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id", "query_key"), F.lit(query_blocks)).cast("int"))
         .groupBy("dim", "query_block")
-        .applyInPandas(gather, "dim int, query_block int, q_ids binary, q binary")
+        .applyInPandas(gather, "dim int, query_block int, q_ids binary, q_keys binary, q binary")
     )
     # each pair of blocks is one row, dealt by the block so that pairs spread over the tasks
     pairs = (
@@ -142,8 +146,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     np.frombuffer(r.cells, dtype=np.uint8).reshape(shape), low, width,
                     np.frombuffer(r.exact, dtype=np.int64).reshape(shape), k,
                 )
-                yield pd.DataFrame({"query_id": found[0], "vec_id": found[1], "score": found[2]}, dtype="int64")
+                at = np.array(found[0], dtype=np.int64)
+                keys = np.frombuffer(r.q_keys, dtype=np.int64)
+                yield pd.DataFrame(
+                    {"query_id": q_ids[at], "query_key": keys[at], "vec_id": found[1], "score": found[2]}, dtype="int64"
+                )
 
-    near = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = pairs.mapInPandas(search, "query_id long, query_key long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_key")

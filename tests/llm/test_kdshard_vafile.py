@@ -37,6 +37,44 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert all(t == hot or len(where[t]) <= 2 for t in split) and len(split) <= 24
 
 
+def test_one_row_repeated_is_cut_too(spark):
+    rows = [(7, prose(0, 30)) if i % 3 == 0 else (i, prose(i, 5 + i % 70)) for i in range(1500)]
+    got = kdshard.kd_shards(spark.createDataFrame(rows, "doc_id long, text string"), 24, slot_rows=20).collect()
+    shards = by_shard(got)
+    sizes = [sum(r["size"] for r in s) for s in shards.values()]
+    assert len(got) == 1500 and len(shards) == 24 and max(sizes) < 1.05 * min(sizes)
+    for s in shards.values():
+        assert sorted(r["slot"] for r in s) == list(range(len(s)))
+
+
+def plain_leaves(points, shards, scale, first=0):
+    """The same tree by sorting: {row_key: leaf}."""
+    if shards == 1 or not points:
+        return {p["row_key"]: first for p in points}
+    spread = lambda d: (max(p[d] for p in points) - min(p[d] for p in points)) / scale[d]
+    widest = max(kdshard.DIMENSIONS, key=spread)
+    points = sorted(points, key=lambda p: (p[widest], p["text_key"], p["row_key"]))
+    half = shards // 2
+    wanted, lower = sum(p["size"] for p in points) * half / shards, 0
+    while lower < len(points) - 1 and points[lower]["size"] <= wanted:
+        wanted -= points[lower]["size"]
+        lower += 1
+    lower += wanted > points[lower]["size"] / 2
+    return plain_leaves(points[:lower], half, scale, first) | plain_leaves(points[lower:], shards - half, scale, first + half)
+
+
+@pytest.mark.parametrize("shards", [2, 5, 8])
+def test_leaves_equal_sorted_medians(spark, monkeypatch, shards):
+    monkeypatch.setattr(kdshard, "TOLERANCE", 0)
+    rows = [(i, prose(0, 30) if i % 4 == 0 else prose(i, 3 + i % 50) + "\n" * (i % 7) + "é" * (i % 11)) for i in range(160)]
+    rows += [(1, rows[1][1])] * 20 + [(200, None), (201, "")]
+    points = kdshard.stored(kdshard.measured(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = {r["row_key"]: r["node"] for r in kdshard.kd_leaves(points, shards).collect()}
+    plain = [r.asDict() for r in points.collect()]
+    assert len(got) == len(plain) == len(rows)
+    assert got == plain_leaves(plain, shards, {d: max(1, max(p[d] for p in plain)) for d in kdshard.DIMENSIONS})
+
+
 def test_awkward_and_empty(spark, awkward, empty):
     got = kdshard.kd_shards(awkward, 5).collect()
     want = sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t in awkward_rows())
@@ -74,11 +112,20 @@ def test_search_equals_brute_force(spark, monkeypatch, block_rows):
 def test_few_and_no_vectors(spark):
     one = spark.createDataFrame([(0, [1.0]), (5, [2.0])], "vec_id long, embedding array<double>")
     v = vafile.integer_vectors(one, "vec_id", "embedding")
-    assert [tuple(r) for r in vafile.top_k(v, v.where("vec_id = 0"), 5).collect()] == [(0, 1, 5, 131072)]
+    assert [tuple(r)[:4] for r in vafile.top_k(v, v.where("vec_id = 0"), 5).collect()] == [(0, 1, 5, 131072)]
     none = v.where("vec_id > 9")
     assert vafile.top_k(none, none, 5).count() == 0
 
 
+def test_queries_that_share_an_id_get_a_list_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 3.0]), (2, [1.0, 3.0])]
+    v = vafile.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    lists = defaultdict(list)
+    for r in vafile.top_k(v, v.where("vec_id = 0"), 2).orderBy("rank").collect():
+        lists[r["query_key"]].append((r["query_id"], r["rank"], r["vec_id"], r["score"] // 65536))
+    assert sorted(lists.values()) == [[(0, 1, 1, 3), (0, 2, 2, 1)], [(0, 1, 2, 3), (0, 2, 2, 3)]]
+
+
 def test_bounds_hold():
     draw = np.random.default_rng(3)
     exact = draw.integers(-500, 500, (200, 8))
