@@ -41,8 +41,8 @@ def subwords(column_: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """
     data, offsets = bytes_of(column_)
     n = len(offsets) - 1
-    # a separator after each row keeps n-grams inside it
-    joined = np.insert(data, offsets[1:], 10)
+    # a separator before each row and after the last one: an n-gram that starts or ends at an edge of a row is the row's own
+    joined = np.insert(data, offsets, 10)
     points = np.frombuffer(joined.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     at = np.concatenate([[0], np.cumsum((joined & 0xC0) != 0x80)])[offsets + np.arange(n + 1)]
     low = np.where((points >= 65) & (points <= 90), points + 32, points)
@@ -140,7 +140,11 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> dict | None:
-    """Train on labelled rows outside fold 0. Without rows of both classes there is no model: None."""
+    """Train on labelled rows outside fold 0. Without rows of both classes there is no model: None.
+
+    An id labelled twice counts as toxic if any label says so. An id with several rows takes part once, by the text of the
+    smallest hash. Null ids, null labels and labels other than 0 and 1 take no part; a null text is an empty one.
+    """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold(F.col("doc_id")) != 0))
@@ -152,13 +156,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[
     first = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y])
     chosen = F.broadcast(first(0).union(first(1)))  # as many rows of two numbers as ``sample`` says, at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select(
-        "y", F.xxhash64("doc_id").alias("place"), "text"
+        "doc_id", "y", F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("text_key"), "text"
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for slab in slabs(batches, "text", SLAB):
             found = bags(column(slab, "text"))
             yield {
+                "doc_id": column(slab, "doc_id"), "text_key": column(slab, "text_key"),
                 "y": column(slab, "y"), "place": column(slab, "place"), "buckets": [b.astype(np.int32).tobytes() for b, _ in found],
                 "counts": [c.astype(np.uint16 if c.max(initial=0) < 1 << 16 else np.uint32).tobytes() for _, c in found],
             }
@@ -181,9 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[
         given_back()
         yield pd.DataFrame({k: [v.tobytes()] for k, v in model.items()})
 
-    found = map_batches(rows, read, "y int, place long, buckets binary, counts binary").repartition(1).mapInPandas(
-        learn, "vectors binary, weights binary, bias binary"
-    ).first()
+    bagged = map_batches(rows, read, "doc_id long, text_key long, y int, place long, buckets binary, counts binary")
+    # an id's rows meet in their tasks first, so that one row an id reaches the training task
+    once = bagged.groupBy("doc_id").agg(F.min_by(F.struct("y", "place", "buckets", "counts"), "text_key").alias("row"))
+    found = once.select("row.*").repartition(1).mapInPandas(learn, "vectors binary, weights binary, bias binary").first()
     get = lambda k, *shape: np.frombuffer(found[k], dtype=np.float32).reshape(shape)
     return {"vectors": get("vectors", -1, WIDTH), "weights": get("weights", WIDTH, 2), "bias": get("bias", 2)}
 

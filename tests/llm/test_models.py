@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelgrid.llm import gru, gru_lm, toxicity
@@ -248,6 +249,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([t > c for t in toxic for c in clean]) > 0.8
 
 
+def test_a_row_keeps_its_own_subwords():
+    texts = [t for _, t in awkward_rows()] + ["scum", "", "a", None, "kind"]
+    together = toxicity.bags(pa.array(texts, pa.string()))
+    for text, (buckets, counts) in zip(texts, together):
+        alone = toxicity.bags(pa.array([text], pa.string()))[0]
+        assert np.array_equal(buckets, alone[0]) and np.array_equal(counts, alone[1])
+
+
+def test_an_id_with_many_rows_trains_once(spark):
+    rows = [(i, ("vile scum " if i % 2 else "kind words ") + prose(i, 12)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (None, 1)], "doc_id long, toxic int")
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    once = toxicity.fit(frame(rows), labels)
+    hot = next(i for i in range(1, 60, 2) if zlib.crc32(str(i).encode()) % 5)
+    many = toxicity.fit(frame(rows + [rows[hot]] * 200).repartition(4), labels)
+    for name in once:
+        assert np.array_equal(once[name], many[name])
+
+
 def test_misspelt_words_share_vectors(spark):
     draw = np.random.default_rng(0)
     rows = [(i, prose(i, 40) + (f" stupid{'' if i % 4 else 'o'} idiot" if i % 2 else " friend teacher")) for i in range(600)]
