@@ -1,13 +1,13 @@
 """Benchmark decontamination by winnowed fingerprints.
 
 Words are hashed; of each window of ten words the smallest five-word hash is its
-fingerprint, so equal windows have equal fingerprints wherever they stand, and a document keeps
-few of them. A text shared by ten words or more always shares one. A task drops
-fingerprints that no benchmark window has (a Bloom filter whose size is capped at
-``FILTER_BITS``; what it lets through by mistake is rejected later), extends the rest to
-all windows that they stand for, and joins these to runs of words. Equal runs of different
-documents are one run: only distinct ones meet the benchmark, by the exact words of
-each window, however many documents hold them. Their hits go back by the run.
+fingerprint, so equal windows have equal fingerprints wherever they stand. Neighbouring windows mostly share
+theirs, and only one of such a stretch is kept. A text shared by ten words or more always shares one. A task drops
+fingerprints that no benchmark window has (a Bloom filter whose size is capped at ``FILTER_BITS``), extends
+the rest to the windows that they stand for, and joins these to runs of words. Equal runs of different
+documents are one run: the fingerprints of distinct runs are joined with those of the benchmark, which settles what
+the filter let through, and a run that keeps one is compared with the benchmark by the exact words of
+each window, however many documents hold it. Hits go back by the run, one row a document and run.
 """
 
 from __future__ import annotations
@@ -26,21 +26,31 @@ WINDOW = 10
 GRAM = 5
 FILTER_BITS = 1 << 27
 BLOCK = 1 << 16
+RUNS = pa.list_(pa.struct([("run", pa.string()), ("n", pa.int64()), ("prints", pa.list_(pa.int64()))]))
 
 
-def fingerprints(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start word, fingerprint, window hash) of every window of ``length`` words inside its row."""
+def fingerprints(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start word, fingerprint) of every window of ``length`` words inside its row."""
     h = words.hash
     n = len(h) - length + 1
     if n <= 0:
         none = np.empty(0, dtype=np.int64)
-        return none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none.astype(np.uint64)
     row_end = np.repeat(words.bounds[1:], np.diff(words.bounds))
     start = np.flatnonzero(np.arange(n) + length <= row_end[:n])
-    whole = gram_hash(h, length) + np.uint64(length)
     gram = min(GRAM, length)
     least = sliding_min(gram_hash(h, gram), length - gram + 1) + np.uint64(length)
-    return start, least[start], whole[start]
+    return start, least[start]
+
+
+def winnowed(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, fingerprint): one a stretch of windows of a row with one fingerprint."""
+    start, least = fingerprints(words, length)
+    row = np.searchsorted(words.bounds, start, side="right")
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    return start[first], np.diff(np.append(first, len(start))), least[first]
 
 
 def words_of(data: np.ndarray, words: Words, first: int, stop: int) -> str:
@@ -53,28 +63,28 @@ def words_of(data: np.ndarray, words: Words, first: int, stop: int) -> str:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id (as text), window (its words), length, fingerprint, whole: one row per distinct window of an item."""
+    """item_id (as text), window (its words), length, fingerprint: one row per distinct window of an item."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for slab in slabs(batches, "text"):
             data, offsets = bytes_of(column(slab, "text"))
             words = split_words(data, offsets, ALNUM)
             counts = np.diff(words.bounds)
-            out = {k: [] for k in ("item_id", "window", "length", "fingerprint", "whole")}
+            out = {k: [] for k in ("item_id", "window", "length", "fingerprint")}
             ids = column(slab, "item_id").to_pylist()
             for length in np.unique(np.minimum(counts, WINDOW)).tolist():
                 if not length:
                     continue
-                start, least, whole = fingerprints(words, length)
+                start, least = fingerprints(words, length)
                 row = np.searchsorted(words.bounds, start, side="right") - 1
-                for s, r, f, w in zip(start.tolist(), row.tolist(), least.view(np.int64).tolist(), whole.view(np.int64).tolist()):
+                for s, r, f in zip(start.tolist(), row.tolist(), least.view(np.int64).tolist()):
                     if min(counts[r], WINDOW) == length:
-                        for k, v in zip(out, (ids[r], words_of(data, words, s, s + length), length, f, w)):
+                        for k, v in zip(out, (ids[r], words_of(data, words, s, s + length), length, f)):
                             out[k].append(v)
             yield out
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    return map_batches(items, read, "item_id string, window string, length int, fingerprint long, whole long").distinct()
+    return map_batches(items, read, "item_id string, window string, length int, fingerprint long").distinct()
 
 
 def bloom_filter(hashes: DataFrame, count: int) -> np.ndarray:
@@ -100,7 +110,8 @@ def passes(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def document_runs(docs: DataFrame, lengths: list[int], filter_: np.ndarray) -> DataFrame:
-    """row_id, doc_id, text_key, n_words, runs (texts of the disjoint word runs that may hold benchmark windows)."""
+    """row_id, doc_id, text_key, n_words, runs: the distinct texts of the disjoint word runs that may hold benchmark windows,
+    with how often each occurs (n) and its fingerprints (prints)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyspark import TaskContext
@@ -111,29 +122,40 @@ def document_runs(docs: DataFrame, lengths: list[int], filter_: np.ndarray) -> D
             words = split_words(data, offsets, ALNUM)
             covered = np.zeros(len(words.hash), dtype=bool)
             chained = np.zeros(len(words.hash) + 1, dtype=bool)  # the word is in one window with the word before
+            met = []
             for length in lengths:
-                start, least, whole = fingerprints(words, length)
+                start, windows, least = winnowed(words, length)
                 kept = passes(filter_, mix(least))
-                kept[kept] = passes(filter_, mix(whole[kept] ^ np.uint64(1)))
-                start = start[kept]
-                inside = take_ranges(start, np.full(len(start), length))
-                covered[inside] = True
-                chained[take_ranges(start + 1, np.full(len(start), length - 1))] = True
+                start, windows = start[kept], windows[kept]
+                covered[take_ranges(start, windows + length - 1)] = True
+                chained[take_ranges(start + 1, windows + length - 2)] = True
+                met.append((start, least[kept].view(np.int64)))
             first = np.flatnonzero(covered & ~chained[:-1])
             stop = np.flatnonzero(covered & ~chained[1:]) + 1
-            runs: list[list[str]] = [[] for _ in range(slab.num_rows)]
-            for a, b, r in zip(first.tolist(), stop.tolist(), (np.searchsorted(words.bounds, first, side="right") - 1).tolist()):
-                runs[r].append(words_of(data, words, a, b))
+            at = np.concatenate([s for s, _ in met]) if met else np.empty(0, dtype=np.int64)
+            prints = np.concatenate([p for _, p in met]) if met else at
+            place = np.searchsorted(first, at, side="right")  # the run that a fingerprint is in, from 1
+            order = np.argsort(place, kind="stable")
+            prints, ends = prints[order], np.searchsorted(place[order], np.arange(len(first) + 1), side="right")
+            found: list[dict[str, dict]] = [{} for _ in range(slab.num_rows)]
+            rows = np.searchsorted(words.bounds, first, side="right") - 1
+            for i, (a, b, r) in enumerate(zip(first.tolist(), stop.tolist(), rows.tolist())):
+                text = words_of(data, words, a, b)
+                if text in found[r]:
+                    found[r][text]["n"] += 1
+                else:
+                    found[r][text] = {"run": text, "n": 1, "prints": np.unique(prints[ends[i] : ends[i + 1]]).tolist()}
+            runs = [list(f.values()) for f in found]
             yield {
                 "row_id": row_id + np.arange(slab.num_rows), "doc_id": column(slab, "doc_id"),
                 "text_key": column(slab, "text_key"),
-                "n_words": np.diff(words.bounds), "runs": pa.array(runs, pa.list_(pa.string())),
+                "n_words": np.diff(words.bounds), "runs": pa.array(runs, RUNS),
             }
             row_id += slab.num_rows
 
     return map_batches(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")), read,
-        "row_id long, doc_id long, text_key long, n_words long, runs array<string>",
+        "row_id long, doc_id long, text_key long, n_words long, runs array<struct<run: string, n: long, prints: array<bigint>>>",
     )
 
 
@@ -157,21 +179,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     windows = stored(benchmark_windows(benchmark))
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most ten
-    keys = windows.select("fingerprint", "whole").distinct()
+    keys = windows.select("fingerprint").distinct()
     mixed = map_batches(
         keys,
-        lambda batches: (
-            {"h": np.concatenate([
-                mix(column(b, "fingerprint").to_numpy().view(np.uint64)), mix(column(b, "whole").to_numpy().view(np.uint64) ^ np.uint64(1))
-            ]).view(np.int64)}
-            for b in batches
-        ),
+        lambda batches: ({"h": mix(column(b, "fingerprint").to_numpy().view(np.uint64)).view(np.int64)} for b in batches),
         "h long",
     )
-    filter_ = bloom_filter(mixed, 2 * keys.count())
+    filter_ = bloom_filter(mixed, keys.count())
     read = stored(document_runs(docs, lengths, filter_))
-    held = read.where(F.size("runs") > 0).select("row_id", F.explode("runs").alias("run"))
-    distinct = held.select("run").distinct()
+    held = read.where(F.size("runs") > 0).select("row_id", F.explode("runs").alias("r")).select("row_id", "r.run", "r.n", "r.prints")
+    # the fingerprints of documents meet those of the benchmark; only a run that keeps one is extended
+    distinct = (
+        held.select("run", "prints").dropDuplicates(["run"]).select("run", F.explode("prints").alias("fingerprint"))
+        .join(keys, "fingerprint", "left_semi").select("run").distinct()
+    )
     none = F.array().cast("array<struct<at:int,length:int,window:string>>")
     at = [
         F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), window_at(n))).otherwise(none)
@@ -193,8 +214,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
     )
     hits = (
-        held.join(met, "run").groupBy("row_id")
-        .agg(F.sum("hit").alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found"))
+        held.select("row_id", "run", "n").join(met, "run").groupBy("row_id")
+        .agg(F.sum(F.col("hit") * F.col("n")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found"))
     )
     return read.join(hits, "row_id", "left").select(
         "doc_id", "text_key", "n_words", F.coalesce("hit", F.lit(0)).alias("n_hit"),

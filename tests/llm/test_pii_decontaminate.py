@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelgrid.llm import decontaminate, pii
@@ -126,6 +127,36 @@ def test_contamination_equals_brute_force(spark):
     assert clean.count() == sum(1 for r in brute(docs, items) if r[2] == 0)
 
 
+def test_fingerprints_decide_what_is_extended(spark, monkeypatch):
+    passage = prose(9, 40)
+    docs = spark.createDataFrame([(0, prose(7, 400) + " " + passage + " " + prose(8, 400)), (1, prose(3, 800))], "doc_id long, text string")
+    bench = spark.createDataFrame([("b", passage)], "item_id string, text string")
+    keys = decontaminate.benchmark_windows(bench).select("fingerprint").distinct()
+    seen = {r[0] for r in keys.collect()}
+    mixed = decontaminate.mix(np.array(sorted(seen), dtype=np.int64).view(np.uint64)).view(np.int64)
+    bits = decontaminate.bloom_filter(spark.createDataFrame([(int(h),) for h in mixed], "h long"), len(mixed))
+    runs = {r["doc_id"]: r["runs"] for r in decontaminate.document_runs(docs, [10], bits).collect()}
+    assert runs[1] == [] and len(runs[0]) == 1
+    words = runs[0][0]["run"].split()
+    assert " ".join(words).find(passage) >= 0 and len(words) <= 40 + 2 * 9
+    assert seen <= set(runs[0][0]["prints"])
+    assert len(seen) <= 20  # of 31 windows
+    # without fingerprints of the benchmark nothing is a hit, whatever its words are
+    monkeypatch.setattr(decontaminate, "passes", lambda filter_, h: np.zeros(len(h), dtype=bool))
+    assert {r["n_hit"] for r in decontaminate.contamination(docs, bench).collect()} == {0}
+
+
+def test_a_run_is_one_row_a_document(spark):
+    docs = spark.createDataFrame([(0, "the cat and the dog and the cow " * 50)], "doc_id long, text string")
+    bench = spark.createDataFrame([("w", "the"), ("x", "dog and")], "item_id string, text string")
+    r = decontaminate.contamination(docs, bench).first()
+    assert (r["n_words"], r["n_hit"], r["items"]) == (400, 250, ["w", "x"])
+    lengths = [1, 2]
+    everything = np.full(1 << 13, 255, dtype=np.uint8)
+    runs = decontaminate.document_runs(docs, lengths, everything).first()["runs"]
+    assert [(x["n"], len(x["run"].split())) for x in runs] == [(1, 400)]
+
+
 def test_empty_sides(spark, awkward, empty):
     none = spark.createDataFrame([], "item_id string, text string")
     assert {r["n_hit"] for r in decontaminate.contamination(awkward, none).collect()} == {0}
