@@ -21,9 +21,9 @@ class ContractError(ValueError):
     """An input breaks a data contract of the operator it was given to."""
 
 
-def non_finite(column: str) -> Column:
+def non_finite(column: str | Column) -> Column:
     """True where a double cell is NULL, NaN or infinite."""
-    c = F.col(column)
+    c = F.col(column) if isinstance(column, str) else column
     return c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
 
 
@@ -74,12 +74,7 @@ def series_health(
         bad = bad + non_finite(c).cast("int")
     for c in arrays:
         bad = bad + F.when(F.col(c).isNull(), 1).otherwise(
-            F.size(
-                F.filter(
-                    c,
-                    lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))),
-                )
-            )
+            F.size(F.filter(c, non_finite))
         )
     return panel.groupBy(*keys).agg(
         F.min(t).alias("t_min"),

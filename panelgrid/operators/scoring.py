@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from panelgrid.functions.metrics import score_columns
-from panelgrid.guards import ContractError, require_rows, require_unique
+from panelgrid.guards import ContractError, require_unique
 from panelgrid.operators.triangles import combined, summaries
+from panelgrid.sources.sinks import materialize_counted
 
 
 SCORED = ("_realized", "_strategy", "_forecast")  # the columns of a score's triangular factor
@@ -107,12 +108,17 @@ def anchor_rows(df: DataFrame, by: Sequence[str] = (), z: float = 0.0, p: str =
 def anchor_by_seed(
     forecasts: DataFrame, keys: Sequence[str] = ("series_id",), obs: str = "obs", check: bool = True
 ) -> DataFrame:
-    """The minimum-norm forecasts of the largest model, one path per series and seed."""
-    anchor = anchor_rows(forecasts, by=keys)
-    if check:
-        require_rows(anchor, "ridgeless (z=0) forecasts")
-        require_unique(anchor, [*keys, "seed", obs], "anchor forecasts")
-    return anchor
+    """The minimum-norm forecasts of the largest model, one path per series and seed.
+
+    ``check`` refuses forecasts without that level and repeated ones. It writes the level's rows first, so lazy forecasts are
+    solved once.
+    """
+    if not check:
+        return anchor_rows(forecasts, by=keys)
+    level, seen = materialize_counted(forecasts.where(F.col("z") == F.lit(0.0)), {})
+    if not seen["n_rows"]:
+        raise ContractError("ridgeless (z=0) forecasts has no rows")
+    return require_unique(anchor_rows(level, by=keys), [*keys, "seed", obs], "anchor forecasts")
 
 
 def require_full_paths(anchor: DataFrame, expected: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:

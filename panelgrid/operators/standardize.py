@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelgrid.guards import require_contiguous, require_rows
 from panelgrid.operators.blocks import TimeAxis, over_time
 from panelgrid.operators.windows import expanding_vol, prior_rms
+from panelgrid.sources.sinks import materialize
 
 
 def standardize_columns(
@@ -79,12 +80,14 @@ def standardize_panel(
     """The analysis-ready panel: standardized, burn-in dropped, floored at ``start``.
 
     Dropping incomplete rows may trim only the head of a series; ``check`` raises when
-    it would splice non-adjacent steps together.
+    it would splice non-adjacent steps together. The panel is computed once: ``check`` writes it, reads only keys and
+    ordinals back to look for gaps, and returns the written rows.
     """
     scaled = standardize_columns(panel, target, predictors, axis, own_lag, window, min_periods)
     complete = scaled.na.drop(subset=[target, *predictors])
     if check:
-        require_contiguous(complete, axis.keys, axis.t, date)
+        complete = materialize(complete)
+        require_contiguous(complete.select(*axis.keys, axis.t, *([date] if date else [])), axis.keys, axis.t, date)
     if start is not None:
         complete = complete.where(F.col(date) >= F.lit(start).cast("date"))
     carried = [c for c in complete.columns if c not in {target, *predictors}]

@@ -10,6 +10,7 @@ from panelgrid.functions.columns import log_ratio
 from panelgrid.guards import ContractError, require_correlated, require_unique
 from panelgrid.operators.blocks import MONTHS, TimeAxis, over_time
 from panelgrid.operators.windows import lagged
+from panelgrid.sources.sinks import materialize_counted
 
 # The predictors of the tidy panel, in output order.
 PREDICTORS = (
@@ -31,12 +32,16 @@ def join_one_to_one(
 
 
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], values: Sequence[str], check: bool = True) -> DataFrame:
-    """Fetch ``values`` from ``right`` by key; every left key must exist there."""
+    """Fetch ``values`` from ``right`` by key; every left key must exist there.
+
+    ``check`` writes the joined rows, counts the lost ones in that same pass, and returns the written rows.
+    """
     marked = right.select(*on, *values, F.lit(True).alias("_hit"))
     joined = left.join(marked, list(on), "left")
     if check:
-        lost = joined.where(F.col("_hit").isNull()).select(*on).limit(5).collect()
-        if lost:
+        joined, seen = materialize_counted(joined, {"lost": F.col("_hit").isNull()})
+        if seen["lost"]:
+            lost = joined.where(F.col("_hit").isNull()).select(*on).limit(5).collect()
             raise ContractError(f"no match for {[tuple(r) for r in lost]}")
     return joined.drop("_hit")
 

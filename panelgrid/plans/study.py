@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelgrid.config import ANCHOR_P, ANCHOR_Z, StudyConfig
 from panelgrid.functions.columns import complexity
-from panelgrid.guards import require_healthy, split_healthy
+from panelgrid.guards import non_finite, require_healthy, split_healthy
 from panelgrid.operators.blocks import TimeAxis
 from panelgrid.operators.engine import default_predictors, rolling_forecasts, rolling_summaries, to_arrays
 from panelgrid.operators.scoring import average_statistics, score_summaries
-from panelgrid.sources.sinks import materialize, write_artifact
+from panelgrid.sources.sinks import materialize, materialize_counted, write_artifact
 
 
 @dataclass
@@ -102,8 +102,9 @@ def run_study(
     """Run the grid on every series of a standardized panel.
 
     Predictors default to every column besides keys, ordinal, date and target.
-    ``on_bad_series``: ``raise`` checks all series in one aggregate job and names the
-    bad ones; ``skip`` drops them and reports them in ``Study.rejected``; ``trust``
+    ``on_bad_series``: ``raise`` names the bad series; ``skip`` drops them and reports them in ``Study.rejected``. Both
+    write the kernel's input once, count rows with cells that are not finite in that same pass, and then read keys and
+    ordinals alone, or the cells too where some are bad. ``trust``
     leaves the checks of finite and consecutive rows to the kernel tasks and scores a
     series with fewer than three forecasts as NULL.
     """
@@ -111,14 +112,18 @@ def run_study(
     skip = {*keys, axis.t} | ({date} if date else set())
     names = list(predictors) if predictors is not None else default_predictors(panel, target, skip)
     rejected = None
-    if on_bad_series == "raise":
-        require_healthy(panel, keys, axis.t, [target, *names], min_rows=config.min_rows)
-    elif on_bad_series == "skip":
-        panel, rejected = split_healthy(panel, keys, axis.t, [target, *names], min_rows=config.min_rows)
-    elif on_bad_series != "trust":
+    if on_bad_series not in ("raise", "skip", "trust"):
         raise ValueError(f"on_bad_series must be raise, skip or trust; got {on_bad_series!r}")
     carry = [*keys, axis.t] + ([date] if date else [])
     arrays = to_arrays(panel, target, names, carry)
+    if on_bad_series != "trust":
+        bad = F.exists("y", non_finite) | F.exists("x", non_finite)
+        arrays, seen = materialize_counted(arrays, {"bad": bad})
+        health = dict(keys=keys, t=axis.t, columns=[], arrays=["y", "x"] if seen["bad"] else [], min_rows=config.min_rows)
+        if on_bad_series == "raise":
+            require_healthy(arrays, **health)
+        else:
+            arrays, rejected = split_healthy(arrays, **health)
     return Study(arrays, config, axis, date, rejected, on_bad_series != "trust")
 
 

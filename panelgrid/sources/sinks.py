@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 DEFAULT_SAMPLE_END = "2020-12"  # fixed value: the period whose artifacts carry no suffix
 
@@ -65,3 +65,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, conditions: Mapping[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """``materialize`` and, observed by the same pass, the rows in all (``n_rows``) and those that meet each condition."""
+    watch = Observation()
+    counts = [F.count_if(c).alias(name) for name, c in conditions.items()]
+    stored = materialize(df.observe(watch, F.count(F.lit(1)).alias("n_rows"), *counts))
+    seen = watch.get
+    return stored, {name: seen.get(name) or 0 for name in ("n_rows", *conditions)}

@@ -612,6 +612,18 @@ select last_day(cast(l_shipdate as date)) as date, {rnd('sum(l_discount)/100.0')
     q["pruned_scan"] = "select c_custkey, c_mktsegment, c_acctbal from customer"
     q["monthly_source"] = _with(source(), out("src", "series_id t date", SOURCE_DOUBLES, 5))
     q["stored_source"] = _with(source("l_returnflag"), out("src", "series_id t date", SOURCE_DOUBLES, 5))
+    q["period_artifacts"] = _with(
+        SUPPLIER,
+        f"""select series_id, date, {rnd('y')} as y, '1997-06' as period from panel where date <= date '1997-06-30'
+union all select series_id, date, {rnd('y')}, '2020-12' from panel where date <= date '2020-12-31'""",
+    )
+    q["default_predictor_levels"] = _with(
+        SUPPLIER_STD,
+        "\nunion all ".join(
+            f"select '{c}' as predictor, count({c}) as n_rows, {rnd(f'avg({c})')} as mean from std"
+            for c in SUPPLIER_PREDICTORS
+        ),
+    )
     q["tidy_market"] = _with(TIDY, out("tidy", "series_id t date", "mkt_excess " + " ".join(PREDICTORS)))
     q["bond_excess_returns"] = _with(
         source("l_returnflag"),

@@ -15,7 +15,7 @@ from panelgrid.functions.columns import complexity, label
 from panelgrid.operators import scoring, windows
 from panelgrid.operators.blocks import MONTHS, TimeAxis, dense_ordinal, over_time
 from panelgrid.operators.counterfactual import calibrated_signal, plant_signal, wild_bootstrap
-from panelgrid.operators.engine import rolling_forecasts, to_arrays
+from panelgrid.operators.engine import default_predictors, rolling_forecasts, to_arrays
 from panelgrid.operators.features import feature_columns, rff_features, rff_weights, scale_by_training_window
 from panelgrid.operators.regressions import (
     ar1_residuals, ar1_table, fit_ar1, forecast_anatomy, pair_worlds, recovery, spanning,
@@ -30,7 +30,7 @@ from panelgrid.plans import reports
 from panelgrid.plans.counterfactuals import diagnostics, prepare_inputs, run_counterfactuals
 from panelgrid.plans.study import anchor_study, leave_one_out
 from panelgrid.sources.landing import join_landed, land, landed, landed_between
-from panelgrid.sources.sinks import materialize, new_path
+from panelgrid.sources.sinks import DEFAULT_SAMPLE_END, artifact_path, materialize, new_path, write_artifact
 from panelgrid.sources.tables import bounded, percent_factors, with_month_end
 from workload import frames, inputs
 from workload.frames import SMALL_GRID, WIDE_GRID, rounded
@@ -92,6 +92,28 @@ def stored_source(spark, folder):
     return rounded(materialize(inputs.flag_source(spark, folder)), 5)
 
 
+@query
+def period_artifacts(spark, folder):
+    """One artifact of two sample periods: writing the second leaves the first as it was."""
+    panel, base = inputs.supplier_panel(spark, folder), new_path(spark, "periods-")
+    periods = ("1997-06", DEFAULT_SAMPLE_END)
+    for end in periods:
+        write_artifact(trim_to_sample(panel.select("series_id", "date", "y"), end), base, "panel", end)
+    first, second = [
+        spark.read.parquet(artifact_path(base, "panel", end)).withColumn("period", F.lit(end)) for end in periods
+    ]
+    return rounded(first.unionByName(second))
+
+
+@query
+def default_predictor_levels(spark, folder):
+    """Every column that a study takes as a predictor unless told otherwise, with its rows and mean."""
+    std = frames.supplier_standardized(spark, folder)
+    names = default_predictors(std, "y", ("series_id", "t", "date"))
+    long = std.unpivot([], names, "predictor", "value")
+    return rounded(long.groupBy("predictor").agg(F.count("value").alias("n_rows"), F.avg("value").alias("mean")))
+
+
 @query
 def landed_bounds(spark, folder):
     orders = table(spark, folder, "orders", "o_orderkey", "o_orderdate", "o_custkey", "o_totalprice")
@@ -208,7 +230,7 @@ def target_predictor_join(spark, folder):
 def key_ordered_lookup(spark, folder):
     wanted = frames.supplier_standardized(spark, folder).select("series_id", "t", "y")
     raw = inputs.supplier_panel(spark, folder).select("series_id", "t", F.col("y").alias("raw_y"))
-    return rounded(lookup(wanted, raw, ["series_id", "t"], ["raw_y"], check=False))
+    return rounded(lookup(wanted, raw, ["series_id", "t"], ["raw_y"]))
 
 
 @query
@@ -306,19 +328,19 @@ def mean_of_rows(spark, folder):
 
 @query
 def ensemble_forecasts(spark, folder):
-    anchor = scoring.anchor_by_seed(frames.naive_forecasts(spark, folder), check=False)
+    anchor = scoring.anchor_by_seed(frames.naive_forecasts(spark, folder))
     return rounded(scoring.ensemble(anchor, ["series_id", "obs"]))
 
 
 @query
 def anchor_paths(spark, folder):
-    anchor = scoring.anchor_by_seed(frames.naive_forecasts(spark, folder), check=False)
+    anchor = scoring.anchor_by_seed(frames.naive_forecasts(spark, folder))
     return rounded(anchor.select("series_id", "seed", "obs", "forecast", "realized"))
 
 
 @query
 def path_lengths(spark, folder):
-    anchor = scoring.anchor_by_seed(frames.naive_forecasts(spark, folder), check=False)
+    anchor = scoring.anchor_by_seed(frames.naive_forecasts(spark, folder))
     return anchor.groupBy("series_id", "seed").agg(F.count("*").alias("n_rows"), F.min("obs").alias("first_obs"))
 
 
@@ -345,7 +367,7 @@ def market_summary(spark, folder):
 @query
 def source_cross_check(spark, folder):
     months = join_one_to_one(
-        inputs.monthly_source(spark, folder), inputs.index_returns(spark, folder), ["series_id", "date"], check=False
+        inputs.monthly_source(spark, folder), inputs.index_returns(spark, folder), ["series_id", "date"]
     )
     return rounded(guards.overlap_correlation(months, F.col("ret") - F.col("Rfree"), F.col("vwretd") - F.col("Rfree")))
 
@@ -394,7 +416,7 @@ def forecast_anatomy_full(spark, folder):
 def _anatomy(spark, folder, window):
     # a forecast booked at t was made at t-1
     made = scoring.ensemble(
-        scoring.anchor_by_seed(frames.naive_forecasts(spark, folder), check=False), ["series_id", "t"]
+        scoring.anchor_by_seed(frames.naive_forecasts(spark, folder)), ["series_id", "t"]
     ).withColumn("t", F.col("t") - 1)
     return forecast_anatomy(made, inputs.supplier_panel(spark, folder), "y", MONTHS, window)
 
@@ -733,7 +755,7 @@ def full_complexity_grid(spark, folder):
 def hourly_grid(spark, folder):
     """Hourly series cut into chunks, as long series are."""
     panel = inputs.hourly_panel(spark, folder).select("series_id", "t", F.col("total").alias("y"), "n", "mean")
-    std = standardize_panel(panel, "y", ("n", "mean"), HOURS, window=24, min_periods=48, check=False)
+    std = standardize_panel(panel, "y", ("n", "mean"), HOURS, window=24, min_periods=48)
     arrays = to_arrays(std, "y", ("n", "mean"), ("series_id", "t"))
     forecasts = rolling_forecasts(arrays, SMALL_GRID.with_(window=24, chunk=64, z_grid=(1.0,)), HOURS)
     return rounded(scoring.score(forecasts, CELL, beta_norm="beta_norm", strict=False), 5)
@@ -768,7 +790,7 @@ def distinct_levels(spark, folder):
 
 @query
 def sorted_paths(spark, folder):
-    anchor = scoring.anchor_by_seed(frames.naive_forecasts(spark, folder), check=False)
+    anchor = scoring.anchor_by_seed(frames.naive_forecasts(spark, folder))
     return rounded(anchor.select("seed", "obs", "series_id", "forecast").orderBy("seed", "obs", "series_id"))
 
 
