@@ -129,3 +129,20 @@ def test_scores_of_many_small_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     one = {r["k"]: r["alpha_tstat"] for r in score(df.coalesce(1), ["k"]).collect()}
     assert many == pytest.approx(one, rel=1e-10) and len(many) == 5
+
+
+def test_rows_with_more_columns_than_their_key_merge_over_batches(spark):
+    """A key goes on from one batch to the next, and its rows hold columns that the key does not name."""
+    parts = summaries(rows_of(spark)[1].repartition(7), ["k", "s"], ["b", "y"])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    read = lambda rows: sorted(combined(rows, ["k"]).collect(), key=lambda r: str(r["k"]))
+    want = read(parts.drop("s").coalesce(1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = read(parts.withColumn("other", F.lit("x")))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [(r["k"], r["_n"]) for r in found] == [(r["k"], r["_n"]) for r in want]
+    for one, two in zip(found, want):
+        np.testing.assert_allclose(one["_mean"], two["_mean"], rtol=1e-12)
+        np.testing.assert_allclose(np.abs(one["_factor"]), np.abs(two["_factor"]), rtol=1e-9, atol=1e-12)
