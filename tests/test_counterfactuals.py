@@ -16,6 +16,7 @@ from panelgrid.operators.counterfactual import (
     amplitude, bootstrap_plan, calibrated_signal, plant_signal, seeded_shocks, sign_stream, wild_bootstrap,
 )
 from panelgrid.operators.windows import declining_weights
+from panelgrid.plans import counterfactuals
 from panelgrid.plans.counterfactuals import diagnostics, run_counterfactuals
 from panelgrid.plans.study import run_study
 
@@ -244,3 +245,23 @@ def test_diagnostics_of_an_export(spark):
     short = export.where(F.col("obs") < F.lit("1933-06-30").cast("date"))
     with pytest.raises(ContractError, match="out-of-sample"):
         diagnostics(short, panel, "y", predictors)
+
+
+def test_only_the_results_asked_for_are_worked_out(spark, monkeypatch):
+    """Mean paths read neither the reversed panel nor the worlds' summaries, and a step seen by one task is not grouped again."""
+    raw = raw_market(spark)[0]
+    config = CounterfactualConfig(window=T, anchor_p=2, n_seeds=2, calibration=CAL, tasks=4)
+    arguments = (raw, config, "ret", PRED, "own", "2000-12", TimeAxis(block=25))
+    whole = run_counterfactuals(*arguments, min_periods=20)
+    one = run_counterfactuals(*arguments, min_periods=20, results=["twin_paths"])
+    stored = []
+    keep = counterfactuals.materialize
+    monkeypatch.setattr(counterfactuals, "materialize", lambda df: stored.append(df.columns) or keep(df))
+    found = one.twin_paths
+    assert len(stored) == 2  # the panel and the paths
+    assert one.twins.where("seed IS NOT NULL").isEmpty()
+    key = ["series_id", "predictor_set", "strength", "oos_index"]
+    frames = [df.toPandas().sort_values(key).reset_index(drop=True) for df in (found, whole.twin_paths)]
+    pd.testing.assert_frame_equal(*frames)
+    with pytest.raises(ValueError, match="not among"):
+        one.twin_recovery
