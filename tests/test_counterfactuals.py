@@ -11,9 +11,10 @@ from helpers import (
 )
 from panelgrid.config import CounterfactualConfig, StudyConfig
 from panelgrid.guards import ContractError
+from panelgrid.operators import counterfactual
 from panelgrid.operators.blocks import MONTHS, TimeAxis
 from panelgrid.operators.counterfactual import (
-    amplitude, bootstrap_plan, calibrated_signal, plant_signal, seeded_shocks, sign_stream, wild_bootstrap,
+    amplitude, bootstrap_plan, calibrated_signal, drawn_paths, plant_signal, seeded_shocks, sign_stream, signs_of, wild_bootstrap,
 )
 from panelgrid.operators.windows import declining_weights
 from panelgrid.plans import counterfactuals
@@ -247,6 +248,34 @@ def test_diagnostics_of_an_export(spark):
         diagnostics(short, panel, "y", predictors)
 
 
+def test_series_are_drawn_together_and_share_their_signs(monkeypatch):
+    rng = np.random.default_rng(12)
+    lengths, seeds = (30, 17, 30, 1, 25), (0, 1, 2)
+    steps = np.concatenate([np.arange(n) + (40 if i == 4 else 0) for i, n in enumerate(lengths)])
+    x, first = rng.standard_normal((len(steps), 2)), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    state = rng.standard_normal((3, 2))
+    plans = [
+        dict(phi=[0.5 + 0.05 * i, 0.1], intercept=[0.2, 0.01 * i], t_min=0, n=65 if i == 4 else n, start=state.ravel() if i == 4 else None)
+        for i, n in enumerate(lengths)
+    ]
+    asked = []
+    monkeypatch.setattr(counterfactual, "signs_of", lambda *a: asked.append(a) or signs_of(*a))
+    found = drawn_paths(x, steps, first, plans, seeds, 9)
+    assert len(asked) == 3  # one draw for the two series of 30 rows
+    for i, n in enumerate(lengths):
+        own = slice(first[i], first[i] + n)
+        start, phi, level = int(steps[first[i]]), np.array(plans[i]["phi"]), np.array(plans[i]["intercept"])
+        for k, seed in enumerate(seeds):
+            path = [state[k] if i == 4 else x[first[i]]]
+            for t in range(1, n):
+                signs = [sign_stream(9 + seed, j * (plans[i]["n"] - 1) + start + t - 1, 1)[0] for j in range(2)]
+                path.append(level + (x[own][t] - level - phi * x[own][t - 1]) * signs + phi * path[-1])
+            np.testing.assert_array_equal(found[k, own], path)
+    plans[4]["start"] = None
+    with pytest.raises(ValueError, match="no state"):
+        drawn_paths(x, steps, first, plans, seeds, 9)
+
+
 def test_only_the_results_asked_for_are_worked_out(spark, monkeypatch):
     """Mean paths read neither the reversed panel nor the worlds' summaries, and a step seen by one task is not grouped again."""
     raw = raw_market(spark)[0]
