@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from helpers import brute_forecasts, brute_scores, by_cell, make_panel
 from panelgrid.config import StudyConfig
 from panelgrid.guards import ContractError
+from panelgrid.operators import engine
 from panelgrid.operators.blocks import TimeAxis
 from panelgrid.operators.engine import rolling_forecasts, to_arrays
 from panelgrid.operators.scoring import importance
@@ -215,3 +217,19 @@ def test_importance_runs_the_kernel_once(spark):
     study = leave_one_out(panel, CONFIG.with_(z_grid=(1.0,)), "y", X, strict=False)
     plan = importance(study.per_seed)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapGroupsInArrow") == 1
+
+
+def test_small_designs_share_a_task_and_large_ones_have_their_own(spark, monkeypatch):
+    panel, _ = make_panel(spark, n=40)
+    config = CONFIG.with_(p_grid=(8,), z_grid=(1.0,), ridgeless=False)
+    study = leave_one_out(panel, config, "y", X, strict=False)
+    dealt, keep = [], engine.chunked_panel
+    monkeypatch.setattr(engine, "chunked_panel", lambda *a, **k: dealt.append(keep(*a, **k)[0]) or keep(*a, **k))
+    order = ["series_id", "excluded", "seed"]
+    together = collect(study.per_seed).sort_values(order, ignore_index=True)
+    assert dealt[0].select(engine.SEED_BLOCK).distinct().count() == 1  # no row is copied for a configuration
+    monkeypatch.setattr(engine, "TASK_FEATURES", 1)
+    single = leave_one_out(panel, config.with_(seeds_per_task=1), "y", X, strict=False)
+    apart = collect(single.per_seed).sort_values(order, ignore_index=True)
+    assert dealt[1].count() == dealt[0].count() * len(config.seeds) * (len(X) + 1)
+    pd.testing.assert_frame_equal(together, apart)
