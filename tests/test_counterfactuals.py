@@ -294,3 +294,16 @@ def test_only_the_results_asked_for_are_worked_out(spark, monkeypatch):
     pd.testing.assert_frame_equal(*frames)
     with pytest.raises(ValueError, match="not among"):
         one.twin_recovery
+
+
+def test_one_experiment_prepares_no_panel_of_another(spark, monkeypatch):
+    config = CounterfactualConfig(window=T, anchor_p=2, n_seeds=2, calibration=CAL, tasks=4)
+    arguments = (raw_market(spark)[0], config, "ret", PRED, "own", "2000-12", TimeAxis(block=25))
+    whole = run_counterfactuals(*arguments, min_periods=20).counterfactual_spanning.where("experiment = 'wild_bootstrap'").toPandas()
+    stored, keep = [], counterfactuals.materialize
+    monkeypatch.setattr(counterfactuals, "materialize", lambda df: stored.append(df.columns) or keep(df))
+    one = run_counterfactuals(*arguments, min_periods=20, experiments=["wild_bootstrap"])
+    pd.testing.assert_frame_equal(one.counterfactual_spanning.toPandas(), whole)
+    assert len(stored) == 2  # the panel and the summaries, no reversed panel
+    with pytest.raises(ValueError, match="experiments are"):
+        run_counterfactuals(*arguments, min_periods=20, experiments=["other"]).counterfactual_spanning
