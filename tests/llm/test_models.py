@@ -135,6 +135,38 @@ def test_gradients_of_rare_words(monkeypatch):
             assert (moved[0] - moved[1]) / 2e-2 == pytest.approx(float(grad.reshape(-1)[i]), abs=5e-3), name
 
 
+@pytest.mark.parametrize("most", [1, 16, 17, 700])
+def test_rows_are_added_whatever_their_number(most):
+    draw = np.random.default_rng(most)
+    row = np.concatenate([np.repeat(5, most), draw.integers(0, 9, 40)]).astype(np.int16)
+    values, source = draw.normal(size=(12, 3)), draw.integers(0, 12, len(row))
+    total, expected = np.ones((10, 3)), np.ones((10, 3))
+    np.add.at(expected, row, values[source])
+    gru._add_rows(total, row, values, source)
+    assert total == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("size", [1, 100, 3000])
+def test_softmax_of_any_weights_and_shut_gates(size):
+    """Logits up to thousands, where exponentials of unshifted rows leave the float range, and gates that are wholly shut."""
+    params, edges = small_model(4)
+    draw = np.random.default_rng(5)
+    for name in ("wc", "wo", "x"):
+        params[name] = draw.normal(0, size, params[name].shape).astype(np.float32)
+    model = gru.Gru(params, edges)
+    h = np.tanh(draw.normal(size=(30, 4))).astype(np.float32)
+    y = draw.integers(0, 10, 30)
+    whole = lambda logits: logits - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+    expected = []
+    for state, symbol in zip(h.astype(np.float64), y.tolist()):
+        c = int(model.class_of[symbol])
+        a, b = edges[c], edges[c + 1]
+        expected.append(whole(state @ params["wc"] + params["bc"])[c] + whole(state @ params["wo"][:, a:b] + params["bo"][a:b])[symbol - a])
+    assert model._softmax(h, y, False)[0] == pytest.approx(np.array(expected), rel=1e-4, abs=1e-4)
+    with np.errstate(all="raise", under="ignore"):
+        assert np.isfinite(model.run(y.astype(np.int16), np.array([0, 30]), 0, True)).all()
+
+
 @pytest.mark.parametrize("least", [0, 1500, 1e9])
 @pytest.mark.parametrize("buckets", [1, 4, 4096])
 def test_paths_give_each_word_its_share(buckets, least):
