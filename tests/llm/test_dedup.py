@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelgrid.llm import bwt, neardup, substrings
 from panelgrid.llm.components import connected_components
-from panelgrid.llm.text import NOT_SPACE, bytes_of, shingle_sets, split_words
+from panelgrid.llm.text import NOT_SPACE, bytes_of, range_hash, shingle_sets, split_words
 from tests.llm.conftest import awkward_rows, prose, with_clashes
 
 
@@ -125,6 +125,29 @@ def test_interval_expansion_equals_brute_force(seed, symbols, length):
     assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+@pytest.mark.parametrize("length", [9, 20, 50])
+def test_expansion_from_the_ranks_of_the_sort_equals_brute_force(length):
+    draw = np.random.default_rng(length)
+    pool = draw.integers(1, 4, 300)
+    strings = [np.concatenate([pool[a : a + n], draw.integers(1, 256, 3), pool[b : b + n]]) for a, b, n in draw.integers(0, 220, (40, 3))]
+    strings += [np.full(n, 7) for n in (0, 1, 30, 90)]
+    text = np.concatenate([np.append(s, 0) for s in strings]).astype(np.int16)
+    wide = np.array([len(s) + 1 for s in strings])
+    ends = np.repeat(np.cumsum(wide) - 1, wide)
+    order, known, rank = bwt.ordered(text, ends, length)
+    assert 8 <= known < length
+    first = [tuple(text[i : min(i + known, ends[i] + 1)].tolist()) for i in order]
+    assert [a == b for a, b in zip(first, first[1:])] == (np.diff(rank[order].astype(int)) == 0).tolist()
+    want = {}
+    for p in range(len(text)):
+        if p + length <= ends[p]:
+            want.setdefault(tuple(text[p : p + length].tolist()), set()).add(p)
+    found = {}
+    for p, c in zip(*map(np.ndarray.tolist, bwt.repeats(text, ends, length))):
+        found.setdefault(c, set()).add(p)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
 def removed(rows, length):
     last = 1 << 70
     first = {}
@@ -192,6 +215,62 @@ def test_segments_of_a_group_are_bounded(spark, hot):
     assert (max(map(len, groups.values())) <= 20) == (hot == 20)  # without splitting the phrase's edges are one group
 
 
+def segments_of(texts):
+    """The segments of the texts, text i in document i; as they reach the task that solves them."""
+    import pyarrow as pa
+
+    data, offsets = bytes_of(pa.array(texts))
+    s = substrings.Segments(data, offsets, 50)
+    size = s.count + 49
+    return s.anchor, s.row, s.count, np.cumsum(size) - size, s.bytes_at(np.arange(len(s.start)))
+
+
+def test_strings_that_occur_once_stay_out_of_the_transform(monkeypatch):
+    """A frequent anchor in texts that share no 50 bytes, and one pair that does: the transform has the pair's runs only."""
+    texts = [prose(100 + i, 8) + " sixteen bytes, and " + prose(300 + i, 8) for i in range(400)]
+    both = prose(9, 40)
+    texts += [both + " " + prose(10, 9), prose(11, 9) + " " + both[60:]]
+    sizes = []
+    expand = substrings.repeats
+    monkeypatch.setattr(substrings, "repeats", lambda text, *more: sizes.append(len(text)) or expand(text, *more))
+    anchor, row, count, begin, data = segments_of(texts)
+    least = substrings.smallest_documents(anchor, row, count, begin, data, 50)
+    first, want = {}, []
+    for b, n, d in zip(begin.tolist(), count.tolist(), row.tolist()):
+        for k in range(b, b + n):
+            first[data[k : k + 50].tobytes()] = min(d, first.get(data[k : k + 50].tobytes(), d))
+            want.append(data[k : k + 50].tobytes())
+    assert least.tolist() == [first[s] for s in want]
+    assert (least != np.repeat(row, count)).any()
+    assert sum(sizes) < 1000 < len(data) / 100
+
+
+@pytest.mark.parametrize("piece", [7, 100, 1 << 16])
+def test_segments_do_not_depend_on_the_pieces_that_are_hashed(monkeypatch, piece):
+    texts = [t or "" for _, t in awkward_rows()]
+    whole = segments_of(texts)
+    monkeypatch.setattr(substrings, "PIECE_BYTES", piece)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, segments_of(texts)))
+    strings = sum(max(0, len(t.encode()) - 49) for t in texts)
+    assert whole[2].sum() == strings
+    size = whole[2] + 49
+    assert substrings.hashes(whole[4], whole[3], size).tolist() == range_hash(whole[4], whole[3], whole[3] + size).tolist()
+
+
+def test_ranges_with_equal_keys_are_told_apart_by_their_bytes():
+    words = [b"one word and more", b"one word and mord", b"one word and more", b"eight by", b"one word and more!", b"two word and more"]
+    size = np.array(list(map(len, words)))
+    one, same = substrings.equal_ranges(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size, np.zeros(6, np.uint64))
+    assert [words[i] for i in one[same]] == words
+
+
+def test_a_chunk_and_a_bucket_exchange_one_message_for_many_documents(spark):
+    """The number of messages grows with chunks times buckets: chunks hold megabytes of text."""
+    docs = spark.createDataFrame([(i, prose(i % 7, 40) * 1000) for i in range(20)], "doc_id long, text string").coalesce(1)
+    sizes = [r["size"] for r in substrings.chunks(docs).select("size").collect()]
+    assert sum(sizes) > 5 << 20 and len(sizes) <= 2
+
+
 def test_no_documents(spark, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
